@@ -211,3 +211,166 @@ SELECT cohort_month, CAST(COUNT(*) AS BIGINT) cohort_size,
        {R2('CAST(SUM(total_orders) AS DOUBLE) / COUNT(*)')} avg_orders_per_customer,
        {R2('AVG(avg_tx)')} avg_transaction_value
 FROM cv GROUP BY cohort_month""")
+
+# ---------------------------------------------------------------- activity decline
+register("activity_windows_churned", f"""
+ct AS (SELECT customer_id, invoice_ts, invoice, MAX(invoice_ts) OVER (PARTITION BY customer_id) l FROM tx),
+aw AS (SELECT customer_id, invoice, l,
+              CASE WHEN {FRAC('l','invoice_ts')} <= 30 THEN 'Last 30 days'
+                   WHEN {FRAC('l','invoice_ts')} <= 60 THEN '31-60 days before'
+                   WHEN {FRAC('l','invoice_ts')} <= 90 THEN '61-90 days before'
+                   WHEN {FRAC('l','invoice_ts')} <= 120 THEN '91-120 days before'
+                   ELSE '120+ days before' END time_window FROM ct),
+cc AS (SELECT DISTINCT customer_id FROM aw WHERE l <= {OBS})
+SELECT aw.time_window, CAST(COUNT(DISTINCT aw.customer_id) AS BIGINT) unique_customers,
+       CAST(COUNT(DISTINCT aw.invoice) AS BIGINT) total_orders,
+       {R2('CAST(COUNT(DISTINCT aw.invoice) AS DOUBLE) / COUNT(DISTINCT aw.customer_id)')} orders_per_customer
+FROM aw JOIN cc ON aw.customer_id = cc.customer_id GROUP BY aw.time_window""")
+
+register("revenue_windows_churned", f"""
+crt AS (SELECT customer_id, invoice_ts, SUM({LV}) daily_revenue,
+               MAX(invoice_ts) OVER (PARTITION BY customer_id) l
+        FROM tx GROUP BY customer_id, invoice_ts),
+rw AS (SELECT daily_revenue,
+              CASE WHEN {FRAC('l','invoice_ts')} <= 30 THEN 'Last 30 days'
+                   WHEN {FRAC('l','invoice_ts')} <= 60 THEN '31-60 days before'
+                   WHEN {FRAC('l','invoice_ts')} <= 90 THEN '61-90 days before'
+                   ELSE '90+ days before' END time_window
+       FROM crt WHERE l <= {OBS})
+SELECT time_window, CAST(COUNT(*) AS BIGINT) purchase_days,
+       {R2('CAST(SUM(daily_revenue) AS DOUBLE)')} total_revenue,
+       {R2('CAST(SUM(daily_revenue) AS DOUBLE) / COUNT(*)')} avg_daily_revenue,
+       {R2('MEDIAN(CAST(daily_revenue AS DOUBLE))')} median_daily_revenue
+FROM rw GROUP BY time_window""")
+
+register("purchase_gaps", f"""
+co AS (SELECT customer_id, CAST(invoice_ts AS DATE) order_date,
+              ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY CAST(invoice_ts AS DATE)) r
+       FROM tx GROUP BY customer_id, CAST(invoice_ts AS DATE)),
+pg AS (SELECT c1.customer_id, CAST(c2.order_date - c1.order_date AS DOUBLE) d
+       FROM co c1 LEFT JOIN co c2 ON c1.customer_id = c2.customer_id AND c1.r = c2.r - 1
+       WHERE c2.order_date IS NOT NULL),
+cs AS (SELECT customer_id, CASE WHEN MAX(invoice_ts) <= {OBS} THEN 'Churned' ELSE 'Active' END status
+       FROM tx GROUP BY 1)
+SELECT cs.status, {R2('SUM(d) / COUNT(*)')} avg_days_between_orders, {R2('MEDIAN(d)')} median_days_between_orders,
+       MIN(d) min_gap, MAX(d) max_gap, CAST(COUNT(*) AS BIGINT) total_gaps
+FROM pg JOIN cs ON pg.customer_id = cs.customer_id GROUP BY cs.status""")
+
+register("recent_vs_historical_order_value", f"""
+cor AS (SELECT customer_id, invoice, invoice_ts, SUM({LV}) v,
+               ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY invoice_ts DESC, invoice DESC) rr,
+               COUNT(*) OVER (PARTITION BY customer_id) n
+        FROM tx GROUP BY customer_id, invoice, invoice_ts),
+lvh AS (SELECT customer_id,
+               CAST(SUM(CASE WHEN rr <= 3 THEN v END) AS DOUBLE) / COUNT(CASE WHEN rr <= 3 THEN 1 END) a3,
+               CAST(SUM(CASE WHEN rr > 3 THEN v END) AS DOUBLE) / COUNT(CASE WHEN rr > 3 THEN 1 END) ah
+        FROM cor WHERE n >= 6 GROUP BY customer_id, n),
+cs AS (SELECT customer_id, CASE WHEN MAX(invoice_ts) <= {OBS} THEN 'Churned' ELSE 'Active' END status
+       FROM tx GROUP BY 1)
+SELECT cs.status, CAST(COUNT(*) AS BIGINT) customers, {R2('AVG(a3)')} avg_last_3_orders,
+       {R2('AVG(ah)')} avg_historical_orders,
+       {R2('100.0::DOUBLE * (AVG(a3) - AVG(ah)) / NULLIF(AVG(ah), 0)')} pct_change
+FROM lvh JOIN cs ON lvh.customer_id = cs.customer_id GROUP BY cs.status""")
+
+register("product_diversity_shift", f"""
+cp AS (SELECT customer_id, stock_code, invoice_ts, MAX(invoice_ts) OVER (PARTITION BY customer_id) l FROM tx),
+pt AS (SELECT customer_id, stock_code,
+              CASE WHEN {FRAC('l','invoice_ts')} <= 60 THEN 'Last 60 days' ELSE 'Historical' END period
+       FROM cp WHERE l <= {OBS}),
+pd AS (SELECT customer_id, period, COUNT(DISTINCT stock_code) u FROM pt GROUP BY 1, 2)
+SELECT period, CAST(COUNT(DISTINCT customer_id) AS BIGINT) customers,
+       {R2('CAST(SUM(u) AS DOUBLE) / COUNT(*)')} avg_unique_products,
+       {R2('MEDIAN(CAST(u AS DOUBLE))')} median_unique_products
+FROM pd GROUP BY period""")
+
+# ---------------------------------------------------------------- behavioural patterns
+register("rfm_cells", f"""
+crfm AS (SELECT customer_id, {FRAC(OBS, 'MAX(invoice_ts)')} recency_days, COUNT(DISTINCT invoice) frequency,
+                SUM({LV}) monetary, MIN(invoice_ts) f
+         FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id),
+s AS (SELECT CASE WHEN recency_days > 60 THEN 1 ELSE 0 END c,
+             NTILE(5) OVER (ORDER BY recency_days DESC, customer_id) "R_score",
+             NTILE(5) OVER (ORDER BY frequency, customer_id) "F_score",
+             NTILE(5) OVER (ORDER BY monetary, customer_id) "M_score"
+      FROM crfm WHERE f <= {DORMANT})
+SELECT CAST("R_score" AS INTEGER) "R_score", CAST("F_score" AS INTEGER) "F_score", CAST("M_score" AS INTEGER) "M_score",
+       CAST(COUNT(*) AS BIGINT) customers, CAST(SUM(c) AS BIGINT) churned,
+       {PCT('SUM(c)', 'COUNT(*)')} churn_rate_pct
+FROM s GROUP BY 1, 2, 3 HAVING COUNT(*) >= 20
+ORDER BY churn_rate_pct DESC, 1, 2, 3 LIMIT 20""")
+
+register("purchase_time_patterns", f"""
+cpt AS (SELECT customer_id,
+               AVG(CASE WHEN dayofweek(invoice_ts) IN (0, 6) THEN 1 ELSE 0 END) w,
+               AVG(hour(invoice_ts)) h,
+               AVG(CASE WHEN hour(invoice_ts) < 12 THEN 1 ELSE 0 END) m,
+               MAX(invoice_ts) l
+        FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id)
+SELECT CASE WHEN l <= {DORMANT} THEN 'Churned' ELSE 'Active' END status, CAST(COUNT(*) AS BIGINT) customers,
+       {R2('AVG(w) * 100')} avg_weekend_pct, {R2('AVG(h)')} avg_purchase_hour, {R2('AVG(m) * 100')} avg_morning_pct
+FROM cpt GROUP BY 1""")
+
+register("basket_patterns", f"""
+cb AS (SELECT customer_id, invoice, invoice_ts, COUNT(DISTINCT stock_code) u, SUM(quantity) q, SUM({LV}) v
+       FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id, invoice, invoice_ts),
+cbm AS (SELECT customer_id, AVG(u) u, AVG(q) q, CAST(SUM(v) AS DOUBLE) / COUNT(*) v,
+               STDDEV_SAMP(CAST(v AS DOUBLE)) s, MAX(invoice_ts) l
+        FROM cb GROUP BY customer_id)
+SELECT CASE WHEN l <= {DORMANT} THEN 'Churned' ELSE 'Active' END status, CAST(COUNT(*) AS BIGINT) customers,
+       {R2('AVG(u)')} avg_unique_items_per_basket, {R2('AVG(q)')} avg_total_items_per_basket,
+       {R2('AVG(v)')} avg_basket_value, {R2('AVG(s)')} basket_value_consistency
+FROM cbm GROUP BY 1""")
+
+register("seasonality_q4", f"""
+cs AS (SELECT customer_id, strftime(invoice_ts, '%m') pm, COUNT(DISTINCT invoice) mo, MAX(invoice_ts) l
+       FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id, strftime(invoice_ts, '%m')),
+sp AS (SELECT customer_id,
+              SUM(CASE WHEN pm IN ('10','11','12') THEN mo ELSE 0 END) * 1.0::DOUBLE / SUM(mo) q4,
+              COUNT(DISTINCT pm) am,
+              CASE WHEN MAX(l) <= {DORMANT} THEN 'Churned' ELSE 'Active' END status
+       FROM cs GROUP BY customer_id)
+SELECT status, CAST(COUNT(*) AS BIGINT) customers, {R2('AVG(q4) * 100')} avg_q4_concentration_pct,
+       {R2('CAST(SUM(am) AS DOUBLE) / COUNT(*)')} avg_active_months
+FROM sp GROUP BY status""")
+
+RETURN_BODY = """
+cr AS (SELECT customer_id, COUNT(CASE WHEN quantity < 0 THEN 1 END) rt, COUNT(*) tt, MAX(invoice_ts) l
+       FROM {src} GROUP BY customer_id),
+rp AS (SELECT rt, CAST(rt AS DOUBLE) / NULLIF(CAST(tt AS DOUBLE), 0) rate,
+              CASE WHEN l <= {dormant} THEN 'Churned' ELSE 'Active' END status FROM cr)
+SELECT status, CAST(COUNT(*) AS BIGINT) customers, {r_rate} avg_return_rate_pct,
+       CAST(SUM(CASE WHEN rt > 0 THEN 1 ELSE 0 END) AS BIGINT) customers_with_returns,
+       {p_ret} pct_with_returns
+FROM rp GROUP BY status"""
+for _key, _src in (("return_behavior", "tx"), ("return_behavior_raw", "retail_raw")):
+    register(_key, RETURN_BODY.format(src=_src, dormant=DORMANT, r_rate=R2("AVG(rate) * 100"),
+                                      p_ret=PCT("SUM(CASE WHEN rt > 0 THEN 1 ELSE 0 END)", "COUNT(*)")))
+
+register("first_order_quality", f"""
+fp AS (SELECT customer_id, MIN(invoice_ts) f, MIN(invoice) fi FROM tx GROUP BY customer_id),
+fod AS (SELECT fp.customer_id, fp.f, COUNT(DISTINCT t.stock_code) items, SUM(CAST(CAST(t.quantity AS DECIMAL(18,2)) * CAST(t.price AS DECIMAL(18,2)) AS DECIMAL(18,2))) val
+        FROM fp JOIN tx t ON fp.customer_id = t.customer_id AND fp.fi = t.invoice
+        GROUP BY fp.customer_id, fp.f),
+foc AS (SELECT fod.*, CASE WHEN (SELECT MAX(invoice_ts) FROM tx t2 WHERE t2.customer_id = fod.customer_id) <= {DORMANT}
+                           THEN 'Churned' ELSE 'Active' END status
+        FROM fod WHERE f <= {DORMANT})
+SELECT status, CAST(COUNT(*) AS BIGINT) customers, {R2('CAST(SUM(items) AS DOUBLE) / COUNT(*)')} avg_first_order_items,
+       {R2('CAST(SUM(val) AS DOUBLE) / COUNT(*)')} avg_first_order_value,
+       {R2('MEDIAN(CAST(val AS DOUBLE))')} median_first_order_value
+FROM foc GROUP BY status""")
+
+register("velocity_change", f"""
+ct AS (SELECT customer_id, invoice_ts, invoice,
+              MIN(invoice_ts) OVER (PARTITION BY customer_id) f, MAX(invoice_ts) OVER (PARTITION BY customer_id) l
+       FROM tx WHERE invoice_ts <= {OBS}),
+vp AS (SELECT customer_id, f, l,
+              COUNT(DISTINCT CASE WHEN {FRAC('invoice_ts','f')} <= 90 THEN invoice END) o1,
+              COUNT(DISTINCT CASE WHEN {FRAC('invoice_ts','f')} BETWEEN 91 AND 180 THEN invoice END) o2
+       FROM ct GROUP BY customer_id, f, l HAVING {FRAC('l','f')} >= 180),
+vc AS (SELECT o1, o2, o2 - o1 chg, CASE WHEN l <= {DORMANT} THEN 'Churned' ELSE 'Active' END status FROM vp)
+SELECT status, CAST(COUNT(*) AS BIGINT) customers, {R2('CAST(SUM(o1) AS DOUBLE) / COUNT(*)')} avg_orders_first_90d,
+       {R2('CAST(SUM(o2) AS DOUBLE) / COUNT(*)')} avg_orders_next_90d,
+       {R2('CAST(SUM(chg) AS DOUBLE) / COUNT(*)')} avg_velocity_change,
+       CAST(SUM(CASE WHEN chg < 0 THEN 1 ELSE 0 END) AS BIGINT) declining_velocity_count,
+       {PCT('SUM(CASE WHEN chg < 0 THEN 1 ELSE 0 END)', 'COUNT(*)')} pct_declining
+FROM vc GROUP BY status""")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attrition.calendar import TESTDATA_CALENDAR as CAL
-from attrition.operators import churn, cohorts
+from attrition.operators import activity, behavior, churn, cohorts
 from attrition.operators.clean import clean_transactions
 from attrition.sources.retail import retail_raw
 
@@ -42,6 +42,15 @@ def _register_all() -> None:
         q[name] = _on_clean(getattr(churn, name))
     q["cohort_retention"] = _on_clean(cohorts.cohort_retention)
     q["cohort_value"] = _on_clean(cohorts.cohort_value)
+    # SQL-2.x activity decline
+    for name in ("activity_windows_churned", "revenue_windows_churned", "purchase_gaps",
+                 "recent_vs_historical_order_value", "product_diversity_shift"):
+        q[name] = _on_clean(getattr(activity, name))
+    # SQL-3.x behavioural patterns
+    for name in ("rfm_cells", "purchase_time_patterns", "basket_patterns", "seasonality_q4",
+                 "return_behavior", "first_order_quality", "velocity_change"):
+        q[name] = _on_clean(getattr(behavior, name))
+    q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
 
 
 _register_all()
