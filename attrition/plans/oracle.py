@@ -374,3 +374,96 @@ SELECT status, CAST(COUNT(*) AS BIGINT) customers, {R2('CAST(SUM(o1) AS DOUBLE)
        CAST(SUM(CASE WHEN chg < 0 THEN 1 ELSE 0 END) AS BIGINT) declining_velocity_count,
        {PCT('SUM(CASE WHEN chg < 0 THEN 1 ELSE 0 END)', 'COUNT(*)')} pct_declining
 FROM vc GROUP BY status""")
+
+# ---------------------------------------------------------------- data quality (raw table unless noted)
+RAW_COLS = ["invoice", "stock_code", "description", "quantity", "invoice_ts", "price", "customer_id", "country"]
+
+register("missing_values", "\nUNION ALL\n".join(
+    f"SELECT '{c}' column_name, CAST(COUNT(*) - COUNT({c}) AS BIGINT) missing_count, "
+    f"{PCT(f'COUNT(*) - COUNT({c})', 'COUNT(*)')} missing_pct, CAST(COUNT({c}) AS BIGINT) non_missing FROM retail_raw"
+    for c in RAW_COLS))
+
+register("missing_severity", "SELECT column_name, missing_pct, CASE WHEN missing_pct > 10 THEN 'red' "
+         "WHEN missing_pct > 1 THEN 'orange' ELSE 'green' END severity FROM (" + "\nUNION ALL\n".join(
+             f"SELECT '{c}' column_name, {PCT(f'COUNT(*) - COUNT({c})', 'COUNT(*)')} missing_pct FROM retail_raw"
+             for c in RAW_COLS) + ") m")
+
+register("cardinality", "\nUNION ALL\n".join(
+    f"SELECT '{c}' column_name, CAST(COUNT(DISTINCT {c}) AS BIGINT) unique_values, "
+    f"{PCT(f'COUNT(DISTINCT {c})', 'COUNT(*)')} cardinality_pct FROM retail_raw" for c in RAW_COLS))
+
+register("numeric_describe", "\nUNION ALL\n".join(
+    f"SELECT '{c}' column_name, CAST(COUNT({c}) AS BIGINT) count, {R6(f'AVG({c})')} mean, "
+    f"{R6(f'STDDEV_SAMP({c})')} std, MIN({c}) min, "
+    + ", ".join(f"{R6(f'quantile_cont({c}, {p})')} p{int(round(p * 100))}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+    + f", MAX({c}) max FROM retail_raw" for c in ("quantity", "price")))
+
+register("date_range", f"""
+SELECT MIN(invoice_ts) start_ts, MAX(invoice_ts) end_ts, {WHOLE('MAX(invoice_ts)', 'MIN(invoice_ts)')} span_days
+FROM retail_raw""")
+
+register("daily_volume", f"""
+d AS (SELECT CAST(invoice_ts AS DATE) AS day, CAST(COUNT(*) AS BIGINT) transactions FROM retail_raw GROUP BY 1)
+SELECT day, transactions, {R2('(SELECT CAST(SUM(transactions) AS DOUBLE) / COUNT(*) FROM d)')} avg_per_day FROM d""")
+
+register("monthly_volume", """
+SELECT CAST(date_trunc('month', invoice_ts) AS DATE) AS month, CAST(COUNT(*) AS BIGINT) transactions
+FROM retail_raw GROUP BY 1""")
+
+register("out_of_range_dates", f"""
+SELECT CAST(COUNT(CASE WHEN invoice_ts > {D(CAL.valid_to)} THEN 1 END) AS BIGINT) future_rows,
+       CAST(COUNT(CASE WHEN invoice_ts < {D(CAL.valid_from)} THEN 1 END) AS BIGINT) old_rows
+FROM retail_raw""")
+
+_INVALID = [("cancellations", "starts_with(invoice, 'C')"), ("negative_quantity", "quantity < 0"),
+            ("non_positive_price", "price <= 0"), ("missing_customer", "customer_id IS NULL")]
+register("invalid_transactions", "\nUNION ALL\n".join(
+    f"SELECT '{n}' issue, CAST(COUNT(CASE WHEN {p} THEN 1 END) AS BIGINT) \"rows\", "
+    f"{PCT(f'COUNT(CASE WHEN {p} THEN 1 END)', 'COUNT(*)')} pct_of_rows FROM retail_raw" for n, p in _INVALID))
+
+register("cancel_negative_overlap", f"""
+c AS (SELECT COUNT(CASE WHEN starts_with(invoice, 'C') AND quantity < 0 THEN 1 END) b,
+             COUNT(CASE WHEN starts_with(invoice, 'C') THEN 1 END) c,
+             COUNT(CASE WHEN quantity < 0 THEN 1 END) q FROM retail_raw)
+SELECT CAST(b AS BIGINT) both_rows, CAST(c AS BIGINT) cancellations, CAST(q AS BIGINT) negative_quantity,
+       {PCT('b', 'c')} pct_of_cancellations, {PCT('b', 'q')} pct_of_negative FROM c""")
+
+register("special_stock_codes", f"""
+sp AS (SELECT stock_code FROM retail_raw WHERE NOT regexp_full_match(stock_code, '\\d+[A-Za-z]?')),
+top AS (SELECT stock_code, CAST(COUNT(*) AS BIGINT) transactions FROM sp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
+SELECT stock_code, transactions, CAST((SELECT COUNT(*) FROM sp) AS BIGINT) total_special_rows,
+       {PCT('(SELECT COUNT(*) FROM sp)', '(SELECT COUNT(*) FROM retail_raw)')} total_special_pct FROM top""")
+
+register("cleaning_waterfall", """
+t AS (SELECT customer_id, CASE WHEN customer_id IS NULL THEN 1 WHEN starts_with(invoice, 'C') THEN 2
+                  WHEN NOT quantity > 0 THEN 3 WHEN NOT price > 0 THEN 4
+                  WHEN stock_code IN ('POST','D','M','BANK CHARGES','PADS','DOT','CRUK','C2','AMAZONFEE') THEN 5
+                  ELSE 0 END f FROM retail_raw),
+c AS (SELECT COUNT(*) n, COUNT(DISTINCT CASE WHEN f = 0 THEN customer_id END) cc,
+             COUNT(CASE WHEN f=1 THEN 1 END) f1, COUNT(CASE WHEN f=2 THEN 1 END) f2, COUNT(CASE WHEN f=3 THEN 1 END) f3,
+             COUNT(CASE WHEN f=4 THEN 1 END) f4, COUNT(CASE WHEN f=5 THEN 1 END) f5 FROM t)
+SELECT * FROM (
+  SELECT 1 step, 'has_customer' rule, CAST(n - f1 AS BIGINT) rows_after, CAST(f1 AS BIGINT) rows_removed, CAST(n AS BIGINT) rows_input, CAST(cc AS BIGINT) clean_customers FROM c
+  UNION ALL SELECT 2, 'not_cancelled', n - f1 - f2, f2, n, cc FROM c
+  UNION ALL SELECT 3, 'positive_quantity', n - f1 - f2 - f3, f3, n, cc FROM c
+  UNION ALL SELECT 4, 'positive_price', n - f1 - f2 - f3 - f4, f4, n, cc FROM c
+  UNION ALL SELECT 5, 'not_service_code', n - f1 - f2 - f3 - f4 - f5, f5, n, cc FROM c)""")
+
+register("quality_report", f"""
+d AS (SELECT COUNT(*) - COUNT(DISTINCT (invoice, stock_code, description, quantity, invoice_ts, price, customer_id, country)) dup
+      FROM tx)
+SELECT CAST(COUNT(*) AS BIGINT) transactions, CAST(COUNT(DISTINCT customer_id) AS BIGINT) customers,
+       CAST(COUNT(DISTINCT stock_code) AS BIGINT) products, CAST(COUNT(DISTINCT invoice) AS BIGINT) invoices,
+       CAST(COUNT(DISTINCT country) AS BIGINT) countries, CAST(MIN(invoice_ts) AS DATE) start_date,
+       CAST(MAX(invoice_ts) AS DATE) end_date, {WHOLE('MAX(invoice_ts)', 'MIN(invoice_ts)')} duration_days,
+       CAST(SUM((invoice IS NULL)::INT + (stock_code IS NULL)::INT + (description IS NULL)::INT + (quantity IS NULL)::INT
+                + (invoice_ts IS NULL)::INT + (price IS NULL)::INT + (customer_id IS NULL)::INT + (country IS NULL)::INT) AS BIGINT) missing_cells,
+       CAST((SELECT dup FROM d) AS BIGINT) duplicate_rows
+FROM tx""")
+
+register("sample_rows", """
+SELECT * FROM retail_raw
+ORDER BY invoice_ts, invoice, stock_code, customer_id NULLS FIRST, quantity, price, description NULLS FIRST, country
+LIMIT 10""")
+
+register("clean_transactions", "SELECT * FROM tx")

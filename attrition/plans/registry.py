@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attrition.calendar import TESTDATA_CALENDAR as CAL
-from attrition.operators import activity, behavior, churn, cohorts
+from attrition.operators import activity, behavior, churn, cohorts, quality
+from attrition.operators.clean import cleaning_waterfall
 from attrition.operators.clean import clean_transactions
 from attrition.sources.retail import retail_raw
 
@@ -50,6 +51,15 @@ def _register_all() -> None:
     for name in ("rfm_cells", "purchase_time_patterns", "basket_patterns", "seasonality_q4",
                  "return_behavior", "first_order_quality", "velocity_change"):
         q[name] = _on_clean(getattr(behavior, name))
+    # DQ-* profiles of the raw table, the report of the cleaned one
+    for name in ("missing_values", "missing_severity", "cardinality", "numeric_describe", "date_range",
+                 "daily_volume", "monthly_volume", "invalid_transactions", "cancel_negative_overlap",
+                 "special_stock_codes", "sample_rows", "schema_report"):
+        q[name] = (lambda fn: lambda spark, sf_dir: fn(raw_tx(spark, sf_dir)))(getattr(quality, name))
+    q["out_of_range_dates"] = lambda spark, sf_dir: quality.out_of_range_dates(raw_tx(spark, sf_dir), CAL)
+    q["cleaning_waterfall"] = lambda spark, sf_dir: cleaning_waterfall(raw_tx(spark, sf_dir))
+    q["clean_transactions"] = clean_tx
+    q["quality_report"] = lambda spark, sf_dir: quality.quality_report(clean_tx(spark, sf_dir))
     q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
 
 
