@@ -1,12 +1,16 @@
-"""Global ranking without a single-partition window.
-
-``ROW_NUMBER``/``NTILE`` over a global order make Spark gather every row in
-one task (``Exchange SinglePartition``).  Here the rows are range-partitioned
-on the full sort key (ties broken by a unique key, so a heavily tied value is
-split across partitions too), sorted inside each partition, numbered locally,
-and shifted by the row counts of the preceding partitions.  The offset table
-has one row per partition, so broadcasting it is bounded by the partition
-count, not by the data.
+"""Global ranking and running sums without a single-partition window.
+
+``ROW_NUMBER``/``NTILE`` or a running sum over a global order make Spark
+gather every row in one task (``Exchange SinglePartition``).  Here the rows
+are range-partitioned on the full sort key (ties broken by a unique key, so
+a heavily tied value is split across partitions too), sorted inside each
+partition and numbered locally.  That numbered table is checkpointed once:
+range boundaries come from a sample whose input order is not deterministic,
+so the per-partition counts and the row positions must be read from the
+same materialised copy (it also cuts the lineage, so a lost executor does
+not force a re-sort).  Positions are then shifted by the totals of the
+preceding partitions; that offset table has one row per partition, so its
+broadcast is bounded by the partition count, not by the data.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrition.session import checkpoint_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row index
 
 
@@ -23,23 +29,27 @@ def _sort_cols(order: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def global_rank(df: DataFrame, order: Sequence, rank_col: str = "_rank",
-                num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based dense position ``rank_col`` of each row in ``order``.
-
-    ``order`` must be a total order (end with a unique key), e.g.
-    ``[F.col('revenue').asc(), F.col('customer_id').asc()]``.  Also adds
-    ``_n`` = total row count.
-    """
+def _numbered(df: DataFrame, order: Sequence, num_partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = _sort_cols(order)
-    ordered = (df.repartitionByRange(n_parts, *cols)
-                 .sortWithinPartitions(*cols)
-                 .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = (ordered.withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
-                      .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    numbered = (df.repartitionByRange(n_parts, *cols)
+                  .sortWithinPartitions(*cols)
+                  .withColumn("_mid", F.monotonically_increasing_id()))
+    numbered = (numbered.withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS))
+                        .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    checkpoint_dir(spark)
+    return numbered.checkpoint(eager=True)
+
+
+def global_rank(df: DataFrame, order: Sequence, rank_col: str = "_rank",
+                num_partitions: int | None = None) -> DataFrame:
+    """Add the 0-based position ``rank_col`` of each row in ``order`` and the
+    total row count ``_n``.  ``order`` must be a total order (end with a
+    unique key), e.g. ``[F.col('revenue').asc(), F.col('customer_id').asc()]``.
+    """
+    numbered = _numbered(df, order, num_partitions)
+    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: prefix sums over a bounded, tiny table
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -47,7 +57,7 @@ def global_rank(df: DataFrame, order: Sequence, rank_col: str = "_rank",
         F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_offset"),
         F.sum("_cnt").over(Window.partitionBy()).alias("_n"),
     )
-    ranked = ordered.join(F.broadcast(offsets), "_pid")
+    ranked = numbered.join(F.broadcast(offsets), "_pid")
     return (ranked.withColumn(rank_col, (F.col("_offset") + F.col("_local")).cast("bigint"))
                   .drop("_mid", "_pid", "_local", "_offset"))
 
@@ -73,23 +83,13 @@ def global_ntile(df: DataFrame, order: Sequence, k: int, out_col: str,
 
 def prefix_sum(df: DataFrame, order: Sequence, value_col: str, out_col: str,
                num_partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value_col`` in ``order`` (inclusive), distributed.
-
-    Same layout as ``global_rank``: local running sums per range partition
-    plus the totals of the preceding partitions.
-    """
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = _sort_cols(order)
-    ordered = (df.repartitionByRange(n_parts, *cols)
-                 .sortWithinPartitions(*cols)
-                 .withColumn("_mid", F.monotonically_increasing_id())
-                 .withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS)))
-    wl = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    local = ordered.withColumn("_local_sum", F.sum(value_col).over(wl))
-    totals = ordered.groupBy("_pid").agg(F.sum(value_col).alias("_tot"))
+    """Inclusive running sum of ``value_col`` in ``order``, distributed."""
+    numbered = _numbered(df, order, num_partitions)
+    wl = Window.partitionBy("_pid").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
+    local = numbered.withColumn("_local_sum", F.sum(value_col).over(wl))
+    totals = numbered.groupBy("_pid").agg(F.sum(value_col).alias("_tot"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_off"))
     return (local.join(F.broadcast(offsets), "_pid")
                  .withColumn(out_col, F.col("_off") + F.col("_local_sum"))
-                 .drop("_mid", "_pid", "_local_sum", "_off"))
+                 .drop("_mid", "_pid", "_local", "_local_sum", "_off"))

@@ -467,3 +467,154 @@ ORDER BY invoice_ts, invoice, stock_code, customer_id NULLS FIRST, quantity, pri
 LIMIT 10""")
 
 register("clean_transactions", "SELECT * FROM tx")
+
+# ---------------------------------------------------------------- exploratory analyses
+ES = f"""
+cs AS (SELECT customer_id, MIN(invoice_ts) fp, MAX(invoice_ts) lp, COUNT(DISTINCT invoice) total_orders,
+              CAST(SUM({LV}) AS DOUBLE) total_revenue, SUM(quantity) total_items,
+              {WHOLE('MAX(invoice_ts)', 'MIN(invoice_ts)')} tenure_days
+       FROM tx GROUP BY customer_id),
+es AS (SELECT *, CASE WHEN lp <= {ELIG} THEN 1 ELSE 0 END is_churned,
+              CASE WHEN lp <= {ELIG} THEN 'Churned' ELSE 'Active' END status,
+              total_revenue / total_orders avg_order_value,
+              total_orders / (greatest(tenure_days, 1) / 30.0::DOUBLE) orders_per_month
+       FROM cs WHERE fp <= {ELIG})"""
+
+register("customer_summary", f"""
+SELECT customer_id, MIN(invoice_ts) first_purchase, MAX(invoice_ts) last_purchase,
+       CAST(COUNT(DISTINCT invoice) AS BIGINT) total_orders, CAST(SUM({LV}) AS DOUBLE) total_revenue,
+       SUM(quantity) total_items, {WHOLE('MAX(invoice_ts)', 'MIN(invoice_ts)')} tenure_days
+FROM tx GROUP BY customer_id""")
+
+register("churn_flag_last_purchase", f"""{ES}
+SELECT CAST(COUNT(*) AS BIGINT) total_customers, CAST(SUM(is_churned) AS BIGINT) churned_customers,
+       CAST(COUNT(*) - SUM(is_churned) AS BIGINT) active_customers, {PCT('SUM(is_churned)', 'COUNT(*)')} churn_rate_pct
+FROM es""")
+
+register("churn_by_order_bucket", f"""{ES},
+dim AS (SELECT * FROM (VALUES ('1 order', 1), ('2-3 orders', 2), ('4-5 orders', 3), ('6-10 orders', 4), ('10+ orders', 5)) d(order_bucket, o)),
+g AS (SELECT CASE WHEN total_orders <= 1 THEN '1 order' WHEN total_orders <= 3 THEN '2-3 orders'
+                  WHEN total_orders <= 5 THEN '4-5 orders' WHEN total_orders <= 10 THEN '6-10 orders'
+                  ELSE '10+ orders' END order_bucket, COUNT(*) customers, SUM(is_churned) churned
+      FROM es GROUP BY 1)
+SELECT dim.order_bucket, CAST(COALESCE(customers, 0) AS BIGINT) customers, CAST(COALESCE(churned, 0) AS BIGINT) churned,
+       {PCT('churned', 'customers')} churn_rate_pct
+FROM dim LEFT JOIN g ON dim.order_bucket = g.order_bucket""")
+
+register("activity_windows", f"""{ES},
+l AS (SELECT t.customer_id, t.invoice, {LV.replace('quantity', 't.quantity').replace('price', 't.price')} lv, es.status,
+             CASE WHEN {WHOLE('es.lp', 't.invoice_ts')} <= 30 THEN 'Last 30 days'
+                  WHEN {WHOLE('es.lp', 't.invoice_ts')} <= 60 THEN '31-60 days before'
+                  WHEN {WHOLE('es.lp', 't.invoice_ts')} <= 90 THEN '61-90 days before'
+                  ELSE '90+ days before' END time_window
+      FROM tx t JOIN es ON t.customer_id = es.customer_id)
+SELECT status customer_type, time_window, CAST(COUNT(DISTINCT customer_id) AS BIGINT) unique_customers,
+       CAST(COUNT(DISTINCT invoice) AS BIGINT) total_orders, {R2('CAST(SUM(lv) AS DOUBLE)')} total_revenue,
+       {R2('CAST(COUNT(DISTINCT invoice) AS DOUBLE) / COUNT(DISTINCT customer_id)')} orders_per_customer,
+       {R2('CAST(SUM(lv) AS DOUBLE) / COUNT(DISTINCT customer_id)')} revenue_per_customer
+FROM l GROUP BY 1, 2""")
+
+register("status_comparison", f"""{ES}
+SELECT status, CAST(COUNT(*) AS BIGINT) customers, {R2('CAST(SUM(total_orders) AS DOUBLE) / COUNT(*)')} avg_orders,
+       {R2('MEDIAN(CAST(total_orders AS DOUBLE))')} median_orders, {R2('SUM(total_revenue) / COUNT(*)')} avg_revenue,
+       {R2('AVG(avg_order_value)')} avg_order_value, {R2('CAST(SUM(tenure_days) AS DOUBLE) / COUNT(*)')} avg_tenure_days,
+       {R2('AVG(orders_per_month)')} avg_orders_per_month
+FROM es GROUP BY status""")
+
+
+def _hist_sql(expr: str, bins: int, group: str, where: str = "TRUE") -> str:
+    return f"""{ES},
+v AS (SELECT {group} grp, CAST({expr} AS DOUBLE) x FROM es WHERE {where} AND {expr} IS NOT NULL),
+e AS (SELECT grp, MIN(x) mn, MAX(x) mx, COUNT(*) n FROM v GROUP BY grp),
+e2 AS (SELECT grp, n, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END hi FROM e),
+c AS (SELECT v.grp, least(CAST(floor((x - lo) * ({float(bins)}::DOUBLE / (hi - lo))) AS INTEGER), {bins - 1}) bin, COUNT(*) cnt
+      FROM v JOIN e2 ON v.grp = e2.grp GROUP BY 1, 2),
+grid AS (SELECT grp, n, lo, hi, CAST(b AS INTEGER) bin FROM e2, range(0, {bins}) r(b))
+SELECT grid.grp "group", grid.bin, {R6(f'lo + grid.bin * ((hi - lo) / {float(bins)}::DOUBLE)')} bin_start,
+       {R6(f'lo + (grid.bin + 1) * ((hi - lo) / {float(bins)}::DOUBLE)')} bin_end,
+       CAST(COALESCE(cnt, 0) AS BIGINT) count,
+       {R6(f'COALESCE(cnt, 0) / (n * ((hi - lo) / {float(bins)}::DOUBLE))')} density
+FROM grid LEFT JOIN c ON grid.grp = c.grp AND grid.bin = c.bin"""
+
+
+for _suffix, _metric, _upper, _bins in (("orders", "total_orders", 20, 20), ("revenue", "total_revenue", 2000, 30),
+                                         ("order_value", "avg_order_value", 500, 30), ("tenure", "tenure_days", None, 30)):
+    _expr = f"least(CAST({_metric} AS DOUBLE), {float(_upper)}::DOUBLE)" if _upper is not None else _metric
+    register(f"histogram_{_suffix}", _hist_sql(_expr, _bins, "status"))
+register("histogram_churned_lifetime", _hist_sql("tenure_days", 50, "'all'", "is_churned = 1"))
+
+_MW = ["total_orders", "total_revenue", "avg_order_value", "tenure_days"]
+register("mann_whitney_u", f"""{ES},
+lg AS ({' UNION ALL '.join(f"SELECT '{m}' metric, is_churned, CAST({m} AS DOUBLE) value FROM es WHERE {m} IS NOT NULL" for m in _MW)}),
+rk AS (SELECT metric, is_churned, value,
+              RANK() OVER (PARTITION BY metric ORDER BY value) + (COUNT(*) OVER (PARTITION BY metric, value) - 1) / 2.0::DOUBLE midrank
+       FROM lg),
+ti AS (SELECT metric, SUM(POWER(t, 3) - t) ties FROM (SELECT metric, value, COUNT(*) t FROM lg GROUP BY 1, 2) GROUP BY 1),
+st AS (SELECT metric, SUM(CASE WHEN is_churned = 1 THEN midrank ELSE 0 END) r1,
+              CAST(SUM(is_churned) AS DOUBLE) n1, CAST(COUNT(*) AS DOUBLE) n,
+              AVG(CASE WHEN is_churned = 1 THEN value END) cm, AVG(CASE WHEN is_churned = 0 THEN value END) am
+       FROM rk GROUP BY metric),
+u AS (SELECT st.*, ti.ties, r1 - n1 * (n1 + 1) / 2.0 u1, n - n1 n2 FROM st JOIN ti USING (metric))
+SELECT metric, CAST(n1 AS BIGINT) n_churned, CAST(n2 AS BIGINT) n_active, {R6('cm')} churned_mean, {R6('am')} active_mean,
+       {R6('u1')} u_statistic,
+       {R6('(greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1))))')} z_score
+FROM u""")
+
+register("time_to_churn", f"""{ES},
+c AS (SELECT tenure_days, {WHOLE(ELIG, 'lp')} inact FROM es WHERE is_churned = 1)
+SELECT CAST(COUNT(*) AS BIGINT) churned_customers, {R2('CAST(SUM(tenure_days) AS DOUBLE) / COUNT(*)')} mean_lifetime_days,
+       {R2('MEDIAN(CAST(tenure_days AS DOUBLE))')} median_lifetime_days, {R2('STDDEV_SAMP(CAST(tenure_days AS DOUBLE))')} std_lifetime_days,
+       {R2('CAST(SUM(inact) AS DOUBLE) / COUNT(*)')} mean_inactive_days, {R2('MEDIAN(CAST(inact AS DOUBLE))')} median_inactive_days,
+       {PCT('COUNT(CASE WHEN tenure_days <= 30 THEN 1 END)', 'COUNT(*)')} pct_within_30_days
+FROM c""")
+
+register("lifetime_buckets_cut", f"""{ES},
+c AS (SELECT tenure_days FROM es WHERE is_churned = 1),
+dim AS (SELECT * FROM (VALUES ('0-7d', 1), ('8-30d', 2), ('31-60d', 3), ('61-90d', 4), ('91-180d', 5), ('181-365d', 6), ('365d+', 7)) d(lifetime_bucket, o)),
+g AS (SELECT CASE WHEN tenure_days <= 7 THEN '0-7d' WHEN tenure_days <= 30 THEN '8-30d' WHEN tenure_days <= 60 THEN '31-60d'
+                  WHEN tenure_days <= 90 THEN '61-90d' WHEN tenure_days <= 180 THEN '91-180d' WHEN tenure_days <= 365 THEN '181-365d'
+                  ELSE '365d+' END lifetime_bucket, COUNT(*) customers
+      FROM c WHERE tenure_days > 0 GROUP BY 1)
+SELECT dim.lifetime_bucket, CAST(COALESCE(customers, 0) AS BIGINT) customers,
+       {PCT('COALESCE(customers, 0)', '(SELECT COUNT(*) FROM c)')} pct_of_churned
+FROM dim LEFT JOIN g ON dim.lifetime_bucket = g.lifetime_bucket""")
+
+OBSF = f"""
+of0 AS (SELECT customer_id, MAX(invoice_ts) last_purchase, MIN(invoice_ts) first_purchase,
+               COUNT(DISTINCT invoice) total_orders, COUNT(invoice) total_transactions,
+               COUNT(DISTINCT stock_code) unique_products, SUM(quantity) total_quantity,
+               SUM(quantity) / COUNT(quantity) avg_quantity, CAST(SUM({LV}) AS DOUBLE) total_revenue
+        FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id),
+of1 AS (SELECT *, total_transactions / total_orders avg_items_per_transaction,
+               {WHOLE(OBS, 'last_purchase')} recency_days, {WHOLE('last_purchase', 'first_purchase')} tenure_days,
+               total_revenue / total_orders avg_order_value
+        FROM of0),
+obsf AS (SELECT *, total_orders / (greatest(tenure_days, 1) / 30.0::DOUBLE) orders_per_month,
+                CAST(recency_days > 60 AS INTEGER) is_churned
+         FROM of1 WHERE first_purchase <= {ELIG})"""
+
+register("observation_features", f"""{OBSF}
+SELECT customer_id, last_purchase, first_purchase, CAST(total_orders AS BIGINT) total_orders,
+       CAST(total_transactions AS BIGINT) total_transactions, CAST(unique_products AS BIGINT) unique_products,
+       total_quantity, avg_quantity, total_revenue, avg_items_per_transaction, recency_days, tenure_days,
+       avg_order_value, orders_per_month, is_churned
+FROM obsf""")
+
+_OF = ["recency_days", "tenure_days", "total_orders", "total_transactions", "unique_products", "total_quantity",
+       "total_revenue", "avg_order_value", "orders_per_month", "avg_items_per_transaction"]
+register("target_correlation", f"""{OBSF}
+{' UNION ALL '.join(f"SELECT '{c}' feature, {R6(f'corr(CAST({c} AS DOUBLE), CAST(is_churned AS DOUBLE))')} correlation FROM obsf" for c in _OF)}""")
+
+_OFC = _OF + ["is_churned"]
+register("correlation_matrix", f"""{OBSF}
+{' UNION ALL '.join(f"SELECT '{_OFC[i]}' feature_a, '{_OFC[j]}' feature_b, {R6(f'corr(CAST({_OFC[i]} AS DOUBLE), CAST({_OFC[j]} AS DOUBLE))')} correlation FROM obsf" for i in range(len(_OFC)) for j in range(i))}""")
+
+register("eda_summary", f"""{ES},
+b AS (SELECT CASE WHEN total_orders <= 1 THEN 'one' WHEN total_orders > 10 THEN 'ten' ELSE 'mid' END k,
+             COUNT(*) n, SUM(is_churned) c FROM es GROUP BY 1)
+SELECT {PCT('SUM(is_churned)', 'COUNT(*)')} churn_rate_pct,
+       (SELECT {PCT('c', 'n')} FROM b WHERE k = 'one') one_time_churn_rate_pct,
+       (SELECT {PCT('c', 'n')} FROM b WHERE k = 'ten') ten_plus_churn_rate_pct,
+       {R2('MEDIAN(CASE WHEN is_churned = 1 THEN CAST(tenure_days AS DOUBLE) END)')} median_churned_lifetime_days,
+       {PCT('COUNT(CASE WHEN is_churned = 1 AND tenure_days <= 30 THEN 1 END)', 'SUM(is_churned)')} pct_churned_within_30_days
+FROM es""")

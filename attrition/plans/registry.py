@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attrition.calendar import TESTDATA_CALENDAR as CAL
-from attrition.operators import activity, behavior, churn, cohorts, quality
+from attrition.operators import activity, behavior, churn, cohorts, eda, quality
 from attrition.operators.clean import cleaning_waterfall
 from attrition.operators.clean import clean_transactions
 from attrition.sources.retail import retail_raw
@@ -60,6 +60,15 @@ def _register_all() -> None:
     q["cleaning_waterfall"] = lambda spark, sf_dir: cleaning_waterfall(raw_tx(spark, sf_dir))
     q["clean_transactions"] = clean_tx
     q["quality_report"] = lambda spark, sf_dir: quality.quality_report(clean_tx(spark, sf_dir))
+    # EDA-* churned vs active
+    for name in ("customer_summary", "churn_flag_last_purchase", "churn_by_order_bucket", "activity_windows",
+                 "status_comparison", "mann_whitney_u", "time_to_churn", "lifetime_buckets_cut",
+                 "observation_features", "target_correlation", "correlation_matrix", "eda_summary"):
+        q[name] = _on_clean(getattr(eda, name))
+    q["mann_whitney_p_values"] = _on_clean(eda.mann_whitney_p_values)
+    for suffix, metric, upper, bins in eda.STATUS_HISTOGRAMS:
+        q[f"histogram_{suffix}"] = _on_clean(eda.status_histogram, metric=metric, upper=upper, bins=bins)
+    q["histogram_churned_lifetime"] = _on_clean(eda.churned_lifetime_histogram)
     q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
 
 
