@@ -618,3 +618,138 @@ SELECT {PCT('SUM(is_churned)', 'COUNT(*)')} churn_rate_pct,
        {R2('MEDIAN(CASE WHEN is_churned = 1 THEN CAST(tenure_days AS DOUBLE) END)')} median_churned_lifetime_days,
        {PCT('COUNT(CASE WHEN is_churned = 1 AND tenure_days <= 30 THEN 1 END)', 'SUM(is_churned)')} pct_churned_within_30_days
 FROM es""")
+
+# ---------------------------------------------------------------- features (lines up to obs)
+FE_CTES = f"""
+h AS (SELECT * FROM tx WHERE invoice_ts <= {OBS}),
+sp AS (SELECT customer_id, MIN(invoice_ts) f, MAX(invoice_ts) l FROM h GROUP BY 1),
+fr AS (SELECT customer_id, {WHOLE(OBS, 'l')} recency_days, {WHOLE(OBS, 'f')} tenure_days,
+              {WHOLE('l', 'f')} active_period_days,
+              {WHOLE(OBS, 'l')} / greatest({WHOLE(OBS, 'f')}, 1) recency_ratio,
+              CAST({WHOLE(OBS, 'l')} <= 30 AS INTEGER) is_recent_30d
+       FROM sp),
+dd AS (SELECT DISTINCT customer_id, CAST(invoice_ts AS DATE) d FROM h),
+dg AS (SELECT customer_id, CAST(d - LAG(d) OVER (PARTITION BY customer_id ORDER BY d) AS DOUBLE) gap FROM dd),
+ds AS (SELECT customer_id, COUNT(*) active_days, STDDEV_SAMP(gap) istd FROM dg GROUP BY 1),
+ff AS (SELECT c.customer_id, CAST(COUNT(DISTINCT invoice) AS BIGINT) total_orders, CAST(COUNT(invoice) AS BIGINT) total_transactions,
+              CAST(ANY_VALUE(ds.active_days) AS BIGINT) active_days,
+              COUNT(DISTINCT invoice) / greatest({WHOLE(OBS, 'MIN(invoice_ts)')} / 30.0::DOUBLE, 0.5::DOUBLE) orders_per_month,
+              {WHOLE('MAX(invoice_ts)', 'MIN(invoice_ts)')} / greatest(COUNT(DISTINCT invoice) - 1, 1) avg_days_between_orders,
+              COALESCE({R6('ANY_VALUE(ds.istd)')}, 0.0) purchase_interval_std,
+              CAST(COUNT(DISTINCT invoice) = 1 AS INTEGER) is_single_order
+       FROM h c JOIN ds ON c.customer_id = ds.customer_id GROUP BY c.customer_id),
+ov AS (SELECT customer_id, invoice, SUM({LV}) v, SUM(quantity) q, COUNT(DISTINCT stock_code) items FROM h GROUP BY 1, 2),
+fm0 AS (SELECT customer_id, SUM(v) rev, COUNT(*) n, MAX(v) mx, MIN(v) mn, STDDEV_SAMP(CAST(v AS DOUBLE)) sd,
+               SUM(q) total_quantity, SUM(items) it FROM ov GROUP BY 1),
+fm AS (SELECT fm0.customer_id, CAST(rev AS DOUBLE) total_revenue, CAST(rev AS DOUBLE) / n avg_order_value,
+              CAST(mx AS DOUBLE) max_order_value, CAST(mn AS DOUBLE) min_order_value,
+              COALESCE({R6('sd')}, 0.0) order_value_std, total_quantity, it / n avg_items_per_order,
+              CAST(rev AS DOUBLE) / ds.active_days revenue_per_active_day,
+              COALESCE({R6('sd / greatest(CAST(rev AS DOUBLE) / n, 0.01::DOUBLE)')}, 0.0) order_value_cv
+       FROM fm0 JOIN ds ON fm0.customer_id = ds.customer_id),
+bk AS (SELECT h.customer_id, invoice, invoice_ts, SUM({LV}) v, SUM(quantity) q,
+              ANY_VALUE(sp.f) f, ANY_VALUE(sp.l) l
+       FROM h JOIN sp ON h.customer_id = sp.customer_id GROUP BY 1, 2, 3),
+bk2 AS (SELECT *, 2 * (epoch_us(invoice_ts) - epoch_us(f)) <= epoch_us(l) - epoch_us(f) e,
+               invoice_ts > {RECENT} l30, invoice_ts > {ELIG} AND NOT invoice_ts > {RECENT} p30 FROM bk),
+iv AS (SELECT customer_id, invoice, MAX(CAST(e AS INTEGER)) ie, MAX(CAST(NOT e AS INTEGER)) ir,
+              SUM(CASE WHEN e THEN v ELSE 0 END) re, SUM(CASE WHEN NOT e THEN v ELSE 0 END) rr,
+              SUM(CASE WHEN e THEN q ELSE 0.0 END) qe, SUM(CASE WHEN NOT e THEN q ELSE 0.0 END) qr,
+              MAX(CAST(l30 AS INTEGER)) il, MAX(CAST(p30 AS INTEGER)) ip,
+              SUM(CASE WHEN l30 THEN v ELSE 0 END) rl, SUM(CASE WHEN p30 THEN v ELSE 0 END) rp
+       FROM bk2 GROUP BY 1, 2),
+tc AS (SELECT customer_id, SUM(ie) ie, SUM(ir) ir, SUM(re) re, SUM(rr) rr, SUM(qe) qe, SUM(qr) qr,
+              SUM(il) il, SUM(ip) ip, SUM(rl) rl, SUM(rp) rp FROM iv GROUP BY 1),
+ft AS (SELECT customer_id, (ir - ie) / greatest(ie, 1) order_trend,
+              CAST(rr - re AS DOUBLE) / greatest(CAST(re AS DOUBLE), 1.0::DOUBLE) revenue_trend,
+              (qr - qe) / greatest(qe, 1.0::DOUBLE) quantity_trend,
+              CAST((ir - ie) / greatest(ie, 1) < 0 OR CAST(rr - re AS DOUBLE) / greatest(CAST(re AS DOUBLE), 1.0::DOUBLE) < 0 AS INTEGER) is_declining,
+              CAST(il AS BIGINT) orders_last30, CAST(rl AS DOUBLE) revenue_last30,
+              CAST(il - ip AS BIGINT) recent_order_momentum, CAST(rl - rp AS DOUBLE) recent_revenue_momentum
+       FROM tc),
+pc AS (SELECT customer_id, stock_code, COUNT(*) n FROM h GROUP BY 1, 2),
+pcs AS (SELECT customer_id, COUNT(*) up, MAX(n) mx, SUM(n) sm FROM pc GROUP BY 1),
+oi AS (SELECT customer_id, SUM(items) / COUNT(*) apo FROM ov GROUP BY 1),
+fe AS (SELECT h.customer_id, CAST(ANY_VALUE(pcs.up) AS BIGINT) unique_products,
+              CAST(COUNT(DISTINCT description) AS BIGINT) unique_descriptions, CAST(COUNT(invoice) AS BIGINT) total_line_items,
+              ANY_VALUE(oi.apo) avg_products_per_order, ANY_VALUE(pcs.mx) / ANY_VALUE(pcs.sm) product_concentration,
+              COALESCE(CAST(FIRST(country ORDER BY invoice_ts, invoice) FILTER (WHERE country IS NOT NULL) = '{CAL.home_country}' AS INTEGER), 0) is_uk
+       FROM h JOIN pcs ON h.customer_id = pcs.customer_id JOIN oi ON h.customer_id = oi.customer_id
+       GROUP BY h.customer_id)"""
+
+FEATURE_LIST = ["recency_days", "tenure_days", "active_period_days", "recency_ratio", "is_recent_30d",
+                "total_orders", "total_transactions", "active_days", "orders_per_month", "avg_days_between_orders",
+                "purchase_interval_std", "is_single_order",
+                "total_revenue", "avg_order_value", "max_order_value", "min_order_value", "order_value_std",
+                "total_quantity", "avg_items_per_order", "revenue_per_active_day", "order_value_cv",
+                "order_trend", "revenue_trend", "quantity_trend", "is_declining", "orders_last30", "revenue_last30",
+                "recent_order_momentum", "recent_revenue_momentum",
+                "unique_products", "unique_descriptions", "total_line_items", "avg_products_per_order",
+                "product_concentration", "is_uk"]
+
+for _g, _cte in (("recency", "fr"), ("frequency", "ff"), ("monetary", "fm"), ("trend", "ft"), ("engagement", "fe")):
+    register(f"features_{_g}", f"{FE_CTES}\nSELECT * FROM {_cte}")
+
+FM_SELECT = ", ".join(f"COALESCE({c}, 0) {c}" for c in FEATURE_LIST)
+FM_CTE = f"""{FE_CTES},
+fmx AS (SELECT fr.customer_id, {FM_SELECT}
+        FROM fr LEFT JOIN ff USING (customer_id) LEFT JOIN fm USING (customer_id)
+                LEFT JOIN ft USING (customer_id) LEFT JOIN fe USING (customer_id))"""
+register("feature_matrix", f"{FM_CTE}\nSELECT * FROM fmx")
+
+# ---------------------------------------------------------------- labels and split
+LAB_CTE = f"""
+lab AS (SELECT customer_id,
+               CAST(1 - MAX(CAST(invoice_ts > {OBS} AND invoice_ts <= {PRED_END} AS INTEGER)) AS INTEGER) is_churned
+        FROM tx GROUP BY customer_id HAVING MIN(invoice_ts) <= {ELIG})"""
+
+register("future_active_customers", f"SELECT DISTINCT customer_id FROM tx WHERE invoice_ts > {OBS} AND invoice_ts <= {PRED_END}")
+register("eligible_customers", f"SELECT customer_id FROM tx GROUP BY customer_id HAVING MIN(invoice_ts) <= {ELIG}")
+register("churn_labels", f"{LAB_CTE}\nSELECT * FROM lab")
+
+SNAPSHOTS = [CAL.observation - dt.timedelta(days=60), CAL.observation - dt.timedelta(days=30), CAL.observation]
+register("is_churned_at", f"""
+sn AS (SELECT CAST(d AS DATE) obs_date, CAST(d AS TIMESTAMP) o FROM (VALUES {', '.join(f"('{d.isoformat()}')" for d in SNAPSHOTS)}) v(d)),
+fp AS (SELECT customer_id, MIN(invoice_ts) f FROM tx GROUP BY 1),
+el AS (SELECT fp.customer_id, sn.obs_date FROM fp JOIN sn ON fp.f <= sn.o - INTERVAL 60 DAY),
+ac AS (SELECT DISTINCT tx.customer_id, sn.obs_date FROM tx JOIN sn ON tx.invoice_ts > sn.o AND tx.invoice_ts <= sn.o + INTERVAL 60 DAY)
+SELECT el.obs_date, el.customer_id, CASE WHEN ac.customer_id IS NULL THEN 1 ELSE 0 END is_churned
+FROM el LEFT JOIN ac ON el.customer_id = ac.customer_id AND el.obs_date = ac.obs_date""")
+
+register("label_distribution", f"""{LAB_CTE},
+r AS (SELECT COUNT(*) t, SUM(is_churned) c FROM lab)
+SELECT CAST(t AS BIGINT) total_customers, CAST(c AS BIGINT) churned, CAST(t - c AS BIGINT) active,
+       {PCT('c', 't')} churned_pct, {PCT('t - c', 't')} active_pct,
+       {R2('CAST(t - c AS DOUBLE) / NULLIF(CAST(c AS DOUBLE), 0)')} imbalance_ratio,
+       COALESCE(CAST(t - c AS DOUBLE) / NULLIF(CAST(c AS DOUBLE), 0) > 3.0, TRUE) needs_rebalancing
+FROM r""")
+
+register("leakage_checks", f"""
+h AS (SELECT * FROM tx WHERE invoice_ts <= {OBS}),
+fu AS (SELECT * FROM tx WHERE invoice_ts > {OBS} AND invoice_ts <= {PRED_END})
+SELECT * FROM (VALUES
+  (1, 'Features use only pre-observation data', COALESCE((SELECT MAX(invoice_ts) FROM h) <= {OBS}, TRUE)),
+  (2, 'Labels use only post-observation data', COALESCE((SELECT MIN(invoice_ts) FROM fu) > {OBS}, FALSE)),
+  (3, 'No future timestamps in feature data', (SELECT COUNT(*) FROM h WHERE invoice_ts > {OBS}) = 0),
+  (4, 'Observation date before label period', {OBS} < {PRED_END}),
+  (5, 'Features dont contain target variable', TRUE)) v(check_id, check_name, passed)""")
+
+MR_CTE = f"""{FM_CTE},{LAB_CTE},
+mr AS (SELECT fmx.*, lab.is_churned FROM fmx JOIN lab USING (customer_id))"""
+register("model_ready", f"{MR_CTE}\nSELECT * FROM mr")
+
+SPLIT_CTE = f"""{MR_CTE},
+hs AS (SELECT *, (((((customer_id % 4294967296) // 65536) * 2654435761) % 65536) * 65536
+                  + ((customer_id % 4294967296) % 65536) * 2654435761) % 4294967296 hh FROM mr),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY is_churned ORDER BY hh, customer_id) - 1 pos,
+              COUNT(*) OVER (PARTITION BY is_churned) nc FROM hs),
+sp2 AS (SELECT * EXCLUDE (hh, pos, nc),
+               CASE WHEN pos < floor(nc * 0.2::DOUBLE + 0.5) THEN 'test'
+                    WHEN pos < floor(nc * 0.2::DOUBLE + 0.5) + floor((nc - floor(nc * 0.2::DOUBLE + 0.5)) * 0.2::DOUBLE + 0.5) THEN 'validation'
+                    ELSE 'train' END split
+        FROM rk)"""
+register("stratified_split", f"{SPLIT_CTE}\nSELECT * FROM sp2")
+register("split_report", f"""{SPLIT_CTE}
+SELECT split, CAST(COUNT(*) AS BIGINT) customers, {PCT('COUNT(*)', '(SELECT COUNT(*) FROM sp2)')} pct_of_customers,
+       {PCT('SUM(is_churned)', 'COUNT(*)')} churn_rate_pct
+FROM sp2 GROUP BY split""")

@@ -6,12 +6,13 @@ operator, or directly) so its work grows with the data.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from attrition.calendar import TESTDATA_CALENDAR as CAL
-from attrition.operators import activity, behavior, churn, cohorts, eda, quality
+from attrition.operators import activity, behavior, churn, cohorts, eda, features, labels, quality
 from attrition.operators.clean import cleaning_waterfall
 from attrition.operators.clean import clean_transactions
 from attrition.sources.retail import retail_raw
@@ -33,6 +34,9 @@ def _on_clean(fn, **kw) -> QueryFn:
 
 QUERIES: dict[str, QueryFn] = {}
 
+# Observation dates of the multi-snapshot label query.
+SNAPSHOTS = [CAL.observation - dt.timedelta(days=60), CAL.observation - dt.timedelta(days=30), CAL.observation]
+
 
 def _register_all() -> None:
     q = QUERIES
@@ -69,6 +73,17 @@ def _register_all() -> None:
     for suffix, metric, upper, bins in eda.STATUS_HISTOGRAMS:
         q[f"histogram_{suffix}"] = _on_clean(eda.status_histogram, metric=metric, upper=upper, bins=bins)
     q["histogram_churned_lifetime"] = _on_clean(eda.churned_lifetime_histogram)
+    # FE-* feature groups and matrix
+    for g in features.GROUP_FUNCS:
+        q[f"features_{g}"] = _on_clean(features.GROUP_FUNCS[g])
+    q["feature_matrix"] = _on_clean(features.feature_matrix)
+    q["feature_summary"] = _on_clean(features.feature_summary)
+    # LB-* labels, leakage checks, model-ready table and split
+    for name in ("future_active_customers", "eligible_customers", "churn_labels", "label_distribution",
+                 "leakage_checks", "model_ready", "split_report"):
+        q[name] = _on_clean(getattr(labels, name))
+    q["stratified_split"] = _on_clean(labels.model_ready_split)
+    q["is_churned_at"] = lambda spark, sf_dir: labels.is_churned_at(clean_tx(spark, sf_dir), SNAPSHOTS)
     q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
 
 
