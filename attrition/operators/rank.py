@@ -93,3 +93,32 @@ def prefix_sum(df: DataFrame, order: Sequence, value_col: str, out_col: str,
     return (local.join(F.broadcast(offsets), "_pid")
                  .withColumn(out_col, F.col("_off") + F.col("_local_sum"))
                  .drop("_mid", "_pid", "_local", "_local_sum", "_off"))
+
+
+def grouped_running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence, value_cols: Sequence[str],
+                         suffix: str = "_cum", num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of several columns in ``order`` within each group.
+
+    One distributed pass over the global order (groups first), then each
+    group's starting totals are subtracted.  The start table has one row per
+    group (models, metrics: a handful), so it is broadcast.
+    """
+    numbered = _numbered(df, [*[F.col(g).asc() for g in group_cols], *order], num_partitions)
+    wl = Window.partitionBy("_pid").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
+    local = numbered.select("*", *[F.sum(v).over(wl).alias(f"_l_{v}") for v in value_cols])
+    totals = numbered.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}")
+                                      for v in value_cols])
+    g = local.join(F.broadcast(offsets), "_pid").select(
+        "*", *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{v}{suffix}") for v in value_cols])
+    if group_cols:
+        starts = g.groupBy(*group_cols).agg(
+            *[F.min(F.col(f"{v}{suffix}") - F.col(v)).alias(f"_s_{v}") for v in value_cols])
+        out = g.join(F.broadcast(starts), list(group_cols))
+        for v in value_cols:
+            out = out.withColumn(f"{v}{suffix}", F.col(f"{v}{suffix}") - F.col(f"_s_{v}"))
+    else:
+        out = g  # a single group starts at 0
+    drop = ["_mid", "_pid", "_local"] + [f"_{p}_{v}" for v in value_cols for p in ("l", "o", "s")]
+    return out.drop(*drop)

@@ -753,3 +753,162 @@ register("split_report", f"""{SPLIT_CTE}
 SELECT split, CAST(COUNT(*) AS BIGINT) customers, {PCT('COUNT(*)', '(SELECT COUNT(*) FROM sp2)')} pct_of_customers,
        {PCT('SUM(is_churned)', 'COUNT(*)')} churn_rate_pct
 FROM sp2 GROUP BY split""")
+
+# ---------------------------------------------------------------- evaluation on the deterministic heuristic score
+SC_CTE = f"""
+sh AS (SELECT customer_id, MAX(invoice_ts) l FROM tx WHERE invoice_ts <= {OBS} GROUP BY 1),
+scr AS (SELECT customer_id, {WHOLE(OBS, 'l')} recency_days FROM sh),
+{LAB_CTE.strip()},
+sc AS (SELECT 'recency_heuristic' model, scr.customer_id,
+              recency_days / (recency_days + 60.0::DOUBLE) churn_probability, lab.is_churned actual
+       FROM scr JOIN lab USING (customer_id))"""
+
+
+def _conf(t: str) -> str:
+    return (f"CAST(COUNT(*) FILTER (WHERE actual = 0 AND NOT churn_probability >= {t}) AS BIGINT) tn, "
+            f"CAST(COUNT(*) FILTER (WHERE actual = 0 AND churn_probability >= {t}) AS BIGINT) fp, "
+            f"CAST(COUNT(*) FILTER (WHERE actual = 1 AND NOT churn_probability >= {t}) AS BIGINT) fn, "
+            f"CAST(COUNT(*) FILTER (WHERE actual = 1 AND churn_probability >= {t}) AS BIGINT) tp")
+
+
+def DIV0(a: str, b: str) -> str:
+    return f"COALESCE(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+CURVE_CTE = f"""{SC_CTE},
+pv AS (SELECT model, churn_probability p, CAST(SUM(actual) AS BIGINT) pos, CAST(COUNT(*) - SUM(actual) AS BIGINT) neg
+       FROM sc GROUP BY 1, 2),
+cu AS (SELECT *, SUM(pos) OVER (PARTITION BY model ORDER BY p DESC) pc, SUM(neg) OVER (PARTITION BY model ORDER BY p DESC) nc
+       FROM pv)"""
+
+EVAL_CTE = f"""{CURVE_CTE},
+cm AS (SELECT model, {_conf('0.5::DOUBLE')} FROM sc GROUP BY model),
+rs AS (SELECT model, SUM(pos) n1, SUM(neg) n0, SUM(pos * nc) s1, SUM(pos * neg) s2,
+              SUM(CAST(pos * pc AS DOUBLE) / (pc + nc)) s3 FROM cu GROUP BY model),
+ev0 AS (SELECT cm.*, rs.n1, rs.n0, rs.s1, rs.s2, rs.s3, tn + fp + fn + tp n,
+               {DIV0('tp', 'tp + fp')} pr, {DIV0('tp', 'tp + fn')} rc FROM cm JOIN rs USING (model)),
+ev AS (SELECT model, CAST(n AS BIGINT) n, {R6(DIV0('tp + tn', 'n'))} accuracy, {R6('pr')} "precision", {R6('rc')} recall,
+              {R6(DIV0('2 * pr * rc', 'pr + rc'))} f1,
+              {R6('(CAST(n1 * n0 AS DOUBLE) - CAST(s1 AS DOUBLE) + 0.5 * CAST(s2 AS DOUBLE)) / NULLIF(CAST(n1 * n0 AS DOUBLE), 0)')} roc_auc,
+              {R6('s3 / NULLIF(CAST(n1 AS DOUBLE), 0)')} pr_auc
+       FROM ev0)"""
+
+register("heuristic_scores", f"{SC_CTE}\nSELECT * FROM sc")
+register("evaluate_scores", f"{EVAL_CTE}\nSELECT * FROM ev")
+register("model_comparison", f"{EVAL_CTE}\nSELECT * FROM ev")
+register("select_model", f"{EVAL_CTE}\nSELECT * FROM ev ORDER BY roc_auc DESC NULLS LAST, model LIMIT 1")
+register("confusion_matrix", f"{SC_CTE}\nSELECT model, {_conf('0.5::DOUBLE')} FROM sc GROUP BY model")
+register("majority_baseline", f"{SC_CTE}\nSELECT model, {R6('1.0::DOUBLE - CAST(SUM(actual) AS DOUBLE) / COUNT(*)')} baseline_accuracy FROM sc GROUP BY model")
+register("roc_curve", f"""{CURVE_CTE},
+tt AS (SELECT model, SUM(pos) n1, SUM(neg) n0 FROM pv GROUP BY model)
+SELECT cu.model, p threshold, {R6('CAST(nc AS DOUBLE) / NULLIF(CAST(n0 AS DOUBLE), 0)')} fpr,
+       {R6('CAST(pc AS DOUBLE) / NULLIF(CAST(n1 AS DOUBLE), 0)')} tpr
+FROM cu JOIN tt USING (model)
+UNION ALL SELECT model, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tt""")
+register("metric_targets", f"""{EVAL_CTE}
+SELECT model, metric, value, target, COALESCE(value >= target, FALSE) passed FROM (
+  SELECT model, 'recall' metric, recall value, 0.75::DOUBLE target FROM ev
+  UNION ALL SELECT model, 'precision', "precision", 0.5::DOUBLE FROM ev
+  UNION ALL SELECT model, 'roc_auc', roc_auc, 0.8::DOUBLE FROM ev
+  UNION ALL SELECT model, 'pr_auc', pr_auc, 0.6::DOUBLE FROM ev)""")
+
+import numpy as _np  # noqa: E402
+
+_TH = [float(x) for x in _np.arange(0.05, 0.95, 0.05)]
+_COST = "CAST(tn * 0.0::DOUBLE + fp * 20.0::DOUBLE + fn * 200.0::DOUBLE + tp * -80.0::DOUBLE AS DOUBLE)"
+SWEEP_CTE = f"""{SC_CTE},
+th AS (SELECT CAST(t AS DOUBLE) threshold FROM (VALUES {', '.join(f'({t!r})' for t in _TH)}) v(t)),
+sw AS (SELECT model, threshold, {_conf('threshold')} FROM sc, th GROUP BY model, threshold),
+swc AS (SELECT *, {_COST} total_cost, {DIV0('tp', 'tp + fp')} "precision", {DIV0('tp', 'tp + fn')} recall FROM sw),
+opt AS (SELECT * FROM swc QUALIFY ROW_NUMBER() OVER (PARTITION BY model ORDER BY total_cost, threshold) = 1),
+dft AS (SELECT model, 0.5::DOUBLE threshold, {_conf('0.5::DOUBLE')} FROM sc GROUP BY model),
+dfc AS (SELECT *, {_COST} total_cost, {DIV0('tp', 'tp + fp')} "precision", {DIV0('tp', 'tp + fn')} recall FROM dft),
+roi AS (SELECT model, threshold, tp churners_caught, fp false_alarms, tp * 0.4::DOUBLE churners_saved,
+               tp * 0.4::DOUBLE * 200.0::DOUBLE revenue_saved, (tp + fp) * 20.0::DOUBLE retention_cost,
+               tp * 0.4::DOUBLE * 200.0::DOUBLE - (tp + fp) * 20.0::DOUBLE net_benefit,
+               {R6('CASE WHEN (tp + fp) * 20.0::DOUBLE > 0 THEN (tp * 0.4::DOUBLE * 200.0::DOUBLE - (tp + fp) * 20.0::DOUBLE) / ((tp + fp) * 20.0::DOUBLE) * 100 ELSE 0.0 END')} roi,
+               "precision", recall, total_cost
+        FROM opt)"""
+
+register("business_cost", f"{SWEEP_CTE}\nSELECT * FROM dfc")
+register("threshold_sweep", f"{SWEEP_CTE}\nSELECT * FROM swc")
+register("optimal_threshold", f"{SWEEP_CTE}\nSELECT * FROM opt")
+register("precision_recall_curve", f"""{CURVE_CTE},
+tt AS (SELECT model, SUM(pos) n1 FROM pv GROUP BY model)
+SELECT cu.model, p threshold, {R6(DIV0('pc', 'pc + nc'))} "precision",
+       {R6('CASE WHEN n1 = 0 THEN 1.0 ELSE CAST(pc AS DOUBLE) / n1 END')} recall
+FROM cu JOIN tt USING (model)
+UNION ALL SELECT model, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM tt""")
+register("cost_breakdown", f"""{SWEEP_CTE},
+b AS (SELECT model, 'default' scenario, threshold, fn, fp, tp FROM dfc UNION ALL SELECT model, 'optimal', threshold, fn, fp, tp FROM opt)
+SELECT model, scenario, threshold, 'false_negatives' category, CAST(fn * 200.0 AS DOUBLE) amount FROM b
+UNION ALL SELECT model, scenario, threshold, 'false_positives', CAST(fp * 20.0 AS DOUBLE) FROM b
+UNION ALL SELECT model, scenario, threshold, 'true_positives', CAST(tp * 80.0 AS DOUBLE) FROM b""")
+register("scenario_comparison", f"""{SWEEP_CTE},
+bs AS (SELECT model, CAST(SUM(actual) * 200.0 AS DOUBLE) baseline_cost FROM sc GROUP BY model),
+r AS (SELECT model, 'no_model' scenario, NULL::DOUBLE threshold, 0::BIGINT churners_caught, 0::BIGINT false_alarms, baseline_cost total_cost FROM bs
+      UNION ALL SELECT model, 'default', threshold, tp, fp, total_cost FROM dfc
+      UNION ALL SELECT model, 'optimal', threshold, tp, fp, total_cost FROM opt)
+SELECT r.*, bs.baseline_cost - r.total_cost savings_vs_no_model FROM r JOIN bs USING (model)""")
+register("retention_roi", f"{SWEEP_CTE}\nSELECT model, threshold, churners_caught, false_alarms, churners_saved, revenue_saved, retention_cost, net_benefit, roi FROM roi")
+register("annual_impact", f"{SWEEP_CTE}\nSELECT model, net_benefit, net_benefit * 5.0 * 4.0 annual_benefit_scaled, net_benefit * 4.0 annual_benefit FROM roi")
+CA_CTE = f"""{SWEEP_CTE},
+ca AS (SELECT model, threshold optimal_threshold, "precision" precision_at_optimal, recall recall_at_optimal,
+              total_cost total_cost_at_optimal, net_benefit, roi, 200.0::DOUBLE cost_fn, 20.0::DOUBLE cost_fp,
+              0.4::DOUBLE retention_success_rate FROM roi)"""
+register("cost_analysis", f"{CA_CTE}\nSELECT * FROM ca")
+register("executive_summary", f"{CA_CTE}\nSELECT model, optimal_threshold, roi, net_benefit, net_benefit * 4.0 annual_benefit FROM ca")
+register("impact_scenario", f"""{SWEEP_CTE},
+pa AS (SELECT sc.model, COUNT(*) customers, SUM(actual) / COUNT(*) churn_rate FROM sc GROUP BY sc.model),
+pp AS (SELECT pa.model, pa.customers, pa.churn_rate, opt.recall, opt.fp false_alarms FROM pa JOIN opt USING (model))
+SELECT model, CAST(customers AS BIGINT) customers, churn_rate, recall, false_alarms,
+       {R6('customers * churn_rate')} churners, {R6('customers * churn_rate * recall')} churners_caught,
+       {R6('customers * churn_rate * recall * 0.4::DOUBLE')} customers_saved,
+       {R6('customers * churn_rate * recall * 0.4::DOUBLE * 200.0::DOUBLE')} revenue_retained,
+       {R6('(customers * churn_rate * recall + false_alarms) * 20.0::DOUBLE')} intervention_cost,
+       {R6('customers * churn_rate * recall * 0.4::DOUBLE * 200.0::DOUBLE - (customers * churn_rate * recall + false_alarms) * 20.0::DOUBLE')} net_benefit
+FROM pp""")
+
+SEG_CTE = f"""{SC_CTE},
+cseg AS (SELECT customer_id, CASE WHEN churn_probability >= 0.7 THEN 'HIGH_RISK' WHEN churn_probability >= 0.4 THEN 'MEDIUM_RISK'
+                                  WHEN churn_probability >= 0.2 THEN 'LOW_RISK' ELSE 'SAFE' END risk_segment,
+                churn_probability, actual actual_churned FROM sc),
+sg AS (SELECT risk_segment, COUNT(*) customers, SUM(actual_churned) churned FROM cseg GROUP BY 1),
+strat AS (SELECT * FROM (VALUES ('HIGH_RISK', 'IMMEDIATE INTERVENTION', 50.0::DOUBLE, 0.25::DOUBLE),
+                                ('MEDIUM_RISK', 'PROACTIVE ENGAGEMENT', 20.0::DOUBLE, 0.40::DOUBLE),
+                                ('LOW_RISK', 'NURTURE & MONITOR', 5.0::DOUBLE, 0.60::DOUBLE),
+                                ('SAFE', 'MAINTAIN RELATIONSHIP', 2.0::DOUBLE, 0.80::DOUBLE)) v(risk_segment, action, cpc, esr)),
+bud AS (SELECT sg.risk_segment segment, CAST(customers AS BIGINT) customers, CAST(churned AS BIGINT) expected_churners,
+               cpc cost_per_customer, customers * cpc total_cost, esr expected_save_rate,
+               churned * esr saved, churned * esr * 200.0::DOUBLE rev, churned * esr * 200.0::DOUBLE - customers * cpc net
+        FROM sg JOIN strat USING (risk_segment))"""
+register("customer_segments", f"{SEG_CTE}\nSELECT * FROM cseg")
+register("segment_summary", f"""{SEG_CTE},
+al AS (SELECT risk_segment, customers, churned FROM sg UNION ALL SELECT 'TOTAL', SUM(customers), SUM(churned) FROM sg)
+SELECT risk_segment, CAST(customers AS BIGINT) customers, {PCT('customers', '(SELECT SUM(customers) FROM sg)')} pct_of_base,
+       CAST(churned AS BIGINT) churned, {PCT('churned', 'customers')} churn_rate_pct FROM al""")
+register("segment_budget", f"""{SEG_CTE}
+SELECT segment, customers, expected_churners, cost_per_customer, total_cost, expected_save_rate, {R6('saved')} customers_saved,
+       {R6('rev')} revenue_saved, {R6('net')} net_benefit, {R6('CASE WHEN total_cost > 0 THEN net / total_cost * 100 ELSE 0.0 END')} roi
+FROM bud""")
+register("budget_total", f"""{SEG_CTE},
+b2 AS (SELECT segment, customers, total_cost, {R6('saved')} customers_saved, {R6('net')} net_benefit FROM bud)
+SELECT CAST(SUM(customers) AS BIGINT) customers, SUM(total_cost) total_cost, {R6('SUM(customers_saved)')} customers_saved,
+       {R6('SUM(net_benefit)')} net_benefit,
+       {R6('CASE WHEN SUM(total_cost) > 0 THEN SUM(net_benefit) / SUM(total_cost) * 100 ELSE 0.0 END')} total_roi FROM b2""")
+register("segment_profiles", f"""{SEG_CTE},
+{FE_CTES.strip()},
+pf AS (SELECT cseg.risk_segment, fr.recency_days, fm.avg_order_value FROM cseg JOIN fr USING (customer_id) JOIN fm USING (customer_id))
+SELECT 'recency_days' feature, risk_segment, {R2('AVG(CAST(recency_days AS DOUBLE))')} mean FROM pf GROUP BY risk_segment
+UNION ALL SELECT 'avg_order_value', risk_segment, {R2('AVG(avg_order_value)')} FROM pf GROUP BY risk_segment""")
+register("histogram_segment_probability", f"""{SEG_CTE},
+v AS (SELECT risk_segment grp, churn_probability x FROM cseg),
+e AS (SELECT grp, MIN(x) mn, MAX(x) mx, COUNT(*) n FROM v GROUP BY grp),
+e2 AS (SELECT grp, n, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END hi FROM e),
+c AS (SELECT v.grp, least(CAST(floor((x - lo) * (20.0::DOUBLE / (hi - lo))) AS INTEGER), 19) bin, COUNT(*) cnt
+      FROM v JOIN e2 ON v.grp = e2.grp GROUP BY 1, 2),
+grid AS (SELECT grp, n, lo, hi, CAST(b AS INTEGER) bin FROM e2, range(0, 20) r(b))
+SELECT grid.grp "group", grid.bin, {R6('lo + grid.bin * ((hi - lo) / 20.0::DOUBLE)')} bin_start,
+       {R6('lo + (grid.bin + 1) * ((hi - lo) / 20.0::DOUBLE)')} bin_end, CAST(COALESCE(cnt, 0) AS BIGINT) count,
+       {R6('COALESCE(cnt, 0) / (n * ((hi - lo) / 20.0::DOUBLE))')} density
+FROM grid LEFT JOIN c ON grid.grp = c.grp AND grid.bin = c.bin""")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attrition.calendar import TESTDATA_CALENDAR as CAL
-from attrition.operators import activity, behavior, churn, cohorts, eda, features, labels, quality
+from attrition.operators import activity, behavior, churn, cohorts, cost, eda, features, labels, metrics, quality, segments
 from attrition.operators.clean import cleaning_waterfall
 from attrition.operators.clean import clean_transactions
 from attrition.sources.retail import retail_raw
@@ -84,9 +84,34 @@ def _register_all() -> None:
         q[name] = _on_clean(getattr(labels, name))
     q["stratified_split"] = _on_clean(labels.model_ready_split)
     q["is_churned_at"] = lambda spark, sf_dir: labels.is_churned_at(clean_tx(spark, sf_dir), SNAPSHOTS)
+    # ML-9..15, CS-*, SG-* on the deterministic heuristic score
+    def scored(fn, **kw):
+        return lambda spark, sf_dir: fn(metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL), **kw)
+    q["heuristic_scores"] = lambda spark, sf_dir: metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL)
+    for name in ("evaluate_scores", "roc_curve", "majority_baseline", "confusion_matrix", "metric_targets", "select_model"):
+        q[name] = scored(getattr(metrics, name))
+    q["model_comparison"] = scored(metrics.evaluate_scores)
+    q["business_cost"] = scored(cost.business_cost, threshold=0.5)
+    for name in ("threshold_sweep", "optimal_threshold", "precision_recall_curve", "cost_breakdown",
+                 "scenario_comparison", "retention_roi", "annual_impact", "cost_analysis"):
+        q[name] = scored(getattr(cost, name))
+    q["impact_scenario"] = scored(cost.observed_impact_scenario)
+    for name in ("customer_segments", "segment_summary", "segment_budget", "budget_total"):
+        q[name] = scored(getattr(segments, name))
+    q["segment_profiles"] = lambda spark, sf_dir: _segment_profiles(clean_tx(spark, sf_dir))
+    q["executive_summary"] = lambda spark, sf_dir: segments.executive_summary(
+        cost.cost_analysis(metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL)))
+    q["histogram_segment_probability"] = lambda spark, sf_dir: eda.clipped_histogram(
+        segments.customer_segments(metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL)),
+        "churn_probability", 20, "risk_segment")
     q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
 
 
+def _segment_profiles(tx: DataFrame) -> DataFrame:
+    feats = features.features_recency(tx, CAL).join(features.features_monetary(tx, CAL), "customer_id")
+    return segments.segment_profiles(metrics.heuristic_scores(tx, CAL), feats)
+
+
 _register_all()
 
 # Flagship for the smoke check (sf0.001 has rows for it).
