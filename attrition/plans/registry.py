@@ -104,6 +104,8 @@ def _register_all() -> None:
     q["histogram_segment_probability"] = lambda spark, sf_dir: eda.clipped_histogram(
         segments.customer_segments(metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL)),
         "churn_probability", 20, "risk_segment")
+    from attrition.plans.ml_queries import ML_QUERIES
+    q.update(ML_QUERIES)
     q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
 
 
@@ -115,4 +117,4 @@ def _segment_profiles(tx: DataFrame) -> DataFrame:
 _register_all()
 
 # Flagship for the smoke check (sf0.001 has rows for it).
-FLAGSHIP = "churn_rate_overall"
+FLAGSHIP = "model_ready"
