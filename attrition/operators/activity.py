@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import frac_days, line_value, round_half_up, ts_lit, upper_bucket
+from attrition.operators.rank import grouped_median
 from attrition.operators.shapes import orders_ts, purchase_days, status_col
 
 
@@ -48,11 +49,12 @@ def revenue_windows_churned(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     per_ts = tx.groupBy("customer_id", "invoice_ts").agg(F.sum(line_value()).alias("daily_revenue"))
     rw = per_ts.join(_churned_last(tx, cal), "customer_id")
     label, order = upper_bucket(frac_days("last_ts", "invoice_ts"), REVENUE_BOUNDS, REVENUE_LABELS)
-    g = (rw.select(label.alias("time_window"), (-order).alias("_o"), "daily_revenue")
-           .groupBy("time_window", "_o")
-           .agg(F.count(F.lit(1)).alias("purchase_days"),
-                F.sum("daily_revenue").alias("_sum"),
-                F.median(F.col("daily_revenue").cast("double")).alias("_med")))
+    w = rw.select(label.alias("time_window"), (-order).alias("_o"), "daily_revenue")
+    # money values have an unbounded domain: exact median without gathering a window's values in one task
+    med = grouped_median(w, ["time_window", "_o"], "daily_revenue", "_med")
+    g = (w.groupBy("time_window", "_o")
+          .agg(F.count(F.lit(1)).alias("purchase_days"), F.sum("daily_revenue").alias("_sum"))
+          .join(med, ["time_window", "_o"]))
     return g.orderBy("_o").select(
         "time_window", "purchase_days",
         round_half_up(F.col("_sum").cast("double")).alias("total_revenue"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import frac_days, line_value, pct, round_half_up, ts_lit
-from attrition.operators.rank import global_ntile
+from attrition.operators.rank import global_ntile, grouped_median
 from attrition.operators.shapes import status_col, until
 
 
@@ -122,9 +122,10 @@ def first_order_quality(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
             .join(base, ["customer_id", "invoice"])
             .groupBy("customer_id", "last_ts")
             .agg(F.count_distinct("stock_code").alias("items"), F.sum("lv").alias("value")))
-    g = fo.groupBy(status_col("last_ts", cal.dormant_cutoff).alias("status")).agg(
-        F.count(F.lit(1)).alias("customers"), F.sum("items").alias("_i"), F.sum("value").alias("_v"),
-        F.median(F.col("value").cast("double")).alias("_m"))
+    fo = fo.withColumn("status", status_col("last_ts", cal.dormant_cutoff))
+    med = grouped_median(fo, ["status"], "value", "_m")
+    g = fo.groupBy("status").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("items").alias("_i"), F.sum("value").alias("_v")).join(med, "status")
     return g.select("status", "customers",
                     round_half_up(_ratio("_i", "customers")).alias("avg_first_order_items"),
                     round_half_up(_ratio("_v", "customers")).alias("avg_first_order_value"),

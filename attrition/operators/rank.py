@@ -122,3 +122,40 @@ def grouped_running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequen
         out = g  # a single group starts at 0
     drop = ["_mid", "_pid", "_local"] + [f"_{p}_{v}" for v in value_cols for p in ("l", "o", "s")]
     return out.drop(*drop)
+
+
+def grouped_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                        probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact percentiles with linear interpolation (position (n-1)p between
+    the neighbouring order statistics), per group, without gathering a
+    group's values in one task.
+
+    Values are counted per (group, value), the counts get distributed running
+    sums in value order, and each wanted order statistic is the value whose
+    cumulative range covers its position.  The per-group totals table has one
+    row per group and is broadcast (callers group by a handful of keys).
+    """
+    v = F.col(value_col).cast("double")
+    per = (df.where(F.col(value_col).isNotNull())
+             .groupBy(*group_cols, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    cum = grouped_running_sums(per, list(group_cols), [F.col("_v").asc()], ["_c"])
+    if group_cols:
+        tot = per.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
+        j = cum.join(F.broadcast(tot), list(group_cols))
+    else:
+        j = cum.withColumn("_n", per.select(F.sum("_c")).scalar())
+    lo_start = F.col("_c_cum") - F.col("_c")
+    aggs = []
+    for p, name in zip(probs, names):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        aggs.append(F.max(F.when((lo_start <= lo) & (lo < F.col("_c_cum")), F.col("_v"))).alias(f"_lo_{name}"))
+        aggs.append(F.max(F.when((lo_start <= hi) & (hi < F.col("_c_cum")), F.col("_v"))).alias(f"_hi_{name}"))
+        aggs.append(F.max(pos - lo).alias(f"_d_{name}"))
+    g = j.groupBy(*group_cols).agg(*aggs)
+    return g.select(*group_cols, *[
+        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_d_{n}")).alias(n) for n in names])
+
+
+def grouped_median(df: DataFrame, group_cols: Sequence[str], value_col: str, name: str = "median") -> DataFrame:
+    return grouped_percentiles(df, group_cols, value_col, [0.5], [name])
