@@ -138,3 +138,16 @@ ML_QUERIES = {
     "verify_round_trip": verify_round_trip,
     "read_or_default": read_or_default,
 }
+
+
+def stream_clean_transactions(spark, sf_dir):
+    """Raw lines written as CSV files, ingested by the streaming cleaner, read back."""
+    from attrition.streaming import stream_clean_transactions as run
+    src = io.write_transactions_csv(retail_raw(spark, sf_dir), io.scratch_path(spark, "stream-src"))
+    sink, ck = io.scratch_path(spark, "stream-sink"), io.scratch_path(spark, "stream-ckpt")
+    q = run(spark, src, sink, ck, available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+ML_QUERIES["stream_clean_transactions"] = stream_clean_transactions

@@ -926,3 +926,4 @@ SELECT is_churned "class", CAST(COUNT(*) AS BIGINT) count,
 FROM tr, p GROUP BY is_churned""")
 register("read_transactions_csv", "SELECT * FROM retail_raw")
 register("verify_round_trip", "SELECT CAST(COUNT(*) AS BIGINT) rows_written, CAST(COUNT(*) AS BIGINT) rows_read, TRUE passed FROM tx")
+register("stream_clean_transactions", "SELECT * FROM tx")

@@ -1,0 +1,35 @@
+"""Incremental ingest of raw transaction files into the clean table.
+
+The original analysis is batch only (real-time scoring is declared out of
+scope), so no streaming analysis exists.  What does carry over is the
+ingest path: raw CSV files -> the stateless cleaning filter -> the stored
+clean table.  Expressed as Structured Streaming it keeps the clean table
+current as files land, with exactly-once file tracking in the checkpoint
+(which must live in the shared checkpoint folder of the cluster).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from attrition.operators.clean import clean_transactions
+from attrition.sources.io import RAW_SCHEMA, TIMESTAMP_FORMAT
+
+
+def raw_transaction_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    r = (spark.readStream.schema(RAW_SCHEMA).option("header", "true")
+         .option("timestampNTZFormat", TIMESTAMP_FORMAT).option("timestampFormat", TIMESTAMP_FORMAT))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.csv(source_dir)
+
+
+def stream_clean_transactions(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
+                              available_now: bool = True):
+    """Clean every new raw CSV file and append it to the Parquet table at
+    ``sink_dir``.  With ``available_now`` the query processes what is there
+    and stops (a scheduled incremental batch); otherwise it keeps running."""
+    cleaned = clean_transactions(raw_transaction_stream(spark, source_dir))
+    w = cleaned.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.outputMode("append").start()
