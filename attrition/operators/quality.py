@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import pct, round_half_up, round_stat, ts_lit, whole_days
+from attrition.operators.rank import grouped_percentiles
 
 # Expected column types of the transactions table.
 EXPECTED_TYPES = {
@@ -80,20 +81,25 @@ _PCT_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
 
 def numeric_describe(df: DataFrame, columns: Sequence[str] = ("quantity", "price"),
                      approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """count, mean, sample std, min, percentiles (linear interpolation), max."""
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, list(DESCRIBE_PERCENTILES), accuracy) if approx
-             else F.percentile(x, F.array(*[F.lit(p) for p in DESCRIBE_PERCENTILES])))
-        aggs.append(F.struct(F.count(x).cast("bigint").alias("count"), F.avg(x).alias("mean"),
-                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                             q.alias("q"), F.max(x).alias("max")).alias(c))
-    wide = df.agg(*aggs)
-    fields = ["count", "mean", "std", "min", "q", "max"]
-    long = _long(wide, list(columns), fields)
-    return long.select("column_name", "count", round_stat("mean").alias("mean"), round_stat("std").alias("std"),
-                       "min", *[round_stat(F.col("q")[i]).alias(n) for i, n in enumerate(_PCT_NAMES)], "max")
+    """count, mean, sample std, min, percentiles (linear interpolation), max.
+
+    Exact percentiles come from distributed running counts per distinct value
+    (no task holds a column's value map); ``approx=True`` uses GK sketches.
+    """
+    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.inline(arr))
+    stats = long.groupBy("column_name").agg(
+        F.count("x").cast("bigint").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    if approx:
+        q = long.groupBy("column_name").agg(F.percentile_approx("x", list(DESCRIBE_PERCENTILES), accuracy).alias("q"))
+        q = q.select("column_name", *[F.col("q")[i].alias(n) for i, n in enumerate(_PCT_NAMES)])
+    else:
+        q = grouped_percentiles(long, ["column_name"], "x", DESCRIBE_PERCENTILES, _PCT_NAMES)
+    # one row per described column on each side
+    return stats.join(q, "column_name").select(
+        "column_name", "count", round_stat("mean").alias("mean"), round_stat("std").alias("std"), "min",
+        *[round_stat(n).alias(n) for n in _PCT_NAMES], "max")
 
 
 def date_range(df: DataFrame) -> DataFrame:

@@ -927,3 +927,9 @@ FROM tr, p GROUP BY is_churned""")
 register("read_transactions_csv", "SELECT * FROM retail_raw")
 register("verify_round_trip", "SELECT CAST(COUNT(*) AS BIGINT) rows_written, CAST(COUNT(*) AS BIGINT) rows_read, TRUE passed FROM tx")
 register("stream_clean_transactions", "SELECT * FROM tx")
+
+register("feature_summary", f"{FM_CTE}\n" + " UNION ALL ".join(
+    f"SELECT '{c}' column_name, CAST(COUNT({c}) AS BIGINT) count, {R6(f'AVG(CAST({c} AS DOUBLE))')} mean, "
+    f"{R6(f'STDDEV_SAMP(CAST({c} AS DOUBLE))')} std, MIN(CAST({c} AS DOUBLE)) min, "
+    + ", ".join(f"{R6(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} p{int(round(p * 100))}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+    + f", MAX(CAST({c} AS DOUBLE)) max FROM fmx" for c in FEATURE_LIST))
