@@ -36,8 +36,37 @@ def history(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     return until(tx, cal.observation)
 
 
+def _orders(hist: DataFrame) -> DataFrame:
+    """(customer, invoice) orders: exact value, quantity, distinct products,
+    non-null lines and first/last timestamp.  Shared by several groups, so
+    the identical exchange is planned once and reused."""
+    return hist.groupBy("customer_id", "invoice").agg(
+        F.sum(line_value()).alias("order_value"), F.sum("quantity").alias("order_qty"),
+        F.count_distinct("stock_code").alias("order_items"), F.count("invoice").alias("order_lines"),
+        F.min("invoice_ts").alias("o_first"), F.max("invoice_ts").alias("o_last"))
+
+
 def _span(hist: DataFrame) -> DataFrame:
-    return hist.groupBy("customer_id").agg(F.min("invoice_ts").alias("first_ts"), F.max("invoice_ts").alias("last_ts"))
+    """First/last purchase per customer, from the order shape."""
+    return _orders(hist).groupBy("customer_id").agg(F.min("o_first").alias("first_ts"),
+                                                    F.max("o_last").alias("last_ts"))
+
+
+def _baskets(hist: DataFrame) -> DataFrame:
+    """(customer, invoice, timestamp) baskets: exact value and quantity."""
+    return hist.groupBy("customer_id", "invoice", "invoice_ts").agg(
+        F.sum(line_value()).alias("v"), F.sum("quantity").alias("q"))
+
+
+def _days(hist: DataFrame) -> DataFrame:
+    """Active days and the sample std of whole-day gaps between them.  Days
+    come from the basket shape; the window runs over (customer, day) rows,
+    bounded by the calendar, not by the customer's number of lines."""
+    d = _baskets(hist).select("customer_id", F.to_date("invoice_ts").alias("d")).distinct()
+    w = Window.partitionBy("customer_id").orderBy("d")
+    gaps = d.withColumn("gap", F.datediff(F.col("d"), F.lag("d").over(w)).cast("double"))
+    return gaps.groupBy("customer_id").agg(F.count(F.lit(1)).alias("active_days"),
+                                           F.stddev_samp("gap").alias("interval_std"))
 
 
 def features_recency(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
@@ -51,30 +80,12 @@ def features_recency(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
                     (rec <= 30).cast("int").alias("is_recent_30d"))
 
 
-def _orders(hist: DataFrame) -> DataFrame:
-    """(customer, invoice) orders: exact value, quantity, distinct products."""
-    return hist.groupBy("customer_id", "invoice").agg(
-        F.sum(line_value()).alias("order_value"), F.sum("quantity").alias("order_qty"),
-        F.count_distinct("stock_code").alias("order_items"))
-
-
-def _days(hist: DataFrame) -> DataFrame:
-    """Active days and the sample std of whole-day gaps between them.  The
-    window runs over (customer, day) rows: bounded by the calendar, not by
-    the customer's number of lines."""
-    d = hist.select("customer_id", F.to_date("invoice_ts").alias("d")).distinct()
-    w = Window.partitionBy("customer_id").orderBy("d")
-    gaps = d.withColumn("gap", F.datediff(F.col("d"), F.lag("d").over(w)).cast("double"))
-    return gaps.groupBy("customer_id").agg(F.count(F.lit(1)).alias("active_days"),
-                                           F.stddev_samp("gap").alias("interval_std"))
-
-
 def features_frequency(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     hist = history(tx, cal)
     obs = ts_lit(cal.observation)
-    c = hist.groupBy("customer_id").agg(
-        F.count_distinct("invoice").alias("total_orders"), F.count("invoice").alias("total_transactions"),
-        F.min("invoice_ts").alias("first_ts"), F.max("invoice_ts").alias("last_ts"))
+    c = _orders(hist).groupBy("customer_id").agg(
+        F.count("invoice").alias("total_orders"), F.sum("order_lines").alias("total_transactions"),
+        F.min("o_first").alias("first_ts"), F.max("o_last").alias("last_ts"))
     c = c.join(_days(hist), "customer_id")
     tenure_months = F.greatest(whole_days(obs, F.col("first_ts")) / F.lit(30.0), F.lit(0.5))
     return c.select(
@@ -92,14 +103,13 @@ def features_monetary(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
         F.max("order_value").alias("_max"), F.min("order_value").alias("_min"),
         F.stddev_samp(F.col("order_value").cast("double")).alias("_std"),
         F.sum("order_qty").alias("total_quantity"), F.sum("order_items").alias("_items"))
-    days = hist.groupBy("customer_id").agg(F.count_distinct(F.to_date("invoice_ts")).alias("_days"))
     avg = F.col("_rev").cast("double") / F.col("_n")
-    return o.join(days, "customer_id").select(
+    return o.join(_days(hist), "customer_id").select(
         "customer_id", F.col("_rev").cast("double").alias("total_revenue"), avg.alias("avg_order_value"),
         F.col("_max").cast("double").alias("max_order_value"), F.col("_min").cast("double").alias("min_order_value"),
         F.coalesce(round_stat("_std"), F.lit(0.0)).alias("order_value_std"), "total_quantity",
         (F.col("_items") / F.col("_n")).alias("avg_items_per_order"),
-        (F.col("_rev").cast("double") / F.col("_days")).alias("revenue_per_active_day"),
+        (F.col("_rev").cast("double") / F.col("active_days")).alias("revenue_per_active_day"),
         F.coalesce(round_stat(F.col("_std") / F.greatest(avg, F.lit(0.01))), F.lit(0.0)).alias("order_value_cv"))
 
 
@@ -109,10 +119,7 @@ def features_trend(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     the 30 days before.  Baskets are pre-aggregated per (customer, invoice,
     timestamp) before meeting the per-customer span."""
     hist = history(tx, cal)
-    obs = cal.observation
-    baskets = hist.groupBy("customer_id", "invoice", "invoice_ts").agg(
-        F.sum(line_value()).alias("v"), F.sum("quantity").alias("q"))
-    b = baskets.join(_span(hist), "customer_id")
+    b = _baskets(hist).join(_span(hist), "customer_id")
     # 2 (ts - first) <= last - first  <=>  ts <= midpoint, in exact microseconds
     early = (F.lit(2) * (micros("invoice_ts") - micros("first_ts"))) <= (micros("last_ts") - micros("first_ts"))
     last30 = F.col("invoice_ts") > ts_lit(cal.recent_cutoff)
@@ -148,12 +155,13 @@ def features_engagement(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     first_key = F.when(F.col("country").isNotNull(), F.struct("invoice_ts", "invoice"))
     c = hist.groupBy("customer_id").agg(
         F.count_distinct("description").alias("unique_descriptions"),
-        F.count("invoice").alias("total_line_items"),
         F.min_by("country", first_key).alias("_country"))
     p = (hist.groupBy("customer_id", "stock_code").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("customer_id").agg(F.count(F.lit(1)).alias("unique_products"),
                                          F.max("n").alias("_max"), F.sum("n").alias("_sum")))
-    o = _orders(hist).groupBy("customer_id").agg((F.sum("order_items") / F.count(F.lit(1))).alias("avg_products_per_order"))
+    o = _orders(hist).groupBy("customer_id").agg(
+        (F.sum("order_items") / F.count(F.lit(1))).alias("avg_products_per_order"),
+        F.sum("order_lines").alias("total_line_items"))
     return (c.join(p, "customer_id").join(o, "customer_id")
              .select("customer_id", "unique_products", "unique_descriptions", "total_line_items",
                      "avg_products_per_order", (F.col("_max") / F.col("_sum")).alias("product_concentration"),

@@ -1,11 +1,18 @@
 """End-to-end plan: raw lines -> stored clean table -> labelled feature table.
 
 The clean transactions are the one table every analysis reads, so they are
-materialised once, bucketed by ``customer_id``: every aggregation whose keys
-start with the customer (per customer, per order, per day, per product) and
-every join between such shapes then runs without a shuffle of the lines.
-Writing the table also cuts the lineage back to the raw joins, so a lost
-executor only re-reads files.
+materialised once (writing them also cuts the lineage back to the raw
+joins: a lost executor only re-reads files).
+
+Layout is chosen behind a size check, like a broadcast: bucketing the table
+by customer makes every per-customer shape (and every join between them)
+shuffle-free, but a bucket is read by one task, so a customer holding a large
+share of the lines would become one oversized task.  ``layout="auto"`` first
+measures the largest customer (one aggregation, partial per task) and
+buckets only when that customer fits in an average bucket; otherwise the
+table is plain Parquet, where map-side partial aggregation and AQE skew
+joins spread a hot customer over all tasks.  Rows are sorted by time inside
+files so the "up to the observation date" filters skip row groups.
 """
 
 from __future__ import annotations
@@ -20,16 +27,24 @@ from attrition.calendar import ChurnCalendar
 from attrition.operators.labels import model_ready, stratified_split
 
 
-def materialize_transactions(tx: DataFrame, path: str, num_buckets: int | None = None,
-                             table: str | None = None) -> DataFrame:
-    """Write the clean lines bucketed (and sorted) by customer; return the table.
+def largest_customer_share(tx: DataFrame) -> tuple[int, int]:
+    """(lines of the largest customer, all lines) - one row to the driver."""
+    r = (tx.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+           .agg(F.max("n").alias("mx"), F.sum("n").alias("total")).first())
+    return int(r["mx"] or 0), int(r["total"] or 0)
 
-    ``num_buckets`` should give buckets of a few hundred MB at the target
-    scale (e.g. 100 TB / 256 MB ~ 400k buckets is too many files: pick the
-    shuffle-partition count of the cluster, e.g. 20k-50k).
-    """
+
+def materialize_transactions(tx: DataFrame, path: str, layout: str = "auto", num_buckets: int | None = None,
+                             table: str | None = None) -> DataFrame:
+    """Write the clean lines (``layout``: auto | bucketed | plain) and return them read back."""
     spark = tx.sparkSession
     n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if layout == "auto":
+        largest, total = largest_customer_share(tx)
+        layout = "bucketed" if largest * n <= max(total, 1) else "plain"
+    if layout == "plain":
+        tx.sortWithinPartitions("invoice_ts").write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     name = table or "transactions_clean_" + re.sub(r"[^0-9a-z]", "", uuid.uuid4().hex)[:12]
     (tx.repartition(n, "customer_id")
        .write.mode("overwrite").format("parquet").option("path", path)
