@@ -30,9 +30,16 @@ def ts_lit(d: dt.date | dt.datetime) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def micros(c) -> Column:
-    """Microseconds since the epoch of an NTZ or LTZ timestamp (session TZ is UTC)."""
-    return F.unix_micros(col_(c).cast("timestamp"))
+    """Microseconds since the epoch of a wall-clock (NTZ) timestamp.
+
+    ``timestamp_diff`` on NTZ values does not depend on the session time
+    zone (a cast to TIMESTAMP would, and day spans across a DST change
+    would lose or gain an hour)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), col_(c).cast("timestamp_ntz"))
 
 
 def frac_days(a, b) -> Column:

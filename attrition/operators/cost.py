@@ -109,8 +109,13 @@ def scenario_comparison(scores: DataFrame, costs: CostModel = CostModel(), group
                                   F.col("tp").alias("churners_caught"), F.col("fp").alias("false_alarms"), "total_cost"))
             .unionByName(o.select(*group_cols, F.lit("optimal").alias("scenario"), "threshold",
                                   F.col("tp").alias("churners_caught"), F.col("fp").alias("false_alarms"), "total_cost")))
+    default_cost = d.select(*group_cols, F.col("total_cost").alias("_default_cost"))
     return (rows.join(base.select(*group_cols, "baseline_cost"), list(group_cols))
-                .withColumn("savings_vs_no_model", F.col("baseline_cost") - F.col("total_cost")).drop("baseline_cost"))
+                .join(default_cost, list(group_cols))
+                .withColumn("savings_vs_no_model", F.col("baseline_cost") - F.col("total_cost"))
+                .withColumn("savings_vs_default", F.when(F.col("scenario") == "optimal",
+                                                         F.col("_default_cost") - F.col("total_cost")))
+                .drop("baseline_cost", "_default_cost"))
 
 
 def _roi_cols(costs: CostModel):

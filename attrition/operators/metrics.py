@@ -93,16 +93,32 @@ def majority_baseline(scores: DataFrame, group_cols: Sequence[str] = ("model",))
         round_stat(1.0 - F.sum(Y).cast("double") / F.count(F.lit(1))).alias("baseline_accuracy"))
 
 
-# Technical and business success targets.
+# Technical targets (at least) and business targets: cost per
+# retained customer below 50, intervention ROI (revenue saved / cost) above 3x.
 METRIC_TARGETS = (("recall", 0.75, ">="), ("precision", 0.50, ">="), ("roc_auc", 0.80, ">="), ("pr_auc", 0.60, ">="))
+BUSINESS_TARGETS = (("cost_per_retained_customer", 50.0, "<"), ("intervention_roi", 3.0, ">"))
 
 
-def metric_targets(scores: DataFrame, threshold: float = 0.5, group_cols: Sequence[str] = ("model",)) -> DataFrame:
+def metric_targets(scores: DataFrame, threshold: float = 0.5, group_cols: Sequence[str] = ("model",),
+                   costs=None) -> DataFrame:
+    """Evaluation at ``threshold`` against the success targets, one row per metric."""
+    from attrition.calendar import CostModel
+    costs = costs or CostModel()
     e = evaluate_scores(scores, threshold, group_cols)
-    arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(t).alias("target"))
-                    for m, t, _ in METRIC_TARGETS])
-    return (e.select(*group_cols, F.inline(arr))
-             .withColumn("passed", F.coalesce(F.col("value") >= F.col("target"), F.lit(False))))
+    c = confusion_counts(scores, threshold, group_cols)
+    saved = F.col("tp") * costs.retention_success_rate
+    spend = (F.col("tp") + F.col("fp")) * costs.incentive_cost
+    biz = c.select(*group_cols,
+                   round_stat(F.try_divide(spend, saved)).alias("cost_per_retained_customer"),
+                   round_stat(F.try_divide(saved * costs.customer_lifetime_value, spend)).alias("intervention_roi"))
+    m = e.join(biz, list(group_cols))
+    targets = METRIC_TARGETS + BUSINESS_TARGETS
+    arr = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"), F.lit(t).alias("target"),
+                             F.lit(d).alias("direction")) for n, t, d in targets])
+    v, t = F.col("value"), F.col("target")
+    ok = (F.when(F.col("direction") == ">=", v >= t).when(F.col("direction") == ">", v > t)
+           .otherwise(v < t))
+    return m.select(*group_cols, F.inline(arr)).withColumn("passed", F.coalesce(ok, F.lit(False)))
 
 
 def select_model(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

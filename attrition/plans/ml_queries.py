@@ -151,3 +151,25 @@ def stream_clean_transactions(spark, sf_dir):
 
 
 ML_QUERIES["stream_clean_transactions"] = stream_clean_transactions
+
+
+def register_views(spark, sf_dir):
+    """SQL over registered views: the overall churn-rate statement written in
+    Spark SQL against a ``transactions_clean`` view of the cleaned table."""
+    io.register_views(spark, {"transactions_clean": _clean(spark, sf_dir)})
+    obs = f"TIMESTAMP_NTZ '{CAL.observation.isoformat()} 00:00:00'"
+    return spark.sql(f"""
+        WITH customer_last_purchase AS (
+            SELECT customer_id, MAX(invoice_ts) AS last_purchase_date, MIN(invoice_ts) AS first_purchase_date,
+                   COUNT(DISTINCT invoice) AS total_orders
+            FROM transactions_clean GROUP BY customer_id),
+        churn_labels AS (
+            SELECT total_orders, CASE WHEN last_purchase_date <= {obs} THEN 1 ELSE 0 END AS is_churned
+            FROM customer_last_purchase WHERE first_purchase_date <= {obs})
+        SELECT COUNT(*) AS total_customers, CAST(SUM(is_churned) AS BIGINT) AS churned_customers,
+               CAST(ROUND(CAST(100.0D * SUM(is_churned) / COUNT(*) AS DECIMAL(38,6)), 2) AS DOUBLE) AS churn_rate_pct,
+               CAST(SUM(total_orders) AS DOUBLE) / COUNT(*) AS avg_orders_per_customer
+        FROM churn_labels""")
+
+
+ML_QUERIES["register_views"] = register_views

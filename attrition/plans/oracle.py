@@ -805,12 +805,18 @@ SELECT cu.model, p threshold, {R6('CAST(nc AS DOUBLE) / NULLIF(CAST(n0 AS DOUBLE
        {R6('CAST(pc AS DOUBLE) / NULLIF(CAST(n1 AS DOUBLE), 0)')} tpr
 FROM cu JOIN tt USING (model)
 UNION ALL SELECT model, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tt""")
-register("metric_targets", f"""{EVAL_CTE}
-SELECT model, metric, value, target, COALESCE(value >= target, FALSE) passed FROM (
-  SELECT model, 'recall' metric, recall value, 0.75::DOUBLE target FROM ev
-  UNION ALL SELECT model, 'precision', "precision", 0.5::DOUBLE FROM ev
-  UNION ALL SELECT model, 'roc_auc', roc_auc, 0.8::DOUBLE FROM ev
-  UNION ALL SELECT model, 'pr_auc', pr_auc, 0.6::DOUBLE FROM ev)""")
+register("metric_targets", f"""{EVAL_CTE},
+bz AS (SELECT model, {R6('(tp + fp) * 20.0::DOUBLE / NULLIF(tp * 0.4::DOUBLE, 0)')} cpr,
+              {R6('tp * 0.4::DOUBLE * 200.0::DOUBLE / NULLIF((tp + fp) * 20.0::DOUBLE, 0)')} iroi FROM cm)
+SELECT model, metric, value, target, direction,
+       COALESCE(CASE direction WHEN '>=' THEN value >= target WHEN '>' THEN value > target ELSE value < target END, FALSE) passed
+FROM (
+  SELECT model, 'recall' metric, recall value, 0.75::DOUBLE target, '>=' direction FROM ev
+  UNION ALL SELECT model, 'precision', "precision", 0.5::DOUBLE, '>=' FROM ev
+  UNION ALL SELECT model, 'roc_auc', roc_auc, 0.8::DOUBLE, '>=' FROM ev
+  UNION ALL SELECT model, 'pr_auc', pr_auc, 0.6::DOUBLE, '>=' FROM ev
+  UNION ALL SELECT model, 'cost_per_retained_customer', cpr, 50.0::DOUBLE, '<' FROM bz
+  UNION ALL SELECT model, 'intervention_roi', iroi, 3.0::DOUBLE, '>' FROM bz)""")
 
 import numpy as _np  # noqa: E402
 
@@ -849,7 +855,9 @@ bs AS (SELECT model, CAST(SUM(actual) * 200.0 AS DOUBLE) baseline_cost FROM sc G
 r AS (SELECT model, 'no_model' scenario, NULL::DOUBLE threshold, 0::BIGINT churners_caught, 0::BIGINT false_alarms, baseline_cost total_cost FROM bs
       UNION ALL SELECT model, 'default', threshold, tp, fp, total_cost FROM dfc
       UNION ALL SELECT model, 'optimal', threshold, tp, fp, total_cost FROM opt)
-SELECT r.*, bs.baseline_cost - r.total_cost savings_vs_no_model FROM r JOIN bs USING (model)""")
+SELECT r.*, bs.baseline_cost - r.total_cost savings_vs_no_model,
+       CASE WHEN r.scenario = 'optimal' THEN dfc.total_cost - r.total_cost END savings_vs_default
+FROM r JOIN bs USING (model) JOIN dfc USING (model)""")
 register("retention_roi", f"{SWEEP_CTE}\nSELECT model, threshold, churners_caught, false_alarms, churners_saved, revenue_saved, retention_cost, net_benefit, roi FROM roi")
 register("annual_impact", f"{SWEEP_CTE}\nSELECT model, net_benefit, net_benefit * 5.0 * 4.0 annual_benefit_scaled, net_benefit * 4.0 annual_benefit FROM roi")
 CA_CTE = f"""{SWEEP_CTE},
@@ -933,3 +941,4 @@ register("feature_summary", f"{FM_CTE}\n" + " UNION ALL ".join(
     f"{R6(f'STDDEV_SAMP(CAST({c} AS DOUBLE))')} std, MIN(CAST({c} AS DOUBLE)) min, "
     + ", ".join(f"{R6(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} p{int(round(p * 100))}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
     + f", MAX(CAST({c} AS DOUBLE)) max FROM fmx" for c in FEATURE_LIST))
+SQL["register_views"] = SQL["churn_rate_overall"]

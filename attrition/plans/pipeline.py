@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,18 +40,25 @@ def materialize_transactions(tx: DataFrame, path: str, layout: str = "auto", num
     """Write the clean lines (``layout``: auto | bucketed | plain) and return them read back."""
     spark = tx.sparkSession
     n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = None
     if layout == "auto":
+        # the check and the write read the same rows: keep them on executor disk between the two
+        kept = tx = tx.persist(StorageLevel.DISK_ONLY)
         largest, total = largest_customer_share(tx)
         layout = "bucketed" if largest * n <= max(total, 1) else "plain"
     if layout == "plain":
         tx.sortWithinPartitions("invoice_ts").write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    name = table or "transactions_clean_" + re.sub(r"[^0-9a-z]", "", uuid.uuid4().hex)[:12]
-    (tx.repartition(n, "customer_id")
-       .write.mode("overwrite").format("parquet").option("path", path)
-       .bucketBy(n, "customer_id").sortBy("customer_id", "invoice_ts")
-       .saveAsTable(name))
-    return spark.table(name)
+        out = spark.read.parquet(path)
+    else:
+        name = table or "transactions_clean_" + re.sub(r"[^0-9a-z]", "", uuid.uuid4().hex)[:12]
+        (tx.repartition(n, "customer_id")
+           .write.mode("overwrite").format("parquet").option("path", path)
+           .bucketBy(n, "customer_id").sortBy("customer_id", "invoice_ts")
+           .saveAsTable(name))
+        out = spark.table(name)
+    if kept is not None:
+        kept.unpersist()
+    return out
 
 
 def materialize_model_ready(tx: DataFrame, cal: ChurnCalendar, path: str) -> DataFrame:
