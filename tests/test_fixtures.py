@@ -201,3 +201,15 @@ def test_dirty_rows_profile_and_waterfall(make_tx):
                   ("positive_price", 2), ("not_service_code", 1)]
     q = quality_report(clean_transactions(raw)).collect()[0]
     assert (q["transactions"], q["missing_cells"], q["duplicate_rows"]) == (1, 1, 0)
+
+
+def test_day_arithmetic_ignores_session_time_zone(spark):
+    # 2001-03-01 -> 2001-05-01 crosses a daylight-saving change in New York
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp_ntz'2001-05-01 00:00:00' a, timestamp_ntz'2001-03-01 00:00:00' b")
+        r = df.select(frac_days("a", "b").alias("f"), whole_days("a", "b").alias("w")).collect()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert (r["f"], r["w"]) == (61.0, 61)
