@@ -118,3 +118,14 @@ def test_no_row_python_udf_or_cartesian(spark, key):
     plan = _plan(QUERIES[key](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan
+
+
+def test_layout_check_refuses_buckets_for_a_dominant_customer(spark, make_tx, tmp_path):
+    from attrition.plans.pipeline import largest_customer_share, materialize_transactions
+    rows = [(str(i), "10", 1, "2001-01-01 00:00:00", 1.0, 1 if i % 3 == 0 else 100 + i, "N") for i in range(90)]
+    tx = make_tx(rows)
+    largest, total = largest_customer_share(tx)
+    assert (largest, total) == (30, 90)
+    out = materialize_transactions(tx, str(tmp_path / "t"), layout="auto", num_buckets=8)
+    assert "Bucketed: true" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 90
