@@ -7,7 +7,7 @@ operators run on the original retail calendar and on the test tables.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,19 @@ TESTDATA_CALENDAR = ChurnCalendar(
 )
 
 
+# Short-horizon calendar for the purchase events (January 2024, sub-second
+# timestamps): a 5-day churn window keeps every cut-off inside the data.
+EVENTS_CALENDAR = ChurnCalendar(
+    observation=dt.date(2024, 1, 20),
+    prediction_end=dt.date(2024, 1, 25),
+    churn_window_days=5,
+    min_history_days=5,
+    home_country="NATION_0",
+    valid_from=dt.date(2024, 1, 1),
+    valid_to=dt.date(2024, 12, 31),
+)
+
+
 @dataclass(frozen=True)
 class CostModel:
     # Fixed values of the original cost framework.
@@ -94,12 +107,3 @@ SEGMENT_STRATEGIES = (
 
 # Stock codes that are services, not products.
 SERVICE_CODES = ("POST", "D", "M", "BANK CHARGES", "PADS", "DOT", "CRUK", "C2", "AMAZONFEE")
-
-
-@dataclass(frozen=True)
-class Thresholds:
-    country_min_customers: int = 50
-    rfm_min_customers: int = 20
-    rfm_top_k: int = 20
-    ntile_k: int = 5
-    extra: dict = field(default_factory=dict)

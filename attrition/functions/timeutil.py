@@ -87,9 +87,3 @@ def upper_bucket(value, bounds: Sequence[float], labels: Sequence[str]) -> tuple
     label = label.otherwise(F.lit(labels[len(bounds)]))
     order = order.otherwise(F.lit(len(bounds) + 1))
     return label, order
-
-
-def bucket_dim(spark, labels: Sequence[str], label_col: str, order_col: str = "bucket_order"):
-    """Small dimension table (label, order) of a fixed bucket list."""
-    return spark.createDataFrame([(lab, i + 1) for i, lab in enumerate(labels)],
-                                 f"{label_col} string, {order_col} int")

@@ -25,13 +25,6 @@ EXPECTED_TYPES = {
 }
 
 
-def _long(df_one_row: DataFrame, names: Sequence[str], value_fields: Sequence[str], name_col: str = "column_name"):
-    """Turn one wide row with struct columns ``names`` into one row per name."""
-    arr = F.array(*[F.struct(F.lit(n).alias(name_col), F.col(f"`{n}`").alias("v")) for n in names])
-    out = df_one_row.select(F.inline(arr))
-    return out.select(name_col, *[F.col(f"v.{f}").alias(f) for f in value_fields])
-
-
 def schema_report(df: DataFrame, expected: dict | None = None) -> DataFrame:
     """Column, current type, expected type and whether a conversion is needed."""
     expected = expected or EXPECTED_TYPES

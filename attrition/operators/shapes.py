@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from attrition.functions.timeutil import line_value, ts_lit
 
 
-def with_line_value(tx: DataFrame) -> DataFrame:
-    return tx.withColumn("line_value", line_value())
-
-
 def until(tx: DataFrame, cutoff) -> DataFrame:
     """Lines up to and including midnight of ``cutoff``."""
     return tx.where(F.col("invoice_ts") <= ts_lit(cutoff))
@@ -44,16 +40,6 @@ def orders_ts(tx: DataFrame) -> DataFrame:
     )
 
 
-def order_base(tx: DataFrame) -> DataFrame:
-    """(customer, invoice) orders regardless of timestamp."""
-    return tx.groupBy("customer_id", "invoice").agg(
-        F.min("invoice_ts").alias("order_ts"),
-        F.sum(line_value()).alias("order_value"),
-        F.sum("quantity").alias("order_qty"),
-        F.count(F.lit(1)).alias("order_lines"),
-    )
-
-
 def purchase_days(tx: DataFrame) -> DataFrame:
     """Distinct (customer, calendar day) pairs.  At most one row per day per
     customer, so per-customer windows over this shape stay small."""

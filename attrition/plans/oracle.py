@@ -942,3 +942,56 @@ register("feature_summary", f"{FM_CTE}\n" + " UNION ALL ".join(
     + ", ".join(f"{R6(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} p{int(round(p * 100))}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
     + f", MAX(CAST({c} AS DOUBLE)) max FROM fmx" for c in FEATURE_LIST))
 SQL["register_views"] = SQL["churn_rate_overall"]
+
+# ---------------------------------------------------------------- purchase events view (short-horizon calendar)
+from attrition.calendar import EVENTS_CALENDAR as ECAL  # noqa: E402
+
+E_OBS, E_END, E_ELIG, E_DORMANT, E_ACQ = (D(ECAL.observation), D(ECAL.prediction_end), D(ECAL.eligibility_cutoff),
+                                          D(ECAL.dormant_cutoff), D(ECAL.acquisition_cutoff))
+EV_CTES = """
+ev_raw AS (SELECT CAST(event_id AS VARCHAR) invoice, CAST(event_id % 50 AS VARCHAR) stock_code, CAST(NULL AS VARCHAR) description,
+                  1.0::DOUBLE quantity, CAST(ts AS TIMESTAMP) invoice_ts, CAST(value AS DOUBLE) price, user_id customer_id,
+                  'NATION_0' country
+           FROM events WHERE event_type = 'purchase'),
+evx AS (SELECT * FROM ev_raw
+        WHERE customer_id IS NOT NULL AND NOT starts_with(invoice, 'C') AND quantity > 0 AND price > 0
+          AND stock_code NOT IN ('POST','D','M','BANK CHARGES','PADS','DOT','CRUK','C2','AMAZONFEE'))"""
+
+
+def with_events(body: str) -> str:
+    return f"WITH {EV_CTES},\n{body.strip()}"
+
+
+SQL["purchase_time_patterns_events"] = with_events(f"""
+cpt AS (SELECT customer_id,
+               AVG(CASE WHEN dayofweek(invoice_ts) IN (0, 6) THEN 1 ELSE 0 END) w,
+               AVG(hour(invoice_ts)) h,
+               AVG(CASE WHEN hour(invoice_ts) < 12 THEN 1 ELSE 0 END) m,
+               MAX(invoice_ts) l
+        FROM evx WHERE invoice_ts <= {E_OBS} GROUP BY customer_id)
+SELECT CASE WHEN l <= {E_DORMANT} THEN 'Churned' ELSE 'Active' END status, CAST(COUNT(*) AS BIGINT) customers,
+       {R2('AVG(w) * 100')} avg_weekend_pct, {R2('AVG(h)')} avg_purchase_hour, {R2('AVG(m) * 100')} avg_morning_pct
+FROM cpt GROUP BY 1""")
+
+SQL["time_to_second_purchase_events"] = with_events(f"""
+cp AS (SELECT customer_id, invoice_ts, invoice,
+              ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY invoice_ts, invoice) r
+       FROM evx GROUP BY customer_id, invoice_ts, invoice),
+ft AS (SELECT customer_id, MAX(CASE WHEN r = 1 THEN invoice_ts END) f, MAX(CASE WHEN r = 2 THEN invoice_ts END) s
+       FROM cp WHERE r <= 2 GROUP BY 1),
+tt AS (SELECT customer_id,
+              CASE WHEN s IS NULL THEN 'No second purchase' WHEN {FRAC('s','f')} <= 7 THEN '0-7 days'
+                   WHEN {FRAC('s','f')} <= 14 THEN '8-14 days' WHEN {FRAC('s','f')} <= 30 THEN '15-30 days'
+                   WHEN {FRAC('s','f')} <= 60 THEN '31-60 days' ELSE '60+ days' END time_to_second_bucket
+       FROM ft WHERE f <= {E_ACQ}),
+cl AS (SELECT customer_id, MAX(invoice_ts) l FROM evx GROUP BY 1)
+SELECT time_to_second_bucket, CAST(COUNT(*) AS BIGINT) customers,
+       CAST(SUM(CASE WHEN l <= {E_DORMANT} THEN 1 ELSE 0 END) AS BIGINT) churned,
+       {PCT('SUM(CASE WHEN l <= ' + E_DORMANT + ' THEN 1 ELSE 0 END)', 'COUNT(*)')} churn_rate_pct
+FROM tt JOIN cl USING (customer_id) GROUP BY 1""")
+
+SQL["churn_labels_events"] = with_events(f"""
+lab AS (SELECT customer_id,
+               CAST(1 - MAX(CAST(invoice_ts > {E_OBS} AND invoice_ts <= {E_END} AS INTEGER)) AS INTEGER) is_churned
+        FROM evx GROUP BY customer_id HAVING MIN(invoice_ts) <= {E_ELIG})
+SELECT * FROM lab""")

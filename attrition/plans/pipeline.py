@@ -66,7 +66,3 @@ def materialize_model_ready(tx: DataFrame, cal: ChurnCalendar, path: str) -> Dat
     df = stratified_split(model_ready(tx, cal))
     df.write.mode("overwrite").partitionBy("split").parquet(path)
     return tx.sparkSession.read.parquet(path)
-
-
-def train_part(model_ready_split: DataFrame) -> DataFrame:
-    return model_ready_split.where(F.col("split") == "train")

@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attrition.calendar import TESTDATA_CALENDAR as CAL
+from attrition.calendar import EVENTS_CALENDAR, TESTDATA_CALENDAR as CAL
 from attrition.operators import activity, behavior, churn, cohorts, cost, eda, features, labels, metrics, quality, segments
 from attrition.operators.clean import cleaning_waterfall
 from attrition.operators.clean import clean_transactions
-from attrition.sources.retail import retail_raw
+from attrition.sources.retail import events_purchases, retail_raw
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,12 @@ def _register_all() -> None:
     q["histogram_segment_probability"] = lambda spark, sf_dir: eda.clipped_histogram(
         segments.customer_segments(metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL)),
         "churn_probability", 20, "risk_segment")
+    # second transaction view: purchase events with sub-second timestamps
+    def on_events(fn):
+        return lambda spark, sf_dir: fn(clean_transactions(events_purchases(spark, sf_dir)), EVENTS_CALENDAR)
+    q["purchase_time_patterns_events"] = on_events(behavior.purchase_time_patterns)
+    q["time_to_second_purchase_events"] = on_events(churn.time_to_second_purchase)
+    q["churn_labels_events"] = on_events(labels.churn_labels)
     from attrition.plans.ml_queries import ML_QUERIES
     q.update(ML_QUERIES)
     q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
