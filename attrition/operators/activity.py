@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import frac_days, line_value, round_half_up, ts_lit, upper_bucket
 from attrition.operators.rank import grouped_median
-from attrition.operators.shapes import orders_ts, purchase_days, status_col
+from attrition.operators.shapes import day_gaps, orders_ts, status_col
 
 
 def _last_purchase(tx: DataFrame) -> DataFrame:
@@ -65,16 +65,17 @@ def revenue_windows_churned(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
 def purchase_gaps(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     """Days between consecutive purchase days, by status.
 
-    The window runs over (customer, day) rows, at most one per calendar day,
-    so even the largest customer is a small window partition.
+    One aggregation per customer collects the distinct purchase days (bounded
+    by the calendar, not by the number of lines; partial sets are merged
+    across tasks) together with the last purchase; the gaps come from array
+    functions on the sorted days, so there is no window and no join.
     """
-    days = purchase_days(tx)
-    w = Window.partitionBy("customer_id").orderBy("order_date")
-    gaps = (days.withColumn("_next", F.lead("order_date").over(w))
-                .where(F.col("_next").isNotNull())
-                .select("customer_id", F.datediff("_next", "order_date").cast("double").alias("gap")))
-    status = _last_purchase(tx).select("customer_id", status_col("last_ts", cal.observation).alias("status"))
-    g = gaps.join(status, "customer_id").groupBy("status").agg(
+    per = tx.groupBy("customer_id").agg(
+        F.array_sort(F.collect_set(F.to_date("invoice_ts"))).alias("days"),
+        F.max("invoice_ts").alias("last_ts"))
+    gaps = per.select(status_col("last_ts", cal.observation).alias("status"),
+                      F.explode(day_gaps("days")).alias("g")).select("status", F.col("g").cast("double").alias("gap"))
+    g = gaps.groupBy("status").agg(
         F.sum("gap").alias("_sum"), F.count(F.lit(1)).alias("total_gaps"),
         F.median("gap").alias("_med"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
     return g.select("status",

@@ -11,18 +11,23 @@ from attrition.functions.timeutil import line_value, pct, round_half_up
 
 def cohort_retention(tx: DataFrame, cal: ChurnCalendar | None = None, max_months: int = 12) -> DataFrame:
     """Cohort = month of first purchase; share of the cohort active in each of
-    the following ``max_months`` months."""
+    the following ``max_months`` months.
+
+    One aggregation per customer collects the distinct active months (at most
+    one per month of history, merged from partial sets); the cohort is the
+    smallest of them, so no join of activity and cohorts is needed.
+    """
     month = F.trunc(F.col("invoice_ts").cast("date"), "month")
-    activity = tx.select("customer_id", month.alias("activity_month")).distinct()
-    cohorts = tx.groupBy("customer_id").agg(F.min(month).alias("cohort_month"))
-    sizes = cohorts.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+    per = tx.groupBy("customer_id").agg(F.collect_set(month).alias("months"))
+    per = per.select(F.array_min("months").alias("cohort_month"), "months")
     months = ((F.year("activity_month") - F.year("cohort_month")) * 12
               + (F.month("activity_month") - F.month("cohort_month")))
-    cr = (activity.join(cohorts, "customer_id")
-                  .withColumn("months_since_join", months.cast("int"))
-                  .where(F.col("months_since_join") <= max_months)
-                  .groupBy("cohort_month", "activity_month", "months_since_join")
-                  .agg(F.count(F.lit(1)).alias("active_customers")))
+    act = per.select("cohort_month", F.explode("months").alias("activity_month"))
+    cr = (act.withColumn("months_since_join", months.cast("int"))
+             .where(F.col("months_since_join") <= max_months)
+             .groupBy("cohort_month", "activity_month", "months_since_join")
+             .agg(F.count(F.lit(1)).alias("active_customers")))
+    sizes = per.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
     # sizes: one row per month of history -> small
     return (cr.join(F.broadcast(sizes), "cohort_month")
               .orderBy("cohort_month", "months_since_join")

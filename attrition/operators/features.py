@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import line_value, micros, round_stat, ts_lit, whole_days
-from attrition.operators.shapes import until
+from attrition.operators.shapes import day_gaps, until
 
 RECENCY = ("recency_days", "tenure_days", "active_period_days", "recency_ratio", "is_recent_30d")
 FREQUENCY = ("total_orders", "total_transactions", "active_days", "orders_per_month",
@@ -59,14 +59,15 @@ def _baskets(hist: DataFrame) -> DataFrame:
 
 
 def _days(hist: DataFrame) -> DataFrame:
-    """Active days and the sample std of whole-day gaps between them.  Days
-    come from the basket shape; the window runs over (customer, day) rows,
-    bounded by the calendar, not by the customer's number of lines."""
-    d = _baskets(hist).select("customer_id", F.to_date("invoice_ts").alias("d")).distinct()
-    w = Window.partitionBy("customer_id").orderBy("d")
-    gaps = d.withColumn("gap", F.datediff(F.col("d"), F.lag("d").over(w)).cast("double"))
-    return gaps.groupBy("customer_id").agg(F.count(F.lit(1)).alias("active_days"),
-                                           F.stddev_samp("gap").alias("interval_std"))
+    """Active days and the sample std of whole-day gaps between them, from
+    one per-customer set of purchase days (bounded by the calendar; partial
+    sets merged across tasks).  The gaps' statistics are aggregated on the
+    same customer partitioning, so no further shuffle happens."""
+    per = hist.groupBy("customer_id").agg(F.array_sort(F.collect_set(F.to_date("invoice_ts"))).alias("days"))
+    gaps = per.select("customer_id", F.size("days").alias("active_days"),
+                      F.explode_outer(day_gaps("days")).alias("gap"))
+    return gaps.groupBy("customer_id").agg(F.max("active_days").cast("bigint").alias("active_days"),
+                                           F.stddev_samp(F.col("gap").cast("double")).alias("interval_std"))
 
 
 def features_recency(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:

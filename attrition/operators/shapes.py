@@ -46,6 +46,14 @@ def purchase_days(tx: DataFrame) -> DataFrame:
     return tx.select("customer_id", F.to_date("invoice_ts").alias("order_date")).distinct()
 
 
+def day_gaps(dates_col: str) -> "F.Column":
+    """Whole-day gaps between consecutive entries of a sorted date array."""
+    d = F.col(dates_col)
+    n = F.size(d)
+    return F.when(n > 1, F.zip_with(F.slice(d, 2, n), F.slice(d, 1, n - 1),
+                                    lambda a, b: F.datediff(a, b))).otherwise(F.array().cast("array<int>"))
+
+
 def status_col(last_col: str, cutoff) -> "F.Column":
     return F.when(F.col(last_col) <= ts_lit(cutoff), F.lit("Churned")).otherwise(F.lit("Active"))
 
