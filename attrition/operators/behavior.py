@@ -140,7 +140,7 @@ def velocity_change(tx: DataFrame, cal: ChurnCalendar, first_days: int = 90,
     span = t.groupBy("customer_id").agg(F.min("invoice_ts").alias("first_ts"), F.max("invoice_ts").alias("last_ts"))
     span = span.where(frac_days("last_ts", "first_ts") >= min_lifetime)
     d = frac_days("invoice_ts", "first_ts")
-    per_inv = (t.select("customer_id", "invoice", "invoice_ts").join(span, "customer_id")
+    per_inv = (t.select("customer_id", "invoice", "invoice_ts").distinct().join(span, "customer_id")
                 .groupBy("customer_id", "invoice")
                 .agg(F.max(F.when(d <= first_days, 1).otherwise(0)).alias("f"),
                      F.max(F.when(d.between(next_from, next_to), 1).otherwise(0)).alias("n"),

@@ -164,7 +164,7 @@ def time_to_second_purchase(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     key = F.struct(F.col("invoice_ts").alias("ts"), F.col("invoice").alias("inv"))
     first = tx.groupBy("customer_id").agg(F.min(key).alias("_first"),
                                           F.max("invoice_ts").alias("last_ts"))
-    second = (tx.select("customer_id", key.alias("_k"))
+    second = (tx.select("customer_id", key.alias("_k")).distinct()
                 .join(first.select("customer_id", "_first"), "customer_id")
                 .where(F.col("_k") > F.col("_first"))
                 .groupBy("customer_id").agg(F.min("_k").alias("_second")))
