@@ -173,3 +173,25 @@ def register_views(spark, sf_dir):
 
 
 ML_QUERIES["register_views"] = register_views
+
+
+def coefficient_ranking(spark, sf_dir):
+    """Top-15 logistic coefficients by absolute value."""
+    return models.coefficient_ranking(_fit(spark, sf_dir, "logistic")[0], spark)
+
+
+def feature_importance(spark, sf_dir):
+    """Top-15 importances of the forest and of the boosted trees."""
+    parts = [models.feature_importance(_fit(spark, sf_dir, n)[0], spark).withColumn("model", F.lit(n))
+             for n in ("random_forest", "boosted_trees")]
+    return parts[0].unionByName(parts[1])
+
+
+def write_table(spark, sf_dir):
+    """The clean table written by the pipeline writer (skew-checked layout) and read back."""
+    from attrition.plans.pipeline import materialize_transactions
+    return materialize_transactions(_clean(spark, sf_dir), io.scratch_path(spark, "transactions-clean"))
+
+
+ML_QUERIES.update({"coefficient_ranking": coefficient_ranking, "feature_importance": feature_importance,
+                   "write_table": write_table})

@@ -995,3 +995,6 @@ lab AS (SELECT customer_id,
                CAST(1 - MAX(CAST(invoice_ts > {E_OBS} AND invoice_ts <= {E_END} AS INTEGER)) AS INTEGER) is_churned
         FROM evx GROUP BY customer_id HAVING MIN(invoice_ts) <= {E_ELIG})
 SELECT * FROM lab""")
+SQL["risk_segment"] = SQL["customer_segments"]
+SQL["clipped_histogram"] = SQL["histogram_orders"]
+SQL["write_table"] = SQL["clean_transactions"]

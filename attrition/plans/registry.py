@@ -112,6 +112,9 @@ def _register_all() -> None:
     q["churn_labels_events"] = on_events(labels.churn_labels)
     from attrition.plans.ml_queries import ML_QUERIES
     q.update(ML_QUERIES)
+    # inventory names served by the operators above
+    q["risk_segment"] = q["customer_segments"]
+    q["clipped_histogram"] = q["histogram_orders"]
     q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
 
 
