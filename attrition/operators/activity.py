@@ -118,12 +118,22 @@ def recent_vs_historical_order_value(tx: DataFrame, cal: ChurnCalendar,
 
 def product_diversity_shift(tx: DataFrame, cal: ChurnCalendar, recent_days: int = 60) -> DataFrame:
     """Distinct products in the last ``recent_days`` before the last purchase
-    vs before that, for churned customers."""
-    lines = tx.select("customer_id", "stock_code", "invoice_ts").join(_churned_last(tx, cal), "customer_id")
-    period = F.when(frac_days("last_ts", "invoice_ts") <= recent_days, F.lit("Last 60 days")).otherwise(
-        F.lit("Historical"))
-    per = (lines.select("customer_id", period.alias("period"), "stock_code")
-                .groupBy("customer_id", "period").agg(F.count_distinct("stock_code").alias("unique_products")))
+    vs before that, for churned customers.
+
+    A product counts in the recent period when its latest purchase is within
+    the window and in the historical period when its earliest is before it, so
+    only the (customer, product) first/last purchase meets the per-customer
+    table instead of every line.
+    """
+    prod = tx.groupBy("customer_id", "stock_code").agg(F.min("invoice_ts").alias("p_first"),
+                                                       F.max("invoice_ts").alias("p_last"))
+    j = prod.join(_churned_last(tx, cal), "customer_id")
+    per = j.groupBy("customer_id").agg(
+        F.count_if(frac_days("last_ts", "p_last") <= recent_days).alias("recent"),
+        F.count_if(frac_days("last_ts", "p_first") > recent_days).alias("historical"))
+    arr = F.array(F.struct(F.lit("Last 60 days").alias("period"), F.col("recent").alias("unique_products")),
+                  F.struct(F.lit("Historical").alias("period"), F.col("historical").alias("unique_products")))
+    per = per.select(F.inline(arr)).where(F.col("unique_products") > 0)
     g = per.groupBy("period").agg(F.count(F.lit(1)).alias("customers"),
                                   F.sum("unique_products").alias("_s"),
                                   F.median(F.col("unique_products").cast("double")).alias("_m"))

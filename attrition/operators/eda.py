@@ -77,7 +77,9 @@ def activity_windows(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     """Orders and revenue by whole days before each customer's last purchase,
     for churned and active customers in one pass."""
     s = eligible_summary(tx, cal).select("customer_id", "last_purchase", F.col("status").alias("customer_type"))
-    lines = tx.select("customer_id", "invoice", "invoice_ts", line_value().alias("lv")).join(s, "customer_id")
+    # baskets (not lines) meet the per-customer table
+    baskets = tx.groupBy("customer_id", "invoice", "invoice_ts").agg(F.sum(line_value()).alias("lv"))
+    lines = baskets.join(s, "customer_id")
     label, order = upper_bucket(whole_days("last_purchase", "invoice_ts"), WINDOW_BOUNDS, WINDOW_LABELS)
     g = (lines.groupBy("customer_type", label.alias("time_window"), (-order).alias("_o"))
               .agg(F.count_distinct("customer_id").alias("unique_customers"),

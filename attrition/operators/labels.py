@@ -41,25 +41,25 @@ def churn_labels(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
 
 def is_churned_at(tx: DataFrame, snapshots: Sequence[dt.date], window_days: int = 60,
                   min_history_days: int = 60) -> DataFrame:
-    """Labels for many observation dates in one job.
+    """Labels for many observation dates in one pass over the lines.
 
-    The snapshot table has one row per date (a handful), so it is broadcast;
-    each customer is checked against every snapshot with range conditions on
-    its first purchase and on the purchase times in the look-forward window.
+    The snapshot list is a parameter (a handful of dates), so each snapshot
+    becomes one conditional flag in a single per-customer aggregation - no
+    join of the lines with the snapshots at all - and the flags are
+    unpivoted into (obs_date, customer) rows.
     """
-    spark = tx.sparkSession
-    snaps = spark.createDataFrame([(d,) for d in snapshots], "obs_date date").select(
-        F.col("obs_date"), F.col("obs_date").cast("timestamp_ntz").alias("_obs"))
-    snaps = snaps.select("obs_date", "_obs",
-                         F.timestamp_add("DAY", F.lit(window_days), F.col("_obs")).alias("_end"),
-                         F.timestamp_add("DAY", F.lit(-min_history_days), F.col("_obs")).alias("_elig"))
-    first = tx.groupBy("customer_id").agg(F.min("invoice_ts").alias("first_purchase"))
-    elig = first.join(F.broadcast(snaps), F.col("first_purchase") <= F.col("_elig")).select("customer_id", "obs_date")
-    active = (tx.select("customer_id", "invoice_ts")
-                .join(F.broadcast(snaps), (F.col("invoice_ts") > F.col("_obs")) & (F.col("invoice_ts") <= F.col("_end")))
-                .select("customer_id", "obs_date").distinct().withColumn("_a", F.lit(1)))
-    return (elig.join(active, ["customer_id", "obs_date"], "left")
-                .select("obs_date", "customer_id", F.when(F.col("_a").isNull(), 1).otherwise(0).alias("is_churned")))
+    aggs = [F.min("invoice_ts").alias("first_purchase")]
+    for i, d in enumerate(snapshots):
+        obs = ts_lit(d)
+        end = ts_lit(d + dt.timedelta(days=window_days))
+        aggs.append(F.max(((F.col("invoice_ts") > obs) & (F.col("invoice_ts") <= end)).cast("int")).alias(f"_a{i}"))
+    per = tx.groupBy("customer_id").agg(*aggs)
+    arr = F.array(*[F.struct(F.lit(d).alias("obs_date"),
+                             (F.col("first_purchase") <= ts_lit(d - dt.timedelta(days=min_history_days))).alias("eligible"),
+                             (1 - F.col(f"_a{i}")).cast("int").alias("is_churned"))
+                    for i, d in enumerate(snapshots)])
+    return (per.select("customer_id", F.inline(arr)).where(F.col("eligible"))
+               .select("obs_date", "customer_id", "is_churned"))
 
 
 def label_distribution(tx: DataFrame, cal: ChurnCalendar, imbalance_limit: float = 3.0) -> DataFrame:
