@@ -98,24 +98,27 @@ def cost_breakdown(scores: DataFrame, costs: CostModel = CostModel(), group_cols
 
 
 def scenario_comparison(scores: DataFrame, costs: CostModel = CostModel(), group_cols: Sequence[str] = ("model",)) -> DataFrame:
-    """No model (every churner lost) vs threshold 0.5 vs the optimal threshold."""
+    """No model (every churner lost) vs threshold 0.5 vs the optimal threshold.
+
+    The churner count is tp + fn of any threshold row, so the no-model row
+    and the savings come from the two threshold rows themselves; the
+    default cost for 'savings vs default' is read with a window over the
+    three rows of each group."""
     d, o = _default_and_optimal(scores, costs, group_cols)
-    base = scores.groupBy(*group_cols).agg((F.sum(Y) * costs.cost_fn).cast("double").alias("baseline_cost"),
-                                           F.sum(Y).alias("churners"))
-    rows = (base.select(*group_cols, F.lit("no_model").alias("scenario"), F.lit(None).cast("double").alias("threshold"),
-                        F.lit(0).cast("bigint").alias("churners_caught"), F.lit(0).cast("bigint").alias("false_alarms"),
-                        F.col("baseline_cost").alias("total_cost"))
-            .unionByName(d.select(*group_cols, F.lit("default").alias("scenario"), "threshold",
-                                  F.col("tp").alias("churners_caught"), F.col("fp").alias("false_alarms"), "total_cost"))
-            .unionByName(o.select(*group_cols, F.lit("optimal").alias("scenario"), "threshold",
-                                  F.col("tp").alias("churners_caught"), F.col("fp").alias("false_alarms"), "total_cost")))
-    default_cost = d.select(*group_cols, F.col("total_cost").alias("_default_cost"))
-    return (rows.join(base.select(*group_cols, "baseline_cost"), list(group_cols))
-                .join(default_cost, list(group_cols))
-                .withColumn("savings_vs_no_model", F.col("baseline_cost") - F.col("total_cost"))
-                .withColumn("savings_vs_default", F.when(F.col("scenario") == "optimal",
-                                                         F.col("_default_cost") - F.col("total_cost")))
-                .drop("baseline_cost", "_default_cost"))
+    cols = lambda name: [*group_cols, F.lit(name).alias("scenario"), "threshold",
+                         F.col("tp").alias("churners_caught"), F.col("fp").alias("false_alarms"), "total_cost",
+                         ((F.col("tp") + F.col("fn")) * costs.cost_fn).cast("double").alias("_baseline")]
+    none = d.select(*group_cols, F.lit("no_model").alias("scenario"), F.lit(None).cast("double").alias("threshold"),
+                    F.lit(0).cast("bigint").alias("churners_caught"), F.lit(0).cast("bigint").alias("false_alarms"),
+                    ((F.col("tp") + F.col("fn")) * costs.cost_fn).cast("double").alias("total_cost"),
+                    ((F.col("tp") + F.col("fn")) * costs.cost_fn).cast("double").alias("_baseline"))
+    rows = none.unionByName(d.select(*cols("default"))).unionByName(o.select(*cols("optimal")))
+    # three rows per group
+    w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+    default_cost = F.max(F.when(F.col("scenario") == "default", F.col("total_cost"))).over(w)
+    return (rows.withColumn("savings_vs_no_model", F.col("_baseline") - F.col("total_cost"))
+                .withColumn("savings_vs_default", F.when(F.col("scenario") == "optimal", default_cost - F.col("total_cost")))
+                .drop("_baseline"))
 
 
 def _roi_cols(costs: CostModel):

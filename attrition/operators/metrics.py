@@ -48,19 +48,23 @@ def confusion_matrix(scores: DataFrame, threshold: float = 0.5, group_cols: Sequ
     return confusion_counts(scores, threshold, group_cols)
 
 
-def _ranking_stats(scores: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+def _evaluation_counts(scores: DataFrame, threshold: float, group_cols: Sequence[str]) -> DataFrame:
+    """One row per group with confusion counts at ``threshold`` and the sums
+    behind ROC-AUC / average precision, all from one aggregation over the
+    per-score running sums (no join between per-group tables)."""
     per = scores.groupBy(*group_cols, P).agg(F.sum(Y).alias("pos"), (F.count(F.lit(1)) - F.sum(Y)).alias("neg"))
     cum = grouped_running_sums(per, list(group_cols), [F.col(P).desc()], ["pos", "neg"])
-    return cum.groupBy(*group_cols).agg(
+    above = F.col(P) >= F.lit(float(threshold))
+    c = cum.groupBy(*group_cols).agg(
         F.sum("pos").alias("n1"), F.sum("neg").alias("n0"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.col("pos") * F.col("neg_cum")).alias("s1"), F.sum(F.col("pos") * F.col("neg")).alias("s2"),
         F.sum(F.col("pos") * F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("s3"))
+    return c.select("*", (F.col("n1") - F.col("tp")).alias("fn"), (F.col("n0") - F.col("fp")).alias("tn"))
 
 
-def evaluate_scores(scores: DataFrame, threshold: float = 0.5, group_cols: Sequence[str] = ("model",)) -> DataFrame:
-    c = confusion_counts(scores, threshold, group_cols)
-    r = _ranking_stats(scores, group_cols)
-    m = c.join(r, list(group_cols))
+def _metric_cols():
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     prec = _div(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = _div(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -68,9 +72,13 @@ def evaluate_scores(scores: DataFrame, threshold: float = 0.5, group_cols: Seque
     n1n0 = (F.col("n1") * F.col("n0")).cast("double")
     auc = F.try_divide(n1n0 - F.col("s1") + 0.5 * F.col("s2"), n1n0)
     ap = F.try_divide(F.col("s3"), F.col("n1").cast("double"))
-    return m.select(*group_cols, n.alias("n"), round_stat(_div(F.col("tp") + F.col("tn"), n)).alias("accuracy"),
-                    round_stat(prec).alias("precision"), round_stat(rec).alias("recall"),
-                    round_stat(f1).alias("f1"), round_stat(auc).alias("roc_auc"), round_stat(ap).alias("pr_auc"))
+    return [n.alias("n"), round_stat(_div(F.col("tp") + F.col("tn"), n)).alias("accuracy"),
+            round_stat(prec).alias("precision"), round_stat(rec).alias("recall"),
+            round_stat(f1).alias("f1"), round_stat(auc).alias("roc_auc"), round_stat(ap).alias("pr_auc")]
+
+
+def evaluate_scores(scores: DataFrame, threshold: float = 0.5, group_cols: Sequence[str] = ("model",)) -> DataFrame:
+    return _evaluation_counts(scores, threshold, group_cols).select(*group_cols, *_metric_cols())
 
 
 def roc_curve(scores: DataFrame, group_cols: Sequence[str] = ("model",)) -> DataFrame:
@@ -104,14 +112,12 @@ def metric_targets(scores: DataFrame, threshold: float = 0.5, group_cols: Sequen
     """Evaluation at ``threshold`` against the success targets, one row per metric."""
     from attrition.calendar import CostModel
     costs = costs or CostModel()
-    e = evaluate_scores(scores, threshold, group_cols)
-    c = confusion_counts(scores, threshold, group_cols)
     saved = F.col("tp") * costs.retention_success_rate
     spend = (F.col("tp") + F.col("fp")) * costs.incentive_cost
-    biz = c.select(*group_cols,
-                   round_stat(F.try_divide(spend, saved)).alias("cost_per_retained_customer"),
-                   round_stat(F.try_divide(saved * costs.customer_lifetime_value, spend)).alias("intervention_roi"))
-    m = e.join(biz, list(group_cols))
+    m = _evaluation_counts(scores, threshold, group_cols).select(
+        *group_cols, *_metric_cols(),
+        round_stat(F.try_divide(spend, saved)).alias("cost_per_retained_customer"),
+        round_stat(F.try_divide(saved * costs.customer_lifetime_value, spend)).alias("intervention_roi"))
     targets = METRIC_TARGETS + BUSINESS_TARGETS
     arr = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"), F.lit(t).alias("target"),
                              F.lit(d).alias("direction")) for n, t, d in targets])
