@@ -150,14 +150,17 @@ SPECIAL_CODE_PATTERN = r"^\d+[A-Za-z]?$"
 
 def special_stock_codes(df: DataFrame, top_k: int = 20) -> DataFrame:
     """Codes that are not 'digits plus optional letter': top ``top_k`` by rows
-    (ties by code) with the overall count and share of special-code rows."""
+    (ties by code) with the overall count and share of special-code rows.
+
+    One aggregation per stock code (bounded by the catalogue, not by the
+    rows) feeds the top-k and both totals; the totals' subqueries reuse its
+    exchange instead of scanning the table again."""
     is_special = ~F.coalesce(F.col("stock_code").cast("string").rlike(SPECIAL_CODE_PATTERN), F.lit(False))
-    sp = df.where(is_special)
-    total_special = sp.select(F.count(F.lit(1))).scalar()
-    total_rows = df.select(F.count(F.lit(1))).scalar()
-    top = (sp.groupBy("stock_code").agg(F.count(F.lit(1)).alias("transactions"))
-             .orderBy(F.col("transactions").desc(), "stock_code").limit(top_k))
-    return top.select("stock_code", "transactions", total_special.alias("total_special_rows"),
+    per_code = df.groupBy("stock_code", is_special.alias("_special")).agg(F.count(F.lit(1)).alias("transactions"))
+    total_special = per_code.where(F.col("_special")).select(F.sum("transactions")).scalar()
+    total_rows = per_code.select(F.sum("transactions")).scalar()
+    top = (per_code.where(F.col("_special")).orderBy(F.col("transactions").desc(), "stock_code").limit(top_k))
+    return top.select("stock_code", "transactions", total_special.cast("bigint").alias("total_special_rows"),
                       pct(total_special, total_rows).alias("total_special_pct"))
 
 
