@@ -173,9 +173,10 @@ def impact_scenario(params: DataFrame, costs: CostModel = CostModel()) -> DataFr
 def observed_impact_scenario(scores: DataFrame, costs: CostModel = CostModel(),
                              group_cols: Sequence[str] = ("model",)) -> DataFrame:
     """The what-if scenario with the scored population's own numbers: size,
-    churn rate, and recall and false alarms at the optimal threshold."""
+    churn rate, and recall and false alarms at the optimal threshold (all
+    read from the optimal threshold's confusion counts, so no join)."""
     o = optimal_threshold(scores, costs, group_cols)
-    base = scores.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("customers"),
-                                           (F.sum(Y) / F.count(F.lit(1))).alias("churn_rate"))
-    params = base.join(o.select(*group_cols, "recall", F.col("fp").alias("false_alarms")), list(group_cols))
+    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    params = o.select(*group_cols, n.alias("customers"), ((F.col("tp") + F.col("fn")) / n).alias("churn_rate"),
+                      "recall", F.col("fp").alias("false_alarms"))
     return impact_scenario(params, costs)

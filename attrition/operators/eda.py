@@ -126,16 +126,29 @@ def clipped_histogram(df: DataFrame, value_col: str, bins: int, group_col: str |
         x = F.least(x, F.lit(float(upper)))
     g = F.col(group_col) if group_col else F.lit("all")
     v = df.select(g.alias("group"), x.alias("x")).where(F.col("x").isNotNull())
-    edges = v.groupBy("group").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count(F.lit(1)).alias("n"))
-    edges = (edges.withColumn("lo", F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")))
-                  .withColumn("hi", F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))))
+    stats = v.groupBy("group").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count(F.lit(1)).alias("n"))
+
+    def lo_hi(mn, mx):
+        return (F.when(mn == mx, mn - 0.5).otherwise(mn).alias("lo"),
+                F.when(mn == mx, mx + 0.5).otherwise(mx).alias("hi"))
+
+    if group_col:
+        edges = stats.select("group", "n", *lo_hi(F.col("mn"), F.col("mx")))
+        # one row per group (statuses, segments): bounded broadcast
+        placed = v.join(F.broadcast(edges.select("group", "lo", "hi")), "group")
+    else:
+        # one group: its edges are scalars, so nothing is joined on a constant key
+        mn, mx = stats.select("mn").scalar(), stats.select("mx").scalar()
+        edges = stats.select("group", "n", *lo_hi(mn, mx))
+        placed = v.select("group", "x", *lo_hi(mn, mx))
     norm = F.lit(float(bins)) / (F.col("hi") - F.col("lo"))
     idx = F.least(F.floor((F.col("x") - F.col("lo")) * norm).cast("int"), F.lit(bins - 1))
-    counts = (v.join(F.broadcast(edges.select("group", "lo", "hi")), "group")
-               .groupBy("group", idx.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    counts = placed.groupBy("group", idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     grid = edges.select("group", "lo", "hi", "n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return (grid.join(counts, ["group", "bin"], "left")
+    join_keys = ["group", "bin"] if group_col else ["bin"]
+    counts = counts if group_col else counts.drop("group")
+    return (grid.join(counts, join_keys, "left")
                 .select("group", "bin",
                         round_stat(F.col("lo") + F.col("bin") * w).alias("bin_start"),
                         round_stat(F.col("lo") + (F.col("bin") + 1) * w).alias("bin_end"),

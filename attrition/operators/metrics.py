@@ -28,8 +28,11 @@ def heuristic_scores(tx: DataFrame, cal: ChurnCalendar, model: str = "recency_he
     """Deterministic score recency / (recency + window) joined with the labels."""
     r = features_recency(tx, cal).select(
         "customer_id", (F.col("recency_days") / (F.col("recency_days") + F.lit(float(cal.churn_window_days)))).alias(P))
+    # the model name is derived per row, so it behaves like data: a bare
+    # literal would let Catalyst fold per-model joins into cross joins
+    name = F.when(F.col("customer_id").isNotNull(), F.lit(model))
     return (r.join(churn_labels(tx, cal), "customer_id")
-             .select(F.lit(model).alias("model"), "customer_id", P, F.col("is_churned").alias(Y)))
+             .select(name.alias("model"), "customer_id", P, F.col("is_churned").alias(Y)))
 
 
 def _div(a, b):

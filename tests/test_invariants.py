@@ -118,6 +118,7 @@ def test_no_row_python_udf_or_cartesian(spark, key):
     plan = _plan(QUERIES[key](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
     # only pre-aggregated rows may be gathered in one task
     lines = plan.split("\n")
     for i, line in enumerate(lines):
