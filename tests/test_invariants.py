@@ -135,3 +135,17 @@ def test_layout_check_refuses_buckets_for_a_dominant_customer(spark, make_tx, tm
     out = materialize_transactions(tx, str(tmp_path / "t"), layout="auto", num_buckets=8)
     assert "Bucketed: true" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 90
+
+
+def test_approximate_profiles_are_close_to_exact(raw):
+    from attrition.operators.quality import cardinality, numeric_describe
+    exact = {r["column_name"]: r["unique_values"] for r in cardinality(raw).collect()}
+    approx = {r["column_name"]: r["unique_values"] for r in cardinality(raw, approx=True).collect()}
+    for c, n in exact.items():
+        assert abs(approx[c] - n) <= max(2, 0.05 * n)
+    e = {r["column_name"]: r for r in numeric_describe(raw).collect()}
+    a = {r["column_name"]: r for r in numeric_describe(raw, approx=True).collect()}
+    for c in ("quantity", "price"):
+        assert a[c]["count"] == e[c]["count"] and a[c]["min"] == e[c]["min"] and a[c]["max"] == e[c]["max"]
+        spread = e[c]["p99"] - e[c]["p1"]
+        assert abs(a[c]["p50"] - e[c]["p50"]) <= 0.05 * spread
