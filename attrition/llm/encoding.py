@@ -19,17 +19,16 @@ long as the text between two borders, whatever that is; nothing is truncated.
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
 
 import numpy as np
 
+from .token_counts import SAFE_BORDER
+
 #: Distinct units a worker's memo holds before it starts over; bounds its memory (about 150 MB).
 MEMO_UNITS = 600_000
-#: Units longer than this many bytes are encoded but not kept.
-MEMO_UNIT_BYTES = 64
 
-_BORDER = re.compile("(?<=[^\\s\x1c-\x1f\u0085᠎​﻿])(?=[ \n])")
-_TOKENIZERS: dict[str, "UnitEncoder"] = {}
+_ENCODERS: dict[str, "UnitEncoder"] = {}
 
 
 class _Memo(dict):
@@ -85,13 +84,13 @@ class UnitEncoder:
             lengths = np.fromiter(map(len, found), np.int32, len(found))
             total = int(lengths.sum())
             self.ids = self._grown(self.ids, self.n_ids + total)
-            self.ids[self.n_ids:self.n_ids + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+            self.ids[self.n_ids:self.n_ids + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
             self.starts[at:at + len(found)] = self.n_ids + np.cumsum(lengths) - lengths
             self.lengths[at:at + len(found)] = lengths
             self.n_ids += total
             at += len(found)
         if self.units == "spaces":
-            self.irregular[first:at] = [not t.strip(" \n") or t[-1].isspace() or t[-1] in "\u0085᠎​﻿"
+            self.irregular[first:at] = [not t.strip(" \n") or t[-1].isspace() or t[-1] in "\x85\u180e\u200b\ufeff"
                                         or t[:2].isspace() and len(t) > 1 for t in texts]
 
     def _cut(self, text: bytes) -> list[bytes]:
@@ -104,7 +103,10 @@ class UnitEncoder:
         return [parts[0]] * (parts[0] != b"") + [p if p[:1] == b"\n" else b" " + p for p in parts[1:]]
 
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit numbers of all texts, flat, and each text's count of units."""
+        """Unit numbers of all texts, flat, and each text's count of units.
+
+        A unit's number is only valid until the next call: a full memo starts over.
+        """
         if self.memo.size > MEMO_UNITS:
             self._reset()
         get = self.memo.__getitem__
@@ -112,20 +114,13 @@ class UnitEncoder:
         self._learn()
         if self.units == "spaces":
             counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.int64, int(counts.sum()))
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
             odd = np.unique(np.repeat(np.arange(len(found)), counts)[self.irregular[flat]])
             for k in odd:
-                found[k] = list(map(get, (u.encode() for u in _BORDER.split(texts[k].decode("utf-8", "replace")))))
+                found[k] = list(map(get, (u.encode() for u in SAFE_BORDER.split(texts[k].decode("utf-8", "replace")))))
             self._learn()
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int64, int(counts.sum())), counts
-
-    def token_counts(self, texts: list[bytes]) -> np.ndarray:
-        """Number of tokens of each text."""
-        flat, counts = self.numbers(texts)
-        totals = np.concatenate([[0], np.cumsum(self.lengths[flat], dtype=np.int64)])
-        ends = np.cumsum(counts)
-        return totals[ends] - totals[ends - counts]
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All token ids, flat, and the number of ids of each text."""
@@ -142,7 +137,7 @@ class UnitEncoder:
 def encoder(tokenizer_path: str, units: str) -> UnitEncoder:
     """The worker's encoder of this file; a reused worker keeps its memo."""
     key = f"{units}:{tokenizer_path}"
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = UnitEncoder(tokenizer_path, units)
-    return _TOKENIZERS[key]
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = UnitEncoder(tokenizer_path, units)
+    return _ENCODERS[key]

@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .binary_packing import binary_pieces
+from .common import scratch_path, table
+from .ngram_join import similarity_join
 from .quality_rules import quality_rules
+from .secret_scan import joined, secret_spans, spans_of
 from .sharding import uniform_shards
 from .token_counts import token_counts
+from .token_output import write_packed
+from .warc import read_archives, write_archives
 
 c = F.col
 
@@ -32,10 +37,47 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per matrix row, from the written files: its documents, borders and checksums of ids and positions."""
+    files = write_packed(table(spark, sf_dir, "documents"), scratch_path(spark, "packed"), units="spaces", end_id=50256,
+                         tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
+    return files.select("row_id", "doc_ids", "starts", "cu_seqlens", "n_tokens", F.crc32("ids").alias("ids_crc32"),
+                        F.crc32("position_ids").alias("positions_crc32"))
+
+
+def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = binary_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), units="words")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("assign", "access", "hex")
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(spans_of((k,))).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined().alias("spans"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), archives)
+    return (read_archives(spark, archives).filter("kind = 'record'")
+            .select(c("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                    c("refers_to").cast("long").alias("refers_to")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
+    "op4_ngram_join": op4_ngram_join,
+    "op5_token_output": op5_token_output,
+    "op6_binary_packing": op6_binary_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_warc": op8_warc,
 }
 
 # Measures, rules, priors and verdicts again from the definitions, on the bare documents.
@@ -75,4 +117,34 @@ FROM (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fa
       FROM measured m LEFT JOIN rejected r ON m.source = r.source)
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL}
+# What the archives must give back: every page once, with the smallest page of an equal long payload as its response.
+OP8_SQL = """
+SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN refers THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN refers THEN first END AS refers_to
+FROM (SELECT *, coalesce(strlen(html) >= 100 AND page_id > first, FALSE) AS refers
+      FROM (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
+"""
+
+# All pairs that share a shingle, and the classes by following links.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sized AS (
+  SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles
+), linked AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) = any_value(a.n) AND count(*) = any_value(b.n) AS same
+  FROM sized a JOIN sized b ON a.s = b.s GROUP BY 1, 2 HAVING 10 * count(*) >= 8 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT x, y FROM linked UNION SELECT r.x, l.y FROM reach r JOIN linked l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(c.id, d.doc_id) AS class_id, coalesce(k.id, d.doc_id) AS copy_id, coalesce(k.n, 0) AS n_links,
+       d.doc_id = coalesce(c.id, d.doc_id) AS class_first
+FROM documents d
+LEFT JOIN (SELECT x, min(y) AS id FROM reach GROUP BY x) c ON c.x = d.doc_id
+LEFT JOIN (SELECT x, min(y) FILTER (same) AS id, count(*) - 1 AS n FROM linked GROUP BY x) k ON k.x = d.doc_id
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_ngram_join": OP4_SQL, "op8_warc": OP8_SQL}
