@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .binary_packing import binary_pieces
 from .common import scratch_path, table
+from .exact_topk import top_k
+from .mixing import mixed
 from .ngram_join import similarity_join
 from .quality_rules import quality_rules
 from .secret_scan import joined, secret_spans, spans_of
@@ -69,6 +71,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                     c("refers_to").cast("long").alias("refers_to")))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -78,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_binary_packing": op6_binary_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_warc": op8_warc,
+    "op9_exact_topk": op9_exact_topk,
+    "op10_mixing": op10_mixing,
 }
 
 # Measures, rules, priors and verdicts again from the definitions, on the bare documents.
@@ -147,4 +160,17 @@ LEFT JOIN (SELECT x, min(y) AS id FROM reach GROUP BY x) c ON c.x = d.doc_id
 LEFT JOIN (SELECT x, min(y) FILTER (same) AS id, count(*) - 1 AS n FROM linked GROUP BY x) k ON k.x = d.doc_id
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_ngram_join": OP4_SQL, "op8_warc": OP8_SQL}
+# Every product of a query with every other vector, ranked.
+OP9_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), ranked AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id) AS r
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_ngram_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_topk": OP9_SQL}
