@@ -14,20 +14,24 @@ pre-token, so the ids of a text are the concatenated ids of its units:
 Units repeat heavily, so a worker keeps a bounded memo from unit to ids; the
 library encodes the units that are missing, many in one batch.  A unit is as
 long as the text between two borders, whatever that is; nothing is truncated.
+Punctuation after a letter or digit is a pre-token of its own, and the word
+tokenizer lowers case, so ``Word.`` is looked up as ``word`` and ``.``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
 
 from .token_counts import SAFE_BORDER
 
-#: Distinct units a worker's memo holds before it starts over; bounds its memory (about 150 MB).
-MEMO_UNITS = 600_000
+#: Distinct units a worker's memo holds before it starts over; bounds its memory (about 250 MB).
+MEMO_UNITS = 1_200_000
 
+_TAIL = re.compile("(.*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,!?;:#*$%&|]+)", re.DOTALL)
 _ENCODERS: dict[str, "UnitEncoder"] = {}
 
 
@@ -70,28 +74,56 @@ class UnitEncoder:
     def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
+    def _parts(self, unit: bytes) -> list[bytes] | None:
+        """Simpler units with the same ids, or None if the library has to encode this one."""
+        low = unit.lower() if self.units == "words" and b"<|" not in unit else unit  # ASCII letters only
+        tail = _TAIL.fullmatch(low.decode("utf-8", "replace"))
+        if tail:
+            return [tail[1].encode(), tail[2].encode()]
+        return None if low == unit else [low]
+
     def _learn(self) -> None:
         new = self.memo.new
         if not new:
             return
-        first, self.memo.new = self.memo.size - len(new), []
-        texts = [u.decode("utf-8", "replace") for u in new]
+        first, plain, built, parts = self.memo.size - len(new), [], [], []
+        for k, unit in enumerate(new):  # parts that are new themselves join the list while it is walked
+            simpler = self._parts(unit)
+            if simpler is None:
+                plain.append(k)
+            else:
+                built.append(k)
+                parts.append([self.memo[x] for x in simpler])
         for name in ("starts", "lengths", "irregular"):
             setattr(self, name, self._grown(getattr(self, name), self.memo.size))
-        at = first
-        for k in range(0, len(texts), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k:k + 4096], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int32, len(found))
-            total = int(lengths.sum())
-            self.ids = self._grown(self.ids, self.n_ids + total)
-            self.ids[self.n_ids:self.n_ids + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-            self.starts[at:at + len(found)] = self.n_ids + np.cumsum(lengths) - lengths
-            self.lengths[at:at + len(found)] = lengths
-            self.n_ids += total
-            at += len(found)
+        for k in range(0, len(plain), 4096):
+            at = np.array(plain[k:k + 4096])
+            texts = [new[i].decode("utf-8", "replace") for i in at]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._store(first + at, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        if built:
+            flat = np.fromiter(chain.from_iterable(parts), np.int64)
+            sizes = np.add.reduceat(self.lengths[flat], np.cumsum([0, *map(len, parts[:-1])]))
+            self._store(first + np.array(built), self._ids_of(flat), sizes)
         if self.units == "spaces":
-            self.irregular[first:at] = [not t.strip(" \n") or t[-1].isspace() or t[-1] in "\x85\u180e\u200b\ufeff"
-                                        or t[:2].isspace() and len(t) > 1 for t in texts]
+            self.irregular[first:self.memo.size] = [
+                not t.strip(" \n") or t[-1].isspace() or t[-1] in "\x85\u180e\u200b\ufeff" or t[:2].isspace() and len(t) > 1
+                for t in (u.decode("utf-8", "replace") for u in new)]
+        self.memo.new = []
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.ids = self._grown(self.ids, self.n_ids + len(ids))
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        self.starts[numbers] = self.n_ids + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.n_ids += len(ids)
+
+    def _ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of units one after another."""
+        lengths = self.lengths[numbers].astype(np.int64)
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[numbers] - (ends - lengths), lengths)]
 
     def _cut(self, text: bytes) -> list[bytes]:
         if not text:
@@ -125,13 +157,9 @@ class UnitEncoder:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All token ids, flat, and the number of ids of each text."""
         flat, counts = self.numbers(texts)
-        lengths = self.lengths[flat].astype(np.int64)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.starts[flat] - (ends - lengths), lengths)]
-        totals = np.concatenate([[0], ends])
+        totals = np.concatenate([[0], np.cumsum(self.lengths[flat], dtype=np.int64)])
         borders = np.cumsum(counts)
-        return ids, totals[borders] - totals[borders - counts]
+        return self._ids_of(flat), totals[borders] - totals[borders - counts]
 
 
 def encoder(tokenizer_path: str, units: str) -> UnitEncoder:
