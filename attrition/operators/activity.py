@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import frac_days, line_value, round_half_up, ts_lit, upper_bucket
 from attrition.operators.rank import grouped_median
-from attrition.operators.shapes import day_gaps, orders_ts, status_col
+from attrition.operators.shapes import day_gaps, orders_ts, status_col, with_customer
 
 
 def _last_purchase(tx: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def activity_windows_churned(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     """Churned customers' orders by time before their last purchase."""
     # baskets, not lines, meet the per-customer table: the join shuffle carries far fewer rows
     baskets = tx.select("customer_id", "invoice", "invoice_ts").distinct()
-    lines = baskets.join(_churned_last(tx, cal), "customer_id")
+    lines = with_customer(baskets, _churned_last(tx, cal), "invoice")
     label, order = upper_bucket(frac_days("last_ts", "invoice_ts"), ACTIVITY_BOUNDS, ACTIVITY_LABELS)
     g = (lines.select(label.alias("time_window"), (-order).alias("_o"), "customer_id", "invoice")
               .groupBy("time_window", "_o")
@@ -49,7 +49,7 @@ REVENUE_LABELS = ("Last 30 days", "31-60 days before", "61-90 days before", "90+
 def revenue_windows_churned(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     """Revenue per (customer, timestamp) of churned customers by window."""
     per_ts = tx.groupBy("customer_id", "invoice_ts").agg(F.sum(line_value()).alias("daily_revenue"))
-    rw = per_ts.join(_churned_last(tx, cal), "customer_id")
+    rw = with_customer(per_ts, _churned_last(tx, cal), "invoice_ts")
     label, order = upper_bucket(frac_days("last_ts", "invoice_ts"), REVENUE_BOUNDS, REVENUE_LABELS)
     w = rw.select(label.alias("time_window"), (-order).alias("_o"), "daily_revenue")
     # money values have an unbounded domain: exact median without gathering a window's values in one task
@@ -67,14 +67,13 @@ def revenue_windows_churned(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
 def purchase_gaps(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     """Days between consecutive purchase days, by status.
 
-    One aggregation per customer collects the distinct purchase days (bounded
-    by the calendar, not by the number of lines; partial sets are merged
-    across tasks) together with the last purchase; the gaps come from array
-    functions on the sorted days, so there is no window and no join.
+    The lines are first reduced to one row per customer and day by hash
+    aggregation; the days (bounded by the calendar) are collected from those.
+    The gaps come from array functions on the sorted days, so there is no
+    window and no join.
     """
-    per = tx.groupBy("customer_id").agg(
-        F.array_sort(F.collect_set(F.to_date("invoice_ts"))).alias("days"),
-        F.max("invoice_ts").alias("last_ts"))
+    days = tx.groupBy("customer_id", F.to_date("invoice_ts").alias("day")).agg(F.max("invoice_ts").alias("day_last"))
+    per = days.groupBy("customer_id").agg(F.array_sort(F.collect_list("day")).alias("days"), F.max("day_last").alias("last_ts"))
     gaps = per.select(status_col("last_ts", cal.observation).alias("status"),
                       F.explode(day_gaps("days")).alias("g")).select("status", F.col("g").cast("double").alias("gap"))
     g = gaps.groupBy("status").agg(
@@ -127,7 +126,7 @@ def product_diversity_shift(tx: DataFrame, cal: ChurnCalendar, recent_days: int
     """
     prod = tx.groupBy("customer_id", "stock_code").agg(F.min("invoice_ts").alias("p_first"),
                                                        F.max("invoice_ts").alias("p_last"))
-    j = prod.join(_churned_last(tx, cal), "customer_id")
+    j = with_customer(prod, _churned_last(tx, cal), "stock_code")
     per = j.groupBy("customer_id").agg(
         F.count_if(frac_days("last_ts", "p_last") <= recent_days).alias("recent"),
         F.count_if(frac_days("last_ts", "p_first") > recent_days).alias("historical"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import frac_days, line_value, pct, round_half_up, ts_lit
 from attrition.operators.rank import global_ntile, grouped_median
-from attrition.operators.shapes import status_col, until
+from attrition.operators.shapes import status_col, until, with_customer
 
 
 def _ratio(num: str, den: str):
@@ -113,10 +113,10 @@ def return_behavior(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
 def first_order_quality(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     """The first invoice is the string-smallest invoice number of the
     customer (not necessarily the earliest); its distinct products and value."""
-    base = tx.groupBy("customer_id").agg(
-        F.min("invoice_ts").alias("first_ts"),
-        F.min(F.col("invoice").cast("string")).alias("invoice"),
-        F.max("invoice_ts").alias("last_ts"))
+    # one row per invoice first (hash aggregation): the string minimum needs sort-based aggregation
+    invoices = tx.groupBy("customer_id", "invoice").agg(F.min("invoice_ts").alias("i_first"), F.max("invoice_ts").alias("i_last"))
+    base = invoices.groupBy("customer_id").agg(
+        F.min("i_first").alias("first_ts"), F.min("invoice").alias("invoice"), F.max("i_last").alias("last_ts"))
     base = base.where(F.col("first_ts") <= ts_lit(cal.dormant_cutoff))
     fo = (tx.select("customer_id", "invoice", "stock_code", line_value().alias("lv"))
             .join(base, ["customer_id", "invoice"])
@@ -140,7 +140,7 @@ def velocity_change(tx: DataFrame, cal: ChurnCalendar, first_days: int = 90,
     span = t.groupBy("customer_id").agg(F.min("invoice_ts").alias("first_ts"), F.max("invoice_ts").alias("last_ts"))
     span = span.where(frac_days("last_ts", "first_ts") >= min_lifetime)
     d = frac_days("invoice_ts", "first_ts")
-    per_inv = (t.select("customer_id", "invoice", "invoice_ts").distinct().join(span, "customer_id")
+    per_inv = (with_customer(t.select("customer_id", "invoice", "invoice_ts").distinct(), span, "invoice")
                 .groupBy("customer_id", "invoice")
                 .agg(F.max(F.when(d <= first_days, 1).otherwise(0)).alias("f"),
                      F.max(F.when(d.between(next_from, next_to), 1).otherwise(0)).alias("n"),

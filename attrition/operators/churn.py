@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import frac_days, pct, round_half_up, ts_lit, upper_bucket
 from attrition.operators.rank import global_ntile
-from attrition.operators.shapes import churn_flag, customer_base
+from attrition.operators.shapes import churn_flag, customer_base, with_customer
 
 
 def _rate_aggs():
@@ -159,13 +159,13 @@ def time_to_second_purchase(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
 
     Computed with two grouped minima instead of a per-customer window, so a
     customer with a very large share of the orders is still aggregated
-    map-side.
+    map-side.  The lines are reduced to distinct orders by hash aggregation
+    before the minima of structs, which only sort-based aggregation supports.
     """
     key = F.struct(F.col("invoice_ts").alias("ts"), F.col("invoice").alias("inv"))
-    first = tx.groupBy("customer_id").agg(F.min(key).alias("_first"),
-                                          F.max("invoice_ts").alias("last_ts"))
-    second = (tx.select("customer_id", key.alias("_k")).distinct()
-                .join(first.select("customer_id", "_first"), "customer_id")
+    orders = tx.select("customer_id", "invoice", "invoice_ts").distinct()
+    first = orders.groupBy("customer_id").agg(F.min(key).alias("_first"), F.max("invoice_ts").alias("last_ts"))
+    second = (with_customer(orders.select("customer_id", key.alias("_k")), first.select("customer_id", "_first"), "_k")
                 .where(F.col("_k") > F.col("_first"))
                 .groupBy("customer_id").agg(F.min("_k").alias("_second")))
     t = (first.join(second, "customer_id", "left")

@@ -13,12 +13,13 @@ def cohort_retention(tx: DataFrame, cal: ChurnCalendar | None = None, max_months
     """Cohort = month of first purchase; share of the cohort active in each of
     the following ``max_months`` months.
 
-    One aggregation per customer collects the distinct active months (at most
-    one per month of history, merged from partial sets); the cohort is the
+    Distinct (customer, month) rows come first, by hash aggregation; a customer's
+    months (at most one per month of history) are collected from those; the cohort is the
     smallest of them, so no join of activity and cohorts is needed.
     """
     month = F.trunc(F.col("invoice_ts").cast("date"), "month")
-    per = tx.groupBy("customer_id").agg(F.collect_set(month).alias("months"))
+    active = tx.select("customer_id", month.alias("month")).distinct()
+    per = active.groupBy("customer_id").agg(F.collect_list("month").alias("months"))
     per = per.select(F.array_min("months").alias("cohort_month"), "months")
     months = ((F.year("activity_month") - F.year("cohort_month")) * 12
               + (F.month("activity_month") - F.month("cohort_month")))

@@ -21,6 +21,7 @@ from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import (line_value, pct, round_half_up, round_stat, ts_lit, upper_bucket,
                                           whole_days)
 from attrition.operators.rank import prefix_sum
+from attrition.operators.shapes import with_customer
 
 
 def customer_summary(tx: DataFrame, cal: ChurnCalendar | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def activity_windows(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     s = eligible_summary(tx, cal).select("customer_id", "last_purchase", F.col("status").alias("customer_type"))
     # baskets (not lines) meet the per-customer table
     baskets = tx.groupBy("customer_id", "invoice", "invoice_ts").agg(F.sum(line_value()).alias("lv"))
-    lines = baskets.join(s, "customer_id")
+    lines = with_customer(baskets, s, "invoice")
     label, order = upper_bucket(whole_days("last_purchase", "invoice_ts"), WINDOW_BOUNDS, WINDOW_LABELS)
     g = (lines.groupBy("customer_type", label.alias("time_window"), (-order).alias("_o"))
               .agg(F.count_distinct("customer_id").alias("unique_customers"),

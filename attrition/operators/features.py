@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import line_value, micros, round_stat, ts_lit, whole_days
-from attrition.operators.shapes import day_gaps, until
+from attrition.operators.shapes import day_gaps, purchase_days, until, with_customer
 
 RECENCY = ("recency_days", "tenure_days", "active_period_days", "recency_ratio", "is_recent_30d")
 FREQUENCY = ("total_orders", "total_transactions", "active_days", "orders_per_month",
@@ -60,10 +60,9 @@ def _baskets(hist: DataFrame) -> DataFrame:
 
 def _days(hist: DataFrame) -> DataFrame:
     """Active days and the sample std of whole-day gaps between them, from
-    one per-customer set of purchase days (bounded by the calendar; partial
-    sets merged across tasks).  The gaps' statistics are aggregated on the
+    each customer's distinct purchase days (bounded by the calendar).  The gaps' statistics are aggregated on the
     same customer partitioning, so no further shuffle happens."""
-    per = hist.groupBy("customer_id").agg(F.array_sort(F.collect_set(F.to_date("invoice_ts"))).alias("days"))
+    per = purchase_days(hist).groupBy("customer_id").agg(F.array_sort(F.collect_list("order_date")).alias("days"))
     gaps = per.select("customer_id", F.size("days").alias("active_days"),
                       F.explode_outer(day_gaps("days")).alias("gap"))
     return gaps.groupBy("customer_id").agg(F.max("active_days").cast("bigint").alias("active_days"),
@@ -120,7 +119,7 @@ def features_trend(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     the 30 days before.  Baskets are pre-aggregated per (customer, invoice,
     timestamp) before meeting the per-customer span."""
     hist = history(tx, cal)
-    b = _baskets(hist).join(_span(hist), "customer_id")
+    b = with_customer(_baskets(hist), _span(hist), "invoice")
     # 2 (ts - first) <= last - first  <=>  ts <= midpoint, in exact microseconds
     early = (F.lit(2) * (micros("invoice_ts") - micros("first_ts"))) <= (micros("last_ts") - micros("first_ts"))
     last30 = F.col("invoice_ts") > ts_lit(cal.recent_cutoff)
@@ -153,10 +152,10 @@ def features_trend(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
 
 def features_engagement(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     hist = history(tx, cal)
-    first_key = F.when(F.col("country").isNotNull(), F.struct("invoice_ts", "invoice"))
-    c = hist.groupBy("customer_id").agg(
-        F.count_distinct("description").alias("unique_descriptions"),
-        F.min_by("country", first_key).alias("_country"))
+    # the string minimum is taken over distinct (country, order) rows: it needs sort-based aggregation
+    home = hist.where(F.col("country").isNotNull()).select("customer_id", "country", "invoice_ts", "invoice").distinct()
+    home = home.groupBy("customer_id").agg(F.min_by("country", F.struct("invoice_ts", "invoice")).alias("_country"))
+    c = hist.groupBy("customer_id").agg(F.count_distinct("description").alias("unique_descriptions")).join(home, "customer_id", "left")
     p = (hist.groupBy("customer_id", "stock_code").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("customer_id").agg(F.count(F.lit(1)).alias("unique_products"),
                                          F.max("n").alias("_max"), F.sum("n").alias("_sum")))

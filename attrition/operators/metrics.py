@@ -90,7 +90,7 @@ def roc_curve(scores: DataFrame, group_cols: Sequence[str] = ("model",)) -> Data
     per = scores.groupBy(*group_cols, P).agg(F.sum(Y).alias("pos"), (F.count(F.lit(1)) - F.sum(Y)).alias("neg"))
     cum = grouped_running_sums(per, list(group_cols), [F.col(P).desc()], ["pos", "neg"])
     tot = per.groupBy(*group_cols).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
-    pts = cum.join(F.broadcast(tot), list(group_cols)).select(
+    pts = cum.join(tot, list(group_cols)).select(
         *group_cols, F.col(P).alias("threshold"),
         round_stat(F.try_divide(F.col("neg_cum").cast("double"), F.col("n0").cast("double"))).alias("fpr"),
         round_stat(F.try_divide(F.col("pos_cum").cast("double"), F.col("n1").cast("double"))).alias("tpr"))

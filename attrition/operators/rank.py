@@ -115,7 +115,7 @@ def grouped_running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequen
     if group_cols:
         starts = g.groupBy(*group_cols).agg(
             *[F.min(F.col(f"{v}{suffix}") - F.col(v)).alias(f"_s_{v}") for v in value_cols])
-        out = g.join(F.broadcast(starts), list(group_cols))
+        out = g.join(starts, list(group_cols))
         for v in value_cols:
             out = out.withColumn(f"{v}{suffix}", F.col(f"{v}{suffix}") - F.col(f"_s_{v}"))
     else:
@@ -141,7 +141,7 @@ def grouped_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str
     cum = grouped_running_sums(per, list(group_cols), [F.col("_v").asc()], ["_c"])
     if group_cols:
         tot = per.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
-        j = cum.join(F.broadcast(tot), list(group_cols))
+        j = cum.join(tot, list(group_cols))
     else:
         j = cum.withColumn("_n", per.select(F.sum("_c")).scalar())
     lo_start = F.col("_c_cum") - F.col("_c")

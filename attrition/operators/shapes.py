@@ -46,6 +46,22 @@ def purchase_days(tx: DataFrame) -> DataFrame:
     return tx.select("customer_id", F.to_date("invoice_ts").alias("order_date")).distinct()
 
 
+#: Join keys that each customer's rows are spread over.
+CUSTOMER_SALTS = 16
+
+
+def with_customer(rows: DataFrame, per_customer: DataFrame, spread_by: str, salts: int = CUSTOMER_SALTS) -> DataFrame:
+    """Join ``rows`` to one row per customer without gathering a customer's rows in one task.
+
+    ``rows`` are salted by the hash of ``spread_by`` and the narrow per-customer
+    table is copied to every salt.  The adaptive skew split does not help here:
+    it needs two bare shuffles, and the per-customer side is an aggregate.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = per_customer.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["customer_id", "_salt"]).drop("_salt")
+
+
 def day_gaps(dates_col: str) -> "F.Column":
     """Whole-day gaps between consecutive entries of a sorted date array."""
     d = F.col(dates_col)
