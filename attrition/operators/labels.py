@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.calendar import ChurnCalendar
-from attrition.functions.timeutil import pct, round_half_up, ts_lit
+from attrition.functions.timeutil import pct, round_half_up, ts_lit, whole_days
 from attrition.operators.features import FEATURES, feature_matrix, history
 from attrition.operators.rank import global_rank
 
@@ -74,26 +74,34 @@ def label_distribution(tx: DataFrame, cal: ChurnCalendar, imbalance_limit: float
                     F.coalesce(ratio > imbalance_limit, F.lit(True)).alias("needs_rebalancing"))
 
 
-def leakage_checks(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
-    """Five named checks, each computed from the data in one pass."""
+#: The checks in order; each counts the rows that break it.
+LEAKAGE_CHECKS = ("recency_not_negative", "recency_recomputed", "active_buy_in_label_period", "churned_do_not_buy", "labels_known_once")
+
+
+def leakage_checks(feature_table: DataFrame, label_table: DataFrame, tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
+    """Assertions on a stored feature and label table against the transactions.
+
+    Features know nothing after the observation: no recency is negative, and
+    each equals the one recomputed from the purchases up to it.  Labels follow
+    the label period: an active customer bought in it, a churned one did not.
+    Every labelled customer was known at the observation and has one label.
+    """
     obs, end = ts_lit(cal.observation), ts_lit(cal.prediction_end)
-    hist = history(tx, cal)
-    fut = tx.where((F.col("invoice_ts") > obs) & (F.col("invoice_ts") <= end))
-    h = hist.agg(F.max("invoice_ts").alias("hist_max"), F.count_if(F.col("invoice_ts") > obs).alias("hist_late"))
-    f = fut.agg(F.min("invoice_ts").alias("fut_min"))
-    target_free = "is_churned" not in feature_matrix(tx, cal).columns
-    checks = h.select(
-        F.coalesce(F.col("hist_max") <= obs, F.lit(True)).alias("c1"),
-        F.coalesce(f.select("fut_min").scalar() > obs, F.lit(False)).alias("c2"),
-        (F.col("hist_late") == 0).alias("c3"),
-        (obs < end).alias("c4"),
-        F.lit(target_free).alias("c5"))
-    names = ["Features use only pre-observation data", "Labels use only post-observation data",
-             "No future timestamps in feature data", "Observation date before label period",
-             "Features dont contain target variable"]
-    arr = F.array(*[F.struct(F.lit(i + 1).alias("check_id"), F.lit(n).alias("check_name"), F.col(f"c{i + 1}").alias("passed"))
-                    for i, n in enumerate(names)])
-    return checks.select(F.inline(arr))
+    c = F.col
+    past = history(tx, cal).groupBy("customer_id").agg(whole_days(obs, F.max("invoice_ts")).alias("_days"))
+    future = tx.where((c("invoice_ts") > obs) & (c("invoice_ts") <= end)).select("customer_id").distinct().withColumn("_buys", F.lit(True))
+    feats = feature_table.select("customer_id", "recency_days").join(past, "customer_id", "left").agg(
+        F.count_if(c("recency_days") < 0).alias("v1"), F.count_if(~c("recency_days").eqNullSafe(c("_days"))).alias("v2"))
+    per_label = label_table.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(c("is_churned") == 0).alias("_active"), F.count_if(c("is_churned") == 1).alias("_churned"))
+    labs = per_label.join(future, "customer_id", "left").join(past, "customer_id", "left").agg(
+        F.coalesce(F.sum(F.when(c("_buys").isNull(), c("_active"))), F.lit(0)).alias("v3"),
+        F.coalesce(F.sum(F.when(c("_buys"), c("_churned"))), F.lit(0)).alias("v4"),
+        F.coalesce(F.sum(F.when(c("_days").isNull(), c("_n"))), F.lit(0)).alias("_unknown"), F.count_if(c("_n") > 1).alias("_twice"))
+    counts = [feats.select("v1").scalar(), feats.select("v2").scalar(), c("v3"), c("v4"), c("_unknown") + c("_twice")]
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("check_id"), F.lit(name).alias("check_name"), n.cast("bigint").alias("violations"))
+                     for i, (name, n) in enumerate(zip(LEAKAGE_CHECKS, counts))])
+    return labs.select(F.inline(rows)).withColumn("passed", c("violations") == 0)
 
 
 def model_ready(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:

@@ -112,6 +112,15 @@ def read_transactions_csv(spark, sf_dir):
     return io.read_transactions_csv(spark, path)
 
 
+def quarantined_rows(spark, sf_dir):
+    """Raw lines written as CSV with an unreadable quantity where the price is 0: what the reader puts aside."""
+    raw = retail_raw(spark, sf_dir)
+    broken = raw.withColumn("quantity", F.when(F.col("price") == 0, F.lit("n/a")).otherwise(F.col("quantity").cast("string")))
+    path, aside = io.write_transactions_csv(broken, io.scratch_path(spark, "broken-csv")), io.scratch_path(spark, "quarantine")
+    io.read_transactions_csv(spark, path, quarantine=aside)
+    return io.read_quarantine(spark, aside).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def verify_round_trip(spark, sf_dir):
     return io.verify_round_trip(_clean(spark, sf_dir), io.scratch_path(spark, "clean-parquet"))
 
@@ -154,25 +163,19 @@ ML_QUERIES["stream_clean_transactions"] = stream_clean_transactions
 
 
 def register_views(spark, sf_dir):
-    """SQL over registered views: the overall churn-rate statement written in
-    Spark SQL against a ``transactions_clean`` view of the cleaned table."""
+    """Spark SQL over a registered view of the cleaned table: buyers, orders and revenue by weekday."""
     io.register_views(spark, {"transactions_clean": _clean(spark, sf_dir)})
-    obs = f"TIMESTAMP_NTZ '{CAL.observation.isoformat()} 00:00:00'"
-    return spark.sql(f"""
-        WITH customer_last_purchase AS (
-            SELECT customer_id, MAX(invoice_ts) AS last_purchase_date, MIN(invoice_ts) AS first_purchase_date,
-                   COUNT(DISTINCT invoice) AS total_orders
-            FROM transactions_clean GROUP BY customer_id),
-        churn_labels AS (
-            SELECT total_orders, CASE WHEN last_purchase_date <= {obs} THEN 1 ELSE 0 END AS is_churned
-            FROM customer_last_purchase WHERE first_purchase_date <= {obs})
-        SELECT COUNT(*) AS total_customers, CAST(SUM(is_churned) AS BIGINT) AS churned_customers,
-               CAST(ROUND(CAST(100.0D * SUM(is_churned) / COUNT(*) AS DECIMAL(38,6)), 2) AS DOUBLE) AS churn_rate_pct,
-               CAST(SUM(total_orders) AS DOUBLE) / COUNT(*) AS avg_orders_per_customer
-        FROM churn_labels""")
+    return spark.sql("""
+        FROM (SELECT weekday(invoice_ts) + 1 AS weekday, customer_id, invoice, hour(invoice_ts) BETWEEN 9 AND 16 AS daytime,
+                     CAST(CAST(quantity AS DECIMAL(18,2)) * CAST(price AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS worth
+              FROM transactions_clean)
+        SELECT weekday, COUNT(DISTINCT customer_id) AS buyers, COUNT(DISTINCT invoice) AS orders,
+               CAST(SUM(worth) AS DOUBLE) AS revenue, CAST(COALESCE(SUM(worth) FILTER (WHERE daytime), 0) AS DOUBLE) AS daytime_revenue
+        GROUP BY weekday""")
 
 
 ML_QUERIES["register_views"] = register_views
+ML_QUERIES["quarantined_rows"] = quarantined_rows
 
 
 def coefficient_ranking(spark, sf_dir):
@@ -188,7 +191,7 @@ def feature_importance(spark, sf_dir):
 
 
 def write_table(spark, sf_dir):
-    """The clean table written by the pipeline writer (skew-checked layout) and read back."""
+    """The clean table written by the pipeline writer and read back."""
     from attrition.plans.pipeline import materialize_transactions
     return materialize_transactions(_clean(spark, sf_dir), io.scratch_path(spark, "transactions-clean"))
 

@@ -1,7 +1,6 @@
-"""Independent SQL (DuckDB dialect) for every oracle-checked operator.
+"""SQL (DuckDB dialect) for every oracle-checked operator.
 
-Each statement is written from the analysis definitions, not from the Spark
-code: the transactions view and its cleaning are spelled out once in
+Each statement is written from the definitions of the analysis: the transactions view and its cleaning are spelled out once in
 ``TX_CTES`` and prefixed to every statement.  Conventions shared with the
 Spark side so that values hash identically: counts as BIGINT, money summed
 as DECIMAL(18,2) then DOUBLE, averages as sum/count, and presentation
@@ -85,295 +84,260 @@ def register(key: str, body: str) -> None:
     SQL[key] = with_tx(body)
 
 
-# ---------------------------------------------------------------- churn rates
+# Shapes that the statements below share.  Bucket borders are tables of (label, above, up_to) that ages are matched to.
+PEOPLE = """people AS (
+  SELECT customer_id, MIN(invoice_ts) AS born, MAX(invoice_ts) AS seen, COUNT(DISTINCT invoice) AS orders, COUNT(*) AS lines,
+         SUM({lv}) AS spent
+  FROM tx GROUP BY customer_id)""".format(lv=LV)
+
+
+def ranges(name: str, rows: list[tuple[str, float | None]], start: float = -1e18) -> str:
+    """A CTE of half-open intervals ``above < x <= up_to``; the last has no upper end."""
+    low, out = start, []
+    for label, high in rows:
+        out.append(f"('{label}', {low}::DOUBLE, {'1e18' if high is None else high}::DOUBLE)")
+        low = high
+    return f"{name}(label, above, up_to) AS (VALUES {', '.join(out)})"
+
+
+def status(column: str, cutoff: str) -> str:
+    return f"IF({column} <= {cutoff}, 'Churned', 'Active')"
+
+
+def within(x: str) -> str:
+    return f"{x} > above AND {x} <= up_to"
+
+
+# ---------------------------------------------------------------- churn rates (fixed values: bucket labels and borders)
 register("churn_rate_overall", f"""
-base AS (SELECT customer_id, MIN(invoice_ts) f, MAX(invoice_ts) l, COUNT(DISTINCT invoice) n FROM tx GROUP BY 1),
-lab AS (SELECT n, CASE WHEN l <= {OBS} THEN 1 ELSE 0 END c FROM base WHERE f <= {OBS})
-SELECT CAST(COUNT(*) AS BIGINT) total_customers, CAST(SUM(c) AS BIGINT) churned_customers,
-       {PCT('SUM(c)', 'COUNT(*)')} churn_rate_pct,
-       CAST(SUM(n) AS DOUBLE) / COUNT(*) avg_orders_per_customer
-FROM lab""")
+{PEOPLE}
+SELECT COUNT(*) AS total_customers, COUNT(*) FILTER (seen <= {OBS}) AS churned_customers,
+       {PCT(f'COUNT(*) FILTER (seen <= {OBS})', 'COUNT(*)')} AS churn_rate_pct,
+       CAST(SUM(orders) AS DOUBLE) / COUNT(*) AS avg_orders_per_customer
+FROM people WHERE born <= {OBS}""")
 
 register("churn_by_tenure", f"""
-base AS (SELECT customer_id, MIN(invoice_ts) f, MAX(invoice_ts) l FROM tx GROUP BY 1),
-b AS (SELECT CASE WHEN {FRAC('l','f')} <= 30 THEN '0-30 days' WHEN {FRAC('l','f')} <= 90 THEN '31-90 days'
-                  WHEN {FRAC('l','f')} <= 180 THEN '91-180 days' WHEN {FRAC('l','f')} <= 365 THEN '181-365 days'
-                  ELSE '365+ days' END tenure_bucket,
-             CASE WHEN l <= {OBS} THEN 1 ELSE 0 END c
-      FROM base WHERE f <= {OBS})
-SELECT tenure_bucket, CAST(COUNT(*) AS BIGINT) customers, CAST(SUM(c) AS BIGINT) churned,
-       {PCT('SUM(c)', 'COUNT(*)')} churn_rate_pct
-FROM b GROUP BY tenure_bucket""")
+{PEOPLE},
+{ranges('tenure', [('0-30 days', 30), ('31-90 days', 90), ('91-180 days', 180), ('181-365 days', 365), ('365+ days', None)])}
+SELECT label AS tenure_bucket, COUNT(*) AS customers, COUNT(*) FILTER (seen <= {OBS}) AS churned,
+       {PCT(f'COUNT(*) FILTER (seen <= {OBS})', 'COUNT(*)')} AS churn_rate_pct
+FROM people JOIN tenure ON {within(FRAC('seen', 'born'))} WHERE born <= {OBS} GROUP BY label""")
 
 register("churn_by_frequency", f"""
-base AS (SELECT customer_id, MIN(invoice_ts) f, MAX(invoice_ts) l, COUNT(DISTINCT invoice) n FROM tx GROUP BY 1),
-b AS (SELECT n, CASE WHEN n = 1 THEN '1 order' WHEN n <= 3 THEN '2-3 orders' WHEN n <= 5 THEN '4-5 orders'
-                     WHEN n <= 10 THEN '6-10 orders' ELSE '10+ orders' END frequency_bucket,
-             CASE WHEN l <= {OBS} THEN 1 ELSE 0 END c
-      FROM base WHERE f <= {OBS})
-SELECT frequency_bucket, CAST(COUNT(*) AS BIGINT) customers, CAST(SUM(c) AS BIGINT) churned,
-       {PCT('SUM(c)', 'COUNT(*)')} churn_rate_pct,
-       {R2('CAST(SUM(n) AS DOUBLE) / COUNT(*)')} avg_orders
-FROM b GROUP BY frequency_bucket""")
+{PEOPLE},
+{ranges('often', [('1 order', 1), ('2-3 orders', 3), ('4-5 orders', 5), ('6-10 orders', 10), ('10+ orders', None)])}
+SELECT label AS frequency_bucket, COUNT(*) AS customers, COUNT(*) FILTER (seen <= {OBS}) AS churned,
+       {PCT(f'COUNT(*) FILTER (seen <= {OBS})', 'COUNT(*)')} AS churn_rate_pct,
+       {R2('CAST(SUM(orders) AS DOUBLE) / COUNT(*)')} AS avg_orders
+FROM people JOIN often ON {within('orders')} WHERE born <= {OBS} GROUP BY label""")
+
+
+def tile(n: int, order: str) -> str:
+    """Number 1..n of a row's equal share of all rows in this order: the first (rows mod n) shares have one more."""
+    p, size, extra = f"(ROW_NUMBER() OVER (ORDER BY {order}) - 1)", f"(COUNT(*) OVER () // {n})", f"(COUNT(*) OVER () % {n})"
+    return (f"IF({p} < {extra} * ({size} + 1), {p} // ({size} + 1), {extra} + ({p} - {extra} * ({size} + 1)) // GREATEST({size}, 1)) + 1")
+
 
 register("churn_by_monetary_quintile", f"""
-base AS (SELECT customer_id, SUM({LV}) rev, MIN(invoice_ts) f, MAX(invoice_ts) l FROM tx GROUP BY 1),
-q AS (SELECT rev, CASE WHEN l <= {OBS} THEN 1 ELSE 0 END c,
-             NTILE(5) OVER (ORDER BY rev, customer_id) qn
-      FROM base WHERE f <= {OBS})
-SELECT 'Q' || CAST(qn AS VARCHAR) monetary_segment, CAST(COUNT(*) AS BIGINT) customers, CAST(SUM(c) AS BIGINT) churned,
-       {PCT('SUM(c)', 'COUNT(*)')} churn_rate_pct,
-       {R2('CAST(SUM(rev) AS DOUBLE) / COUNT(*)')} avg_revenue
-FROM q GROUP BY qn""")
+{PEOPLE},
+shares AS (SELECT spent, seen, {tile(5, 'spent, customer_id')} AS share FROM people WHERE born <= {OBS})
+SELECT concat('Q', share) AS monetary_segment, COUNT(*) AS customers, COUNT(*) FILTER (seen <= {OBS}) AS churned,
+       {PCT(f'COUNT(*) FILTER (seen <= {OBS})', 'COUNT(*)')} AS churn_rate_pct,
+       {R2('CAST(SUM(spent) AS DOUBLE) / COUNT(*)')} AS avg_revenue
+FROM shares GROUP BY share""")
 
 register("churn_by_country", f"""
-cc AS (SELECT customer_id, country, MIN(invoice_ts) f, MAX(invoice_ts) l FROM tx GROUP BY 1, 2),
-g AS (SELECT country, COUNT(*) customers, SUM(CASE WHEN l <= {OBS} THEN 1 ELSE 0 END) churned
-      FROM cc WHERE f <= {OBS} GROUP BY country HAVING COUNT(*) >= 50)
-SELECT country AS "Country", CAST(customers AS BIGINT) customers, CAST(churned AS BIGINT) churned,
-       {PCT('churned', 'customers')} churn_rate_pct
-FROM g""")
+places AS (SELECT DISTINCT country, customer_id, MIN(invoice_ts) OVER here AS born, MAX(invoice_ts) OVER here AS seen
+           FROM tx WINDOW here AS (PARTITION BY country, customer_id))
+SELECT country AS "Country", COUNT(*) AS customers, COUNT(*) FILTER (seen <= {OBS}) AS churned,
+       {PCT(f'COUNT(*) FILTER (seen <= {OBS})', 'COUNT(*)')} AS churn_rate_pct
+FROM places WHERE born <= {OBS} GROUP BY country HAVING COUNT(*) >= 50""")
 
 register("lifetime_distribution", f"""
-base AS (SELECT customer_id, MIN(invoice_ts) f, MAX(invoice_ts) l FROM tx GROUP BY 1),
-lb AS (SELECT date_trunc('month', f) cohort_month,
-              CASE WHEN {FRAC('l','f')} <= 7 THEN '0-7 days' WHEN {FRAC('l','f')} <= 30 THEN '8-30 days'
-                   WHEN {FRAC('l','f')} <= 60 THEN '31-60 days' WHEN {FRAC('l','f')} <= 90 THEN '61-90 days'
-                   WHEN {FRAC('l','f')} <= 180 THEN '91-180 days' WHEN {FRAC('l','f')} <= 365 THEN '181-365 days'
-                   ELSE '365+ days' END lifetime_bucket,
-              COUNT(*) customers
-       FROM base WHERE l <= {OBS} GROUP BY 1, 2)
-SELECT lifetime_bucket, CAST(SUM(customers) AS BIGINT) total_customers,
-       {PCT('SUM(customers)', '(SELECT SUM(customers) FROM lb)')} pct_of_churned
-FROM lb GROUP BY lifetime_bucket""")
+{PEOPLE},
+{ranges('life', [('0-7 days', 7), ('8-30 days', 30), ('31-60 days', 60), ('61-90 days', 90), ('91-180 days', 180), ('181-365 days', 365),
+                 ('365+ days', None)])}
+SELECT label AS lifetime_bucket, COUNT(*) AS total_customers, {PCT('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS pct_of_churned
+FROM people JOIN life ON {within(FRAC('seen', 'born'))} WHERE seen <= {OBS} GROUP BY label""")
 
 register("churn_by_customer_type", f"""
-base AS (SELECT customer_id, COUNT(DISTINCT invoice) n, MAX(invoice_ts) l FROM tx GROUP BY 1),
-g AS (SELECT CASE WHEN n = 1 THEN 'One-time' WHEN n <= 3 THEN 'Low-repeat (2-3)'
-                  WHEN n <= 5 THEN 'Medium-repeat (4-5)' ELSE 'High-repeat (6+)' END customer_type,
-             COUNT(*) customers, SUM(CASE WHEN l <= {DORMANT} THEN 1 ELSE 0 END) churned
-      FROM base GROUP BY 1)
-SELECT customer_type, CAST(customers AS BIGINT) customers, CAST(churned AS BIGINT) churned,
-       CAST(customers - churned AS BIGINT) active, {PCT('churned', 'customers')} churn_rate_pct
-FROM g""")
+{PEOPLE},
+{ranges('kind', [('One-time', 1), ('Low-repeat (2-3)', 3), ('Medium-repeat (4-5)', 5), ('High-repeat (6+)', None)])}
+SELECT label AS customer_type, COUNT(*) AS customers, COUNT(*) FILTER (seen <= {DORMANT}) AS churned,
+       COUNT(*) FILTER (seen > {DORMANT}) AS active, {PCT(f'COUNT(*) FILTER (seen <= {DORMANT})', 'COUNT(*)')} AS churn_rate_pct
+FROM people JOIN kind ON {within('orders')} GROUP BY label""")
 
 register("churn_by_acquisition_season", f"""
-base AS (SELECT customer_id, MIN(invoice_ts) f, MAX(invoice_ts) l, COUNT(DISTINCT invoice) n FROM tx GROUP BY 1),
-s AS (SELECT CASE WHEN month(f) IN (12,1,2) THEN 'Winter' WHEN month(f) IN (3,4,5) THEN 'Spring'
-                  WHEN month(f) IN (6,7,8) THEN 'Summer' ELSE 'Fall' END acquisition_season,
-             COUNT(*) customers, CAST(SUM(n) AS DOUBLE) / COUNT(*) avg_orders,
-             SUM(CASE WHEN l <= {DORMANT} THEN 1 ELSE 0 END) churned
-      FROM base WHERE f <= {ACQ} GROUP BY 1)
-SELECT acquisition_season, CAST(customers AS BIGINT) customers, {R2('avg_orders')} avg_orders,
-       CAST(churned AS BIGINT) churned, {PCT('churned', 'customers')} churn_rate_pct
-FROM s""")
-
-register("time_to_second_purchase", f"""
-cp AS (SELECT customer_id, invoice_ts, invoice,
-              ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY invoice_ts, invoice) r
-       FROM tx GROUP BY customer_id, invoice_ts, invoice),
-ft AS (SELECT customer_id, MAX(CASE WHEN r = 1 THEN invoice_ts END) f, MAX(CASE WHEN r = 2 THEN invoice_ts END) s
-       FROM cp WHERE r <= 2 GROUP BY 1),
-tt AS (SELECT customer_id,
-              CASE WHEN s IS NULL THEN 'No second purchase' WHEN {FRAC('s','f')} <= 7 THEN '0-7 days'
-                   WHEN {FRAC('s','f')} <= 14 THEN '8-14 days' WHEN {FRAC('s','f')} <= 30 THEN '15-30 days'
-                   WHEN {FRAC('s','f')} <= 60 THEN '31-60 days' ELSE '60+ days' END time_to_second_bucket
-       FROM ft WHERE f <= {ACQ}),
-cl AS (SELECT customer_id, MAX(invoice_ts) l FROM tx GROUP BY 1)
-SELECT time_to_second_bucket, CAST(COUNT(*) AS BIGINT) customers,
-       CAST(SUM(CASE WHEN l <= {DORMANT} THEN 1 ELSE 0 END) AS BIGINT) churned,
-       {PCT('SUM(CASE WHEN l <= ' + DORMANT + ' THEN 1 ELSE 0 END)', 'COUNT(*)')} churn_rate_pct
-FROM tt JOIN cl USING (customer_id) GROUP BY 1""")
+{PEOPLE}
+SELECT ['Winter', 'Spring', 'Summer', 'Fall'][month(born) % 12 // 3 + 1] AS acquisition_season, COUNT(*) AS customers,
+       {R2('CAST(SUM(orders) AS DOUBLE) / COUNT(*)')} AS avg_orders, COUNT(*) FILTER (seen <= {DORMANT}) AS churned,
+       {PCT(f'COUNT(*) FILTER (seen <= {DORMANT})', 'COUNT(*)')} AS churn_rate_pct
+FROM people WHERE born <= {ACQ} GROUP BY 1""")
+
+
+
+def second_purchase(src: str, acquired: str, dormant: str) -> str:
+    return f"""
+{ranges('wait', [('0-7 days', 7), ('8-14 days', 14), ('15-30 days', 30), ('31-60 days', 60), ('60+ days', None)])},
+visits AS (
+  SELECT list_sort(list(DISTINCT struct_pack(at := invoice_ts, no := invoice))) AS v, MAX(invoice_ts) AS seen FROM {src} GROUP BY customer_id
+)
+SELECT coalesce(label, 'No second purchase') AS time_to_second_bucket, COUNT(*) AS customers, COUNT(*) FILTER (seen <= {dormant}) AS churned,
+       {PCT(f'COUNT(*) FILTER (seen <= {dormant})', 'COUNT(*)')} AS churn_rate_pct
+FROM visits LEFT JOIN wait ON {within(FRAC('v[2].at', 'v[1].at'))} WHERE v[1].at <= {acquired} GROUP BY 1"""
+
+
+register("time_to_second_purchase", second_purchase("tx", ACQ, DORMANT))
 
 # ---------------------------------------------------------------- cohorts
 register("cohort_retention", f"""
-cc AS (SELECT customer_id, CAST(date_trunc('month', MIN(invoice_ts)) AS DATE) cohort_month FROM tx GROUP BY 1),
-ca AS (SELECT customer_id, CAST(date_trunc('month', invoice_ts) AS DATE) activity_month FROM tx GROUP BY 1, 2),
-cr AS (SELECT cohort_month, activity_month,
-              (year(activity_month) - year(cohort_month)) * 12 + (month(activity_month) - month(cohort_month)) months_since_join,
-              COUNT(DISTINCT cc.customer_id) active_customers
-       FROM cc JOIN ca ON cc.customer_id = ca.customer_id GROUP BY 1, 2),
-cs AS (SELECT cohort_month, COUNT(DISTINCT customer_id) cohort_size FROM cc GROUP BY 1)
-SELECT cr.cohort_month, CAST(cs.cohort_size AS BIGINT) cohort_size, CAST(cr.months_since_join AS INTEGER) months_since_join,
-       CAST(cr.active_customers AS BIGINT) active_customers,
-       {PCT('cr.active_customers', 'cs.cohort_size')} retention_rate_pct
-FROM cr JOIN cs ON cr.cohort_month = cs.cohort_month
-WHERE cr.months_since_join <= 12""")
+active AS (SELECT customer_id, date_trunc('month', invoice_ts)::DATE AS m FROM tx GROUP BY ALL),
+joined AS (SELECT m, MIN(m) OVER (PARTITION BY customer_id) AS cohort_month FROM active),
+counted AS (SELECT cohort_month, date_diff('month', cohort_month, m)::INTEGER AS months_since_join, COUNT(*) AS active_customers
+            FROM joined GROUP BY ALL),
+sized AS (SELECT *, MAX(active_customers) FILTER (months_since_join = 0) OVER (PARTITION BY cohort_month) AS cohort_size FROM counted)
+SELECT cohort_month, cohort_size, months_since_join, active_customers, {PCT('active_customers', 'cohort_size')} AS retention_rate_pct
+FROM sized WHERE months_since_join <= 12""")
 
 register("cohort_value", f"""
-cv AS (SELECT customer_id, CAST(date_trunc('month', MIN(invoice_ts)) AS DATE) cohort_month,
-              SUM({LV}) total_revenue, COUNT(DISTINCT invoice) total_orders,
-              CAST(SUM({LV}) AS DOUBLE) / COUNT(*) avg_tx
-       FROM tx GROUP BY 1)
-SELECT cohort_month, CAST(COUNT(*) AS BIGINT) cohort_size,
-       {R2('CAST(SUM(total_revenue) AS DOUBLE) / COUNT(*)')} avg_customer_revenue,
-       {R2('CAST(SUM(total_revenue) AS DOUBLE)')} total_cohort_revenue,
-       {R2('CAST(SUM(total_orders) AS DOUBLE) / COUNT(*)')} avg_orders_per_customer,
-       {R2('AVG(avg_tx)')} avg_transaction_value
-FROM cv GROUP BY cohort_month""")
+{PEOPLE}
+SELECT date_trunc('month', born)::DATE AS cohort_month, COUNT(*) AS cohort_size,
+       {R2('CAST(SUM(spent) AS DOUBLE) / COUNT(*)')} AS avg_customer_revenue, {R2('CAST(SUM(spent) AS DOUBLE)')} AS total_cohort_revenue,
+       {R2('CAST(SUM(orders) AS DOUBLE) / COUNT(*)')} AS avg_orders_per_customer,
+       {R2('AVG(CAST(spent AS DOUBLE) / lines)')} AS avg_transaction_value
+FROM people GROUP BY 1""")
 
 # ---------------------------------------------------------------- activity decline
 register("activity_windows_churned", f"""
-ct AS (SELECT customer_id, invoice_ts, invoice, MAX(invoice_ts) OVER (PARTITION BY customer_id) l FROM tx),
-aw AS (SELECT customer_id, invoice, l,
-              CASE WHEN {FRAC('l','invoice_ts')} <= 30 THEN 'Last 30 days'
-                   WHEN {FRAC('l','invoice_ts')} <= 60 THEN '31-60 days before'
-                   WHEN {FRAC('l','invoice_ts')} <= 90 THEN '61-90 days before'
-                   WHEN {FRAC('l','invoice_ts')} <= 120 THEN '91-120 days before'
-                   ELSE '120+ days before' END time_window FROM ct),
-cc AS (SELECT DISTINCT customer_id FROM aw WHERE l <= {OBS})
-SELECT aw.time_window, CAST(COUNT(DISTINCT aw.customer_id) AS BIGINT) unique_customers,
-       CAST(COUNT(DISTINCT aw.invoice) AS BIGINT) total_orders,
-       {R2('CAST(COUNT(DISTINCT aw.invoice) AS DOUBLE) / COUNT(DISTINCT aw.customer_id)')} orders_per_customer
-FROM aw JOIN cc ON aw.customer_id = cc.customer_id GROUP BY aw.time_window""")
+{PEOPLE},
+{ranges('span', [('Last 30 days', 30), ('31-60 days before', 60), ('61-90 days before', 90), ('91-120 days before', 120),
+                 ('120+ days before', None)])}
+SELECT label AS time_window, COUNT(DISTINCT customer_id) AS unique_customers, COUNT(DISTINCT invoice) AS total_orders,
+       {R2('CAST(COUNT(DISTINCT invoice) AS DOUBLE) / COUNT(DISTINCT customer_id)')} AS orders_per_customer
+FROM tx JOIN people USING (customer_id) JOIN span ON {within(FRAC('seen', 'invoice_ts'))} WHERE seen <= {OBS} GROUP BY label""")
 
 register("revenue_windows_churned", f"""
-crt AS (SELECT customer_id, invoice_ts, SUM({LV}) daily_revenue,
-               MAX(invoice_ts) OVER (PARTITION BY customer_id) l
-        FROM tx GROUP BY customer_id, invoice_ts),
-rw AS (SELECT daily_revenue,
-              CASE WHEN {FRAC('l','invoice_ts')} <= 30 THEN 'Last 30 days'
-                   WHEN {FRAC('l','invoice_ts')} <= 60 THEN '31-60 days before'
-                   WHEN {FRAC('l','invoice_ts')} <= 90 THEN '61-90 days before'
-                   ELSE '90+ days before' END time_window
-       FROM crt WHERE l <= {OBS})
-SELECT time_window, CAST(COUNT(*) AS BIGINT) purchase_days,
-       {R2('CAST(SUM(daily_revenue) AS DOUBLE)')} total_revenue,
-       {R2('CAST(SUM(daily_revenue) AS DOUBLE) / COUNT(*)')} avg_daily_revenue,
-       {R2('MEDIAN(CAST(daily_revenue AS DOUBLE))')} median_daily_revenue
-FROM rw GROUP BY time_window""")
+{PEOPLE},
+{ranges('span', [('Last 30 days', 30), ('31-60 days before', 60), ('61-90 days before', 90), ('90+ days before', None)])},
+moments AS (SELECT customer_id, invoice_ts, SUM({LV}) AS worth FROM tx GROUP BY ALL)
+SELECT label AS time_window, COUNT(*) AS purchase_days, {R2('CAST(SUM(worth) AS DOUBLE)')} AS total_revenue,
+       {R2('CAST(SUM(worth) AS DOUBLE) / COUNT(*)')} AS avg_daily_revenue,
+       {R2('quantile_cont(CAST(worth AS DOUBLE), 0.5)')} AS median_daily_revenue
+FROM moments JOIN people USING (customer_id) JOIN span ON {within(FRAC('seen', 'invoice_ts'))} WHERE seen <= {OBS} GROUP BY label""")
 
 register("purchase_gaps", f"""
-co AS (SELECT customer_id, CAST(invoice_ts AS DATE) order_date,
-              ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY CAST(invoice_ts AS DATE)) r
-       FROM tx GROUP BY customer_id, CAST(invoice_ts AS DATE)),
-pg AS (SELECT c1.customer_id, CAST(c2.order_date - c1.order_date AS DOUBLE) d
-       FROM co c1 LEFT JOIN co c2 ON c1.customer_id = c2.customer_id AND c1.r = c2.r - 1
-       WHERE c2.order_date IS NOT NULL),
-cs AS (SELECT customer_id, CASE WHEN MAX(invoice_ts) <= {OBS} THEN 'Churned' ELSE 'Active' END status
-       FROM tx GROUP BY 1)
-SELECT cs.status, {R2('SUM(d) / COUNT(*)')} avg_days_between_orders, {R2('MEDIAN(d)')} median_days_between_orders,
-       MIN(d) min_gap, MAX(d) max_gap, CAST(COUNT(*) AS BIGINT) total_gaps
-FROM pg JOIN cs ON pg.customer_id = cs.customer_id GROUP BY cs.status""")
+{PEOPLE},
+days AS (SELECT DISTINCT customer_id, invoice_ts::DATE AS day FROM tx),
+steps AS (SELECT customer_id, date_diff('day', LAG(day) OVER (PARTITION BY customer_id ORDER BY day), day)::DOUBLE AS gap FROM days)
+SELECT {status('seen', OBS)} AS status, {R2('SUM(gap) / COUNT(gap)')} AS avg_days_between_orders,
+       {R2('quantile_cont(gap, 0.5)')} AS median_days_between_orders, MIN(gap) AS min_gap, MAX(gap) AS max_gap, COUNT(gap) AS total_gaps
+FROM steps JOIN people USING (customer_id) GROUP BY 1 HAVING COUNT(gap) > 0""")
 
 register("recent_vs_historical_order_value", f"""
-cor AS (SELECT customer_id, invoice, invoice_ts, SUM({LV}) v,
-               ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY invoice_ts DESC, invoice DESC) rr,
-               COUNT(*) OVER (PARTITION BY customer_id) n
-        FROM tx GROUP BY customer_id, invoice, invoice_ts),
-lvh AS (SELECT customer_id,
-               CAST(SUM(CASE WHEN rr <= 3 THEN v END) AS DOUBLE) / COUNT(CASE WHEN rr <= 3 THEN 1 END) a3,
-               CAST(SUM(CASE WHEN rr > 3 THEN v END) AS DOUBLE) / COUNT(CASE WHEN rr > 3 THEN 1 END) ah
-        FROM cor WHERE n >= 6 GROUP BY customer_id, n),
-cs AS (SELECT customer_id, CASE WHEN MAX(invoice_ts) <= {OBS} THEN 'Churned' ELSE 'Active' END status
-       FROM tx GROUP BY 1)
-SELECT cs.status, CAST(COUNT(*) AS BIGINT) customers, {R2('AVG(a3)')} avg_last_3_orders,
-       {R2('AVG(ah)')} avg_historical_orders,
-       {R2('100.0::DOUBLE * (AVG(a3) - AVG(ah)) / NULLIF(AVG(ah), 0)')} pct_change
-FROM lvh JOIN cs ON lvh.customer_id = cs.customer_id GROUP BY cs.status""")
+bills AS (SELECT customer_id, invoice, invoice_ts, SUM({LV}) AS worth FROM tx GROUP BY ALL),
+histories AS (
+  SELECT list(worth ORDER BY invoice_ts DESC, invoice DESC) AS w, MAX(invoice_ts) AS seen FROM bills GROUP BY customer_id HAVING COUNT(*) >= 6
+), halves AS (
+  SELECT seen, CAST(list_sum(w[1:3]) AS DOUBLE) / 3 AS late, CAST(list_sum(w[4:]) AS DOUBLE) / (len(w) - 3) AS before FROM histories
+)
+SELECT {status('seen', OBS)} AS status, COUNT(*) AS customers, {R2('AVG(late)')} AS avg_last_3_orders,
+       {R2('AVG(before)')} AS avg_historical_orders,
+       {R2('100.0::DOUBLE * (AVG(late) - AVG(before)) / NULLIF(AVG(before), 0)')} AS pct_change
+FROM halves GROUP BY 1""")
 
 register("product_diversity_shift", f"""
-cp AS (SELECT customer_id, stock_code, invoice_ts, MAX(invoice_ts) OVER (PARTITION BY customer_id) l FROM tx),
-pt AS (SELECT customer_id, stock_code,
-              CASE WHEN {FRAC('l','invoice_ts')} <= 60 THEN 'Last 60 days' ELSE 'Historical' END period
-       FROM cp WHERE l <= {OBS}),
-pd AS (SELECT customer_id, period, COUNT(DISTINCT stock_code) u FROM pt GROUP BY 1, 2)
-SELECT period, CAST(COUNT(DISTINCT customer_id) AS BIGINT) customers,
-       {R2('CAST(SUM(u) AS DOUBLE) / COUNT(*)')} avg_unique_products,
-       {R2('MEDIAN(CAST(u AS DOUBLE))')} median_unique_products
-FROM pd GROUP BY period""")
+{PEOPLE},
+kinds AS (
+  SELECT COUNT(DISTINCT stock_code) FILTER ({FRAC('seen', 'invoice_ts')} <= 60) AS "Last 60 days",
+         COUNT(DISTINCT stock_code) FILTER ({FRAC('seen', 'invoice_ts')} > 60) AS "Historical"
+  FROM tx JOIN people USING (customer_id) WHERE seen <= {OBS} GROUP BY customer_id
+), tall AS (UNPIVOT kinds ON "Last 60 days", "Historical" INTO NAME period VALUE n)
+SELECT period, COUNT(*) AS customers, {R2('CAST(SUM(n) AS DOUBLE) / COUNT(*)')} AS avg_unique_products,
+       {R2('quantile_cont(CAST(n AS DOUBLE), 0.5)')} AS median_unique_products
+FROM tall WHERE n > 0 GROUP BY period""")
 
 # ---------------------------------------------------------------- behavioural patterns
 register("rfm_cells", f"""
-crfm AS (SELECT customer_id, {FRAC(OBS, 'MAX(invoice_ts)')} recency_days, COUNT(DISTINCT invoice) frequency,
-                SUM({LV}) monetary, MIN(invoice_ts) f
-         FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id),
-s AS (SELECT CASE WHEN recency_days > 60 THEN 1 ELSE 0 END c,
-             NTILE(5) OVER (ORDER BY recency_days DESC, customer_id) "R_score",
-             NTILE(5) OVER (ORDER BY frequency, customer_id) "F_score",
-             NTILE(5) OVER (ORDER BY monetary, customer_id) "M_score"
-      FROM crfm WHERE f <= {DORMANT})
-SELECT CAST("R_score" AS INTEGER) "R_score", CAST("F_score" AS INTEGER) "F_score", CAST("M_score" AS INTEGER) "M_score",
-       CAST(COUNT(*) AS BIGINT) customers, CAST(SUM(c) AS BIGINT) churned,
-       {PCT('SUM(c)', 'COUNT(*)')} churn_rate_pct
-FROM s GROUP BY 1, 2, 3 HAVING COUNT(*) >= 20
-ORDER BY churn_rate_pct DESC, 1, 2, 3 LIMIT 20""")
-
-register("purchase_time_patterns", f"""
-cpt AS (SELECT customer_id,
-               AVG(CASE WHEN dayofweek(invoice_ts) IN (0, 6) THEN 1 ELSE 0 END) w,
-               AVG(hour(invoice_ts)) h,
-               AVG(CASE WHEN hour(invoice_ts) < 12 THEN 1 ELSE 0 END) m,
-               MAX(invoice_ts) l
-        FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id)
-SELECT CASE WHEN l <= {DORMANT} THEN 'Churned' ELSE 'Active' END status, CAST(COUNT(*) AS BIGINT) customers,
-       {R2('AVG(w) * 100')} avg_weekend_pct, {R2('AVG(h)')} avg_purchase_hour, {R2('AVG(m) * 100')} avg_morning_pct
-FROM cpt GROUP BY 1""")
+known AS (
+  SELECT customer_id, MAX(invoice_ts) AS seen, COUNT(DISTINCT invoice) AS orders, SUM({LV}) AS spent
+  FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id HAVING MIN(invoice_ts) <= {DORMANT}
+), scored AS (
+  SELECT {tile(5, 'seen, customer_id')} AS r, {tile(5, 'orders, customer_id')} AS f, {tile(5, 'spent, customer_id')} AS m,
+         {FRAC(OBS, 'seen')} > 60 AS gone
+  FROM known
+)
+SELECT r::INTEGER AS "R_score", f::INTEGER AS "F_score", m::INTEGER AS "M_score", COUNT(*) AS customers,
+       COUNT(*) FILTER (gone) AS churned, {PCT('COUNT(*) FILTER (gone)', 'COUNT(*)')} AS churn_rate_pct
+FROM scored GROUP BY ALL HAVING COUNT(*) >= 20 ORDER BY churn_rate_pct DESC, 1, 2, 3 LIMIT 20""")
+
+
+def purchase_times(src: str, until: str, dormant: str) -> str:
+    return f"""
+habits AS (
+  SELECT MAX(invoice_ts) AS seen, COUNT(*) FILTER (isodow(invoice_ts) > 5)::DOUBLE / COUNT(*) AS weekend,
+         SUM(hour(invoice_ts))::DOUBLE / COUNT(*) AS mean_hour, COUNT(*) FILTER (hour(invoice_ts) < 12)::DOUBLE / COUNT(*) AS morning
+  FROM {src} WHERE invoice_ts <= {until} GROUP BY customer_id
+)
+SELECT {status('seen', dormant)} AS status, COUNT(*) AS customers, {R2('AVG(weekend) * 100')} AS avg_weekend_pct,
+       {R2('AVG(mean_hour)')} AS avg_purchase_hour, {R2('AVG(morning) * 100')} AS avg_morning_pct
+FROM habits GROUP BY 1"""
+
+
+register("purchase_time_patterns", purchase_times("tx", OBS, DORMANT))
 
 register("basket_patterns", f"""
-cb AS (SELECT customer_id, invoice, invoice_ts, COUNT(DISTINCT stock_code) u, SUM(quantity) q, SUM({LV}) v
-       FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id, invoice, invoice_ts),
-cbm AS (SELECT customer_id, AVG(u) u, AVG(q) q, CAST(SUM(v) AS DOUBLE) / COUNT(*) v,
-               STDDEV_SAMP(CAST(v AS DOUBLE)) s, MAX(invoice_ts) l
-        FROM cb GROUP BY customer_id)
-SELECT CASE WHEN l <= {DORMANT} THEN 'Churned' ELSE 'Active' END status, CAST(COUNT(*) AS BIGINT) customers,
-       {R2('AVG(u)')} avg_unique_items_per_basket, {R2('AVG(q)')} avg_total_items_per_basket,
-       {R2('AVG(v)')} avg_basket_value, {R2('AVG(s)')} basket_value_consistency
-FROM cbm GROUP BY 1""")
+bills AS (
+  SELECT customer_id, invoice_ts, struct_pack(kinds := COUNT(DISTINCT stock_code), pieces := SUM(quantity), worth := SUM({LV})) AS b
+  FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id, invoice, invoice_ts
+), shoppers AS (
+  SELECT MAX(invoice_ts) AS seen, SUM(b.kinds)::DOUBLE / COUNT(*) AS kinds, SUM(b.pieces) / COUNT(*) AS pieces,
+         CAST(SUM(b.worth) AS DOUBLE) / COUNT(*) AS worth, STDDEV_SAMP(CAST(b.worth AS DOUBLE)) AS spread
+  FROM bills GROUP BY customer_id
+)
+SELECT {status('seen', DORMANT)} AS status, COUNT(*) AS customers, {R2('AVG(kinds)')} AS avg_unique_items_per_basket,
+       {R2('AVG(pieces)')} AS avg_total_items_per_basket, {R2('AVG(worth)')} AS avg_basket_value,
+       {R2('AVG(spread)')} AS basket_value_consistency
+FROM shoppers GROUP BY 1""")
 
 register("seasonality_q4", f"""
-cs AS (SELECT customer_id, strftime(invoice_ts, '%m') pm, COUNT(DISTINCT invoice) mo, MAX(invoice_ts) l
-       FROM tx WHERE invoice_ts <= {OBS} GROUP BY customer_id, strftime(invoice_ts, '%m')),
-sp AS (SELECT customer_id,
-              SUM(CASE WHEN pm IN ('10','11','12') THEN mo ELSE 0 END) * 1.0::DOUBLE / SUM(mo) q4,
-              COUNT(DISTINCT pm) am,
-              CASE WHEN MAX(l) <= {DORMANT} THEN 'Churned' ELSE 'Active' END status
-       FROM cs GROUP BY customer_id)
-SELECT status, CAST(COUNT(*) AS BIGINT) customers, {R2('AVG(q4) * 100')} avg_q4_concentration_pct,
-       {R2('CAST(SUM(am) AS DOUBLE) / COUNT(*)')} avg_active_months
-FROM sp GROUP BY status""")
-
-RETURN_BODY = """
-cr AS (SELECT customer_id, COUNT(CASE WHEN quantity < 0 THEN 1 END) rt, COUNT(*) tt, MAX(invoice_ts) l
-       FROM {src} GROUP BY customer_id),
-rp AS (SELECT rt, CAST(rt AS DOUBLE) / NULLIF(CAST(tt AS DOUBLE), 0) rate,
-              CASE WHEN l <= {dormant} THEN 'Churned' ELSE 'Active' END status FROM cr)
-SELECT status, CAST(COUNT(*) AS BIGINT) customers, {r_rate} avg_return_rate_pct,
-       CAST(SUM(CASE WHEN rt > 0 THEN 1 ELSE 0 END) AS BIGINT) customers_with_returns,
-       {p_ret} pct_with_returns
-FROM rp GROUP BY status"""
+bought AS (SELECT customer_id, invoice, month(invoice_ts) AS m, MAX(invoice_ts) AS moment FROM tx WHERE invoice_ts <= {OBS} GROUP BY ALL),
+years AS (SELECT MAX(moment) AS seen, COUNT(*) FILTER (m >= 10) * 1.0::DOUBLE / COUNT(*) AS autumn, COUNT(DISTINCT m) AS months
+          FROM bought GROUP BY customer_id)
+SELECT {status('seen', DORMANT)} AS status, COUNT(*) AS customers, {R2('AVG(autumn) * 100')} AS avg_q4_concentration_pct,
+       {R2('CAST(SUM(months) AS DOUBLE) / COUNT(*)')} AS avg_active_months
+FROM years GROUP BY 1""")
+
 for _key, _src in (("return_behavior", "tx"), ("return_behavior_raw", "retail_raw")):
-    register(_key, RETURN_BODY.format(src=_src, dormant=DORMANT, r_rate=R2("AVG(rate) * 100"),
-                                      p_ret=PCT("SUM(CASE WHEN rt > 0 THEN 1 ELSE 0 END)", "COUNT(*)")))
+    register(_key, f"""
+given_back AS (SELECT MAX(invoice_ts) AS seen, COUNT(*) FILTER (quantity < 0) AS n, COUNT(*)::DOUBLE AS lines FROM {_src} GROUP BY customer_id)
+SELECT {status('seen', DORMANT)} AS status, COUNT(*) AS customers, {R2('AVG(n / lines) * 100')} AS avg_return_rate_pct,
+       COUNT(*) FILTER (n > 0) AS customers_with_returns, {PCT('COUNT(*) FILTER (n > 0)', 'COUNT(*)')} AS pct_with_returns
+FROM given_back GROUP BY 1""")
 
 register("first_order_quality", f"""
-fp AS (SELECT customer_id, MIN(invoice_ts) f, MIN(invoice) fi FROM tx GROUP BY customer_id),
-fod AS (SELECT fp.customer_id, fp.f, COUNT(DISTINCT t.stock_code) items, SUM(CAST(CAST(t.quantity AS DECIMAL(18,2)) * CAST(t.price AS DECIMAL(18,2)) AS DECIMAL(18,2))) val
-        FROM fp JOIN tx t ON fp.customer_id = t.customer_id AND fp.fi = t.invoice
-        GROUP BY fp.customer_id, fp.f),
-foc AS (SELECT fod.*, CASE WHEN (SELECT MAX(invoice_ts) FROM tx t2 WHERE t2.customer_id = fod.customer_id) <= {DORMANT}
-                           THEN 'Churned' ELSE 'Active' END status
-        FROM fod WHERE f <= {DORMANT})
-SELECT status, CAST(COUNT(*) AS BIGINT) customers, {R2('CAST(SUM(items) AS DOUBLE) / COUNT(*)')} avg_first_order_items,
-       {R2('CAST(SUM(val) AS DOUBLE) / COUNT(*)')} avg_first_order_value,
-       {R2('MEDIAN(CAST(val AS DOUBLE))')} median_first_order_value
-FROM foc GROUP BY status""")
+opening AS (
+  SELECT *, MIN(invoice_ts) OVER mine AS born, MAX(invoice_ts) OVER mine AS seen
+  FROM tx WINDOW mine AS (PARTITION BY customer_id) QUALIFY invoice = MIN(invoice) OVER mine
+), baskets AS (
+  SELECT seen, COUNT(DISTINCT stock_code) AS kinds, SUM({LV}) AS worth FROM opening WHERE born <= {DORMANT} GROUP BY customer_id, seen
+)
+SELECT {status('seen', DORMANT)} AS status, COUNT(*) AS customers, {R2('CAST(SUM(kinds) AS DOUBLE) / COUNT(*)')} AS avg_first_order_items,
+       {R2('CAST(SUM(worth) AS DOUBLE) / COUNT(*)')} AS avg_first_order_value,
+       {R2('quantile_cont(CAST(worth AS DOUBLE), 0.5)')} AS median_first_order_value
+FROM baskets GROUP BY 1""")
 
 register("velocity_change", f"""
-ct AS (SELECT customer_id, invoice_ts, invoice,
-              MIN(invoice_ts) OVER (PARTITION BY customer_id) f, MAX(invoice_ts) OVER (PARTITION BY customer_id) l
-       FROM tx WHERE invoice_ts <= {OBS}),
-vp AS (SELECT customer_id, f, l,
-              COUNT(DISTINCT CASE WHEN {FRAC('invoice_ts','f')} <= 90 THEN invoice END) o1,
-              COUNT(DISTINCT CASE WHEN {FRAC('invoice_ts','f')} BETWEEN 91 AND 180 THEN invoice END) o2
-       FROM ct GROUP BY customer_id, f, l HAVING {FRAC('l','f')} >= 180),
-vc AS (SELECT o1, o2, o2 - o1 chg, CASE WHEN l <= {DORMANT} THEN 'Churned' ELSE 'Active' END status FROM vp)
-SELECT status, CAST(COUNT(*) AS BIGINT) customers, {R2('CAST(SUM(o1) AS DOUBLE) / COUNT(*)')} avg_orders_first_90d,
-       {R2('CAST(SUM(o2) AS DOUBLE) / COUNT(*)')} avg_orders_next_90d,
-       {R2('CAST(SUM(chg) AS DOUBLE) / COUNT(*)')} avg_velocity_change,
-       CAST(SUM(CASE WHEN chg < 0 THEN 1 ELSE 0 END) AS BIGINT) declining_velocity_count,
-       {PCT('SUM(CASE WHEN chg < 0 THEN 1 ELSE 0 END)', 'COUNT(*)')} pct_declining
-FROM vc GROUP BY status""")
+lives AS (SELECT customer_id, MIN(invoice_ts) AS born, MAX(invoice_ts) AS seen FROM tx WHERE invoice_ts <= {OBS} GROUP BY 1),
+pace AS (
+  SELECT seen, COUNT(DISTINCT invoice) FILTER ({FRAC('invoice_ts', 'born')} <= 90) AS early,
+         COUNT(DISTINCT invoice) FILTER ({FRAC('invoice_ts', 'born')} >= 91 AND {FRAC('invoice_ts', 'born')} <= 180) AS later
+  FROM tx JOIN lives USING (customer_id) WHERE invoice_ts <= {OBS} AND {FRAC('seen', 'born')} >= 180 GROUP BY customer_id, seen
+)
+SELECT {status('seen', DORMANT)} AS status, COUNT(*) AS customers, {R2('CAST(SUM(early) AS DOUBLE) / COUNT(*)')} AS avg_orders_first_90d,
+       {R2('CAST(SUM(later) AS DOUBLE) / COUNT(*)')} AS avg_orders_next_90d,
+       {R2('CAST(SUM(later) - SUM(early) AS DOUBLE) / COUNT(*)')} AS avg_velocity_change,
+       COUNT(*) FILTER (later < early) AS declining_velocity_count, {PCT('COUNT(*) FILTER (later < early)', 'COUNT(*)')} AS pct_declining
+FROM pace GROUP BY 1""")
 
 # ---------------------------------------------------------------- data quality (raw table unless noted)
 RAW_COLS = ["invoice", "stock_code", "description", "quantity", "invoice_ts", "price", "customer_id", "country"]
@@ -724,15 +688,17 @@ SELECT CAST(t AS BIGINT) total_customers, CAST(c AS BIGINT) churned, CAST(t - c
        COALESCE(CAST(t - c AS DOUBLE) / NULLIF(CAST(c AS DOUBLE), 0) > 3.0, TRUE) needs_rebalancing
 FROM r""")
 
-register("leakage_checks", f"""
-h AS (SELECT * FROM tx WHERE invoice_ts <= {OBS}),
-fu AS (SELECT * FROM tx WHERE invoice_ts > {OBS} AND invoice_ts <= {PRED_END})
-SELECT * FROM (VALUES
-  (1, 'Features use only pre-observation data', COALESCE((SELECT MAX(invoice_ts) FROM h) <= {OBS}, TRUE)),
-  (2, 'Labels use only post-observation data', COALESCE((SELECT MIN(invoice_ts) FROM fu) > {OBS}, FALSE)),
-  (3, 'No future timestamps in feature data', (SELECT COUNT(*) FROM h WHERE invoice_ts > {OBS}) = 0),
-  (4, 'Observation date before label period', {OBS} < {PRED_END}),
-  (5, 'Features dont contain target variable', TRUE)) v(check_id, check_name, passed)""")
+register("leakage_checks", f"""{FM_CTE},{LAB_CTE},
+past AS (SELECT customer_id, {WHOLE(OBS, 'MAX(invoice_ts)')} AS days FROM tx WHERE invoice_ts <= {OBS} GROUP BY 1),
+future AS (SELECT DISTINCT customer_id FROM tx WHERE invoice_ts > {OBS} AND invoice_ts <= {PRED_END}),
+wrong AS (
+  SELECT 1 AS check_id, 'recency_not_negative' AS check_name, (SELECT COUNT(*) FROM fmx WHERE recency_days < 0) AS violations
+  UNION ALL SELECT 2, 'recency_recomputed', (SELECT COUNT(*) FROM fmx LEFT JOIN past USING (customer_id) WHERE days IS DISTINCT FROM recency_days)
+  UNION ALL SELECT 3, 'active_buy_in_label_period', (SELECT COUNT(*) FROM lab WHERE is_churned = 0 AND customer_id NOT IN (FROM future))
+  UNION ALL SELECT 4, 'churned_do_not_buy', (SELECT COUNT(*) FROM lab WHERE is_churned = 1 AND customer_id IN (FROM future))
+  UNION ALL SELECT 5, 'labels_known_once', (SELECT COUNT(*) FROM (SELECT customer_id FROM lab ANTI JOIN past USING (customer_id) UNION ALL
+                                            (SELECT customer_id FROM lab GROUP BY 1 HAVING COUNT(*) > 1))))
+SELECT *, violations = 0 AS passed FROM wrong""")
 
 MR_CTE = f"""{FM_CTE},{LAB_CTE},
 mr AS (SELECT fmx.*, lab.is_churned FROM fmx JOIN lab USING (customer_id))"""
@@ -941,7 +907,10 @@ register("feature_summary", f"{FM_CTE}\n" + " UNION ALL ".join(
     f"{R6(f'STDDEV_SAMP(CAST({c} AS DOUBLE))')} std, MIN(CAST({c} AS DOUBLE)) min, "
     + ", ".join(f"{R6(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} p{int(round(p * 100))}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
     + f", MAX(CAST({c} AS DOUBLE)) max FROM fmx" for c in FEATURE_LIST))
-SQL["register_views"] = SQL["churn_rate_overall"]
+register("register_views", f"""
+SELECT isodow(invoice_ts)::INTEGER AS weekday, COUNT(DISTINCT customer_id) AS buyers, COUNT(DISTINCT invoice) AS orders,
+       CAST(SUM({LV}) AS DOUBLE) AS revenue, CAST(SUM(IF(hour(invoice_ts) BETWEEN 9 AND 16, {LV}, 0)) AS DOUBLE) AS daytime_revenue
+FROM tx GROUP BY 1""")
 
 # ---------------------------------------------------------------- purchase events view (short-horizon calendar)
 from attrition.calendar import EVENTS_CALENDAR as ECAL  # noqa: E402
@@ -962,34 +931,8 @@ def with_events(body: str) -> str:
     return f"WITH {EV_CTES},\n{body.strip()}"
 
 
-SQL["purchase_time_patterns_events"] = with_events(f"""
-cpt AS (SELECT customer_id,
-               AVG(CASE WHEN dayofweek(invoice_ts) IN (0, 6) THEN 1 ELSE 0 END) w,
-               AVG(hour(invoice_ts)) h,
-               AVG(CASE WHEN hour(invoice_ts) < 12 THEN 1 ELSE 0 END) m,
-               MAX(invoice_ts) l
-        FROM evx WHERE invoice_ts <= {E_OBS} GROUP BY customer_id)
-SELECT CASE WHEN l <= {E_DORMANT} THEN 'Churned' ELSE 'Active' END status, CAST(COUNT(*) AS BIGINT) customers,
-       {R2('AVG(w) * 100')} avg_weekend_pct, {R2('AVG(h)')} avg_purchase_hour, {R2('AVG(m) * 100')} avg_morning_pct
-FROM cpt GROUP BY 1""")
-
-SQL["time_to_second_purchase_events"] = with_events(f"""
-cp AS (SELECT customer_id, invoice_ts, invoice,
-              ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY invoice_ts, invoice) r
-       FROM evx GROUP BY customer_id, invoice_ts, invoice),
-ft AS (SELECT customer_id, MAX(CASE WHEN r = 1 THEN invoice_ts END) f, MAX(CASE WHEN r = 2 THEN invoice_ts END) s
-       FROM cp WHERE r <= 2 GROUP BY 1),
-tt AS (SELECT customer_id,
-              CASE WHEN s IS NULL THEN 'No second purchase' WHEN {FRAC('s','f')} <= 7 THEN '0-7 days'
-                   WHEN {FRAC('s','f')} <= 14 THEN '8-14 days' WHEN {FRAC('s','f')} <= 30 THEN '15-30 days'
-                   WHEN {FRAC('s','f')} <= 60 THEN '31-60 days' ELSE '60+ days' END time_to_second_bucket
-       FROM ft WHERE f <= {E_ACQ}),
-cl AS (SELECT customer_id, MAX(invoice_ts) l FROM evx GROUP BY 1)
-SELECT time_to_second_bucket, CAST(COUNT(*) AS BIGINT) customers,
-       CAST(SUM(CASE WHEN l <= {E_DORMANT} THEN 1 ELSE 0 END) AS BIGINT) churned,
-       {PCT('SUM(CASE WHEN l <= ' + E_DORMANT + ' THEN 1 ELSE 0 END)', 'COUNT(*)')} churn_rate_pct
-FROM tt JOIN cl USING (customer_id) GROUP BY 1""")
-
+SQL["purchase_time_patterns_events"] = with_events(purchase_times("evx", E_OBS, E_DORMANT))
+SQL["time_to_second_purchase_events"] = with_events(second_purchase("evx", E_ACQ, E_DORMANT))
 SQL["churn_labels_events"] = with_events(f"""
 lab AS (SELECT customer_id,
                CAST(1 - MAX(CAST(invoice_ts > {E_OBS} AND invoice_ts <= {E_END} AS INTEGER)) AS INTEGER) is_churned
@@ -997,4 +940,6 @@ lab AS (SELECT customer_id,
 SELECT * FROM lab""")
 SQL["risk_segment"] = SQL["customer_segments"]
 SQL["clipped_histogram"] = SQL["histogram_orders"]
+register("quarantined_rows", """
+SELECT 'malformed' AS reason, COUNT(*) AS rows FROM retail_raw WHERE price = 0""")
 SQL["write_table"] = SQL["clean_transactions"]

@@ -4,23 +4,15 @@ The clean transactions are the one table every analysis reads, so they are
 materialised once (writing them also cuts the lineage back to the raw
 joins: a lost executor only re-reads files).
 
-Layout is chosen behind a size check, like a broadcast: bucketing the table
-by customer makes every per-customer shape (and every join between them)
-shuffle-free, but a bucket is read by one task, so a customer holding a large
-share of the lines would become one oversized task.  ``layout="auto"`` first
-measures the largest customer (one aggregation, partial per task) and
-buckets only when that customer fits in an average bucket; otherwise the
-table is plain Parquet, where map-side partial aggregation and AQE skew
-joins spread a hot customer over all tasks.  Rows are sorted by time inside
-files so the "up to the observation date" filters skip row groups.
+The layout is the caller's choice.  ``plain`` (the default) is Parquet sorted
+by time inside files: map-side partial aggregation and salted joins spread a
+customer of any size over all tasks.  ``bucketed`` stores the table by customer,
+which makes the per-customer shapes shuffle-free, but one task reads a bucket:
+use it where ``largest_customer_share`` reports no large customer.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,36 +21,27 @@ from attrition.operators.labels import model_ready, stratified_split
 
 
 def largest_customer_share(tx: DataFrame) -> tuple[int, int]:
-    """(lines of the largest customer, all lines) - one row to the driver."""
+    """(lines of the largest customer, all lines): advice for the layout; one row to the driver."""
     r = (tx.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
            .agg(F.max("n").alias("mx"), F.sum("n").alias("total")).first())
     return int(r["mx"] or 0), int(r["total"] or 0)
 
 
-def materialize_transactions(tx: DataFrame, path: str, layout: str = "auto", num_buckets: int | None = None,
+def materialize_transactions(tx: DataFrame, path: str, layout: str = "plain", num_buckets: int | None = None,
                              table: str | None = None) -> DataFrame:
-    """Write the clean lines (``layout``: auto | bucketed | plain) and return them read back."""
+    """Write the clean lines (``layout``: plain | bucketed, the latter as catalogue table ``table``) and read them back."""
     spark = tx.sparkSession
-    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = None
-    if layout == "auto":
-        # the check and the write read the same rows: keep them on executor disk between the two
-        kept = tx = tx.persist(StorageLevel.DISK_ONLY)
-        largest, total = largest_customer_share(tx)
-        layout = "bucketed" if largest * n <= max(total, 1) else "plain"
     if layout == "plain":
         tx.sortWithinPartitions("invoice_ts").write.mode("overwrite").parquet(path)
-        out = spark.read.parquet(path)
-    else:
-        name = table or "transactions_clean_" + re.sub(r"[^0-9a-z]", "", uuid.uuid4().hex)[:12]
-        (tx.repartition(n, "customer_id")
-           .write.mode("overwrite").format("parquet").option("path", path)
-           .bucketBy(n, "customer_id").sortBy("customer_id", "invoice_ts")
-           .saveAsTable(name))
-        out = spark.table(name)
-    if kept is not None:
-        kept.unpersist()
-    return out
+        return spark.read.parquet(path)
+    if layout != "bucketed" or not table:
+        raise ValueError("layout is 'plain', or 'bucketed' with the name of its table")
+    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (tx.repartition(n, "customer_id")
+       .write.mode("overwrite").format("parquet").option("path", path)
+       .bucketBy(n, "customer_id").sortBy("customer_id", "invoice_ts")
+       .saveAsTable(table))
+    return spark.table(table)
 
 
 def materialize_model_ready(tx: DataFrame, cal: ChurnCalendar, path: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attrition.calendar import EVENTS_CALENDAR, TESTDATA_CALENDAR as CAL
 from attrition.operators import activity, behavior, churn, cohorts, cost, eda, features, labels, metrics, quality, segments
 from attrition.operators.clean import clean_transactions, cleaning_waterfall
+from attrition.sources import io
 from attrition.sources.retail import events_purchases, retail_raw
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -79,10 +80,11 @@ def _register_all() -> None:
     q["feature_summary"] = _on_clean(features.feature_summary)
     # LB-* labels, leakage checks, model-ready table and split
     for name in ("future_active_customers", "eligible_customers", "churn_labels", "label_distribution",
-                 "leakage_checks", "model_ready", "split_report"):
+                 "model_ready", "split_report"):
         q[name] = _on_clean(getattr(labels, name))
     q["stratified_split"] = _on_clean(labels.model_ready_split)
     q["is_churned_at"] = lambda spark, sf_dir: labels.is_churned_at(clean_tx(spark, sf_dir), SNAPSHOTS)
+    q["leakage_checks"] = _leakage_checks
     # ML-9..15, CS-*, SG-* on the deterministic heuristic score
     def scored(fn, **kw):
         return lambda spark, sf_dir: fn(metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL), **kw)
@@ -117,6 +119,17 @@ def _register_all() -> None:
     q["return_behavior_raw"] = lambda spark, sf_dir: behavior.return_behavior(raw_tx(spark, sf_dir), CAL)
 
 
+def _leakage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks on stored feature and label tables."""
+    tx = clean_tx(spark, sf_dir)
+    stored = []
+    for name, df in (("features", features.features_recency(tx, CAL)), ("labels", labels.churn_labels(tx, CAL))):
+        path = io.scratch_path(spark, name)
+        io.write_table(df, path)
+        stored.append(io.read_table(spark, path))
+    return labels.leakage_checks(*stored, tx, CAL)
+
+
 def _segment_profiles(tx: DataFrame) -> DataFrame:
     feats = features.features_recency(tx, CAL).join(features.features_monetary(tx, CAL), "customer_id")
     return segments.segment_profiles(metrics.heuristic_scores(tx, CAL), feats)

@@ -14,7 +14,10 @@ from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, St
 
 from attrition.session import checkpoint_dir
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+WRITE_TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+READ_TIMESTAMP = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+#: Column that holds the text of a line that does not fit the schema.
+CORRUPT = "_corrupt"
 
 RAW_SCHEMA = StructType([
     StructField("invoice", StringType()), StructField("stock_code", StringType()),
@@ -29,23 +32,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def read_transactions_csv(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA,
-                          corrupt_col: str | None = None) -> DataFrame:
+def csv_options(corrupt: str = CORRUPT) -> dict[str, str]:
+    """Reader options shared by batch and streaming; a line that does not fit keeps its text in ``corrupt``."""
+    return {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt,
+            "timestampNTZFormat": READ_TIMESTAMP, "timestampFormat": READ_TIMESTAMP}
+
+
+def with_corrupt(schema: StructType, corrupt: str = CORRUPT) -> StructType:
+    return StructType([*schema.fields, StructField(corrupt, StringType())])
+
+
+def read_transactions_csv(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA, quarantine: str | None = None) -> DataFrame:
     """Header CSV with an explicit schema (no inference pass over the data).
-    Malformed rows are kept with NULLs (PERMISSIVE); pass ``corrupt_col`` to
-    keep their raw text too."""
-    s = schema
-    opts = {"header": "true", "mode": "PERMISSIVE", "timestampNTZFormat": TIMESTAMP_FORMAT,
-            "timestampFormat": TIMESTAMP_FORMAT}
-    if corrupt_col:
-        s = StructType(schema.fields + [StructField(corrupt_col, StringType())])
-        opts["columnNameOfCorruptRecord"] = corrupt_col
-    return spark.read.options(**opts).schema(s).csv(path)
+
+    A line with a field that does not parse is no transaction: it is left out
+    of the result, and with ``quarantine`` its text is written below that path
+    (``read_quarantine``), so that nothing disappears without a trace.
+    """
+    lines = spark.read.options(**csv_options()).schema(with_corrupt(schema)).csv(path)
+    if quarantine:
+        rejects(lines).write.mode("overwrite").parquet(quarantine)
+    return lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def rejects(lines: DataFrame) -> DataFrame:
+    """Text and reason of the lines that did not fit the schema."""
+    # all columns are named so that the parser reads every field before it judges the line
+    return lines.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), F.lit("malformed").alias("reason"),
+                                                          F.struct(*[c for c in lines.columns if c != CORRUPT]).alias("parsed"))
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def write_transactions_csv(df: DataFrame, path: str) -> str:
-    (df.write.mode("overwrite").option("header", "true").option("timestampNTZFormat", TIMESTAMP_FORMAT)
-       .option("timestampFormat", TIMESTAMP_FORMAT).csv(path))
+    (df.write.mode("overwrite").option("header", "true").option("timestampNTZFormat", WRITE_TIMESTAMP)
+       .option("timestampFormat", WRITE_TIMESTAMP).csv(path))
     return path
 
 

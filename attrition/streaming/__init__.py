@@ -11,25 +11,36 @@ current as files land, with exactly-once file tracking in the checkpoint
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attrition.operators.clean import clean_transactions
-from attrition.sources.io import RAW_SCHEMA, TIMESTAMP_FORMAT
+from attrition.sources.io import CORRUPT, RAW_SCHEMA, csv_options, rejects, with_corrupt
 
 
 def raw_transaction_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = (spark.readStream.schema(RAW_SCHEMA).option("header", "true")
-         .option("timestampNTZFormat", TIMESTAMP_FORMAT).option("timestampFormat", TIMESTAMP_FORMAT))
+    """Raw lines with the text of those that do not fit the schema in the corrupt column."""
+    r = spark.readStream.schema(with_corrupt(RAW_SCHEMA)).options(**csv_options())
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.csv(source_dir)
 
 
+def _append(frame: DataFrame, path: str, checkpoint: str, available_now: bool):
+    w = frame.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.outputMode("append").start()
+
+
 def stream_clean_transactions(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                               available_now: bool = True):
     """Clean every new raw CSV file and append it to the Parquet table at
     ``sink_dir``.  With ``available_now`` the query processes what is there
-    and stops (a scheduled incremental batch); otherwise it keeps running."""
-    cleaned = clean_transactions(raw_transaction_stream(spark, source_dir))
-    w = cleaned.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.outputMode("append").start()
+    and stops (a scheduled incremental batch); otherwise it keeps running.
+    Lines that do not fit the schema are left to ``stream_rejects``."""
+    lines = raw_transaction_stream(spark, source_dir)
+    return _append(clean_transactions(lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)), sink_dir, checkpoint, available_now)
+
+
+def stream_rejects(spark: SparkSession, source_dir: str, quarantine_dir: str, checkpoint: str, available_now: bool = True):
+    """Append the lines that do not fit the schema to the quarantine at ``quarantine_dir``."""
+    return _append(rejects(raw_transaction_stream(spark, source_dir)), quarantine_dir, checkpoint, available_now)

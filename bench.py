@@ -3,7 +3,7 @@
 Protocol: local[$BENCH_CPUS], data at $BENCH_SF_DIR (default sf0.1), UI off.
 The raw view is cleaned and materialised once as Parquet (timed as
 ``prepare_transactions``), as the analyses in production read the stored
-clean table (layout chosen by a skew check, BENCH_LAYOUT=auto|bucketed|plain);
+clean table (BENCH_LAYOUT=plain|bucketed);
 every analysis then runs on that table into a ``noop`` sink:
 one warm-up, median of three.  Prints one JSON line.
 """
@@ -70,9 +70,9 @@ def main() -> None:
 
     raw = retail_raw(spark, sf_dir)
     t0 = time.perf_counter()
-    layout = os.environ.get("BENCH_LAYOUT", "auto")
+    layout = os.environ.get("BENCH_LAYOUT", "plain")
     tx = materialize_transactions(clean_transactions(raw), os.path.join(scratch, "transactions_clean"),
-                                  layout=layout, num_buckets=2 * cpus)
+                                  layout=layout, num_buckets=2 * cpus, table="transactions_clean")
     prepare = time.perf_counter() - t0
 
     timings = {"prepare_transactions": round(prepare, 3)}

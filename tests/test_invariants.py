@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attrition.operators import churn, cost, features, labels, metrics
 from attrition.operators.clean import clean_transactions, cleaning_waterfall
 from attrition.operators.rank import global_ntile, global_rank
+from attrition.operators.shapes import with_customer
 from attrition.plans.registry import QUERIES
 from attrition.sources.retail import retail_raw
 
@@ -98,8 +99,25 @@ def test_labels_ignore_lines_after_prediction_end(spark, tx, cal):
     assert _same(labels.churn_labels(tx, cal), labels.churn_labels(later, cal))
 
 
+def _checks(tx, cal, feats, labs):
+    return {r["check_name"]: r["passed"] for r in labels.leakage_checks(feats, labs, tx, cal).collect()}
+
+
 def test_leakage_checks_pass(tx, cal):
-    assert all(r["passed"] for r in labels.leakage_checks(tx, cal).collect())
+    assert all(_checks(tx, cal, features.feature_matrix(tx, cal), labels.churn_labels(tx, cal)).values())
+
+
+@pytest.mark.parametrize("broken,leak", [
+    ("recency_not_negative", lambda f, lab: (f.withColumn("recency_days", F.col("recency_days") - 10_000), lab)),
+    ("recency_recomputed", lambda f, lab: (f.withColumn("recency_days", F.col("recency_days") + 1), lab)),
+    ("active_buy_in_label_period", lambda f, lab: (f, lab.withColumn("is_churned", F.lit(0)))),
+    ("churned_do_not_buy", lambda f, lab: (f, lab.withColumn("is_churned", F.lit(1)))),
+    ("labels_known_once", lambda f, lab: (f, lab.unionByName(lab.limit(1)))),
+    ("labels_known_once", lambda f, lab: (f, lab.unionByName(lab.limit(1).withColumn("customer_id", F.lit(-5).cast("bigint"))))),
+])
+def test_leakage_checks_catch_planted_leaks(tx, cal, broken, leak):
+    feats, labs = leak(features.features_recency(tx, cal), labels.churn_labels(tx, cal))
+    assert not _checks(tx, cal, feats, labs)[broken]
 
 
 def _plan(df) -> str:
@@ -126,15 +144,51 @@ def test_no_row_python_udf_or_cartesian(spark, key):
             assert "Aggregate" in lines[i + 1], lines[i + 1]
 
 
-def test_layout_check_refuses_buckets_for_a_dominant_customer(spark, make_tx, tmp_path):
+def test_layout_is_the_callers_choice(spark, make_tx, tmp_path):
     from attrition.plans.pipeline import largest_customer_share, materialize_transactions
-    rows = [(str(i), "10", 1, "2001-01-01 00:00:00", 1.0, 1 if i % 3 == 0 else 100 + i, "N") for i in range(90)]
-    tx = make_tx(rows)
-    largest, total = largest_customer_share(tx)
-    assert (largest, total) == (30, 90)
-    out = materialize_transactions(tx, str(tmp_path / "t"), layout="auto", num_buckets=8)
-    assert "Bucketed: true" not in out._jdf.queryExecution().executedPlan().toString()
-    assert out.count() == 90
+    tx = make_tx([(str(i), "A", 1, f"2001-01-{i % 28 + 1:02d} 10:00:00", 2.0, 1 if i < 60 else i, "X") for i in range(100)])
+    assert largest_customer_share(tx) == (60, 100)
+    assert materialize_transactions(tx, str(tmp_path / "t")).count() == 100
+    with pytest.raises(ValueError):
+        materialize_transactions(tx, str(tmp_path / "u"), layout="bucketed")
+
+
+def test_customer_join_spreads_a_dominant_customer(spark):
+    """Half of the rows belong to one customer; no task of the join holds more than a few of its salts."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("customer_id"), F.col("id").alias("invoice"))
+    per = rows.groupBy("customer_id").agg(F.max("invoice").alias("last"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(keep, ("16", "-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        joined = with_customer(rows, per, "invoice").where("customer_id = -1").groupBy(F.spark_partition_id()).count().collect()
+        plain = rows.join(per, "customer_id").where("customer_id = -1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(plain) == 1 and sum(r["count"] for r in joined) == 20_000
+    assert len(joined) >= 6 and max(r["count"] for r in joined) < 20_000 / 3
+
+
+def test_malformed_lines_go_to_quarantine_in_batch_and_stream(spark, tmp_path):
+    from attrition.sources import io
+    from attrition.streaming import stream_clean_transactions, stream_rejects
+    head = "invoice,stock_code,description,quantity,invoice_ts,price,customer_id,country"
+    good = "1,A,x,2.0,2001-01-02 03:04:05.654321,1.5,7,X"
+    bad = ["2,A,x,two,2001-01-02 03:04:05,1.5,7,X", "3,A,x,2.0,yesterday,1.5,7,X", "4,A,x,2.0,2001-01-02 03:04:05,1.5,seven,X"]
+    src = tmp_path / "csv"
+    src.mkdir()
+    (src / "a.csv").write_text("\n".join([head, good, *bad, "5,A,x,1.0,2001-01-02 03:04:05,1.5,8,X"]) + "\n")
+    read = io.read_transactions_csv(spark, str(src), quarantine=str(tmp_path / "q"))
+    rows = {r["invoice"]: r for r in read.collect()}
+    assert set(rows) == {"1", "5"} and rows["1"]["invoice_ts"].microsecond == 654321
+    assert sorted(r["line"] for r in io.read_quarantine(spark, str(tmp_path / "q")).collect()) == bad
+    back = io.read_transactions_csv(spark, io.write_transactions_csv(read, str(tmp_path / "w")))
+    assert {r["invoice_ts"].microsecond for r in back.collect()} == {654321, 0}
+    stream_clean_transactions(spark, str(src), str(tmp_path / "s"), str(tmp_path / "c1")).awaitTermination()
+    stream_rejects(spark, str(src), str(tmp_path / "sq"), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2 and spark.read.parquet(str(tmp_path / "sq")).count() == 3
+
 
 
 def test_approximate_profiles_are_close_to_exact(raw):
