@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import arrow_rows, as_bytes
 
 MIN_REVISIT = 100
 #: Keys that a group of equal payloads is spread over.
 GROUP_SALTS = 32
 VERSION = b"WARC/1.1"
+#: The record types of the standard.
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 _ID = "urn:page:"
 
 
@@ -83,17 +85,16 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000) ->
     """Write archives of at most ``records_per_file`` records below ``path``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
-                rows = zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), as_bytes(b.column("html")),
-                           b.column("digest").to_pylist(), b.column("refers_to").to_pylist(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([member(record(*r)) for r in rows], pa.binary())], names=["value"])
+        for b in batches:
+            rows = zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), as_bytes(b.column("html")),
+                       b.column("digest").to_pylist(), b.column("refers_to").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([member(record(*r)) for r in rows], pa.binary())], names=["value"])
 
     members = deduplicated(pages).mapInArrow(run, "value binary")
     # a cast from binary to string keeps the bytes as they are, and the text sink writes them unchanged
-    (members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+    with arrow_rows(pages.sparkSession, 256):
+        (members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000")
+         .option("maxRecordsPerFile", records_per_file).text(path))
 
 
 class Damage(Exception):
@@ -111,10 +112,10 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     fields = {}
     for line in lines:
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or re.search(rb"[\x00-\x08\x0a-\x1f\x7f]", line):
             raise Damage("header field")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not re.fullmatch("[0-9]+", fields.get("content-length", "")) or "warc-type" not in fields:
+    if not re.fullmatch("[0-9]+", fields.get("content-length", "")) or "warc-record-id" not in fields or fields.get("warc-type") not in TYPES:
         raise Damage("header field")
     start = head_end + 4
     end = start + int(fields["content-length"])
@@ -220,7 +221,7 @@ def salvaged(archives: DataFrame) -> DataFrame:
                 rows = []
                 for found in salvage(content.as_py() or b""):
                     rows.append(_row(path.as_py(), *found))
-                    if len(rows) == 500:
+                    if len(rows) == 100:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                         rows = []
                 if rows:
