@@ -366,7 +366,7 @@ def similarity_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str =
     c = F.col
     outputs = ("class_id", "copy_id", "n_links", "class_first")
     keep = tuple(k for k in (keep or (doc_id,)) if k not in outputs)
-    rows = written(features(docs.drop(*[o for o in outputs if o != doc_id]), plan, keep, text), "features")
+    rows = written(features(docs, plan, (doc_id,), text), "features")  # narrow: texts are read again where they are needed
     first = F.struct(c(f"`{doc_id}`").isNull().alias("no_id"), c(f"`{doc_id}`").alias("id"), c("_llm_row").alias("row"))
     sets = written(rows.filter("_llm_key is not null").groupBy(c("_llm_key").alias("key")).agg(
         F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("_llm_size").alias("size"), F.min("_llm_row").alias("row"),
@@ -388,9 +388,13 @@ def similarity_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str =
     classes = written(several.groupBy("root").agg(F.min("first").alias("class_first")), "firsts")
     info = written(several.join(classes, "root").select(c("key").alias("_llm_set"), c("first").alias("_llm_copy"), c("class_first").alias("_llm_class"),
                                                         c("links").alias("_llm_links")), "info")
-    return rows.join(info, c("_llm_key") == c("_llm_set"), "left").select(
-        *[c(f"`{k}`") for k in keep],
+    found = rows.join(info, c("_llm_key") == c("_llm_set"), "left").select(
+        c(f"`{doc_id}`"), "_llm_row",
         F.when(c("_llm_set").isNull(), c(f"`{doc_id}`")).otherwise(c("_llm_class.id")).alias("class_id"),
         F.when(c("_llm_set").isNull(), c(f"`{doc_id}`")).otherwise(c("_llm_copy.id")).alias("copy_id"),
         F.coalesce("_llm_links", F.lit(0)).alias("n_links"),
         F.coalesce(c("_llm_class.row") == c("_llm_row"), F.lit(True)).alias("class_first"))
+    if set(keep) <= {doc_id}:
+        return found.select(*keep, *outputs)
+    whole = docs.select(*[c(f"`{k}`") for k in keep], F.monotonically_increasing_id().alias("_llm_row"))
+    return whole.join(written(found.select("_llm_row", *outputs), "found"), "_llm_row").select(*[c(f"`{k}`") for k in keep], *outputs)
