@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces_by_bytes
+from .common import as_bytes, bounded_batches, pieces_by_bytes
 from .encoding import encoder
 
 
@@ -82,7 +82,7 @@ def binary_pieces(docs: DataFrame, tokenizer_path: str, units: str, context: int
                     names=[*keep, "start", "length", "doc_tokens", "ids"])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
-    return (source.mapInArrow(run, kept + "start bigint, length bigint, doc_tokens bigint, ids binary")
+    return (bounded_batches(source).mapInArrow(run, kept + "start bigint, length bigint, doc_tokens bigint, ids binary")
             .withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +30,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Batches of at most ``rows`` rows to Python for the actions run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, after limiting the session's Arrow batches to ``rows`` rows.
+
+    The default of 10,000 rows is meant for narrow rows; with whole texts the
+    buffers of such batches, on both sides, would be most of a worker's memory.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(conf.get(key))
+    if before <= 0 or before > rows:
+        conf.set(key, str(rows))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -47,18 +47,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, pieces_by_bytes, written
+from .common import as_bytes, bounded_batches, pieces_by_bytes, written
 
 #: Sampled tokens held of each set; the first ones open the runs, the others split buckets.
 TOKENS = 64
 #: Sampled tokens that a set of an oversized bucket follows.
 BRANCHES = 2
-#: Distinct words in a worker's hash memo before it starts over.
-MEMO_WORDS = 500_000
 
 _SEEDS = np.random.default_rng(20180401).integers(0, 1 << 63, (2, TOKENS), dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2^64 / golden ratio, odd
-_WORDS: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -86,18 +83,10 @@ class JoinPlan:
 
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams."""
-    if len(_WORDS) > MEMO_WORDS:
-        _WORDS.clear()
     parts = text.split()
     if not parts:
         return np.zeros(0, np.uint64)
-    hashes = []
-    for w in parts:
-        h = _WORDS.get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    h = np.array(hashes, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     n = min(words, len(parts))
     out = np.full(len(parts) - n + 1, n, np.uint64)
     for k in range(n):
@@ -137,7 +126,7 @@ def features(docs: DataFrame, plan: JoinPlan, keep: tuple[str, ...], text: str)
                     names=[*names, "_llm_key", "_llm_size", "_llm_tokens", "_llm_sketch"])
 
     extra = T.StructType().add("_llm_key", "binary").add("_llm_size", "long").add("_llm_tokens", T.ArrayType(T.LongType())).add("_llm_sketch", "binary")
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *extra.fields]))
+    return bounded_batches(source).mapInArrow(run, T.StructType([*source.schema.fields[:-1], *extra.fields]))
 
 
 def _sized(rows: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces_by_bytes, written
+from .common import as_bytes, bounded_batches, pieces_by_bytes, written
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"
@@ -97,7 +97,7 @@ def document_measures(docs: DataFrame, keep: tuple[str, ...], text: str = "text"
                                                  names=[*keep, *MEASURES])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, kept + ", ".join(f"{m} bigint" for m in MEASURES))
+    return bounded_batches(source).mapInArrow(run, kept + ", ".join(f"{m} bigint" for m in MEASURES))
 
 
 def host_counts(measured: DataFrame, host: str = "source") -> DataFrame:

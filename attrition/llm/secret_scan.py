@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, pieces_by_bytes
+from .common import as_bytes, bounded_batches, pieces_by_bytes
 
 KINDS = ("assign", "access", "hex", "pem", "key", "jwt", "hexkey")
 
@@ -182,7 +182,7 @@ def _mapped(docs: DataFrame, keep: tuple[str, ...], text: str, column: str, kind
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), found], names=[*keep, column])
 
     schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string(f"`{column}` {kind}").fields])
-    return source.mapInArrow(run, schema)
+    return bounded_batches(source).mapInArrow(run, schema)
 
 
 def secret_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces_by_bytes
+from .common import as_bytes, bounded_batches, pieces_by_bytes
 
 #: A non-space character before a space or line feed: a byte-level or word
 #: tokenizer starts a new pre-token there whatever stands around it.
@@ -97,4 +97,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, text:
                      pa.array(n > limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kept}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return bounded_batches(source).mapInArrow(run, f"{kept}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binary_packing import with_end
-from .common import as_bytes, pieces_by_bytes
+from .common import as_bytes, bounded_batches, pieces_by_bytes
 from .encoding import encoder
 
 
@@ -138,7 +138,7 @@ def packed_matrix(docs: DataFrame, tokenizer_path: str, units: str, end_id: int,
 
     if row > 1 << 16 or end_id >= 1 << 16:
         raise ValueError("positions and ids are written as unsigned 16-bit numbers")
-    return source.mapInArrow(run, "ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<bigint>, "
+    return bounded_batches(source).mapInArrow(run, "ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<bigint>, "
                                   "starts array<bigint>, n_tokens int")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes
+from .common import as_bytes, bounded_batches
 
 MIN_REVISIT = 100
 #: Keys that a group of equal payloads is spread over.
@@ -90,11 +90,10 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000) ->
                        b.column("digest").to_pylist(), b.column("refers_to").to_pylist(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([member(record(*r)) for r in rows], pa.binary())], names=["value"])
 
-    members = deduplicated(pages).mapInArrow(run, "value binary")
+    members = bounded_batches(deduplicated(pages)).mapInArrow(run, "value binary")
     # a cast from binary to string keeps the bytes as they are, and the text sink writes them unchanged
-    with arrow_rows(pages.sparkSession, 256):
-        (members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000")
-         .option("maxRecordsPerFile", records_per_file).text(path))
+    (members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000")
+     .option("maxRecordsPerFile", records_per_file).text(path))
 
 
 class Damage(Exception):
