@@ -122,7 +122,9 @@ def classifier(docs: DataFrame, labels: DataFrame, plan: MixPlan) -> Classifier:
     """The naive Bayes model of a bounded labelled sample."""
     c, a = F.col, plan.smoothing
     sample = F.broadcast(labelled(labels, plan))  # at most max_labels narrow rows
-    seen = written(measured(docs.select("doc_id", "text")).join(sample, c("doc_id") == c("_llm_label_id")).select("domain", "_llm_f"), "sample")
+    # the sampled texts are written first, so that only theirs are measured
+    texts = written(docs.select("doc_id", "text").join(sample, c("doc_id") == c("_llm_label_id")).select("domain", "text"), "sample")
+    seen = written(measured(texts).select("domain", "_llm_f"), "features")
     by_domain = [F.count(F.when(c("domain") == d, 1)).alias(d) for d in DOMAINS]
     totals = written(seen.agg(*by_domain), "totals")
     total = totals.select(F.struct(*DOMAINS)).scalar()
