@@ -54,7 +54,10 @@ SHARES = ("symbols", "capitals", "distinct words", "length")
 
 @dataclass(frozen=True)
 class MixPlan:
-    """Target token weights by domain; the total is such that the clean documents' tokens fill their share."""
+    """Target token weights by domain; the total is such that the clean documents' tokens fill their share.
+
+    A domain of weight 0 is unwanted: documents that are of it with a chance above one half have rate 0.
+    """
 
     weights: dict[str, float] = field(default_factory=lambda: {"clean": 0.95, "low": 0.04, "toxic": 0.01})
     max_rate: float | None = None   # an upper bound to project on, if any
@@ -180,7 +183,9 @@ def fitted_rates(cells: DataFrame, plan: MixPlan) -> DataFrame:
     """
     c = F.col
     parts = posterior(c("_llm_cell").cast("double"))
-    filled = cells.select(F.struct("_llm_cell", c("tokens").cast("double").alias("t"), *[parts[d].alias(d) for d in DOMAINS]).alias("x"))
+    # the targets alone would leave a share of the unwanted domain's cells, as the steps slow down near the optimum
+    unwanted = reduce(lambda x, y: x | y, [parts[d] > 0.5 for d in DOMAINS if plan.weights[d] == 0], F.lit(False))
+    filled = cells.select(F.struct("_llm_cell", c("tokens").cast("double").alias("t"), *[parts[d].alias(d) for d in DOMAINS], unwanted.alias("out")).alias("x"))
     one = filled.agg(F.sort_array(F.collect_list("x")).alias("x"))
 
     def total(rates: Column, d: str) -> Column:
@@ -197,7 +202,8 @@ def fitted_rates(cells: DataFrame, plan: MixPlan) -> DataFrame:
         # the residuals are one value a step: held in a one-element array, not computed for every cell
         def moved(g: Column) -> Column:
             new = F.zip_with(rates, c("x"), lambda r, x: F.greatest(F.lit(0.0), r - reduce(lambda p, q: p + q, [x[d] * g[d] for d in DOMAINS])))
-            return new if plan.max_rate is None else F.transform(new, lambda r: F.least(r, F.lit(float(plan.max_rate))))
+            new = new if plan.max_rate is None else F.transform(new, lambda r: F.least(r, F.lit(float(plan.max_rate))))
+            return F.zip_with(new, c("x"), lambda r, x: F.when(x["out"], 0.0).otherwise(r)) if 0 in plan.weights.values() else new
         return F.flatten(F.transform(F.array(over), moved))
 
     start = F.transform("x", lambda x: F.lit(1.0))

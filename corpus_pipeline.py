@@ -27,6 +27,9 @@ from attrition.llm.secret_scan import redacted
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: No toxic text is wanted; low quality may be as much beside the clean text as by default.
+MIX = MixPlan(weights={"clean": 0.95 / 0.99, "low": 0.04 / 0.99, "toxic": 0.0}, max_rate=1.0)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host is rejected, go."""
@@ -47,9 +50,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays with the chance its domain rate gives.
 
     Rates are projected on [0, 1]: a rate above 1 would bring back the copies
-    that an earlier stage removed.  Documents that are clean for certain have rate 1.
+    that an earlier stage removed.  Documents that are clean for certain have
+    rate 1, documents that are more likely toxic than not have rate 0.
     """
-    kept = mixed(docs, table(spark, sf_dir, "labels"), MixPlan(max_rate=1.0))
+    kept = mixed(docs, table(spark, sf_dir, "labels"), MIX)
     return kept.filter("copies > 0").select(*docs.columns)
 
 

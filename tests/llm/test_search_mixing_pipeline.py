@@ -106,6 +106,27 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean([r["copies"] >= 1 for r in clean]) > 0.98 and np.mean([r["copies"] for r in toxic]) < 0.3
 
 
+def test_unwanted_domain_goes_however_little_there_is(spark):
+    half = mx.GRID // 2
+    for toxic in (10.0, 500.0, 50_000.0):
+        rows = [(0, 1_000_000.0), (mx.GRID, toxic), (half + 1, toxic / 50), (half, 100.0), (mx.GRID * (mx.GRID + 1), 1_000.0)]
+        cells = spark.createDataFrame(rows, "_llm_cell int, tokens double")
+        rate = {r["_llm_cell"]: r["_llm_rate"] for r in mx.fitted_rates(cells, corpus_pipeline.MIX).collect()}
+        assert rate[mx.GRID] == rate[half + 1] == 0 and rate[0] == rate[mx.GRID * (mx.GRID + 1)] == 1
+
+
+def test_pipeline_drops_recognised_toxic_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = mx.mixed(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels, corpus_pipeline.MIX, keep=("doc_id",))
+    seen = out.join(labels, "doc_id").select("n_tokens", "p_toxic", "p_clean", "copies", "quality", "toxic").collect()
+    recognised = [r for r in seen if r["p_toxic"] > 0.5]
+    clean = [r for r in seen if r["toxic"] == 0 and r["quality"] == 1]
+    print("recognised", len(recognised), "clean kept", np.mean([r["copies"] for r in clean]), "toxic kept", np.mean([r["copies"] for r in seen if r["toxic"] == 1]))
+    assert recognised and all(r["copies"] == 0 for r in recognised)
+    assert np.mean([r["copies"] for r in clean]) > 0.98
+
+
 def test_mixing_edge_cases(spark, make_docs):
     rows = [(None, None), (1, ""), (2, "a b c"), (2, "a b c"), (3, "w " * 100_000)]
     docs = make_docs(rows, extra="rate")
