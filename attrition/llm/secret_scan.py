@@ -4,11 +4,18 @@ Base spans are found by pattern: assignments to a secret's name (``assign``),
 access key ids (``access``) and long hex runs (``hex``).  Further spans are
 reported only if what they encode proves to be a secret:
 
-* ``pem``     a PEM block whose body decodes to a private key;
-* ``key``     a base64 run that decodes to a private key;
+* ``pem``     a PEM block whose body decodes to a private key, or is the
+              ciphertext that its ``DEK-Info`` line announces;
+* ``key``     base64 that decodes to a private key or to such a PEM block;
 * ``jwt``     a signed token: three base64url parts of which the first decodes
               to a JSON object with an algorithm and the second to a JSON object;
-* ``hexkey``  a hex run that decodes to a private key.
+* ``hexkey``  hex that decodes to a private key.
+
+A PEM body may have header lines, escaped line ends (backslash n) and quotes,
+indents or comment signs around its lines.  Base64 and hex may be wrapped, with
+plain or escaped line ends, if the first line has ``LINE`` characters; the key
+may start anywhere in it and ends with a line or before a path sign.  Escapes
+may be doubled, up to eight backslashes.
 
 A private key is DER whose nested lengths fill the value exactly and whose
 members are those of PKCS#1, PKCS#8, SEC1 or an encrypted PKCS#8 key, or an
@@ -29,6 +36,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,10 +53,21 @@ KINDS = ("assign", "access", "hex", "pem", "key", "jwt", "hexkey")
 _ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")  # whole runs: a shorter one fails anyway
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{48,}={0,2}")
+_ARMOUR = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+_ENCRYPTED = re.compile(rb"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*([A-Za-z0-9-]+),\s*((?:[0-9A-Fa-f]{2})+)\s")
+_HEADER = re.compile(rb"(?m)^[A-Za-z][A-Za-z0-9-]*:.*$")
+_LINE_DRESS = re.compile(rb"""(?m)["'`][ \t+.,;&)\\]*$|^[ \t>#*|"'`]+|(?<![ \t\\])[ \t\\]++$""")
+#: Wrapped base64 (and hex, whose alphabet is a part): lines of it with plain or escaped ends; a slash may be escaped.
+LINE = 16
+_BLOCK = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]|\\{1,8}/){%d,}+(?:(?:[ \t]*+(?:\r?\n|(?:\\{1,8}[rn])++)[ \t]*+)++(?:[A-Za-z0-9+/_-]|\\{1,8}/)++)*+" % LINE)
+_SEGMENT = re.compile(rb"((?:\\{1,8}[rn])++)|\\{1,8}|([A-Za-z0-9+/_-]++)")
+#: Where a key can start in base64: a DER sequence shorter than 2^32, the OpenSSH magic, or PEM armour at any of three offsets.
+_SSH_MAGIC = b"openssh-key-v1\0"
+_ARMOURS = [base64.b64encode(b"\0" * k + b"-----BEGIN ")[(4 * k + 2) // 3:(4 * (k + 11)) // 3] for k in range(3)]
+_KEY_START = re.compile(b"M[A-I]|" + base64.b64encode(_SSH_MAGIC) + b"|" + b"|".join(b"(%s)" % re.escape(a) for a in _ARMOURS))
+_HEX_RUN = re.compile(rb"[0-9A-Fa-f]{64,}")
+_HEX_START = re.compile(b"30(?:[0-7][0-9a-f]|8[1-4])|" + _SSH_MAGIC.hex().encode(), re.I)
 _JWT = re.compile(rb"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_ANY_HEX = re.compile(rb"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 
 
 def unbase64(raw: bytes) -> bytes | None:
@@ -107,33 +126,139 @@ def der_private_key(data: bytes) -> bool:
     return False
 
 
-def openssh_private_key(data: bytes) -> bool:
-    """``openssh-key-v1``: magic, then cipher, KDF, options, number of keys, public keys, private part."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at, fields = len(magic), 0
+def der_length(data: bytes) -> int:
+    """Bytes of the DER sequence that ``data`` starts with, by its outer length; 0 if it cannot be a private key."""
+    if len(data) < 8 or data[0] != 0x30:
+        return 0
+    width = data[1] & 0x7F if data[1] >= 0x80 else 0
+    if width > 4:
+        return 0
+    inside = data[2 + width:5 + width]
+    if inside[:2] != b"\x02\x01" and inside[:1] != b"\x30":
+        return 0
+    return 2 + width + (int.from_bytes(data[2:2 + width], "big") if data[1] >= 0x80 else data[1])
+
+
+def openssh_length(data: bytes) -> int:
+    """Bytes of the ``openssh-key-v1`` container at the start: magic, then cipher, KDF, options, number of keys, public keys, private part."""
+    if not data.startswith(_SSH_MAGIC):
+        return 0
+    at, fields = len(_SSH_MAGIC), 0
     keys = 0
     while at < len(data):
         if at + 4 > len(data):
-            return False
+            return 0
         n, at = int.from_bytes(data[at:at + 4], "big"), at + 4
         if fields == 3:
             keys = n
         else:
             if at + n > len(data):
-                return False
+                return 0
             at += n
         fields += 1
         if fields == 5 + keys:
-            return 1 <= keys and at == len(data)
-    return False
+            return at if keys >= 1 else 0
+    return 0
+
+
+def openssh_private_key(data: bytes) -> bool:
+    """An ``openssh-key-v1`` container that fills ``data``."""
+    return bool(data) and openssh_length(data) == len(data)
 
 
 def private_key(data: bytes | None) -> bool:
     return bool(data) and (openssh_private_key(data) or der_private_key(data))
 
 
+def pem_private_key(body: bytes) -> bool:
+    """What stands between the armour lines: headers, then base64 of a private key or of the announced ciphertext."""
+    body = re.sub(rb"\\{1,8}u00([0-7][0-9A-Fa-f])", lambda m: bytes.fromhex(m[1].decode()), body)
+    body = re.sub(rb"\\{1,8}(?=/)", b"", re.sub(rb"(?:\\{1,8}[rn])+|\r\n?", b"\n", body))
+    body = _LINE_DRESS.sub(b"", body)
+    scheme = _ENCRYPTED.search(body)
+    if scheme:
+        data, block = unbase64(_HEADER.sub(b"", body[scheme.end():])), len(scheme[2]) // 2
+        return bool(data) and len(data) >= 32 and (not re.search(rb"CBC|ECB", scheme[1]) or len(data) % block == 0)
+    return private_key(unbase64(_HEADER.sub(b"", body)))
+
+
+def pem_spans(text: bytes) -> list[tuple[int, int]]:
+    """Start and end of the PEM blocks that hold private keys."""
+    marks = list(_ARMOUR.finditer(text))
+    return [(a.start(), b.end()) for a, b in zip(marks, marks[1:])
+            if a[1] == b"BEGIN" and b[1] == b"END" and a[2] == b[2] and pem_private_key(text[a.end():b.start()])]
+
+
+def base64_keys(run: bytes, ends: set[int]) -> Iterator[tuple[int, int]]:
+    """Start and end of keys in the characters of a base64 block; ``ends``: where its lines end."""
+    at = 0
+    while m := _KEY_START.search(run, at):
+        start, at = m.start(), m.start() + 1
+        end = 0
+        if m.lastindex:  # PEM armour; the first whole character of it stands for its offset in the three bytes
+            quad = start - (4 * (m.lastindex - 1) + 2) // 3
+            if quad < 0 or not re.match(rb"(?s).{0,2}-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", unbase64(run[quad:quad + 84]) or b""):
+                continue
+            data = unbase64(run[quad:len(run) - ((len(run) - quad) % 4 == 1)]) or b""
+            found = pem_spans(data)
+            if found and found[0][0] <= 2:
+                start, used = quad + (4 * found[0][0]) // 3, found[0][1]
+                end = quad - (-4 * (len(data) - len(data[used:].lstrip(b"\r\n"))) // 3)
+        elif m[0].startswith(b"M"):
+            used = der_length(unbase64(run[start:start + 16]) or b"")
+            n = -(-4 * used // 3)
+            if 48 <= n <= len(run) - start and der_private_key(unbase64(run[start:start + n]) or b""):
+                end = start + n
+        else:
+            used = openssh_length(unbase64(run[start:len(run) - ((len(run) - start) % 4 == 1)]) or b"")
+            end = start - (-4 * used // 3) if used else 0
+        if end and (m.lastindex or end in ends or run[end:end + 1] in b"/_-"):
+            yield start, end
+            at = end
+
+
+def hex_keys(run: bytes, ends: set[int]) -> Iterator[tuple[int, int]]:
+    """Start and end of keys in the hex runs of a block; a digit may be glued to either side."""
+    for whole in _HEX_RUN.finditer(run):
+        at = whole.start()
+        while m := _HEX_START.search(run, at, whole.end()):
+            start, at = m.start(), m.start() + 1
+            room = (whole.end() - start) // 2
+            used = der_length(bytes.fromhex(run[start:start + 2 * min(room, 12)].decode()))
+            if not used and not m[0].startswith(b"30"):
+                used = openssh_length(bytes.fromhex(run[start:start + 2 * room].decode()))
+            end = start + 2 * used
+            if 32 <= used <= room and (end in ends or whole.end() - end < 2) and private_key(bytes.fromhex(run[start:end].decode())):
+                yield start, end
+                at = end
+
+
+def block_spans(text: bytes) -> Iterator[tuple[int, int, str]]:
+    """``key`` and ``hexkey`` spans: keys in blocks of base64 or hex, whose line ends are taken out first."""
+    for block in _BLOCK.finditer(text):
+        parts, places, size, ends = [], [], 0, set()  # places: where a part starts in the joined run and in the text
+        for m in _SEGMENT.finditer(text, block.start(), block.end()):
+            if m[2]:
+                if parts and places[-1][2] != m.start():
+                    ends.add(size)
+                parts.append(m[2])
+                places.append((size, m.start(), m.end()))
+                size += len(m[2])
+        ends.add(size)
+        run, firsts = b"".join(parts), [p[0] for p in places]
+
+        def place(x: int) -> int:
+            joined, here, _ = places[bisect_right(firsts, x) - 1]
+            return here + x - joined
+
+        for start, end in base64_keys(run, ends):
+            stop = place(end - 1) + 1
+            pad = -(end - start) % 4
+            yield place(start), stop + len(re.match(rb"={0,%d}" % min(pad, 2), text[stop:stop + 2])[0]), "key"
+        for start, end in hex_keys(run, ends):
+            yield place(start), place(end - 1) + 1, "hexkey"
+
+
 def signed_token(header: bytes, payload: bytes) -> bool:
     """A JWT: the header is a JSON object naming its algorithm, the payload a JSON object."""
     try:
@@ -148,10 +273,9 @@ def byte_spans(text: bytes) -> list[tuple[int, int, str, int]]:
     out = [(m.start(), m.end(), "assign", m.start(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     out += [(m.start(), m.end(), "access", m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), "hex", m.start()) for m in _HEX.finditer(text)]
-    out += [(m.start(), m.end(), "pem", m.start()) for m in _PEM.finditer(text) if private_key(unbase64(m[2]))]
-    out += [(m.start(), m.end(), "key", m.start()) for m in _BASE64.finditer(text) if private_key(unbase64(m[0]))]
+    out += [(a, b, "pem", a) for a, b in pem_spans(text)]
+    out += [(a, b, kind, a) for a, b, kind in block_spans(text)]
     out += [(m.start(), m.end(), "jwt", m.start()) for m in _JWT.finditer(text) if signed_token(m[1], m[2])]
-    out += [(m.start(), m.end(), "hexkey", m.start()) for m in _ANY_HEX.finditer(text) if private_key(bytes.fromhex(m[0].decode()))]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

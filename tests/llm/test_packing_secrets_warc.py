@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -189,6 +190,52 @@ def test_keys_are_confirmed_by_structure(key):
         assert "key" not in dict(kinds(base64.b64encode(bad).decode()))
 
 
+def wrapped(data, width=64, end="\n"):
+    b64 = base64.b64encode(data).decode()
+    return end.join(b64[i:i + width] for i in range(0, len(b64), width))
+
+
+@pytest.mark.parametrize("key", [RSA, EC, PKCS8, ED25519, SSH])
+def test_keys_in_other_written_forms(key):
+    for end in ("\\n", "\\r\\n", "\\\\n", "\r\n", "\n    ", '\\n" +\n  "', "\n# "):
+        pem = f"-----BEGIN PRIVATE KEY-----{end}{wrapped(key, end=end)}{end}-----END PRIVATE KEY-----"
+        assert ("pem", pem) in kinds(f'é {{"private_key": "{pem}\\n"}}'), end
+    slashes = f"-----BEGIN PRIVATE KEY-----\\n{wrapped(key, end=chr(92) + 'n')}\\n-----END PRIVATE KEY-----".replace("/", "\\/").replace("=", "\\u003d")
+    assert ("pem", slashes) in kinds(f'"{slashes}"')
+    head = f"-----BEGIN RSA PRIVATE KEY-----\nComment: a key, of mine\n\n{wrapped(key)}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", head) in kinds(head)
+    for end in ("\n", "\r\n", "\n  ", "\\n"):
+        assert kinds(f'é "{wrapped(key, end=end)}" end') == [("key", wrapped(key, end=end))]
+        assert kinds(f"some words here\n{wrapped(key, 76, end)}\nend") == [("key", wrapped(key, 76, end))]
+    whole = f"-----BEGIN PRIVATE KEY-----\n{wrapped(key)}\n-----END PRIVATE KEY-----\n"
+    for before in ("", "#", "# a", "-----BEGIN CERTIFICATE-----\nAAAA\n-----END CERTIFICATE-----\n"):
+        for width in (10_000, 76):
+            text = f"data: {wrapped((before + whole).encode(), width)} end"
+            (found,) = [s for s in ss.spans(text.encode()) if s["kind"] == "key"]
+            assert ss.redact(text.encode()).decode() in (text[:found["start"]] + "[SECRET] end", text[:found["start"]] + "[SECRET]= end", text[:found["start"]] + "[SECRET]== end")
+            assert len(text[6:found["start"]].replace("\n", "")) == 4 * len(before) // 3
+    b64 = base64.b64encode(key).decode()
+    assert ("key", b64) in kinds(f"file:/etc/keys/{b64}") and ("key", b64) in kinds(f"x_{b64} y")
+    assert ("key", b64.rstrip("=")) in kinds(f"a {b64.rstrip('=')}/tail")
+    assert ("hexkey", key.hex()) in kinds(f"0{key.hex()}") and ("hexkey", key.hex().upper()) in kinds(f"f{key.hex().upper()}7")
+
+
+def test_encrypted_keys_with_dek_info():
+    for scheme, iv, n in (("AES-128-CBC", "0F" * 16, 608), ("DES-EDE3-CBC", "0F" * 8, 120)):
+        for end in ("\n", "\\n"):
+            pem = end.join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", f"DEK-Info: {scheme},{iv}", "", wrapped(bytes(range(8)) * (n // 8), end=end), "-----END RSA PRIVATE KEY-----"])
+            assert ("pem", pem) in kinds(f"x {pem} y") and "pem" not in dict(kinds(pem.replace("4,ENC", "4,")))
+            bad = end.join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", f"DEK-Info: {scheme},{iv}", "", wrapped(bytes(n + 1), end=end), "-----END RSA PRIVATE KEY-----"])
+            assert "pem" not in dict(kinds(bad))
+
+
+def test_long_runs_of_near_keys_are_scanned_in_time():
+    started = time.monotonic()
+    for part in ("\\", "MII", "MIIBAAIB", "-----BEGIN PRIVATE KEY-----", "3082", "LS0tLS1CRUdJTi", "word\n", "A" * 20 + "\n", " \\"):
+        assert ss.spans((part * (200_000 // len(part))).encode()) == [] or part == "3082"
+    assert time.monotonic() - started < 20
+
+
 def test_tokens_are_confirmed_by_their_header():
     assert kinds(f"see {JWT}, ok") == [("jwt", JWT)]
     head, body, sign = JWT.split(".")
