@@ -65,9 +65,9 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = scratch_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), archives)
+    write_archives(table(spark, sf_dir, "pages"), archives, null_refers=False)
     return (read_archives(spark, archives).filter("kind = 'record'")
-            .select(c("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+            .select(F.nullif(c("record_id"), F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                     c("refers_to").cast("long").alias("refers_to")))
 
 

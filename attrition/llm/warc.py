@@ -15,9 +15,10 @@ line, goes on from there, and logs the bytes in between as a quarantined gap
 with the reason.  No later record is lost to earlier damage.
 
 Defined cases: a null html is an empty payload; a null url is an empty target;
-equal rows (same page id and payload) are all responses; a null page id never
-is referred to, and a group with null ids only is written as responses; an
-empty table gives no records; other columns are ignored.
+equal rows (same page id and payload) are all responses; a null page id is
+written as an empty id and never is referred to, and a group with null ids only
+is written as responses; an empty table gives no records; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +43,11 @@ TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "
 _ID = "urn:page:"
 
 
-def deduplicated(pages: DataFrame, salts: int = GROUP_SALTS) -> DataFrame:
+def deduplicated(pages: DataFrame, salts: int = GROUP_SALTS, null_refers: bool = True) -> DataFrame:
     """``page_id, url, html, digest, refers_to``: the page that a repeated payload refers to.
 
+    ``null_refers``: a page with a null id, too, refers to an equal page that has an id.
+
     The smallest id per digest is a partial aggregate over narrow rows.  Only
     digests that occur twice go back to the pages, each copied to ``salts``
     keys, and a page looks up the copy that its own salt names.
@@ -56,7 +59,9 @@ def deduplicated(pages: DataFrame, salts: int = GROUP_SALTS) -> DataFrame:
               .withColumn("_llm_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     salted = pages.withColumn("_llm_key", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     joined = salted.join(firsts, (F.col("digest") == F.col("_llm_digest")) & (F.col("_llm_key") == F.col("_llm_salt")), "left")
-    revisit = F.col("page_id").isNull() | (F.col("page_id") > F.col("_llm_first"))
+    revisit = F.col("page_id") > F.col("_llm_first")
+    if null_refers:
+        revisit = F.col("page_id").isNull() | revisit
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("_llm_first")).alias("refers_to"))
 
 
@@ -81,7 +86,7 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, null_refers: bool = True) -> None:
     """Write archives of at most ``records_per_file`` records below ``path``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000) ->
                        b.column("digest").to_pylist(), b.column("refers_to").to_pylist(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([member(record(*r)) for r in rows], pa.binary())], names=["value"])
 
-    members = bounded_batches(deduplicated(pages)).mapInArrow(run, "value binary")
+    members = bounded_batches(deduplicated(pages, null_refers=null_refers)).mapInArrow(run, "value binary")
     # a cast from binary to string keeps the bytes as they are, and the text sink writes them unchanged
     (members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000")
      .option("maxRecordsPerFile", records_per_file).text(path))

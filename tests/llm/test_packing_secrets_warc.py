@@ -334,6 +334,16 @@ def test_warc_query_equals_sql(spark):
     assert out["match"], out
 
 
+def test_warc_query_with_null_ids_equals_sql(spark, tmp_path):
+    from attrition.plans.verify import compare, duckdb_connection
+    rows = [(None, "a", "short"), (None, "b", "x" * 200), (7, "c", "x" * 200), (8, "d", "x" * 200), (None, "e", "y" * 200), (None, "f", "y" * 200), (9, "g", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb_connection(SF)
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    out = compare(QUERIES["op8_warc"](spark, str(tmp_path)), con, SQL["op8_warc"])
+    assert out["match"], out
+
+
 def test_archives_round_trip_with_revisits_and_edge_cases(spark, tmp_path):
     big = "<b>é</b>" * 50_000
     rows = [(5, "http://a b", big), (3, None, big), (3, None, big), (9, "u", big), (None, "n", big), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"),
