@@ -12,7 +12,9 @@ check fails (the member's checksum, the version line, the header fields, the
 content length, the record's end, the payload digest) it searches for the next
 place where a whole record reads correctly, a gzip member or a bare version
 line, goes on from there, and logs the bytes in between as a quarantined gap
-with the reason.  No later record is lost to earlier damage.
+with the reason.  A member may hold several records: the walk goes on at the
+next version line inside it, and of a member that inflates in part only the
+records whose payload digest agrees are given.  No later record is lost to earlier damage.
 
 Defined cases: a null html is an empty payload; a null url is an empty target;
 equal rows (same page id and payload) are all responses; a null page id is
@@ -86,9 +88,25 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, null_refers: bool = True) -> None:
-    """Write archives of at most ``records_per_file`` records below ``path``."""
+def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, null_refers: bool = True, max_bytes: int = 1 << 28) -> None:
+    """Write archives of at most ``records_per_file`` records and ``max_bytes`` (or one record) below ``path``.
 
+    Pages longer than their share of an archive are written apart, fewer to an
+    archive; equal payloads are of one length and stay together.
+    """
+    share = max_bytes // records_per_file
+    payload = F.coalesce(F.octet_length("html"), F.lit(0))
+    # header lines, gzip's frame and a percent-encoded target on top of the payload
+    size = payload.cast("long") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1024
+    largest = pages.agg(F.max(F.when(payload <= share, size)), F.max(F.when(payload > share, size))).first()
+    mode = "errorifexists"
+    for some, most in zip((payload <= share, payload > share), largest, strict=True):
+        if most or not any(largest):  # of an empty table, empty archives
+            _write(pages.filter(some), path, max(1, min(records_per_file, max_bytes // (most or 1))), null_refers, mode)
+            mode = "append"
+
+
+def _write(pages: DataFrame, path: str, records_per_file: int, null_refers: bool, mode: str) -> None:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), as_bytes(b.column("html")),
@@ -97,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, nu
 
     members = bounded_batches(deduplicated(pages, null_refers=null_refers)).mapInArrow(run, "value binary")
     # a cast from binary to string keeps the bytes as they are, and the text sink writes them unchanged
-    (members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000")
+    (members.select(F.col("value").cast("string").alias("value")).write.mode(mode).option("lineSep", "\u0000")
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
@@ -132,66 +150,101 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     return {"fields": fields, "block": block}, end + 4
 
 
-def read_member(data: bytes, at: int) -> tuple[dict, int]:
-    """The record in the gzip member at ``at`` and where the member ends; raises Damage."""
+def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` inflates to, where it ends, and the reason if it is damaged."""
     z = zlib.decompressobj(31)
-    try:
-        # through a view in steps, so that a broken member does not copy or inflate the rest of the archive
-        out, view = [], memoryview(data)
-        pos = at
-        while not z.eof and pos < len(data):
+    # through a view in steps, so that a broken member does not copy or inflate the rest of the archive
+    out, view, pos = [], memoryview(data), at
+    while not z.eof and pos < len(data):
+        before = z.copy()
+        try:
             out.append(z.decompress(view[pos:pos + (1 << 16)]))
-            pos += 1 << 16
-    except zlib.error as e:
-        raise Damage("member checksum" if "check" in str(e) else "member data") from None
-    if not z.eof:
-        raise Damage("member cut short")
-    inner = b"".join(out)
-    found, end = parse_record(inner, 0)
-    if end != len(inner):
-        raise Damage("record end")
-    return found, min(pos, len(data)) - len(z.unused_data)
+        except zlib.error as e:
+            try:  # once more byte by byte, for what comes before the damage
+                for k in range(pos, min(pos + (1 << 16), len(data))):
+                    out.append(before.decompress(view[k:k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), at, "member checksum" if "check" in str(e) else "member data"
+        pos += 1 << 16
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data), "" if z.eof else "member cut short"
+
+
+def records_in(inner: bytes, verified: bool) -> tuple[list[dict], str]:
+    """The records of an inflated member, and why bytes between them were left out, if any were.
 
+    ``verified``: only records whose payload digest was compared, as the member's checksum does not vouch for them.
+    """
+    found, reason, at = [], "", 0
+    while at < len(inner):
+        try:
+            one, at = parse_record(inner, at)
+        except Damage as e:
+            reason = reason or str(e)
+            following = _VERSION.search(inner, at + 1)
+            if not following:
+                break
+            at = following.start()
+            continue
+        if not verified or one["fields"]["warc-type"] == "response" and one["fields"].get("warc-payload-digest", "").startswith("sha256:"):
+            found.append(one)
+    return found, reason
 
-def read_at(data: bytes, at: int) -> tuple[dict, int]:
-    if data[at:at + 3] == b"\x1f\x8b\x08":
-        return read_member(data, at)
-    return parse_record(data, at)
+
+def read_at(data: bytes, at: int) -> tuple[list[dict], int, str]:
+    """The records at ``at``, where they end and why a part of them was left out; raises Damage if none reads.
+
+    Of a damaged member the end is not known: it is given as ``at``.
+    """
+    if data[at:at + 3] != b"\x1f\x8b\x08":
+        found, end = parse_record(data, at)
+        return [found], end, ""
+    inner, end, damage = inflated(data, at)
+    found, reason = records_in(inner, verified=bool(damage))
+    if not found:
+        raise Damage(damage or reason or "version line")
+    return found, at if damage else end, damage or reason
 
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """``("record", start, end, record)`` and ``("gap", start, end, reason)`` in order, covering the archive.
 
     Zero bytes between members and line ends between bare records are padding.
+    Records of one member have the member's place.  A member of which a part
+    was left out is also logged as a gap, and of a damaged one the place ends
+    where the next record or member reads correctly.
     """
     at = 0
     while at < len(data):
         if data[at] == 0 or data[at:at + 2] == b"\r\n":
             at += 1 if data[at] == 0 else 2
             continue
+        start, some, reason = at, [], ""
         try:
-            found, end = read_at(data, at)
-            yield "record", at, end, found
-            at = end
-            continue
+            some, at, reason = read_at(data, start)
         except Damage as e:
             reason = str(e)
-        start, found = at, None
-        for m in _START.finditer(data, at + 1):
-            try:
-                found, end = read_at(data, m.start())
-            except Damage:
-                continue
-            yield "gap", start, m.start(), reason
-            yield "record", m.start(), end, found
-            at = end
-            break
-        if found is None:
-            yield "gap", start, len(data), reason
-            return
+        if at == start:
+            at = _next_whole(data, start + 1)
+        for found in some:
+            yield "record", start, at, found
+        if reason:
+            yield "gap", start, at, reason
+
+
+def _next_whole(data: bytes, at: int) -> int:
+    """The next place from ``at`` where a record reads, or the end."""
+    for m in _START.finditer(data, at):
+        try:
+            read_at(data, m.start())
+        except Damage:
+            continue
+        return m.start()
+    return len(data)
 
 
 _READ = ("path string, kind string, start bigint, end bigint, reason string, record_id string, record_type string, target string, "

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 import re
 import time
 import zlib
@@ -328,6 +329,36 @@ def test_cuts_and_rubbish_are_quarantined():
     assert read(b"") == ([], []) and read(b"no archive")[1] == [(0, 10, "version line")]
 
 
+def test_members_with_several_records_are_walked():
+    bare, _ = archive(6, bare=range(6))
+    ids = [f"<urn:page:{i}>" for i in range(6)]
+    stream = warc.member(b"".join(bare))
+    assert read(stream) == (ids, []) and read(warc.member(bare[0]) + b"\0" + stream) == (ids[:1] + ids, [])
+    wrong = bytearray(bare[2])
+    wrong[-10] ^= 1
+    one_bad = warc.member(b"".join([*bare[:2], bytes(wrong), b"rubbish", *bare[3:]]))
+    assert read(one_bad) == (ids[:2] + ids[3:], [(0, len(one_bad), "payload digest")])
+    checksum = bytearray(stream)
+    checksum[-6] ^= 1
+    assert read(bytes(checksum) + warc.member(bare[0])) == (ids + ids[:1], [(0, len(stream), "member checksum")])
+    rng = np.random.default_rng(1)
+    long = [warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(rng.bytes(3000) for _ in range(6))]
+    cut = warc.member(b"".join(long))[:10_000]
+    got, gaps = read(cut + warc.member(bare[5]))
+    assert got == ids[:3] + ids[5:] and [g[:2] for g in gaps] == [(0, len(cut))]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"http://x/{i}", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60_000 if i % 10 == 0 else 200))) for i in range(60)]
+    rows += [(100 + i, "v", rows[i][2]) for i in (0, 1)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), records_per_file=20, max_bytes=150_000)
+    assert max(f.stat().st_size for f in (tmp_path / "w").glob("part-*")) <= 150_000
+    out = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((int(r["record_id"]), r["record_type"]) for r in out) == sorted((i, "revisit" if i >= 100 else "response") for i, _, _ in rows)
+
+
 def test_warc_query_equals_sql(spark):
     from attrition.plans.verify import compare, duckdb_connection
     out = compare(QUERIES["op8_warc"](spark, SF), duckdb_connection(SF), SQL["op8_warc"])
