@@ -133,7 +133,8 @@ def uniform_shards(rows: DataFrame, shards: int, keys: tuple[str, ...] = ("doc_i
             out[here] = np.searchsorted(border, index, side="right")
         return pd.Series(out)
 
-    cell = F.pmod(F.xxhash64(F.lit(seed + 2), *keys), F.lit(cells)).cast("int")
+    # by the row's place, which both passes share, so that a cell is filled evenly whatever the keys are
+    cell = F.pmod(F.xxhash64(F.lit(seed + 2), "_llm_at"), F.lit(cells)).cast("int")
 
     def placed(frame: DataFrame, whole_row: bool) -> DataFrame:
         return (_permuted(frame, keys, seed, whole_row).withColumn("shard", shard_of("_llm_at"))

@@ -91,6 +91,16 @@ def test_sharding_edge_cases(make_docs):
     assert sharding.uniform_shards(make_docs([]), 8).collect() == []
 
 
+def test_cells_are_filled_evenly_whatever_the_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 4000, 1, 4).selectExpr("cast(if(id % 3 = 0, null, id) as bigint) as doc_id", "'same' as text").write.parquet(path)
+    out = sharding.uniform_shards(spark.read.parquet(path), 2, rows_per_cell=200)
+    check_shards(out.collect(), 4000, 2)
+    # rows of one key are spread over the slots of a shard: in one cell of ten, all 667 would stand together
+    nulls = sorted(r["slot"] for r in out.filter("doc_id is null and shard = 0").collect())
+    assert np.histogram(nulls, bins=10, range=(0, 2000))[0].max() < 0.2 * len(nulls)
+
+
 def test_matrix_rows_add_up_and_are_uniform():
     ends, wanted = np.cumsum([0, 30, 0, 11, 59]), np.array([34, 33, 33])
     total = np.zeros((4, 3))
