@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import TokenizerFiles, aligned
 from .binary_packing import binary_pieces
 from .common import scratch_path, table
 from .exact_topk import top_k
@@ -80,6 +81,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
 
 
+#: Tokenizer A (ids of the JSON file, its ranks for the fast library) and tokenizer B.
+ALIGNED_FILES = TokenizerFiles(json=public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               pattern=public_tokenizers.PATTERN, pieces=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"), ALIGNED_FILES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -91,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
     "op10_mixing": op10_mixing,
+    "op12_alignment": op12_alignment,
 }
 
 # Measures, rules, priors and verdicts again from the definitions, on the bare documents.
