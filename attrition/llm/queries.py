@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .alignment import TokenizerFiles, aligned
 from .binary_packing import binary_pieces
 from .common import scratch_path, table
+from .embedding_join import near_duplicates
 from .exact_topk import top_k
 from .mixing import mixed
 from .ngram_join import similarity_join
@@ -90,6 +91,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(table(spark, sf_dir, "documents"), ALIGNED_FILES)
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_mixing": op10_mixing,
     "op12_alignment": op12_alignment,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 # Measures, rules, priors and verdicts again from the definitions, on the bare documents.
@@ -184,4 +190,26 @@ WITH vectors AS (
 SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_ngram_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_topk": OP9_SQL}
+# All pairs of a label, and the components by following links.
+OP13_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), sound AS (
+  SELECT r, label, e FROM vectors
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), linked AS (
+  SELECT a.r AS x, b.r AS y FROM sound a JOIN sound b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT x, y FROM linked UNION SELECT p.x, l.y FROM reach p JOIN linked l ON p.y = l.x
+), named AS (
+  SELECT x, min(vec_id) AS id FROM (SELECT x, y FROM reach UNION SELECT r, r FROM vectors) JOIN vectors ON r = y GROUP BY x
+), counted AS (
+  SELECT x, count(*) AS n FROM linked GROUP BY x
+)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, d.id AS component_id, v.vec_id IS NOT DISTINCT FROM d.id AS kept
+FROM vectors v JOIN named d ON d.x = v.r LEFT JOIN counted c ON c.x = v.r
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_ngram_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_topk": OP9_SQL,
+                       "op13_embedding_dedup": OP13_SQL}
