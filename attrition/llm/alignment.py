@@ -68,12 +68,8 @@ class ByteTokens:
     def __init__(self, files: TokenizerFiles):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(files.json)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
+        self.path, self._library = files.json, None
         with open(files.ranks, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("a", pat_str=files.pattern, mergeable_ranks=ranks, special_tokens={})
@@ -88,10 +84,20 @@ class ByteTokens:
             if all(ch in byte for ch in entry):
                 self.bytes[i] = bytes(byte[ch] for ch in entry)
 
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = t = Tokenizer.from_file(self.path)
+            t.no_truncation()
+            t.no_padding()
+            t.encode_special_tokens = True
+        return self._library
+
     def encode(self, text: str) -> list[int]:
         if _COMMON.fullmatch(text) and not _RUN.search(text):
             return self.fast.encode_ordinary(text)
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library().encode(text, add_special_tokens=False).ids
 
 
 class PieceTokens:
@@ -119,10 +125,11 @@ class Pair:
         self.named = [{sep: np.array([b"%d%s" % (i, sep) for i in range(len(t.bytes))], object) for sep in seps}
                       for t, seps in ((self.a, (b",", b"|")), (self.b, (b",", b";")))]
 
-    def tokens(self, raw: bytes, piece_chars: int) -> tuple[list[int], list[int]]:
+    def tokens(self, raw: bytes, piece_chars: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both; none where the tokens' bytes are not those of a space and the text."""
+        none = np.zeros(0, np.int32)
         if not raw:
-            return [], []
+            return none, none
         text = raw.decode("utf-8", "replace")
         a, b = [], []
         for k, piece in enumerate(pieces(text, piece_chars)):
@@ -130,8 +137,8 @@ class Pair:
             b += self.b.encode(piece if k == 0 else piece[1:])
         whole = b" " + raw
         if b"".join(map(self.a.bytes.__getitem__, a)) != whole or b"".join(map(self.b.bytes.__getitem__, b)) != whole:
-            return [], []
-        return a, b
+            return none, none
+        return np.array(a, np.int32), np.array(b, np.int32)
 
 
 _LOADED: dict[TokenizerFiles, Pair] = {}
@@ -201,10 +208,10 @@ def overlaps(a: np.ndarray, b: np.ndarray, work: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def align(found: list[tuple[list[int], list[int]]], pair: Pair, work: int) -> dict[str, np.ndarray | list]:
+def align(found: list[tuple[np.ndarray, np.ndarray]], pair: Pair, work: int) -> dict[str, np.ndarray | list]:
     """Counts, digests and links of a block of documents."""
     sizes = [np.array([len(x[k]) for x in found], np.int64) for k in (0, 1)]
-    ids = [np.fromiter((i for x in found for i in x[k]), np.int64, int(sizes[k].sum())) for k in (0, 1)]
+    ids = [np.concatenate([x[k] for x in found]) for k in (0, 1)]
     ends = [np.cumsum(pair.lengths[k][ids[k]]) for k in (0, 1)]
     end, at, bt, shared = overlaps(*ends, work)
     last = np.cumsum(sizes[0])              # a document's last tokens end together
@@ -223,7 +230,7 @@ def align(found: list[tuple[list[int], list[int]]], pair: Pair, work: int) -> di
         names[place[k][final]] = pair.named[k][outer][ids[k][final]]
     cut = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])
     digests = [hashlib.sha256(b"".join(names[cut[d]:cut[d + 1]])[:-1]).hexdigest() if cut[d] < cut[d + 1] else "" for d in range(n)]
-    key = (ids[1][bt] << 32) | ids[0][at]
+    key = (ids[1][bt].astype(np.int64) << 32) | ids[0][at]
     distinct, local, times = np.unique(key, return_inverse=True, return_counts=True)
     mine, count = np.unique(doc * max(1, len(distinct)) + local, return_counts=True)
     borders = np.searchsorted(mine, np.arange(n + 1) * max(1, len(distinct)))
@@ -255,7 +262,7 @@ def aligned_blocks(docs: DataFrame, files: TokenizerFiles, keep: tuple[str, ...]
             held, size, block = [], 0, block + 1
             return out
 
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             start, found = 0, []
             for r, raw in enumerate(b.column("_llm_text").to_pylist()):
                 found.append(pair.tokens(raw or b"", piece_chars))
@@ -287,7 +294,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return written(counts.join(top, b == c("b")).select("pair", "links", (c("links") == c("top")).alias("best")), "pair-best")
 
 
-def aligned(docs: DataFrame, files: TokenizerFiles, keep: tuple[str, ...] = ("doc_id",), text: str = "text", block_bytes: int = 1 << 23,
+def aligned(docs: DataFrame, files: TokenizerFiles, keep: tuple[str, ...] = ("doc_id",), text: str = "text", block_bytes: int = 1 << 20,
             piece_chars: int = 1 << 16, work: int = 1 << 15) -> DataFrame:
     """``keep`` columns of every row with ``n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
     c = F.col
