@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .alignment import TokenizerFiles, aligned
 from .binary_packing import binary_pieces
 from .common import scratch_path, table
+from .conversation_repair import damaged, repair_report
 from .embedding_join import near_duplicates
 from .exact_topk import top_k
 from .mixing import mixed
@@ -82,6 +83,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
 #: Tokenizer A (ids of the JSON file, its ranks for the fast library) and tokenizer B.
 ALIGNED_FILES = TokenizerFiles(json=public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                pattern=public_tokenizers.PATTERN, pieces=public_tokenizers.path("piece_bpe_32k.model"))
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_topk": op9_exact_topk,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_alignment": op12_alignment,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
@@ -190,6 +196,76 @@ WITH vectors AS (
 SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
+
+
+def _repair_sql() -> str:
+    """Damage and faults again, and the cheapest edits by a table over (turn, last role): for each the least (cost, letters),
+    with the lines that they give."""
+    def step(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        lines = f"{state}.t" if line is None else f"list_append({state}.t, {line})"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}}"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def when(condition: str, option: str) -> str:
+        return f"CASE WHEN {condition} THEN {option} ELSE {far} END"
+
+    far = "{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}"
+    extra, line = "CASE WHEN truncated THEN 3 ELSE 0 END", "role || ':' || text"
+    new = {s: step(s, f"3 + {extra}", "R", f"'{'assistant' if s == 'u' else 'user'}:' || text") for s in "esua"}
+    kept = {s: step(s, extra, "K", line) for s in "esua"}
+    gone = {s: step(s, "4", "D") for s in "esua"}
+    put = {s: step(s, "3", "I", f"'{'assistant' if s == 'u' else 'user'}:'") for s in "esua"}
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), checked AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))),
+    4294967295) % 20 AS kind FROM keyed
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS again FROM checked WHERE kind <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM hurt
+), faults AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM ordered
+), facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id
+), moves AS (
+  SELECT conv_id, i, role, text, left(role, 1) AS x, fault IN ('blank', 'duplicate') AS must, fault = 'truncated' AS truncated FROM faults
+), done(conv_id, i, e, s, u, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {far}, {{'c': 3, 'a': 'I', 't': ['user:']}},
+         {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}} FROM conversations
+  UNION ALL
+  SELECT conv_id, i, e, s, u, {least('a', put['u'])} FROM (
+    SELECT conv_id, i, e, s, {least('u', put['e'], put['s'], put['a'])} AS u, a FROM (
+      SELECT conv_id, i, e, s, u, {least('a', put['u'])} AS a FROM (
+        SELECT conv_id, i, e, s, {least('u', put['e'], put['s'], put['a'])} AS u, a FROM (
+          SELECT d.conv_id, m.i, {gone['e']} AS e, {least(gone['s'], when("NOT must AND x = 's'", kept['e']))} AS s,
+                 {least(gone['u'], *[when('NOT must', new[z]) for z in 'esa'], *[when("NOT must AND x = 'u'", kept[z]) for z in 'esa'])} AS u,
+                 {least(gone['a'], when('NOT must', new['u']), when("NOT must AND x = 'a'", kept['u']))} AS a
+          FROM done d JOIN moves m ON m.conv_id IS NOT DISTINCT FROM d.conv_id AND m.i = d.i + 1))))
+), best AS (
+  SELECT d.conv_id, {least('e', 'a')} AS b, f.* EXCLUDE (conv_id) FROM done d LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id
+  WHERE d.i = coalesce(f.n, 0)
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, b.c::BIGINT AS cost, b.a AS audit, sha256(array_to_string(b.t, chr(10))) AS repaired_sha256
+FROM best
+"""
+
+
+OP11_SQL = _repair_sql()
+
 # All pairs of a label, and the components by following links.
 OP13_SQL = """
 WITH RECURSIVE vectors AS (
@@ -212,4 +288,4 @@ FROM vectors v JOIN named d ON d.x = v.r LEFT JOIN counted c ON c.x = v.r
 """
 
 SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_ngram_join": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_topk": OP9_SQL,
-                       "op13_embedding_dedup": OP13_SQL}
+                       "op11_conversation_repair": OP11_SQL, "op13_embedding_dedup": OP13_SQL}
