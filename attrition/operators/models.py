@@ -1,12 +1,21 @@
 """Classifiers on Spark ML over the model-ready table.
 
 The scaler uses the population standard deviation (Spark's StandardScaler
-uses the sample one), computed as plain SQL aggregates and applied as column
-expressions.  Class weights are a ``weight`` column.  The logistic model's
-L2 strength is mapped from "C = 1 with summed weighted loss" to Spark's mean
-loss: regParam = 1 / sum(weights).  Gradient-boosted trees replace the
+uses the sample one), computed as plain SQL aggregates and stored as a SQL
+stage of the fitted pipeline, so a saved logistic model carries its scaler and
+takes raw features.  Class weights are a ``weight`` column.  The logistic
+model's L2 strength is mapped from "C = 1 with summed weighted loss" to Spark's
+mean loss: regParam = 1 / sum(weights).  Gradient-boosted trees replace the
 original boosting library (not available here); its column subsampling is
 per node in Spark.  Probabilities are read with ``vector_to_array``.
+
+What a fitted model claims is checked by plain column expressions over the
+whole table: the logistic probability from the stored coefficients, the gradient
+of the penalised objective at them, and the log loss of the boosted scores.
+
+A model folder holds one saved pipeline per model name; ``resolve_model`` takes
+the first of the preferred names that is there.  Only an absent model is passed
+over: a folder that cannot be read raises.
 """
 
 from __future__ import annotations
@@ -15,13 +24,14 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.functions.timeutil import round_stat
 from attrition.operators.features import FEATURES
+from attrition.sources.io import path_exists
 
 LABEL = "is_churned"
 
@@ -39,16 +49,12 @@ def scaler_report(train: DataFrame, features: Sequence[str] = FEATURES) -> DataF
     return s.select("feature", round_stat("mean").alias("mean"), round_stat("std").alias("std"))
 
 
-def apply_scaler(df: DataFrame, stats: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """(x - mean) / std, std 0 -> 1.  The stats table has one row per feature,
-    so it is read once into literals (bounded by the feature count)."""
-    rows = {r["feature"]: (r["mean"], r["std"]) for r in stats.collect()}
-    cols = []
-    for c in features:
-        mean, std = rows[c]
-        std = std if std else 1.0
-        cols.append(((F.col(c).cast("double") - F.lit(mean)) / F.lit(std)).alias(c))
-    return df.select(*[x for x in df.columns if x not in features], *cols)
+def scaler_stage(stats: DataFrame, features: Sequence[str] = FEATURES) -> SQLTransformer:
+    """(x - mean) / std as columns ``scaled_<feature>``; std 0 -> 1.  The stats table has one row
+    per feature, so it is read once into the stage's statement (bounded by the feature count)."""
+    rows = {r["feature"]: (float(r["mean"]), float(r["std"] or 1.0)) for r in stats.collect()}
+    scaled = [f"(CAST(`{c}` AS DOUBLE) - {rows[c][0]!r}D) / {rows[c][1]!r}D AS `scaled_{c}`" for c in features]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
 
 
 def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -73,12 +79,14 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features_vec", handleInvalid="keep")
 
 
-def train_logistic(train_scaled: DataFrame, features: Sequence[str] = FEATURES, seed: int = 42) -> PipelineModel:
-    w = with_balanced_weight(train_scaled)
+def train_logistic(train: DataFrame, features: Sequence[str] = FEATURES) -> PipelineModel:
+    """Scaler, assembler and classifier as one model over the raw features."""
+    scaler = scaler_stage(standard_scaler(train, features), features)
+    w = with_balanced_weight(train)
     total_w = float(w.select(F.sum("weight")).first()[0])  # one number
-    lr = LogisticRegression(featuresCol="features_vec", labelCol=LABEL, weightCol="weight", maxIter=1000,
+    lr = LogisticRegression(featuresCol="features_vec", labelCol=LABEL, weightCol="weight", maxIter=1000, tol=1e-9,
                             regParam=1.0 / total_w, elasticNetParam=0.0, standardization=False)
-    return Pipeline(stages=[_assembler(features), lr]).fit(w)
+    return Pipeline(stages=[scaler, _assembler([f"scaled_{c}" for c in features]), lr]).fit(w)
 
 
 def train_random_forest(train: DataFrame, features: Sequence[str] = FEATURES, seed: int = 42) -> PipelineModel:
@@ -106,6 +114,82 @@ def score(model: PipelineModel, df: DataFrame, model_name: str, threshold: float
                     (F.col("churn_probability") >= threshold).cast("int").alias("predicted"))
 
 
+def linear_probability(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURES, name: str = "probability_native") -> DataFrame:
+    """``df`` with the logistic probability as one expression of the stored scaler, coefficients and intercept."""
+    scaler, lr = model.stages[0], model.stages[-1]
+    margin = F.lit(float(lr.intercept))
+    for c, b in zip(features, lr.coefficients.toArray().tolist(), strict=True):
+        margin = margin + F.lit(b) * F.col(f"scaled_{c}")
+    return scaler.transform(df).withColumn(name, 1.0 / (1.0 + F.exp(-margin)))
+
+
+#: Largest difference between the native probability and the model's own.
+PROBABILITY_TOLERANCE = 1e-9
+#: Largest component of the objective's gradient at an optimum (the convergence bound of the original's solver).
+GRADIENT_TOLERANCE = 1e-4
+
+
+def probability_check(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """One row: rows compared, whether no probability differs by the tolerance, and whether all lie in [0, 1]."""
+    theirs = vector_to_array("probability")[1]
+    both = linear_probability(model, model.transform(df).drop(*[f"scaled_{c}" for c in features]), features).select(
+        F.col("probability_native").alias("p"), F.abs(theirs - F.col("probability_native")).alias("gap"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("gap") < PROBABILITY_TOLERANCE, F.lit(True)).alias("within_tolerance"),
+                    F.coalesce(F.bool_and(F.col("p").between(0.0, 1.0)), F.lit(True)).alias("in_unit_interval"))
+
+
+def objective_gradient(model: PipelineModel, train: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """``component, gradient`` of the penalised objective at the fitted coefficients.
+
+    The objective is the weighted mean log loss plus regParam / 2 times the squared
+    coefficients (the intercept is free).  All components come from one aggregation over
+    the training rows, whose size is the number of features.
+    """
+    lr = model.stages[-1]
+    reg = lr.getRegParam()
+    rows = with_balanced_weight(linear_probability(model, train, features))
+    error = F.col("weight") * (F.col("probability_native") - F.col(LABEL))
+    mean = lambda x: F.sum(x) / F.sum("weight")
+    parts: list[tuple[str, Column]] = [("intercept", mean(error))]
+    for c, b in zip(features, lr.coefficients.toArray().tolist(), strict=True):
+        parts.append((c, mean(error * F.col(f"scaled_{c}")) + F.lit(reg * b)))
+    wide = rows.agg(*[g.alias(f"g_{c}") for c, g in parts])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"g_{c}").alias("gradient")) for c, _ in parts])))
+
+
+def optimality_check(model: PipelineModel, train: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """One row: components of the gradient and whether none exceeds the tolerance."""
+    return objective_gradient(model, train, features).agg(
+        F.count("gradient").alias("components"), (F.max(F.abs("gradient")) < GRADIENT_TOLERANCE).alias("at_optimum"))
+
+
+def validation_log(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``round, log_loss`` of the boosted model after every round, on ``df``.
+
+    Spark ML evaluates all rounds in one distributed pass (one number a round comes back).
+    Its loss is 2 log(1 + exp(-2 y F)) with y in {-1, 1}: twice the log loss of the probability.
+    """
+    rows = df.withColumn("weight", F.lit(1.0))
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    losses = model.stages[-1].evaluateEachIteration(rows)
+    return df.sparkSession.createDataFrame([(k + 1, float(x) / 2) for k, x in enumerate(losses)], "round int, log_loss double")
+
+
+def log_loss(p: str = "churn_probability", y: str = "actual") -> Column:
+    """Mean negative log likelihood as an aggregate expression."""
+    return -F.avg(F.when(F.col(y) == 1, F.log(p)).otherwise(F.log(1.0 - F.col(p))))
+
+
+def validation_log_check(model: PipelineModel, df: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """One row: rounds logged, and whether the last loss is that of the final scores."""
+    log = validation_log(model, df)
+    final = score(model, df, "final").agg(log_loss().alias("final_loss"))
+    last = log.agg(F.count(F.lit(1)).alias("rounds"), F.max_by("log_loss", "round").alias("last_loss"))
+    gap = F.abs(F.col("last_loss") - final.select("final_loss").scalar())
+    return last.select("rounds", (gap < tolerance).alias("last_equals_scores"))
+
+
 def coefficient_ranking(model: PipelineModel, spark, features: Sequence[str] = FEATURES, top: int = 15) -> DataFrame:
     coefs = model.stages[-1].coefficients.toArray().tolist()
     df = spark.createDataFrame(list(zip(features, [float(c) for c in coefs])), "feature string, coefficient double")
@@ -125,3 +209,22 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def save_models(fitted: dict[str, PipelineModel], folder: str) -> str:
+    """One saved pipeline per name below ``folder``."""
+    for name, model in fitted.items():
+        save_model(model, f"{folder}/{name}")
+    return folder
+
+
+#: The final model first, then what stands in for it.
+MODEL_PREFERENCE = ("boosted_trees", "random_forest")
+
+
+def resolve_model(spark: SparkSession, folder: str, preference: Sequence[str] = MODEL_PREFERENCE) -> tuple[str, PipelineModel]:
+    """Name and model of the first preferred model that the folder holds."""
+    for name in preference:
+        if path_exists(spark, f"{folder}/{name}"):
+            return name, load_model(f"{folder}/{name}")
+    raise FileNotFoundError(f"none of {', '.join(preference)} below {folder}")

@@ -1,8 +1,7 @@
 """Registered queries of the modelling and I/O layer.
 
-Fitted models are kept per (data folder, model) for the life of the process
-so that several reports on the same model do not refit it; only the model
-objects (driver-side by nature in Spark ML) are cached, never data.
+The split and the models come from the session's model store
+(``plans.model_store``): stored once per state of the input tables.
 """
 
 from __future__ import annotations
@@ -11,76 +10,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.calendar import TESTDATA_CALENDAR as CAL
-from attrition.operators import cost, labels, metrics, models
+from attrition.operators import cost, metrics, models
+from attrition.plans.model_store import store
 from attrition.sources import io
 from attrition.sources.retail import retail_raw
 
-_MODELS: dict = {}
-
 
 def _clean(spark, sf_dir):
     from attrition.plans.registry import clean_tx
     return clean_tx(spark, sf_dir)
 
 
-def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.model_ready_split(_clean(spark, sf_dir), CAL)
-
-
-def _part(df: DataFrame, name: str) -> DataFrame:
-    return df.where(F.col("split") == name).drop("split")
-
-
-def _fit(spark: SparkSession, sf_dir: str, name: str):
-    key = (sf_dir, name)
-    if key not in _MODELS:
-        s = splits(spark, sf_dir)
-        train = _part(s, "train")
-        if name == "logistic":
-            stats = models.standard_scaler(train)
-            _MODELS[key] = (models.train_logistic(models.apply_scaler(train, stats)), stats)
-        elif name == "random_forest":
-            _MODELS[key] = (models.train_random_forest(train), None)
-        else:
-            _MODELS[key] = (models.train_boosted_trees(train), None)
-    return _MODELS[key]
-
-
-def _scores(spark, sf_dir, name: str, part: str) -> DataFrame:
-    model, stats = _fit(spark, sf_dir, name)
-    df = _part(splits(spark, sf_dir), part)
-    if stats is not None:
-        df = models.apply_scaler(df, stats)
-    return models.score(model, df, name)
-
-
 def standard_scaler(spark, sf_dir):
-    return models.scaler_report(_part(splits(spark, sf_dir), "train"))
+    return models.scaler_report(store(spark, sf_dir).part("train"))
 
 
 def class_weights(spark, sf_dir):
-    return models.class_weights(_part(splits(spark, sf_dir), "train"))
+    return models.class_weights(store(spark, sf_dir).part("train"))
 
 
 def train_logistic(spark, sf_dir):
-    return models.coefficient_ranking(_fit(spark, sf_dir, "logistic")[0], spark)
+    return models.coefficient_ranking(store(spark, sf_dir).model("logistic"), spark)
 
 
 def train_random_forest(spark, sf_dir):
-    return models.feature_importance(_fit(spark, sf_dir, "random_forest")[0], spark)
+    return models.feature_importance(store(spark, sf_dir).model("random_forest"), spark)
 
 
 def train_boosted_trees(spark, sf_dir):
-    return models.feature_importance(_fit(spark, sf_dir, "boosted_trees")[0], spark)
+    return models.feature_importance(store(spark, sf_dir).model("boosted_trees"), spark)
 
 
 def model_comparison_ml(spark, sf_dir):
     """Validation metrics of the three classifiers and the heuristic score."""
-    val = _part(splits(spark, sf_dir), "validation")
-    parts = [_scores(spark, sf_dir, n, "validation").drop("predicted")
+    held = store(spark, sf_dir)
+    parts = [held.scores(n, "validation").drop("predicted")
              for n in ("logistic", "random_forest", "boosted_trees")]
     heur = (metrics.heuristic_scores(_clean(spark, sf_dir), CAL)
-            .join(val.select("customer_id"), "customer_id"))
+            .join(held.part("validation").select("customer_id"), "customer_id"))
     allp = parts[0]
     for p in parts[1:] + [heur.select(*allp.columns)]:
         allp = allp.unionByName(p)
@@ -89,21 +56,58 @@ def model_comparison_ml(spark, sf_dir):
 
 def score(spark, sf_dir):
     """Test-set scores of the final (boosted) model."""
-    return _scores(spark, sf_dir, "boosted_trees", "test")
+    return store(spark, sf_dir).scores("boosted_trees", "test")
 
 
 def ml_cost_analysis(spark, sf_dir):
-    return cost.cost_analysis(_scores(spark, sf_dir, "boosted_trees", "test").drop("predicted"))
+    return cost.cost_analysis(store(spark, sf_dir).scores("boosted_trees", "test").drop("predicted"))
 
 
 def save_load_model(spark, sf_dir):
-    """Persist the logistic pipeline to the shared folder, load it back and
-    score the test split with the loaded copy."""
-    model, stats = _fit(spark, sf_dir, "logistic")
-    path = models.save_model(model, io.scratch_path(spark, "model-logistic"))
-    loaded = models.load_model(path)
-    df = models.apply_scaler(_part(splits(spark, sf_dir), "test"), stats)
-    return models.score(loaded, df, "logistic_reloaded")
+    """The test split scored by the logistic pipeline (scaler included) and by its copy saved to and loaded from the shared folder."""
+    held = store(spark, sf_dir)
+    model, test = held.model("logistic"), held.part("test")
+    loaded = models.load_model(models.save_model(model, io.scratch_path(spark, "model-logistic")))
+    again = models.score(loaded, test, "logistic").select("customer_id", F.col("churn_probability").alias("_p"))
+    return (models.score(model, test, "logistic").join(again, "customer_id")
+            .select("customer_id", "actual", (F.col("churn_probability") == F.col("_p")).alias("same_probability")))
+
+
+def resolve_model(spark, sf_dir):
+    """All models saved, the final one deleted, the best of the rest loaded and scored: its name, the rows and the largest
+    difference to the unsaved model's scores."""
+    held = store(spark, sf_dir)
+    fitted = {n: held.model(n) for n in ("logistic", *models.MODEL_PREFERENCE)}
+    folder = models.save_models(fitted, io.scratch_path(spark, "models"))
+    first, _ = models.resolve_model(spark, folder)
+    io.delete_path(spark, f"{folder}/{first}")
+    name, model = models.resolve_model(spark, folder)
+    test = held.part("test")
+    unsaved = models.score(fitted[name], test, name).select("customer_id", F.col("churn_probability").alias("_p"))
+    return (models.score(model, test, name).join(unsaved, "customer_id").groupBy("model")
+            .agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("churn_probability") - F.col("_p"))).alias("max_difference"))
+            .select(F.lit(first).alias("absent_model"), "model", "rows", "max_difference"))
+
+
+def validation_log(spark, sf_dir):
+    """Validation log loss of the boosted trees after every round."""
+    held = store(spark, sf_dir)
+    return models.validation_log(held.model("boosted_trees"), held.part("validation"))
+
+
+def validation_log_check(spark, sf_dir):
+    held = store(spark, sf_dir)
+    return models.validation_log_check(held.model("boosted_trees"), held.part("validation"))
+
+
+def logistic_probability_check(spark, sf_dir):
+    held = store(spark, sf_dir)
+    return models.probability_check(held.model("logistic"), held.part("test"))
+
+
+def logistic_optimality(spark, sf_dir):
+    held = store(spark, sf_dir)
+    return models.optimality_check(held.model("logistic"), held.part("train"))
 
 
 def read_transactions_csv(spark, sf_dir):
@@ -126,11 +130,13 @@ def verify_round_trip(spark, sf_dir):
 
 
 def read_or_default(spark, sf_dir):
-    """Cost-analysis report written as CSV and read back (defaults if absent)."""
+    """The cost-analysis report written as CSV and read back, and the defaults where there is no report."""
+    schema, defaults = "optimal_threshold double, roi double, net_benefit double", [(0.35, 250.0, 15000.0)]  # fixed values
     rep = cost.cost_analysis(metrics.heuristic_scores(_clean(spark, sf_dir), CAL))
     path = io.write_report_csv(rep.select("optimal_threshold", "roi", "net_benefit"), io.scratch_path(spark, "report"))
-    return io.read_or_default(spark, path, "optimal_threshold double, roi double, net_benefit double",
-                              [(0.35, 250.0, 15000.0)])
+    found = io.read_or_default(spark, path, schema, defaults)
+    absent = io.read_or_default(spark, io.scratch_path(spark, "no-report"), schema, defaults)
+    return found.withColumn("report", F.lit("stored")).unionByName(absent.withColumn("report", F.lit("absent")))
 
 
 ML_QUERIES = {
@@ -143,6 +149,11 @@ ML_QUERIES = {
     "score": score,
     "ml_cost_analysis": ml_cost_analysis,
     "save_load_model": save_load_model,
+    "resolve_model": resolve_model,
+    "validation_log": validation_log,
+    "validation_log_check": validation_log_check,
+    "logistic_probability_check": logistic_probability_check,
+    "logistic_optimality": logistic_optimality,
     "read_transactions_csv": read_transactions_csv,
     "verify_round_trip": verify_round_trip,
     "read_or_default": read_or_default,
@@ -180,12 +191,12 @@ ML_QUERIES["quarantined_rows"] = quarantined_rows
 
 def coefficient_ranking(spark, sf_dir):
     """Top-15 logistic coefficients by absolute value."""
-    return models.coefficient_ranking(_fit(spark, sf_dir, "logistic")[0], spark)
+    return models.coefficient_ranking(store(spark, sf_dir).model("logistic"), spark)
 
 
 def feature_importance(spark, sf_dir):
     """Top-15 importances of the forest and of the boosted trees."""
-    parts = [models.feature_importance(_fit(spark, sf_dir, n)[0], spark).withColumn("model", F.lit(n))
+    parts = [models.feature_importance(store(spark, sf_dir).model(n), spark).withColumn("model", F.lit(n))
              for n in ("random_forest", "boosted_trees")]
     return parts[0].unionByName(parts[1])
 

@@ -898,6 +898,17 @@ SELECT is_churned "class", CAST(COUNT(*) AS BIGINT) count,
        CASE WHEN is_churned = 1 THEN (1 - ANY_VALUE(p.p)) / ANY_VALUE(p.p) ELSE 1.0 END ratio_weight,
        {R6('ANY_VALUE(p.n) / (2.0 * COUNT(*))')} balanced_weight
 FROM tr, p GROUP BY is_churned""")
+# ---------------------------------------------------------------- what fitted models must satisfy on the stored split
+register("save_load_model", f"{SPLIT_CTE}\nSELECT customer_id, is_churned actual, TRUE same_probability FROM sp2 WHERE split = 'test'")
+register("resolve_model", f"""{SPLIT_CTE}
+SELECT 'boosted_trees' absent_model, 'random_forest' model, CAST(COUNT(*) AS BIGINT) AS rows, 0.0::DOUBLE max_difference FROM sp2 WHERE split = 'test'""")
+register("validation_log_check", "SELECT 200::BIGINT rounds, TRUE last_equals_scores")
+register("logistic_probability_check", f"""{SPLIT_CTE}
+SELECT CAST(COUNT(*) AS BIGINT) AS rows, TRUE within_tolerance, TRUE in_unit_interval FROM sp2 WHERE split = 'test'""")
+register("logistic_optimality", f"SELECT {len(FEATURE_LIST) + 1}::BIGINT components, TRUE at_optimum")
+register("read_or_default", f"""{CA_CTE}
+SELECT 'stored' report, optimal_threshold, roi, net_benefit FROM ca
+UNION ALL SELECT 'absent', 0.35::DOUBLE, 250.0::DOUBLE, 15000.0::DOUBLE""")
 register("read_transactions_csv", "SELECT * FROM retail_raw")
 register("verify_round_trip", "SELECT CAST(COUNT(*) AS BIGINT) rows_written, CAST(COUNT(*) AS BIGINT) rows_read, TRUE passed FROM tx")
 register("stream_clean_transactions", "SELECT * FROM tx")

@@ -111,6 +111,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of the shared file system; false if it was absent."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def signature(spark: SparkSession, paths: list[str]) -> tuple[tuple[str, int, int, int], ...]:
+    """(path, bytes, files, modification time) of tables: differs when a table is written again."""
+    out = []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        summary = fs.getContentSummary(p)
+        out.append((path, summary.getLength(), summary.getFileCount(), fs.getFileStatus(p).getModificationTime()))
+    return tuple(out)
+
+
 def read_or_default(spark: SparkSession, path: str, schema: StructType | str, defaults: list[tuple]) -> DataFrame:
     """The report at ``path`` if it exists, else a DataFrame of ``defaults``."""
     if path_exists(spark, path):

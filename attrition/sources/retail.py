@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that the retail view reads.
+RETAIL_TABLES = ("lineitem", "orders", "part", "customer", "nation")
 TRANSACTION_COLUMNS = ["invoice", "stock_code", "description", "quantity",
                        "invoice_ts", "price", "customer_id", "country"]
 
