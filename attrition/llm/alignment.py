@@ -27,11 +27,7 @@ text are read, and a kept column named like an output column is replaced.
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import json
-import os
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -41,65 +37,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteFiles, ByteTokens, pieces
 from .common import written
 
 OUTPUTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
-#: Border of a piece of a long text: spaces with a character behind them, after a character that is no kind of space.
-_CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85᠎​﻿])(?= +[^ ])")
-#: Texts on which the two byte-level libraries agree by construction and neither is slow.
-_COMMON = re.compile("[\t\n\x20-\x7e\xa1-ɏ]*")
-_RUN = re.compile(r"\S{2000}|\s{2000}")
-
-
 @dataclass(frozen=True)
 class TokenizerFiles:
-    """``json`` defines A's ids; ``ranks`` is the same vocabulary for the faster library, with its ``pattern``."""
+    """``byte`` is tokenizer A, ``pieces`` the file of tokenizer B."""
 
-    json: str
-    ranks: str
-    pattern: str
+    byte: ByteFiles
     pieces: str
 
 
-class ByteTokens:
-    """A: ids and their byte strings."""
-
-    def __init__(self, files: TokenizerFiles):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import tiktoken
-
-        self.path, self._library = files.json, None
-        with open(files.ranks, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("a", pat_str=files.pattern, mergeable_ranks=ranks, special_tokens={})
-        with open(files.json, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        size = 1 + max(vocab.values())
-        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for U+0100 onwards
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.bytes: list[bytes] = [b""] * size
-        for entry, i in vocab.items():
-            if all(ch in byte for ch in entry):
-                self.bytes[i] = bytes(byte[ch] for ch in entry)
-
-    def library(self):
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = t = Tokenizer.from_file(self.path)
-            t.no_truncation()
-            t.no_padding()
-            t.encode_special_tokens = True
-        return self._library
-
-    def encode(self, text: str) -> list[int]:
-        if _COMMON.fullmatch(text) and not _RUN.search(text):
-            return self.fast.encode_ordinary(text)
-        return self.library().encode(text, add_special_tokens=False).ids
-
-
 class PieceTokens:
     """B: ids and their byte strings; U+2581 is a space, ``<0xHH>`` a byte."""
 
@@ -120,7 +70,7 @@ class Pair:
     """Both tokenizers of a worker, with their ids' lengths and decimal names."""
 
     def __init__(self, files: TokenizerFiles):
-        self.a, self.b = ByteTokens(files), PieceTokens(files)
+        self.a, self.b = ByteTokens(files.byte), PieceTokens(files)
         self.lengths = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
         self.named = [{sep: np.array([b"%d%s" % (i, sep) for i in range(len(t.bytes))], object) for sep in seps}
                       for t, seps in ((self.a, (b",", b"|")), (self.b, (b",", b";")))]
@@ -150,18 +100,6 @@ def _pair(files: TokenizerFiles) -> Pair:
     return _LOADED[files]
 
 
-def pieces(text: str, limit: int) -> Iterator[str]:
-    """Cut at the first border after every ``limit`` characters; all but the first begin with their space."""
-    start = 0
-    while len(text) - start > limit:
-        border = _CUT.search(text, start + limit)
-        if border is None:
-            break
-        yield text[start:border.start()]
-        start = border.start()
-    yield text[start:]
-
-
 def diagonal_splits(a: np.ndarray, b: np.ndarray, work: int) -> tuple[np.ndarray, np.ndarray]:
     """How many of ``a`` and of ``b`` lie before each ``work``-th diagonal of their merge (equal values: ``a`` first)."""
     d = np.append(np.arange(0, len(a) + len(b), work), len(a) + len(b))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .alignment import TokenizerFiles, aligned
 from .binary_packing import binary_pieces
+from .byte_bpe import ByteFiles
 from .common import scratch_path, table
 from .conversation_repair import damaged, repair_report
 from .embedding_join import near_duplicates
@@ -24,6 +25,9 @@ from .token_output import write_packed
 from .warc import read_archives, write_archives
 
 c = F.col
+BYTE_FILES = ByteFiles(json=public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                       pattern=public_tokenizers.PATTERN)
+ALIGNED_FILES = TokenizerFiles(byte=BYTE_FILES, pieces=public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +52,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per matrix row, from the written files: its documents, borders and checksums of ids and positions."""
-    files = write_packed(table(spark, sf_dir, "documents"), scratch_path(spark, "packed"), units="spaces", end_id=50256,
-                         tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
+    files = write_packed(table(spark, sf_dir, "documents"), scratch_path(spark, "packed"), end_id=50256, byte_files=BYTE_FILES)
     return files.select("row_id", "doc_ids", "starts", "cu_seqlens", "n_tokens", F.crc32("ids").alias("ids_crc32"),
                         F.crc32("position_ids").alias("positions_crc32"))
 
@@ -87,11 +90,6 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(table(spark, sf_dir, "conversations")))
 
 
-#: Tokenizer A (ids of the JSON file, its ranks for the fast library) and tokenizer B.
-ALIGNED_FILES = TokenizerFiles(json=public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                               pattern=public_tokenizers.PATTERN, pieces=public_tokenizers.path("piece_bpe_32k.model"))
-
-
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(table(spark, sf_dir, "documents"), ALIGNED_FILES)
 

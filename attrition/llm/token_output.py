@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binary_packing import with_end
+from .byte_bpe import ByteFiles, byte_encoder
 from .common import as_bytes, bounded_batches, pieces_by_bytes
 from .encoding import encoder
 
@@ -93,9 +94,12 @@ def row_cuts(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return owner, start, np.minimum(size, lengths[owner] - start)
 
 
-def packed_matrix(docs: DataFrame, tokenizer_path: str, units: str, end_id: int, row: int = 2048, text: str = "text",
-                  doc_id: str = "doc_id", window_tokens: int = 1 << 21) -> DataFrame:
-    """One record per matrix row: ``ids``, ``position_ids`` (binary), ``cu_seqlens``, ``doc_ids``, ``starts``, ``n_tokens``."""
+def packed_matrix(docs: DataFrame, tokenizer_path: str | None = None, units: str = "spaces", end_id: int = 0, row: int = 2048, text: str = "text",
+                  doc_id: str = "doc_id", window_tokens: int = 1 << 21, byte_files: ByteFiles | None = None) -> DataFrame:
+    """One record per matrix row: ``ids``, ``position_ids`` (binary), ``cu_seqlens``, ``doc_ids``, ``starts``, ``n_tokens``.
+
+    The tokenizer is ``byte_files``, or the file ``tokenizer_path`` cut into ``units`` (see ``encoding``).
+    """
     source = docs.select(F.col(doc_id).cast("long").alias("_llm_id"), F.col(text).alias("_llm_text"))
 
     def pack(window: list[tuple[list, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -123,7 +127,7 @@ def packed_matrix(docs: DataFrame, tokenizer_path: str, units: str, end_id: int,
             names=list(out))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, units).encode
+        encode = byte_encoder(byte_files) if byte_files else encoder(tokenizer_path, units).encode
         window, tokens = [], 0
         for whole in batches:
             for batch in pieces_by_bytes(whole, "_llm_text", 1 << 21):
