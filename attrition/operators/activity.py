@@ -12,6 +12,7 @@ from attrition.calendar import ChurnCalendar
 from attrition.functions.timeutil import frac_days, line_value, round_half_up, ts_lit, upper_bucket
 from attrition.operators.rank import grouped_median
 from attrition.operators.shapes import day_gaps, orders_ts, status_col, with_customer
+from attrition.session import checkpoint_dir
 
 
 def _last_purchase(tx: DataFrame) -> DataFrame:
@@ -51,7 +52,8 @@ def revenue_windows_churned(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     per_ts = tx.groupBy("customer_id", "invoice_ts").agg(F.sum(line_value()).alias("daily_revenue"))
     rw = with_customer(per_ts, _churned_last(tx, cal), "invoice_ts")
     label, order = upper_bucket(frac_days("last_ts", "invoice_ts"), REVENUE_BOUNDS, REVENUE_LABELS)
-    w = rw.select(label.alias("time_window"), (-order).alias("_o"), "daily_revenue")
+    checkpoint_dir(tx.sparkSession)
+    w = rw.select(label.alias("time_window"), (-order).alias("_o"), "daily_revenue").checkpoint(eager=True)  # read by the median and the sums
     # money values have an unbounded domain: exact median without gathering a window's values in one task
     med = grouped_median(w, ["time_window", "_o"], "daily_revenue", "_med")
     g = (w.groupBy("time_window", "_o")

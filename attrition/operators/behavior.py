@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrition.calendar import ChurnCalendar
-from attrition.functions.timeutil import frac_days, line_value, pct, round_half_up, ts_lit
-from attrition.operators.rank import global_ntile, grouped_median
+from attrition.functions.timeutil import frac_days, line_value, micros, pct, round_half_up, ts_lit
+from attrition.operators.rank import grouped_median, multi_ntile
 from attrition.operators.shapes import status_col, until, with_customer
+from attrition.session import checkpoint_dir
 
 
 def _ratio(num: str, den: str):
@@ -29,12 +30,10 @@ def rfm_cells(tx: DataFrame, cal: ChurnCalendar, k: int = 5, min_customers: int
         F.max("invoice_ts").alias("last_ts"), F.min("invoice_ts").alias("first_ts"),
         F.count_distinct("invoice").alias("frequency"), F.sum(line_value()).alias("monetary"))
     c = (c.where(F.col("first_ts") <= ts_lit(cal.dormant_cutoff))
-          .select("customer_id", "frequency", "monetary",
+          .select("customer_id", "frequency", "monetary", "last_ts",
                   frac_days(ts_lit(cal.observation), F.col("last_ts")).alias("recency_days")))
     c = c.withColumn("is_churned", F.when(F.col("recency_days") > 60, 1).otherwise(0))
-    c = global_ntile(c, [F.col("recency_days").desc(), F.col("customer_id").asc()], k, "R_score")
-    c = global_ntile(c, [F.col("frequency").asc(), F.col("customer_id").asc()], k, "F_score")
-    c = global_ntile(c, [F.col("monetary").asc(), F.col("customer_id").asc()], k, "M_score")
+    c = multi_ntile(c, {"R_score": micros("last_ts"), "F_score": F.col("frequency"), "M_score": F.col("monetary")}, k, "customer_id")
     g = (c.groupBy("R_score", "F_score", "M_score")
           .agg(F.count(F.lit(1)).alias("customers"), F.sum("is_churned").cast("bigint").alias("churned"))
           .where(F.col("customers") >= min_customers)
@@ -60,10 +59,11 @@ def purchase_time_patterns(tx: DataFrame, cal: ChurnCalendar, noon: int = 12) ->
 def basket_patterns(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     """Baskets = (customer, invoice, timestamp); per customer means and the
     sample standard deviation of basket value (NULL for a single basket)."""
-    b = until(tx, cal.observation).groupBy("customer_id", "invoice", "invoice_ts").agg(
-        F.count_distinct("stock_code").alias("unique_items"),
-        F.sum("quantity").alias("total_items"),
-        F.sum(line_value()).alias("basket_value"))
+    # (basket, product) first, so that the distinct count is a count and the sums need no second copy of the rows
+    items = until(tx, cal.observation).groupBy("customer_id", "invoice", "invoice_ts", "stock_code").agg(
+        F.sum("quantity").alias("_q"), F.sum(line_value()).alias("_v"))
+    b = items.groupBy("customer_id", "invoice", "invoice_ts").agg(
+        F.count("stock_code").alias("unique_items"), F.sum("_q").alias("total_items"), F.sum("_v").alias("basket_value"))
     per = b.groupBy("customer_id").agg(
         F.avg("unique_items").alias("u"), F.avg("total_items").alias("t"),
         (F.sum("basket_value").cast("double") / F.count(F.lit(1))).alias("v"),
@@ -122,7 +122,9 @@ def first_order_quality(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
             .join(base, ["customer_id", "invoice"])
             .groupBy("customer_id", "last_ts")
             .agg(F.count_distinct("stock_code").alias("items"), F.sum("lv").alias("value")))
-    fo = fo.withColumn("status", status_col("last_ts", cal.dormant_cutoff))
+    checkpoint_dir(tx.sparkSession)
+    # one row per customer, read by the median and the sums
+    fo = fo.select(status_col("last_ts", cal.dormant_cutoff).alias("status"), "items", "value").checkpoint(eager=True)
     med = grouped_median(fo, ["status"], "value", "_m")
     g = fo.groupBy("status").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("items").alias("_i"), F.sum("value").alias("_v")).join(med, "status")

@@ -31,6 +31,15 @@ def clean_transactions(raw: DataFrame, service_codes: Sequence[str] = SERVICE_CO
     return raw.where(cond).withColumn("customer_id", F.col("customer_id").cast("bigint"))
 
 
+def failed_rule(service_codes: Sequence[str] = SERVICE_CODES):
+    """Name of the first rule that a row breaks; null for a clean row."""
+    out = None
+    for name, pred in _rules(service_codes):
+        broken = ~F.coalesce(pred, F.lit(False))
+        out = F.when(broken, F.lit(name)) if out is None else out.when(broken, F.lit(name))
+    return out
+
+
 def cleaning_waterfall(raw: DataFrame, service_codes: Sequence[str] = SERVICE_CODES) -> DataFrame:
     """Rows left / removed after each ordered step, in one pass over the input.
 

@@ -70,7 +70,7 @@ def precision_recall_curve(scores: DataFrame, group_cols: Sequence[str] = ("mode
     (recall 0, precision 1)."""
     per = scores.groupBy(*group_cols, P).agg(F.sum(Y).alias("pos"), (F.count(F.lit(1)) - F.sum(Y)).alias("neg"))
     cum = grouped_running_sums(per, list(group_cols), [F.col(P).desc()], ["pos", "neg"])
-    tot = per.groupBy(*group_cols).agg(F.sum("pos").alias("n1"))
+    tot = cum.groupBy(*group_cols).agg(F.sum("pos").alias("n1"))  # of the numbered copy
     pts = cum.join(tot, list(group_cols)).select(
         *group_cols, F.col(P).alias("threshold"),
         round_stat(_div(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum"))).alias("precision"),

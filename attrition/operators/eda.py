@@ -8,18 +8,14 @@ decimal value (the original rounded half-even).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from attrition.calendar import ChurnCalendar
-from attrition.functions.timeutil import (line_value, pct, round_half_up, round_stat, ts_lit, upper_bucket,
-                                          whole_days)
+from attrition.functions.timeutil import (line_value, pct, round_half_up, round_stat, ts_lit, two_sided_p,
+                                          upper_bucket, whole_days)
 from attrition.operators.rank import prefix_sum
 from attrition.operators.shapes import with_customer
 
@@ -186,6 +182,7 @@ def mann_whitney_u(tx: DataFrame, cal: ChurnCalendar, metrics: Sequence[str] = M
     long = (a.select("is_churned", F.inline(arr)).where(F.col("value").isNotNull()))
     per_value = long.groupBy("metric", "value").agg(
         F.count(F.lit(1)).alias("t"), F.sum("is_churned").alias("t1"))
+    # everything below, the means too, is read from the numbered copy of the counts
     cum = prefix_sum(per_value, [F.col("metric").asc(), F.col("value").asc()], "t", "_cum")
     start = cum.groupBy("metric").agg(F.min(F.col("_cum") - F.col("t")).alias("_start"))
     ranked = (cum.join(F.broadcast(start), "metric")
@@ -193,32 +190,26 @@ def mann_whitney_u(tx: DataFrame, cal: ChurnCalendar, metrics: Sequence[str] = M
     stats = ranked.groupBy("metric").agg(
         F.sum(F.col("t1") * F.col("midrank")).alias("r1"),
         F.sum("t1").alias("n1"), F.sum("t").alias("n"),
+        (F.sum(F.col("t1") * F.col("value")) / F.sum("t1")).alias("churned_mean"),
+        (F.sum((F.col("t") - F.col("t1")) * F.col("value")) / F.sum(F.col("t") - F.col("t1"))).alias("active_mean"),
         F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"))
-    means = long.groupBy("metric").agg(
-        F.avg(F.when(F.col("is_churned") == 1, F.col("value"))).alias("churned_mean"),
-        F.avg(F.when(F.col("is_churned") == 0, F.col("value"))).alias("active_mean"))
     n1, n, n2 = F.col("n1"), F.col("n"), F.col("n") - F.col("n1")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     u_big = F.greatest(u1, n1 * n2 - u1)
     z = F.try_divide(u_big - n1 * n2 / 2.0 - 0.5, sigma)
-    return (stats.join(means, "metric")
+    return (stats
                  .select("metric", n1.cast("bigint").alias("n_churned"), n2.cast("bigint").alias("n_active"),
                          round_stat("churned_mean").alias("churned_mean"),
                          round_stat("active_mean").alias("active_mean"),
                          round_stat(u1).alias("u_statistic"), round_stat(z).alias("z_score")))
 
 
-@pandas_udf(DoubleType())
-def _two_sided_p(z: pd.Series) -> pd.Series:
-    # one row per tested metric; erfc is not a Spark SQL function
-    return z.map(lambda v: float("nan") if v is None or pd.isna(v) else min(1.0, math.erfc(v / math.sqrt(2.0))))
-
-
 def mann_whitney_p_values(tx: DataFrame, cal: ChurnCalendar, alpha: float = 0.05) -> DataFrame:
-    r = mann_whitney_u(tx, cal)
-    return (r.withColumn("p_value", _two_sided_p(F.col("z_score")))
-             .withColumn("significant", F.col("p_value") < alpha))
+    """The tests with their two-sided p-values; ``p_exponent`` is the power of ten of a p-value too small for six decimals."""
+    r = mann_whitney_u(tx, cal).withColumn("_p", two_sided_p(F.col("z_score")))
+    exponent = F.when(F.col("_p") > 0, F.floor(F.log10("_p"))).cast("int")
+    return r.select("*", round_stat("_p").alias("p_value"), exponent.alias("p_exponent"), (F.col("_p") < alpha).alias("significant")).drop("_p")
 
 
 def time_to_churn(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:

@@ -62,6 +62,58 @@ def is_churned_at(tx: DataFrame, snapshots: Sequence[dt.date], window_days: int
                .select("obs_date", "customer_id", "is_churned"))
 
 
+#: Snapshots whose table may be sent to every task: a list of dates given by the caller.
+MAX_SNAPSHOTS = 100_000
+
+
+def is_churned_range(tx: DataFrame, snapshots: Sequence[dt.date], window_days: int = 60, min_history_days: int = 60) -> DataFrame:
+    """``is_churned_at`` for hundreds of observation dates by an interval join: no column per date.
+
+    Time is cut into bins as wide as the window.  A purchase counts for the observation dates in the window
+    before it, which lie in two bins; so purchases (reduced to a customer's days first) are put into their two
+    bins, joined to the dates of the bin and filtered exactly.  A customer is eligible from its first purchase
+    plus the history on: its bins from there to the last snapshot's are joined to the dates likewise.  Both joins
+    are equi-joins with the short table of dates, and one aggregation by (date, customer) brings them together.
+    """
+    dates = sorted(set(snapshots))
+    if len(dates) > MAX_SNAPSHOTS:
+        raise ValueError(f"more than {MAX_SNAPSHOTS} snapshots")
+    c, spark = F.col, tx.sparkSession
+    day = lambda x: F.datediff(x, F.lit("1970-01-01").cast("date"))
+    bin_of = lambda x: F.floor(x / window_days).cast("int")
+    snaps = spark.createDataFrame([(d,) for d in dates], "obs_date date").select("obs_date", day(c("obs_date")).alias("_d"))
+    # at most MAX_SNAPSHOTS rows of a date and two numbers
+    snaps = F.broadcast(snaps.select("obs_date", "_d", bin_of(c("_d")).alias("_bin"), c("obs_date").cast("timestamp_ntz").alias("_obs")))
+
+    date = F.to_date("invoice_ts")
+    days = tx.groupBy("customer_id", date.alias("_day")).agg(F.min("invoice_ts").alias("_from"), F.max("invoice_ts").alias("_to"))
+    n = day(c("_day"))
+    placed = days.select("customer_id", "_day", "_from", "_to", F.explode(F.sequence(bin_of(n - window_days), bin_of(n))).alias("_bin"))
+    # the day's last purchase lies after the observation, its first within the window (a day cannot touch both borders)
+    window_end = F.timestamp_add("DAY", F.lit(window_days), c("_obs"))
+    active = placed.join(snaps, "_bin").where((c("_to") > c("_obs")) & (c("_from") <= window_end)).select(
+        "obs_date", "customer_id", F.lit(True).alias("_active"))
+
+    first = days.groupBy("customer_id").agg(F.min("_from").alias("_first"))
+    start = day(F.to_date("_first")) + min_history_days
+    last_bin = dates[-1].toordinal() - dt.date(1970, 1, 1).toordinal() if dates else 0
+    spans = first.select("customer_id", "_first", start.alias("_start")).where(c("_start") <= last_bin)
+    spans = spans.select("customer_id", "_first", F.explode(F.sequence(bin_of(c("_start")), F.lit(last_bin // window_days))).alias("_bin"))
+    known = F.timestamp_add("DAY", F.lit(min_history_days), c("_first")) <= c("_obs")
+    eligible = spans.join(snaps, "_bin").where(known).select("obs_date", "customer_id", F.lit(False).alias("_active"))
+
+    both = eligible.unionByName(active).groupBy("obs_date", "customer_id").agg(
+        F.bool_or("_active").alias("_active"), F.bool_or(~c("_active")).alias("_eligible"))
+    return both.where("_eligible").select("obs_date", "customer_id", (~c("_active")).cast("int").alias("is_churned"))
+
+
+def churn_by_snapshot(tx: DataFrame, snapshots: Sequence[dt.date], window_days: int = 60, min_history_days: int = 60) -> DataFrame:
+    """Eligible and churned customers for every observation date that has any."""
+    g = is_churned_range(tx, snapshots, window_days, min_history_days).groupBy("obs_date").agg(
+        F.count(F.lit(1)).alias("eligible"), F.sum("is_churned").cast("bigint").alias("churned"))
+    return g.select("obs_date", "eligible", "churned", pct("churned", "eligible").alias("churn_rate_pct"))
+
+
 def label_distribution(tx: DataFrame, cal: ChurnCalendar, imbalance_limit: float = 3.0) -> DataFrame:
     lab = churn_labels(tx, cal)
     r = lab.agg(F.count(F.lit(1)).alias("total"), F.sum("is_churned").cast("bigint").alias("churned"))
@@ -131,7 +183,8 @@ def stratified_split(df: DataFrame, label_col: str = "is_churned", test_frac: fl
     """
     h = df.withColumn("_h", split_hash(F.col("customer_id")))
     ranked = global_rank(h, [F.col(label_col).asc(), F.col("_h").asc(), F.col("customer_id").asc()], "_pos")
-    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
+    # the numbered copy, not the input, which would be computed again
+    sizes = ranked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)
     # one row per class
     sizes = sizes.select(label_col, "_nc", F.coalesce(F.sum("_nc").over(w), F.lit(0)).alias("_start"))

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attrition.calendar import ChurnCalendar
-from attrition.functions.timeutil import round_stat
-from attrition.operators.features import features_recency
+from attrition.functions.timeutil import line_value, round_stat, ts_lit, whole_days
+from attrition.operators.features import features_recency, history
 from attrition.operators.labels import churn_labels
 from attrition.operators.rank import grouped_running_sums
 
@@ -35,6 +35,24 @@ def heuristic_scores(tx: DataFrame, cal: ChurnCalendar, model: str = "recency_he
              .select(name.alias("model"), "customer_id", P, F.col("is_churned").alias(Y)))
 
 
+def candidate_scores(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
+    """Scores of four deterministic models, from one history and one label table.
+
+    ``recency_heuristic`` and ``recency_steep`` order customers alike (their AUCs tie), ``frequency_heuristic``
+    has many tied scores, ``monetary_heuristic`` hardly any.
+    """
+    c = F.col
+    past = history(tx, cal).groupBy("customer_id").agg(
+        whole_days(ts_lit(cal.observation), F.max("invoice_ts")).alias("_days"), F.count_distinct("invoice").alias("_orders"),
+        F.sum(line_value()).cast("double").alias("_spent"))
+    recency = lambda days: c("_days") / (c("_days") + F.lit(float(days)))
+    models = {"recency_heuristic": recency(cal.churn_window_days), "recency_steep": recency(cal.churn_window_days // 2),
+              "frequency_heuristic": 1.0 / c("_orders"), "monetary_heuristic": 1000.0 / (1000.0 + c("_spent"))}
+    rows = F.array(*[F.struct(F.lit(n).alias("model"), p.alias(P)) for n, p in models.items()])
+    return (past.join(churn_labels(tx, cal), "customer_id").select("customer_id", F.inline(rows), c("is_churned").alias(Y))
+                .select("model", "customer_id", P, Y))
+
+
 def _div(a, b):
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -89,7 +107,7 @@ def roc_curve(scores: DataFrame, group_cols: Sequence[str] = ("model",)) -> Data
     the (inf, 0, 0) start point; collinear points are kept."""
     per = scores.groupBy(*group_cols, P).agg(F.sum(Y).alias("pos"), (F.count(F.lit(1)) - F.sum(Y)).alias("neg"))
     cum = grouped_running_sums(per, list(group_cols), [F.col(P).desc()], ["pos", "neg"])
-    tot = per.groupBy(*group_cols).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
+    tot = cum.groupBy(*group_cols).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))  # of the numbered copy
     pts = cum.join(tot, list(group_cols)).select(
         *group_cols, F.col(P).alias("threshold"),
         round_stat(F.try_divide(F.col("neg_cum").cast("double"), F.col("n0").cast("double"))).alias("fpr"),

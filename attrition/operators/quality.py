@@ -56,12 +56,27 @@ def missing_severity(df: DataFrame) -> DataFrame:
     return mv.select("column_name", "missing_pct", sev.alias("severity"))
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name, rows, unique_values`` of every column, exact.
+
+    Each row gives its (column, value) pairs, which are counted by hash before the shuffle, so a task sends a
+    value once, and each row is read once.  (Several distinct counts in one aggregate would copy the whole row per column.)
+    Values are compared by their text, which tells all values of a column's type apart; 0.0 and -0.0 are one value.
+    """
+    kinds = dict(df.dtypes)
+    value = lambda c: F.col(f"`{c}`") + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(f"`{c}`")
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), value(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    counted = df.select(F.inline(pairs)).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    per = counted.groupBy("c").agg(F.sum("n").alias("rows"), F.count("v").alias("unique_values"))
+    return per.select(F.get(F.array(*map(F.lit, columns)), F.col("c")).alias("column_name"), "rows", "unique_values")
+
+
 def cardinality(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """Per column: distinct non-null values and their share of the rows."""
     cols = df.columns
-    dc = (lambda c: F.approx_count_distinct(F.col(f"`{c}`"), rsd)) if approx else \
-        (lambda c: F.count_distinct(F.col(f"`{c}`")))
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[dc(c).alias(c) for c in cols])
+    if not approx:
+        return distinct_counts(df, cols).select("column_name", "unique_values", pct("unique_values", "rows").alias("cardinality_pct"))
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(c) for c in cols])
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("unique_values")) for c in cols])
     return (wide.select("_n", F.inline(arr))
                 .select("column_name", F.col("unique_values").cast("bigint").alias("unique_values"),
@@ -166,15 +181,19 @@ def special_stock_codes(df: DataFrame, top_k: int = 20) -> DataFrame:
 
 def quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
     """Headline profile of a (cleaned) table in one row."""
-    dc = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
     cols = df.columns
+    names = {"customer_id": "customers", "stock_code": "products", "invoice": "invoices", "country": "countries"}
     null_cells = sum((F.col(f"`{c}`").isNull().cast("bigint") for c in cols), F.lit(0).cast("bigint"))
     dup = (df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_c"))
              .select(F.sum(F.col("_c") - 1).cast("bigint")).scalar())
-    r = df.agg(F.count(F.lit(1)).alias("transactions"), dc("customer_id").alias("customers"),
-               dc("stock_code").alias("products"), dc("invoice").alias("invoices"),
-               dc("country").alias("countries"), F.min("invoice_ts").alias("_s"), F.max("invoice_ts").alias("_e"),
-               F.sum(null_cells).alias("missing_cells"))
+    plain = [F.count(F.lit(1)).alias("transactions"), F.min("invoice_ts").alias("_s"), F.max("invoice_ts").alias("_e"), F.sum(null_cells).alias("missing_cells")]
+    if approx:
+        r = df.agg(*plain, *[F.approx_count_distinct(c).alias(n) for c, n in names.items()])
+    else:
+        # one row with the four counts, read as one scalar
+        unique = distinct_counts(df, list(names)).agg(F.struct(*[
+            F.coalesce(F.max(F.when(F.col("column_name") == c, F.col("unique_values"))), F.lit(0).cast("bigint")).alias(n) for c, n in names.items()])).scalar()
+        r = df.agg(*plain).select("*", *[unique[n].alias(n) for n in names.values()])
     return r.select("transactions", "customers", "products", "invoices", "countries",
                     F.to_date("_s").alias("start_date"), F.to_date("_e").alias("end_date"),
                     whole_days("_e", "_s").alias("duration_days"),

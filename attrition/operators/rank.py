@@ -16,6 +16,7 @@ broadcast is bounded by the partition count, not by the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,103 @@ def global_rank(df: DataFrame, order: Sequence, rank_col: str = "_rank",
                   .drop("_mid", "_pid", "_local", "_offset"))
 
 
+@dataclass(frozen=True)
+class _Cut:
+    """The key at a position of one order is sought among ``count`` keys of [low, high), ``before`` keys in front of them."""
+
+    order: int
+    position: int
+    low: tuple | None = None
+    high: tuple | None = None
+    before: int = 0
+    count: int = 0
+
+
+def _key_lit(key: tuple) -> Column:
+    return F.struct(F.lit(key[0]).cast(KEY_TYPE).alias("v"), F.lit(key[1]).cast("bigint").alias("u"))
+
+
+KEY_TYPE = "decimal(30,2)"
+
+
+def multi_ntile(df: DataFrame, orders: dict[str, Column], k: int, unique: str, final: int = 4096, sample: int = 512, splitters: int = 32) -> DataFrame:
+    """NTILE(k) columns of several orders at once, without sorting the rows.
+
+    ``orders`` names the output columns and gives the ascending sort values (numbers of two decimals at most; the unique
+    whole-number column breaks ties).  A tile begins at a known position, so only the keys at the k - 1 positions of each order
+    are needed.  They are selected: all rows are counted between splitters from a sample, and the interval that
+    holds a position is sampled and counted again until it has at most ``final`` keys, of which the right one is taken.
+    Every round is one pass for all orders, over the rows of open intervals only; a round divides an interval by about
+    ``splitters``, ties included, as splitters are whole keys.  The driver holds splitters, counts and cuts, whose number
+    depends on ``k`` and the number of orders.  One narrow copy is checkpointed; the tiles come from comparing with the cuts.
+    """
+    spark = df.sparkSession
+    names = list(orders)
+    keys = [F.struct(orders[n].cast(KEY_TYPE).alias("v"), F.col(unique).cast("bigint").alias("u")) for n in names]
+    checkpoint_dir(spark)
+    rows = df.select("*", *[x.alias(f"_key{i}") for i, x in enumerate(keys)]).checkpoint(eager=True)
+    total = rows.count()
+    q, m = divmod(total, k)
+    starts = [j * q + min(j, m) for j in range(1, k)]
+    cuts = [_Cut(i, p, count=total) for i in range(len(names)) for p in starts if p < total]
+
+    def inside(intervals: list[tuple]) -> DataFrame:
+        """The keys of each interval: ``iv`` (its number) and ``key``."""
+        marks = []
+        for n, (i, low, high) in enumerate(intervals):
+            key = F.col(f"_key{i}")
+            there = F.lit(True) if low is None else key >= _key_lit(low)
+            there = there if high is None else there & (key < _key_lit(high))
+            marks.append(F.when(there, F.struct(F.lit(n).alias("iv"), key.alias("key"))))
+        return rows.select(F.explode(F.array_compact(F.array(*marks))).alias("x")).select("x.iv", "x.key")
+
+    def key_of(r) -> tuple:
+        return (r["v"], r["u"])
+
+    while any(x.count > final for x in cuts):
+        intervals = sorted({(x.order, x.low, x.high) for x in cuts if x.count > final}, key=str)
+        number = {iv: n for n, iv in enumerate(intervals)}
+        keyed = inside(intervals)
+        by_hash = Window.partitionBy("iv").orderBy(F.xxhash64("key.u"), "key")
+        drawn = keyed.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= sample).select("iv", "key").collect()
+        splits = []
+        for n in range(len(intervals)):
+            mine = sorted(key_of(r["key"]) for r in drawn if r["iv"] == n)
+            splits.append(sorted({mine[j * len(mine) // splitters] for j in range(1, splitters)}))
+        table = F.array(*[F.array(*map(_key_lit, s)) for s in splits])
+        part = F.size(F.filter(F.get(table, F.col("iv")), lambda s: s <= F.col("key")))
+        counted = {(r["iv"], r["part"]): r["count"] for r in keyed.select("iv", part.alias("part")).groupBy("iv", "part").count().collect()}
+        narrowed = []
+        for x in cuts:
+            if x.count > final:
+                n = number[x.order, x.low, x.high]
+                at, edges = x.before, [x.low, *splits[n], x.high]
+                for j in range(len(edges) - 1):
+                    size = counted.get((n, j), 0)
+                    if at + size > x.position:
+                        x = _Cut(x.order, x.position, edges[j], edges[j + 1], at, size)
+                        break
+                    at += size
+            narrowed.append(x)
+        cuts = narrowed
+
+    intervals = sorted({(x.order, x.low, x.high) for x in cuts}, key=str)
+    found: dict[tuple, tuple] = {}
+    if intervals:
+        wanted = [(n, x.position - x.before + 1, x.order, x.position) for x in cuts for n in [intervals.index((x.order, x.low, x.high))]]
+        in_order = Window.partitionBy("iv").orderBy("key")  # at most ``final`` keys each
+        hit = F.array(*[F.struct(F.lit(n).alias("a"), F.lit(r).alias("b")) for n, r, _, _ in wanted])
+        numbered = inside(intervals).withColumn("_r", F.row_number().over(in_order))
+        taken = numbered.where(F.array_contains(hit, F.struct(F.col("iv").alias("a"), F.col("_r").alias("b")))).collect()
+        at = {(r["iv"], r["_r"]): key_of(r["key"]) for r in taken}
+        found = {(i, p): at[n, r] for n, r, i, p in wanted}
+    tiles = []
+    for i, name in enumerate(names):
+        reached = [F.when(F.col(f"_key{i}") >= _key_lit(found[i, p]), 1).otherwise(0) for p in starts if (i, p) in found]
+        tiles.append((sum(reached, F.lit(1))).cast("int").alias(name))
+    return rows.select(*[F.col(f"`{x}`") for x in df.columns], *tiles)
+
+
 def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
     """SQL NTILE(k) bucket (1-based) of a 0-based position in n rows.
 
@@ -139,11 +237,12 @@ def grouped_percentiles(df: DataFrame, group_cols: Sequence[str], value_col: str
     per = (df.where(F.col(value_col).isNotNull())
              .groupBy(*group_cols, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     cum = grouped_running_sums(per, list(group_cols), [F.col("_v").asc()], ["_c"])
+    # the totals come from the numbered copy: the input is not computed again
     if group_cols:
-        tot = per.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
+        tot = cum.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
         j = cum.join(tot, list(group_cols))
     else:
-        j = cum.withColumn("_n", per.select(F.sum("_c")).scalar())
+        j = cum.withColumn("_n", cum.select(F.sum("_c")).scalar())
     lo_start = F.col("_c_cum") - F.col("_c")
     aggs = []
     for p, name in zip(probs, names):

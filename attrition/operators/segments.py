@@ -33,19 +33,23 @@ def _segment_order(c: Column) -> Column:
     return o.otherwise(F.lit(len(SEGMENT_ORDER) + 1))
 
 
+def segment_totals(seg: DataFrame, total: str = "TOTAL") -> DataFrame:
+    """Customers, share of the base, churned and churn rate per segment and over all, by one rollup.
+
+    ``grouping`` tells the total from customers without a segment, whose row keeps a null name.
+    """
+    g = seg.rollup("risk_segment").agg(F.grouping("risk_segment").alias("_all"), F.count(F.lit(1)).alias("customers"),
+                                       F.sum("actual_churned").cast("bigint").alias("churned"))
+    n = g.where(F.col("_all") == 1).select("customers").scalar()  # one row; its exchange is reused
+    name = F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col("risk_segment"))
+    return (g.select(name.alias("risk_segment"), "customers", pct("customers", n).alias("pct_of_base"), "churned",
+                     pct("churned", "customers").alias("churn_rate_pct"), "_all")
+             .orderBy("_all", _segment_order(F.col("risk_segment"))).drop("_all"))
+
+
 def segment_summary(scores: DataFrame) -> DataFrame:
-    """Customers, share of the base, churned and churn rate per segment, plus
-    a TOTAL row (added on the aggregated rows, at most four)."""
-    seg = customer_segments(scores)
-    g = seg.groupBy("risk_segment").agg(F.count(F.lit(1)).alias("customers"),
-                                        F.sum("actual_churned").cast("bigint").alias("churned"))
-    total = g.agg(F.lit("TOTAL").alias("risk_segment"), F.sum("customers").alias("customers"),
-                  F.sum("churned").cast("bigint").alias("churned"))
-    n = total.select("customers").scalar()
-    return (g.unionByName(total)
-             .select("risk_segment", "customers", pct("customers", n).alias("pct_of_base"), "churned",
-                     pct("churned", "customers").alias("churn_rate_pct"))
-             .orderBy(_segment_order(F.col("risk_segment"))))
+    """Totals of the risk segments of scored customers."""
+    return segment_totals(customer_segments(scores))
 
 
 def strategy_dim(spark) -> DataFrame:

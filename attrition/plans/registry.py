@@ -37,6 +37,9 @@ QUERIES: dict[str, QueryFn] = {}
 # Observation dates of the multi-snapshot label query.
 SNAPSHOTS = [CAL.observation - dt.timedelta(days=60), CAL.observation - dt.timedelta(days=30), CAL.observation]
 
+# Every day of the year up to the observation date, for the interval join.
+DAILY_SNAPSHOTS = [CAL.observation - dt.timedelta(days=k) for k in range(365)]
+
 
 def _register_all() -> None:
     q = QUERIES
@@ -84,18 +87,26 @@ def _register_all() -> None:
         q[name] = _on_clean(getattr(labels, name))
     q["stratified_split"] = _on_clean(labels.model_ready_split)
     q["is_churned_at"] = lambda spark, sf_dir: labels.is_churned_at(clean_tx(spark, sf_dir), SNAPSHOTS)
+    q["churn_by_snapshot"] = lambda spark, sf_dir: labels.churn_by_snapshot(clean_tx(spark, sf_dir), DAILY_SNAPSHOTS)
     q["leakage_checks"] = _leakage_checks
     # ML-9..15, CS-*, SG-* on the deterministic heuristic score
     def scored(fn, **kw):
         return lambda spark, sf_dir: fn(metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL), **kw)
     q["heuristic_scores"] = lambda spark, sf_dir: metrics.heuristic_scores(clean_tx(spark, sf_dir), CAL)
-    for name in ("evaluate_scores", "roc_curve", "majority_baseline", "confusion_matrix", "metric_targets", "select_model"):
+    for name in ("evaluate_scores", "majority_baseline", "confusion_matrix", "metric_targets"):
         q[name] = scored(getattr(metrics, name))
-    q["model_comparison"] = scored(metrics.evaluate_scores)
+    # comparison, selection, curves and thresholds over several models at once, with tied scores and tied models
+    def compared(fn):
+        return lambda spark, sf_dir: fn(metrics.candidate_scores(clean_tx(spark, sf_dir), CAL))
+    q["candidate_scores"] = lambda spark, sf_dir: metrics.candidate_scores(clean_tx(spark, sf_dir), CAL)
+    q["model_comparison"] = compared(metrics.evaluate_scores)
+    q["select_model"] = compared(metrics.select_model)
+    q["roc_curve"] = compared(metrics.roc_curve)
     q["business_cost"] = scored(cost.business_cost, threshold=0.5)
-    for name in ("threshold_sweep", "optimal_threshold", "precision_recall_curve", "cost_breakdown",
-                 "scenario_comparison", "retention_roi", "annual_impact", "cost_analysis"):
+    for name in ("threshold_sweep", "cost_breakdown", "retention_roi", "annual_impact", "cost_analysis"):
         q[name] = scored(getattr(cost, name))
+    for name in ("optimal_threshold", "precision_recall_curve", "scenario_comparison"):
+        q[name] = compared(getattr(cost, name))
     q["impact_scenario"] = scored(cost.observed_impact_scenario)
     for name in ("customer_segments", "segment_summary", "segment_budget", "budget_total"):
         q[name] = scored(getattr(segments, name))

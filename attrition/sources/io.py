@@ -42,16 +42,15 @@ def with_corrupt(schema: StructType, corrupt: str = CORRUPT) -> StructType:
     return StructType([*schema.fields, StructField(corrupt, StringType())])
 
 
-def read_transactions_csv(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA, quarantine: str | None = None) -> DataFrame:
+def read_transactions_csv(spark: SparkSession, path: str, quarantine: str, schema: StructType = RAW_SCHEMA) -> DataFrame:
     """Header CSV with an explicit schema (no inference pass over the data).
 
     A line with a field that does not parse is no transaction: it is left out
-    of the result, and with ``quarantine`` its text is written below that path
+    of the result, and its text is written below ``quarantine``
     (``read_quarantine``), so that nothing disappears without a trace.
     """
     lines = spark.read.options(**csv_options()).schema(with_corrupt(schema)).csv(path)
-    if quarantine:
-        rejects(lines).write.mode("overwrite").parquet(quarantine)
+    rejects(lines).write.mode("overwrite").parquet(quarantine)
     return lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 

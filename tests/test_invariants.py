@@ -131,7 +131,7 @@ def test_no_global_window_ranking(spark, key):
 
 
 @pytest.mark.parametrize("key", sorted(k for k in QUERIES if not k.startswith((
-    "train_", "model_comparison_ml", "score", "ml_", "save_load", "coefficient_ranking", "feature_importance"))))
+    "train_", "model_comparison_ml", "score", "ml_", "save_load", "coefficient_ranking", "feature_importance", "resolve_model", "validation_log", "logistic_", "model_decisions"))))
 def test_no_row_python_udf_or_cartesian(spark, key):
     plan = _plan(QUERIES[key](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan
@@ -172,7 +172,7 @@ def test_customer_join_spreads_a_dominant_customer(spark):
 
 def test_malformed_lines_go_to_quarantine_in_batch_and_stream(spark, tmp_path):
     from attrition.sources import io
-    from attrition.streaming import stream_clean_transactions, stream_rejects
+    from attrition.streaming import stream_clean_transactions
     head = "invoice,stock_code,description,quantity,invoice_ts,price,customer_id,country"
     good = "1,A,x,2.0,2001-01-02 03:04:05.654321,1.5,7,X"
     bad = ["2,A,x,two,2001-01-02 03:04:05,1.5,7,X", "3,A,x,2.0,yesterday,1.5,7,X", "4,A,x,2.0,2001-01-02 03:04:05,1.5,seven,X"]
@@ -183,13 +183,34 @@ def test_malformed_lines_go_to_quarantine_in_batch_and_stream(spark, tmp_path):
     rows = {r["invoice"]: r for r in read.collect()}
     assert set(rows) == {"1", "5"} and rows["1"]["invoice_ts"].microsecond == 654321
     assert sorted(r["line"] for r in io.read_quarantine(spark, str(tmp_path / "q")).collect()) == bad
-    back = io.read_transactions_csv(spark, io.write_transactions_csv(read, str(tmp_path / "w")))
+    back = io.read_transactions_csv(spark, io.write_transactions_csv(read, str(tmp_path / "w")), str(tmp_path / "q2"))
     assert {r["invoice_ts"].microsecond for r in back.collect()} == {654321, 0}
-    stream_clean_transactions(spark, str(src), str(tmp_path / "s"), str(tmp_path / "c1")).awaitTermination()
-    stream_rejects(spark, str(src), str(tmp_path / "sq"), str(tmp_path / "c2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 2 and spark.read.parquet(str(tmp_path / "sq")).count() == 3
+    stream_clean_transactions(spark, str(src), str(tmp_path / "s"), str(tmp_path / "sq"), str(tmp_path / "c1")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    assert {(r["line"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "sq")).collect()} == {(x, "malformed") for x in bad}
 
 
+def test_stream_split_survives_a_stop_between_its_writes(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+    from attrition.streaming import stream_clean_transactions
+    head = "invoice,stock_code,description,quantity,invoice_ts,price,customer_id,country"
+    src, places = tmp_path / "csv", [str(tmp_path / x) for x in ("s", "q", "c")]
+    src.mkdir()
+    for k in range(3):
+        lines = [f"{k}{i},A,x,{'two' if i == 3 else -1.0 if i == 4 else 2.0},2001-01-02 03:04:05,1.5,{'' if i == 5 else 7},X" for i in range(8)]
+        (src / f"f{k}.csv").write_text("\n".join([head, *lines]) + "\n")
+
+    def stop(number):
+        if number == 1:
+            raise RuntimeError("stopped")
+
+    with pytest.raises(StreamingQueryException):
+        stream_clean_transactions(spark, str(src), *places, max_files_per_trigger=1, between=stop).awaitTermination()
+    stream_clean_transactions(spark, str(src), *places, max_files_per_trigger=1).awaitTermination()
+    clean, aside = spark.read.parquet(places[0]), spark.read.parquet(places[1])
+    assert clean.count() == clean.select("invoice").distinct().count() == 15 and clean.select("batch").distinct().count() == 3
+    assert {r["reason"]: r["count"] for r in aside.groupBy("reason").count().collect()} == {"malformed": 3, "positive_quantity": 3, "has_customer": 3}
+
 
 def test_approximate_profiles_are_close_to_exact(raw):
     from attrition.operators.quality import cardinality, numeric_describe
