@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, pieces_by_bytes
+from .common import as_bytes, bounded_batches, kept_columns, pieces_by_bytes
 from .encoding import encoder
 
 
@@ -68,6 +68,7 @@ def binary_pieces(docs: DataFrame, tokenizer_path: str, units: str, context: int
     """
     if context & (context - 1):
         raise ValueError("context must be a power of two")
+    keep = kept_columns(keep, ("start", "length", "doc_tokens", "ids", "sequence_id", "offset"))
     source = docs.select(*keep, F.col(text).alias("_llm_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

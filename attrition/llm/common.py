@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +14,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.session import checkpoint_dir
+from attrition.sources.io import delete_path
+
+_SCOPE: ContextVar[list[str] | None] = ContextVar("llm_scratch", default=None)
+#: Bits of the largest row filter: 8 MB, whatever the table's size.
+FILTER_BITS = 1 << 26
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
+    """A fresh folder below the cluster's shared checkpoint folder; an open ``scratch_scope`` deletes it at its end."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
+    held = _SCOPE.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end; what is to stay must be written to a path taken before."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        held = _SCOPE.get()
+        _SCOPE.reset(token)
+        for path in held or ():
+            delete_path(spark, path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -30,6 +54,32 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_filter(rows: DataFrame, row: str, name: str = "_llm_maybe") -> tuple[DataFrame, Column, Column]:
+    """A bitmap over hashed row numbers of a written table: ``(bitmaps, key, hit)``.
+
+    A frame with a column ``row`` that is joined to ``bitmaps`` (small by construction, so broadcast) on its ``key`` has
+    ``hit`` true for every row of ``rows`` and for few others.  The bitmap has 16 bits a row and FILTER_BITS at most: beyond
+    that it only passes more rows, which an exact join after it takes out.
+    """
+    bits = 1 << 15
+    wanted = 16 * rows.count()
+    while bits < wanted and bits < FILTER_BITS:
+        bits *= 2
+    at = F.pmod(F.xxhash64(row), F.lit(bits))
+    maps = rows.select(at.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias(f"{name}_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias(f"{name}_map"))
+    place = F.bitmap_bit_position(at)
+    octet = F.conv(F.hex(F.substring(F.col(f"{name}_map"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", octet, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return F.broadcast(maps), F.bitmap_bucket_number(at) == F.col(f"{name}_bucket"), hit
+
+
+def kept_columns(keep: Sequence[str], outputs: Sequence[str]) -> tuple[str, ...]:
+    """The columns to keep that no output column replaces (names are compared as Spark does, without case)."""
+    taken = {x.lower() for x in outputs}
+    return tuple(k for k in keep if k.lower() not in taken)
+
+
 def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """``df``, after limiting the session's Arrow batches to ``rows`` rows.
 

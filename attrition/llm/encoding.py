@@ -28,8 +28,9 @@ import numpy as np
 
 from .token_counts import SAFE_BORDER
 
-#: Distinct units a worker's memo holds before it starts over; bounds its memory (about 250 MB).
+#: Distinct units, and bytes of units and ids, that a worker's memo holds before it starts over; bounds its memory (about 250 MB).
 MEMO_UNITS = 1_200_000
+MEMO_BYTES = 1 << 26
 
 _TAIL = re.compile("(.*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,!?;:#*$%&|]+)", re.DOTALL)
 _ENCODERS: dict[str, "UnitEncoder"] = {}
@@ -42,10 +43,12 @@ class _Memo(dict):
         super().__init__()
         self.new: list[bytes] = []
         self.size = 0
+        self.bytes = 0
 
     def __missing__(self, unit: bytes) -> int:
         self[unit] = n = self.size
         self.size += 1
+        self.bytes += len(unit)
         self.new.append(unit)
         return n
 
@@ -139,7 +142,7 @@ class UnitEncoder:
 
         A unit's number is only valid until the next call: a full memo starts over.
         """
-        if self.memo.size > MEMO_UNITS:
+        if self.memo.size > MEMO_UNITS or self.memo.bytes + self.ids.itemsize * self.n_ids > MEMO_BYTES:
             self._reset()
         get = self.memo.__getitem__
         found = [list(map(get, self._cut(t))) for t in texts]

@@ -13,7 +13,7 @@ rejected on much evidence; a host with many keeps its own rate.
 
 Defined cases: a null or empty text has no words and fails ``short``; a null
 host is one host of its own (``NULL`` groups with ``NULL``); equal rows count
-one by one; with one host, or hosts of equal rates, the prior is as strong as
+one by one; a text of any length is measured whole; with one host, or hosts of equal rates, the prior is as strong as
 ``MAX_STRENGTH`` documents; an empty table gives an empty result.  A column of
 the input with the name of an output column is not read and not returned.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, pieces_by_bytes, written
+from .common import as_bytes, bounded_batches, kept_columns, pieces_by_bytes, written
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"
@@ -157,6 +157,7 @@ def quality_rules(docs: DataFrame, rules: HostRules = HostRules(), keep: tuple[s
     HOST_SALTS keys, and a document looks up the copy its own salt names, so a
     host with a third of all rows is spread over that many join keys.
     """
+    keep = kept_columns(keep, (*MEASURES, "base_failed", "host_rejected", "kept"))
     columns = tuple(dict.fromkeys((*keep, host)))
     measured = written(document_measures(docs, columns, text), "quality")
     hosts = written(host_counts(measured, host), "hosts")

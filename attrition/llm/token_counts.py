@@ -7,7 +7,8 @@ of the whole text and one text never fills a batch's memory with its encoding.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); equal rows are
 counted one by one; a null ``doc_id`` stays null; an empty table gives an empty
-result; other columns of the input are ignored unless named in ``keep``.
+result; other columns of the input are ignored unless named in ``keep``, and an output
+column replaces a kept one of its name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, pieces_by_bytes
+from .common import as_bytes, bounded_batches, kept_columns, pieces_by_bytes
 
 #: A non-space character before a space or line feed: a byte-level or word
 #: tokenizer starts a new pre-token there whatever stands around it.
@@ -69,7 +70,7 @@ def _lengths(texts: list[bytes], path: str, piece_chars: int, batch_bytes: int)
         for piece in safe_pieces(raw.decode("utf-8", "replace"), piece_chars) if raw else ():
             waiting.append(piece)
             owners.append(k)
-            size += len(piece)
+            size += len(raw) if len(piece) == len(raw) else len(piece.encode("utf-8", "replace"))
             if size >= batch_bytes:
                 flush()
                 size = 0
@@ -85,6 +86,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, text:
     A map over the input's partitions: no shuffle, and a lost task is simply
     run again on its own split.
     """
+    keep = kept_columns(keep, ("n_bytes", "n_tokens", "over_limit"))
     source = docs.select(*keep, F.col(text).alias("_llm_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
