@@ -37,7 +37,8 @@ import binascii
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -139,21 +140,55 @@ def der_length(data: bytes) -> int:
     return 2 + width + (int.from_bytes(data[2:2 + width], "big") if data[1] >= 0x80 else data[1])
 
 
-def openssh_length(data: bytes) -> int:
-    """Bytes of the ``openssh-key-v1`` container at the start: magic, then cipher, KDF, options, number of keys, public keys, private part."""
-    if not data.startswith(_SSH_MAGIC):
+#: Decoded bytes on demand: ``read(i, j)`` gives at most the bytes i to j of what a run encodes.
+Reader = Callable[[int, int], bytes]
+#: Members of a DER sequence that is looked at; private keys have ten at most.
+MEMBERS = 64
+
+
+def base64_reader(run: bytes, start: int) -> Reader:
+    """The bytes of base64 from ``start``, decoding only the characters that are asked for."""
+    def read(i: int, j: int) -> bytes:
+        quad = start + i // 3 * 4
+        raw = run[quad:max(quad, start + -(-j // 3) * 4)]
+        return (unbase64(raw[:len(raw) - (len(raw) % 4 == 1)]) or b"")[i - i // 3 * 3:][:max(0, j - i)]
+    return read
+
+
+def hex_reader(run: bytes, start: int, end: int) -> Reader:
+    def read(i: int, j: int) -> bytes:
+        raw = run[start + 2 * i:min(end, start + 2 * j)]
+        return bytes.fromhex(raw[:len(raw) // 2 * 2].decode())
+    return read
+
+
+def sequence_fits(read: Reader, size: int) -> bool:
+    """The lengths of the members of a DER sequence of ``size`` bytes lead exactly to its end; only headers are decoded."""
+    at = 2 + (read(1, 2)[0] & 0x7F if read(1, 2) >= b"\x80" else 0)
+    for _ in range(MEMBERS):
+        if at >= size:
+            break
+        head = read(at, at + 6)
+        width = head[1] & 0x7F if len(head) > 1 and head[1] >= 0x80 else 0
+        if len(head) < 2 + width or width > 4 or head[0] & 0x1F == 0x1F:
+            return False
+        at += 2 + width + (int.from_bytes(head[2:2 + width], "big") if head[1] >= 0x80 else head[1])
+    return at == size
+
+
+def openssh_length(read: Reader, size: int) -> int:
+    """Bytes of the ``openssh-key-v1`` container at the start: magic, then cipher, KDF, options, number of keys, public keys,
+    private part.  Only the magic and the lengths are decoded."""
+    at, fields, keys = len(_SSH_MAGIC), 0, 0
+    if read(0, at) != _SSH_MAGIC:
         return 0
-    at, fields = len(_SSH_MAGIC), 0
-    keys = 0
-    while at < len(data):
-        if at + 4 > len(data):
-            return 0
-        n, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+    while at + 4 <= size:
+        n, at = int.from_bytes(read(at, at + 4), "big"), at + 4
         if fields == 3:
             keys = n
+        elif at + n > size:
+            return 0
         else:
-            if at + n > len(data):
-                return 0
             at += n
         fields += 1
         if fields == 5 + keys:
@@ -163,7 +198,7 @@ def openssh_length(data: bytes) -> int:
 
 def openssh_private_key(data: bytes) -> bool:
     """An ``openssh-key-v1`` container that fills ``data``."""
-    return bool(data) and openssh_length(data) == len(data)
+    return bool(data) and openssh_length(lambda i, j: data[i:j], len(data)) == len(data)
 
 
 def private_key(data: bytes | None) -> bool:
@@ -182,6 +217,25 @@ def pem_private_key(body: bytes) -> bool:
     return private_key(unbase64(_HEADER.sub(b"", body)))
 
 
+def armoured(run: bytes, quad: int) -> tuple[int, int]:
+    """Start and end of the PEM block of a private key that the base64 from ``quad`` opens with, as ``(first byte, end in
+    run)``, or (0, 0).  Twice as much is decoded until the armour after the first one is there with what follows it."""
+    size = 512
+    while True:
+        whole = quad + size >= len(run)
+        data = unbase64(run[quad:len(run) - ((len(run) - quad) % 4 == 1)] if whole else run[quad:quad + size]) or b""
+        marks = list(islice(_ARMOUR.finditer(data), 2))
+        if whole or len(marks) == 2 and len(data) - marks[1].end() >= 16:
+            break
+        size *= 2
+    found = pem_spans(data[:marks[1].end()]) if len(marks) == 2 else []
+    if not found or found[0][0] > 2:
+        return 0, 0
+    first, used = found[0]
+    line_ends = len(data) - used - len(data[used:].lstrip(b"\r\n"))
+    return first, quad - (-4 * (used + line_ends) // 3)
+
+
 def pem_spans(text: bytes) -> list[tuple[int, int]]:
     """Start and end of the PEM blocks that hold private keys."""
     marks = list(_ARMOUR.finditer(text))
@@ -199,18 +253,15 @@ def base64_keys(run: bytes, ends: set[int]) -> Iterator[tuple[int, int]]:
             quad = start - (4 * (m.lastindex - 1) + 2) // 3
             if quad < 0 or not re.match(rb"(?s).{0,2}-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", unbase64(run[quad:quad + 84]) or b""):
                 continue
-            data = unbase64(run[quad:len(run) - ((len(run) - quad) % 4 == 1)]) or b""
-            found = pem_spans(data)
-            if found and found[0][0] <= 2:
-                start, used = quad + (4 * found[0][0]) // 3, found[0][1]
-                end = quad - (-4 * (len(data) - len(data[used:].lstrip(b"\r\n"))) // 3)
+            first, end = armoured(run, quad)
+            start = quad + (4 * first) // 3
         elif m[0].startswith(b"M"):
             used = der_length(unbase64(run[start:start + 16]) or b"")
             n = -(-4 * used // 3)
-            if 48 <= n <= len(run) - start and der_private_key(unbase64(run[start:start + n]) or b""):
+            if 48 <= n <= len(run) - start and sequence_fits(base64_reader(run, start), used) and der_private_key(unbase64(run[start:start + n]) or b""):
                 end = start + n
         else:
-            used = openssh_length(unbase64(run[start:len(run) - ((len(run) - start) % 4 == 1)]) or b"")
+            used = openssh_length(base64_reader(run, start), (len(run) - start) * 3 // 4)
             end = start - (-4 * used // 3) if used else 0
         if end and (m.lastindex or end in ends or run[end:end + 1] in b"/_-"):
             yield start, end
@@ -226,7 +277,9 @@ def hex_keys(run: bytes, ends: set[int]) -> Iterator[tuple[int, int]]:
             room = (whole.end() - start) // 2
             used = der_length(bytes.fromhex(run[start:start + 2 * min(room, 12)].decode()))
             if not used and not m[0].startswith(b"30"):
-                used = openssh_length(bytes.fromhex(run[start:start + 2 * room].decode()))
+                used = openssh_length(hex_reader(run, start, whole.end()), room)
+            elif not (32 <= used <= room and sequence_fits(hex_reader(run, start, whole.end()), used)):
+                continue
             end = start + 2 * used
             if 32 <= used <= room and (end in ends or whole.end() - end < 2) and private_key(bytes.fromhex(run[start:end].decode())):
                 yield start, end

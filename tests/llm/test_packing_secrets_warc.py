@@ -21,7 +21,8 @@ from attrition.llm import secret_scan as ss
 from attrition.llm import token_output as to
 from attrition.llm import warc
 from attrition.llm.encoding import UnitEncoder
-from attrition.llm.queries import QUERIES, SQL
+from attrition.llm.byte_bpe import byte_encoder
+from attrition.llm.queries import BYTE_FILES, QUERIES, SQL
 from tests.llm.conftest import SF
 
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -48,6 +49,24 @@ def test_units_give_the_ids_of_the_library(path, units, texts):
 _ENCODERS: dict = {}
 
 
+def test_memo_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr("attrition.llm.encoding.MEMO_BYTES", 1000)
+    e = UnitEncoder(WORDS, "words")
+    for k in range(40):
+        e.encode([b"%d" % k * 100])
+        assert e.memo.bytes <= 1300
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aB1 .,\n\t'é€漢字\u200b\x85\xa0<|endoftext|>"), max_size=60), max_size=5), st.integers(1, 30))
+def test_fast_byte_ids_equal_the_library(texts, piece_chars):
+    ids, n = byte_encoder(BYTE_FILES, piece_chars)([t.encode() for t in texts])
+    library = _ENCODERS.setdefault("plain", Tokenizer.from_file(BYTES))
+    library.encode_special_tokens = True
+    for t, e, k in zip(texts, np.cumsum(n), n, strict=True):
+        assert ids[e - k:e].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_memo_starts_over(monkeypatch):
     monkeypatch.setattr("attrition.llm.encoding.MEMO_UNITS", 3)
     e = UnitEncoder(WORDS, "words")
@@ -142,6 +161,9 @@ def test_packed_matrix_round_trip(spark, docs, tmp_path):
     assert got == {r["doc_id"]: t.encode(r["text"] or "", add_special_tokens=False).ids + [50256] for r in docs.collect()}
     used = sum(r["n_tokens"] for r in rows)
     assert used / (2048 * len(rows)) > 0.95
+    fast = to.packed_matrix(docs, end_id=50256, window_tokens=50_000, byte_files=BYTE_FILES).collect()
+    assert sorted((r["doc_ids"], r["ids"], r["position_ids"], r["cu_seqlens"]) for r in fast) == sorted(
+        (r["doc_ids"], r["ids"], r["position_ids"], r["cu_seqlens"]) for r in files.collect())
     query = QUERIES["op5_token_output"](spark, SF).collect()
     assert sum(r["n_tokens"] for r in query) == used
 
@@ -237,6 +259,16 @@ def test_long_runs_of_near_keys_are_scanned_in_time():
     assert time.monotonic() - started < 20
 
 
+def test_key_prefixes_take_linear_time():
+    parts = (ss._SSH_MAGIC, ss._SSH_MAGIC + b"\0\0\0\4none", b"-----BEGIN RSA PRIVATE KEY-----", bytes.fromhex("308204a402010002820101"),
+             bytes.fromhex("30830fffff0201000283000fff"))
+    for part in parts:
+        started = time.monotonic()
+        assert ss.spans((base64.b64encode(part) * 200_000)[:2_000_000]) == []
+        ss.spans(base64.b64encode(part * (1_500_000 // len(part))))
+        assert time.monotonic() - started < 20  # quadratic scans took minutes
+
+
 def test_tokens_are_confirmed_by_their_header():
     assert kinds(f"see {JWT}, ok") == [("jwt", JWT)]
     head, body, sign = JWT.split(".")
