@@ -12,16 +12,16 @@ component, so the cells bound the inner product with any query.
    wave a query goes on only with those whose bound still reaches its k-th
    exact score, until none is left.
 
-Equal vectors are one entry with its k + 1 smallest ids (one may be the
-query's own): more can never be among the results, as ties go to the smaller
-id.  Equal query vectors are searched once.  Queries and vectors meet in
+Equal vectors are one entry with its k + 1 smallest ids, repeated ids included
+(one may be the query's own row): more can never be among the results, as ties
+go to the smaller id.  Equal query vectors are searched once.  Queries and vectors meet in
 blocks: a block of queries and a block of cells are one group of one task, so
 neither side is ever broadcast or held whole.
 
 Defined cases: a vector that is null, empty, or holds a null or non-finite
 component, or has a null id, takes no part, neither as query nor as candidate;
-rows that repeat an id and a vector count once, and a query never returns its
-own id; vectors of different lengths do not meet; fewer than k candidates give
+every other row is a candidate of its own, rows that repeat an id or an id and a
+vector too, and every query row has its own results; vectors of different lengths do not meet; fewer than k candidates give
 fewer results; an empty table gives an empty result; other columns are ignored.
 Scores are exact while they fit a signed 64-bit integer.
 """
@@ -44,7 +44,7 @@ from .common import written
 @dataclass(frozen=True)
 class VaPlan:
     k: int = 5
-    cells: int = 32            # cells of a component
+    cells: int = 32            # cells of a component, 256 at most: a cell is a byte of the file
     block: int = 1024          # distinct vectors (or query vectors) of a block, about
     wave: int = 32             # exact vectors read for a query before the stop rule is tried; each wave is 8 times the last
 
@@ -63,7 +63,7 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     The rank limit is applied before the shuffle too (a partial window limit),
     so a vector that a third of all rows hold sends ``keep`` ids per task.
     """
-    ranked = rows.withColumn("key", F.xxhash64("q")).dropDuplicates(["id", "q"])
+    ranked = rows.withColumn("key", F.xxhash64("q"))
     order = Window.partitionBy("key", "q").orderBy("id")
     few = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep)
     return few.groupBy("key", "q").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("q"))
@@ -120,9 +120,11 @@ def top_k(table: DataFrame, queries: DataFrame, plan: VaPlan = VaPlan(), vec_id:
           scale: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its k best other rows of ``table``."""
     k, c = plan.k, F.col
+    if not 1 <= plan.cells <= 256:
+        raise ValueError("a cell number is one byte: 1 to 256 cells")
     entries = written(distinct_vectors(integer_vectors(table, vec_id, vector, scale), k + 1)
                       .withColumn("entry", F.monotonically_increasing_id()), "vectors")
-    asked = written(integer_vectors(queries, vec_id, vector, scale).dropDuplicates(["id", "q"]).withColumn("key", F.xxhash64("q")), "asked")
+    asked = written(integer_vectors(queries, vec_id, vector, scale).withColumn("key", F.xxhash64("q")).withColumn("asker", F.monotonically_increasing_id()), "asked")
     wanted = written(asked.select("key", "q").dropDuplicates(["key", "q"])
                      .withColumn("query", F.monotonically_increasing_id()).withColumn("dim", F.size("q")), "queries")
     blocks, query_blocks = (max(1, -(-t.count() // plan.block)) for t in (entries, wanted))
@@ -176,7 +178,8 @@ def top_k(table: DataFrame, queries: DataFrame, plan: VaPlan = VaPlan(), vec_id:
     scored, until = None, plan.wave
     while scored is None or not rest.isEmpty():
         now = rest.filter(c("at") <= until).join(exact, "entry").join(wanted.select("query", "q"), "query")
-        wave = written(now.select("query", "ids", "q", "v").mapInArrow(_products, "query bigint, score bigint, ids array<bigint>"), "scored")
+        wave = written(now.select("query", "ids", "q", "v", (c("q") == c("v")).alias("same"))
+                       .mapInArrow(_products, "query bigint, score bigint, ids array<bigint>, same boolean"), "scored")
         scored = wave if scored is None else scored.unionByName(wave)
         # of the k + 1 best entries one may be the query's own vector
         last = Window.partitionBy("query").orderBy(F.desc("score"))
@@ -185,10 +188,12 @@ def top_k(table: DataFrame, queries: DataFrame, plan: VaPlan = VaPlan(), vec_id:
                        .filter(c("kth").isNull() | (c("bound") >= c("kth"))).drop("kth"), "rest")
         until *= 8
 
-    per_id = scored.withColumn("vec_id", F.explode("ids")).drop("ids")
-    asking = asked.join(wanted.select("key", "q", "query"), ["key", "q"]).select("query", c("id").alias("query_id"))
-    named = per_id.join(asking, "query").filter(c("vec_id") != c("query_id"))
-    final = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    asking = asked.join(wanted.select("key", "q", "query"), ["key", "q"]).select("query", "asker", c("id").alias("query_id"))
+    # of an entry with the query's own vector, its own row is one occurrence of its id
+    own = F.array_position("ids", c("query_id")).cast("int")
+    others = F.concat(F.slice("ids", F.lit(1), F.greatest(own - 1, F.lit(0))), F.slice("ids", own + 1, F.size("ids")))
+    named = scored.join(asking, "query").withColumn("vec_id", F.explode(F.when(c("same") & (own > 0), others).otherwise(c("ids")))).drop("ids", "same")
+    final = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     return named.withColumn("rank", F.row_number().over(final)).filter(c("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -199,4 +204,4 @@ def _products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(b.num_rows), np.diff(q.offsets.to_numpy()))
         score = np.zeros(b.num_rows, np.int64)
         np.add.at(score, owner, q.flatten().to_numpy() * v.flatten().to_numpy())
-        yield pa.RecordBatch.from_arrays([b.column("query"), pa.array(score), b.column("ids")], names=["query", "score", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column("query"), pa.array(score), b.column("ids"), b.column("same")], names=["query", "score", "ids", "same"])

@@ -56,11 +56,12 @@ SHARES = ("symbols", "capitals", "distinct words", "length")
 class MixPlan:
     """Target token weights by domain; the total is such that the clean documents' tokens fill their share.
 
-    A domain of weight 0 is unwanted: documents that are of it with a chance above one half have rate 0.
+    Documents that are of an ``unwanted`` domain with a chance above one half have rate 0, whatever the targets.
     """
 
     weights: dict[str, float] = field(default_factory=lambda: {"clean": 0.95, "low": 0.04, "toxic": 0.01})
     max_rate: float | None = None   # an upper bound to project on, if any
+    unwanted: tuple[str, ...] = ()
     iterations: int = 200
     max_labels: int = 20_000
     smoothing: float = 0.5
@@ -184,7 +185,7 @@ def fitted_rates(cells: DataFrame, plan: MixPlan) -> DataFrame:
     c = F.col
     parts = posterior(c("_llm_cell").cast("double"))
     # the targets alone would leave a share of the unwanted domain's cells, as the steps slow down near the optimum
-    unwanted = reduce(lambda x, y: x | y, [parts[d] > 0.5 for d in DOMAINS if plan.weights[d] == 0], F.lit(False))
+    unwanted = reduce(lambda x, y: x | y, [parts[d] > 0.5 for d in plan.unwanted], F.lit(False))
     filled = cells.select(F.struct("_llm_cell", c("tokens").cast("double").alias("t"), *[parts[d].alias(d) for d in DOMAINS], unwanted.alias("out")).alias("x"))
     one = filled.agg(F.sort_array(F.collect_list("x")).alias("x"))
 
@@ -203,7 +204,7 @@ def fitted_rates(cells: DataFrame, plan: MixPlan) -> DataFrame:
         def moved(g: Column) -> Column:
             new = F.zip_with(rates, c("x"), lambda r, x: F.greatest(F.lit(0.0), r - reduce(lambda p, q: p + q, [x[d] * g[d] for d in DOMAINS])))
             new = new if plan.max_rate is None else F.transform(new, lambda r: F.least(r, F.lit(float(plan.max_rate))))
-            return F.zip_with(new, c("x"), lambda r, x: F.when(x["out"], 0.0).otherwise(r)) if 0 in plan.weights.values() else new
+            return F.zip_with(new, c("x"), lambda r, x: F.when(x["out"], 0.0).otherwise(r)) if plan.unwanted else new
         return F.flatten(F.transform(F.array(over), moved))
 
     start = F.transform("x", lambda x: F.lit(1.0))
@@ -221,7 +222,8 @@ def mixed(docs: DataFrame, labels: DataFrame, plan: MixPlan = MixPlan(), keep: t
     c = F.col
     outputs = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
     kept = [c(f"`{x}`") for x in (keep or docs.columns) if x not in outputs]
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    # the row's place is part of the draw: equal rows are drawn one by one
+    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
     model = classifier(docs, labels, plan)
     scored = posterior_cells(measured(docs.withColumn("_llm_u", chance)), model)
     rows = written(scored.select(*kept, "_llm_u", "_llm_n", "_llm_cell"), "scored")

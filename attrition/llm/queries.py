@@ -71,10 +71,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = scratch_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), archives, null_refers=False)
+    write_archives(table(spark, sf_dir, "pages"), archives)
     return (read_archives(spark, archives).filter("kind = 'record'")
             .select(F.nullif(c("record_id"), F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-                    c("refers_to").cast("long").alias("refers_to")))
+                    F.nullif(c("refers_to"), F.lit("")).cast("long").alias("refers_to")))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,12 +151,13 @@ FROM (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fa
       FROM measured m LEFT JOIN rejected r ON m.source = r.source)
 """
 
-# What the archives must give back: every page once, with the smallest page of an equal long payload as its response.
+# What the archives must give back: every page once; of equal long payloads one response, the smallest page, and revisits of it.
 OP8_SQL = """
 SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
        CASE WHEN refers THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN refers THEN first END AS refers_to
-FROM (SELECT *, coalesce(strlen(html) >= 100 AND page_id > first, FALSE) AS refers
-      FROM (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
+FROM (SELECT *, strlen(html) >= 100 AND place > 1 AS refers
+      FROM (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+                   row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS place FROM pages))
 """
 
 # All pairs that share a shingle, and the classes by following links.
@@ -184,14 +185,14 @@ LEFT JOIN (SELECT x, min(y) FILTER (same) AS id, count(*) - 1 AS n FROM linked G
 # Every product of a query with every other vector, ranked.
 OP9_SQL = """
 WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), ranked AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score,
-         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id) AS r
-  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+         row_number() OVER (PARTITION BY a.r ORDER BY list_inner_product(a.q, b.q) DESC, b.vec_id) AS place
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.q) = len(b.q)
 )
-SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 5
 """
 
 

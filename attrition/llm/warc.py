@@ -17,10 +17,11 @@ next version line inside it, and of a member that inflates in part only the
 records whose payload digest agrees are given.  No later record is lost to earlier damage.
 
 Defined cases: a null html is an empty payload; a null url is an empty target;
-equal rows (same page id and payload) are all responses; a null page id is
-written as an empty id and never is referred to, and a group with null ids only
-is written as responses; an empty table gives no records; other columns are
-ignored.
+of equal payloads exactly one row is the response, the first by page id (nulls
+last) and place in the table, and every other one a revisit, equal rows and rows
+with a null page id too; a null page id is written as an empty id, and a revisit of
+it has no ``WARC-Refers-To``; an empty table gives no records; other columns are
+ignored.  The pages must be a stored table: a row is known by its place in it.
 """
 
 from __future__ import annotations
@@ -45,38 +46,36 @@ TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "
 _ID = "urn:page:"
 
 
-def deduplicated(pages: DataFrame, salts: int = GROUP_SALTS, null_refers: bool = True) -> DataFrame:
-    """``page_id, url, html, digest, refers_to``: the page that a repeated payload refers to.
+def deduplicated(pages: DataFrame, salts: int = GROUP_SALTS) -> DataFrame:
+    """``page_id, url, html, digest, revisit, refers_to``: whether an equal page comes first, and that page's id.
 
-    ``null_refers``: a page with a null id, too, refers to an equal page that has an id.
-
-    The smallest id per digest is a partial aggregate over narrow rows.  Only
+    The first page per digest is a partial aggregate over narrow rows.  Only
     digests that occur twice go back to the pages, each copied to ``salts``
     keys, and a page looks up the copy that its own salt names.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    pages = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    firsts = (pages.filter(F.octet_length("html") >= MIN_REVISIT).groupBy(F.col("digest").alias("_llm_digest"))
-              .agg(F.min("page_id").alias("_llm_first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    c = F.col
+    html = F.coalesce(c("html"), F.lit(""))
+    pages = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.monotonically_increasing_id().alias("_llm_row"))
+    first = F.struct(c("page_id").isNull().alias("no_id"), c("page_id").alias("id"), c("_llm_row").alias("row"))
+    firsts = (pages.filter(F.octet_length("html") >= MIN_REVISIT).groupBy(c("digest").alias("_llm_digest"))
+              .agg(F.min(first).alias("_llm_first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
               .withColumn("_llm_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    salted = pages.withColumn("_llm_key", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    joined = salted.join(firsts, (F.col("digest") == F.col("_llm_digest")) & (F.col("_llm_key") == F.col("_llm_salt")), "left")
-    revisit = F.col("page_id") > F.col("_llm_first")
-    if null_refers:
-        revisit = F.col("page_id").isNull() | revisit
-    return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("_llm_first")).alias("refers_to"))
+    salted = pages.withColumn("_llm_key", F.pmod(F.xxhash64("_llm_row"), F.lit(salts)).cast("int"))
+    joined = salted.join(firsts, (c("digest") == c("_llm_digest")) & (c("_llm_key") == c("_llm_salt")), "left")
+    revisit = F.coalesce(c("_llm_row") != c("_llm_first.row"), F.lit(False))
+    return joined.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, c("_llm_first.id")).alias("refers_to"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
     """One WARC record; a revisit has the fields of the full payload but no block."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    revisit = refers_to is not None
     head = [VERSION.decode(), f"WARC-Type: {'revisit' if revisit else 'response'}",
             f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target}",
             f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                 f"WARC-Refers-To: <{_ID}{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    if refers_to is not None:
+        head += [f"WARC-Refers-To: <{_ID}{refers_to}>"]
     block = b"" if revisit else payload
     head += [f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -88,7 +87,7 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, null_refers: bool = True, max_bytes: int = 1 << 28) -> None:
+def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, max_bytes: int = 1 << 28) -> None:
     """Write archives of at most ``records_per_file`` records and ``max_bytes`` (or one record) below ``path``.
 
     Pages longer than their share of an archive are written apart, fewer to an
@@ -102,18 +101,18 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, nu
     mode = "errorifexists"
     for some, most in zip((payload <= share, payload > share), largest, strict=True):
         if most or not any(largest):  # of an empty table, empty archives
-            _write(pages.filter(some), path, max(1, min(records_per_file, max_bytes // (most or 1))), null_refers, mode)
+            _write(pages.filter(some), path, max(1, min(records_per_file, max_bytes // (most or 1))), mode)
             mode = "append"
 
 
-def _write(pages: DataFrame, path: str, records_per_file: int, null_refers: bool, mode: str) -> None:
+def _write(pages: DataFrame, path: str, records_per_file: int, mode: str) -> None:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), as_bytes(b.column("html")),
-                       b.column("digest").to_pylist(), b.column("refers_to").to_pylist(), strict=True)
+                       b.column("digest").to_pylist(), b.column("revisit").to_pylist(), b.column("refers_to").to_pylist(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([member(record(*r)) for r in rows], pa.binary())], names=["value"])
 
-    members = bounded_batches(deduplicated(pages, null_refers=null_refers)).mapInArrow(run, "value binary")
+    members = bounded_batches(deduplicated(pages)).mapInArrow(run, "value binary")
     # a cast from binary to string keeps the bytes as they are, and the text sink writes them unchanged
     (members.select(F.col("value").cast("string").alias("value")).write.mode(mode).option("lineSep", "\u0000")
      .option("maxRecordsPerFile", records_per_file).text(path))
