@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, bounded_batches, pieces_by_bytes, written
+from .common import as_bytes, bounded_batches, kept_columns, pieces_by_bytes, row_filter, written
 
 #: Sampled tokens held of each set; the first ones open the runs, the others split buckets.
 TOKENS = 64
@@ -78,7 +78,10 @@ class JoinPlan:
         return self.similarity * q
 
     def runs(self) -> int:
-        return min(TOKENS // 2, ceil(log(1 - self.recall) / log(1 - self.run_recall())))
+        n = ceil(log(1 - self.recall) / log(1 - self.run_recall()))
+        if n > TOKENS // 2:
+            raise ValueError(f"{n} runs are needed for a recall of {self.recall} at similarity {self.similarity}; sets hold tokens for {TOKENS // 2}")
+        return n
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -134,7 +137,7 @@ def _sized(rows: DataFrame) -> DataFrame:
     stored tables, so Spark can split a hot bucket's side of the join."""
     rows = written(rows, "paths")
     sizes = written(rows.groupBy("bucket").count().filter("count > 1").withColumnRenamed("count", "n"), "sizes")
-    return rows.join(sizes, "bucket")
+    return rows.join(sizes.hint("merge"), "bucket")
 
 
 def leaf_buckets(sets: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -153,7 +156,7 @@ def leaf_buckets(sets: DataFrame, plan: JoinPlan) -> DataFrame:
         open_rows = found.filter(~done) if depth < plan.max_depth else None
         if open_rows is None or open_rows.isEmpty():
             break
-        followed = open_rows.join(sets.select("key", "tokens"), "key").withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
+        followed = open_rows.join(sets.select("key", "tokens").hint("merge"), "key").withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
         which = F.pmod(F.xxhash64("bucket", "branch"), F.lit(TOKENS - runs)).cast("int") + runs
         level = followed.select("key", F.xxhash64("bucket", "branch", F.get("tokens", which)).alias("bucket"), c("n").alias("parent_n"))
     return leaves
@@ -354,7 +357,7 @@ def similarity_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str =
     set), ``n_links`` (rows of similarity 0.8 or more, copies included) and ``class_first`` (true for one row of a class)."""
     c = F.col
     outputs = ("class_id", "copy_id", "n_links", "class_first")
-    keep = tuple(k for k in (keep or (doc_id,)) if k not in outputs)
+    keep = kept_columns(keep or (doc_id,), outputs)
     rows = written(features(docs, plan, (doc_id,), text), "features")  # narrow: texts are read again where they are needed
     first = F.struct(c(f"`{doc_id}`").isNull().alias("no_id"), c(f"`{doc_id}`").alias("id"), c("_llm_row").alias("row"))
     sets = written(rows.filter("_llm_key is not null").groupBy(c("_llm_key").alias("key")).agg(
@@ -363,11 +366,13 @@ def similarity_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str =
 
     leaves = written(leaf_buckets(sets, plan), "leaves")
     buckets = leaves.groupBy("key").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-    known = written(sets.join(buckets, "key").select("key", "size", "copies", "row", "buckets", "sketch"), "known")
-    placed = cells(leaves, plan).join(known, "key")
+    known = written(sets.join(buckets.hint("merge"), "key").select("key", "size", "copies", "row", "buckets", "sketch"), "known")
+    placed = cells(leaves, plan).join(known.hint("merge"), "key")
     wanted = written(candidates(placed, plan), "candidates")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = written(verified(wanted.join(texts, "row"), plan), "links")
+    maps, same, hit = row_filter(written(wanted.select("row").distinct(), "wanted"), "row")
+    texts = texts.join(maps, same).filter(hit).select("row", "text")  # only texts of candidates, and few others, are exchanged
+    found = written(verified(wanted.join(texts.hint("merge"), "row"), plan), "links")
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(c("key").alias("a"), c("root").alias("b")))
@@ -377,13 +382,25 @@ def similarity_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), doc_id: str =
     classes = written(several.groupBy("root").agg(F.min("first").alias("class_first")), "firsts")
     info = written(several.join(classes, "root").select(c("key").alias("_llm_set"), c("first").alias("_llm_copy"), c("class_first").alias("_llm_class"),
                                                         c("links").alias("_llm_links")), "info")
-    found = rows.join(info, c("_llm_key") == c("_llm_set"), "left").select(
-        c(f"`{doc_id}`"), "_llm_row",
-        F.when(c("_llm_set").isNull(), c(f"`{doc_id}`")).otherwise(c("_llm_class.id")).alias("class_id"),
-        F.when(c("_llm_set").isNull(), c(f"`{doc_id}`")).otherwise(c("_llm_copy.id")).alias("copy_id"),
-        F.coalesce("_llm_links", F.lit(0)).alias("n_links"),
-        F.coalesce(c("_llm_class.row") == c("_llm_row"), F.lit(True)).alias("class_first"))
+    joined = rows.join(info.hint("merge"), c("_llm_key") == c("_llm_set"), "left")
+    ids = [F.when(c("_llm_set").isNull(), c(f"`{doc_id}`")).otherwise(c(f"{x}.id")) for x in ("_llm_class", "_llm_copy")]
+    verdict = [ids[0].alias("class_id"), ids[1].alias("copy_id"), F.coalesce("_llm_links", F.lit(0)).cast("long").alias("n_links"),
+               F.coalesce(c("_llm_class.row") == c("_llm_row"), F.lit(True)).alias("class_first")]
     if set(keep) <= {doc_id}:
-        return found.select(*keep, *outputs)
-    whole = docs.select(*[c(f"`{k}`") for k in keep], F.monotonically_increasing_id().alias("_llm_row"))
-    return whole.join(written(found.select("_llm_row", *outputs), "found"), "_llm_row").select(*[c(f"`{k}`") for k in keep], *outputs)
+        return joined.select(*[c(f"`{k}`") for k in keep], *verdict)
+
+    # whole rows: those of a class of several go through the exchange, the others get their verdict in the scan
+    several = written(joined.filter(c("_llm_set").isNotNull()).select(c("_llm_row").alias("_llm_at"), c(f"`{doc_id}`").alias("_llm_id"), *verdict), "found")
+    maps, same, hit = row_filter(several.select(c("_llm_at").alias("_llm_row")), "_llm_row")
+    whole = docs.select(*[c(f"`{k}`") for k in docs.columns if k in {*keep, doc_id}], F.monotonically_increasing_id().alias("_llm_row"))
+    marked = whole.join(maps, same, "left").withColumn("_llm_hit", hit)
+    alone = marked.filter(~c("_llm_hit")).select(*[c(f"`{k}`") for k in keep], c(f"`{doc_id}`").alias("class_id"), c(f"`{doc_id}`").alias("copy_id"),
+                                                 F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("class_first"))
+    met = marked.filter("_llm_hit").join(several.hint("merge"), c("_llm_row") == c("_llm_at"), "left")
+    same_id = c("_llm_at").isNull() | c(f"`{doc_id}`").eqNullSafe(c("_llm_id"))
+    checked = F.when(same_id, F.coalesce("class_first", F.lit(True))).otherwise(
+        F.raise_error(F.lit("the documents read differently the second time; pass a stored table")).cast("boolean"))
+    own = lambda n: F.when(c("_llm_at").isNull(), c(f"`{doc_id}`")).otherwise(c(n)).alias(n)
+    met = met.select(*[c(f"`{k}`") for k in keep], own("class_id"), own("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                     checked.alias("class_first"))
+    return alone.unionByName(met)
