@@ -23,6 +23,7 @@ def _churned_last(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
     return _last_purchase(tx).where(F.col("last_ts") <= ts_lit(cal.observation))
 
 
+# Borders and labels of the reported groups.
 ACTIVITY_BOUNDS = (30, 60, 90, 120)
 ACTIVITY_LABELS = ("Last 30 days", "31-60 days before", "61-90 days before",
                    "91-120 days before", "120+ days before")
@@ -43,6 +44,7 @@ def activity_windows_churned(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
         round_half_up(F.col("total_orders").cast("double") / F.col("unique_customers")).alias("orders_per_customer"))
 
 
+# Borders and labels of the reported groups.
 REVENUE_BOUNDS = (30, 60, 90)
 REVENUE_LABELS = ("Last 30 days", "31-60 days before", "61-90 days before", "90+ days before")
 

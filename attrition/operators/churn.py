@@ -40,6 +40,7 @@ def churn_rate_overall(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
              "avg_orders_per_customer")
 
 
+# Borders and labels of the reported groups.
 TENURE_BOUNDS = (30, 90, 180, 365)
 TENURE_LABELS = ("0-30 days", "31-90 days", "91-180 days", "181-365 days", "365+ days")
 
@@ -55,6 +56,7 @@ def churn_by_tenure(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
                      pct("churned", "customers").alias("churn_rate_pct")))
 
 
+# Borders and labels of the reported groups.
 FREQ_BOUNDS = (1, 3, 5, 10)
 FREQ_LABELS = ("1 order", "2-3 orders", "4-5 orders", "6-10 orders", "10+ orders")
 
@@ -99,6 +101,7 @@ def churn_by_country(tx: DataFrame, cal: ChurnCalendar, min_customers: int = 50)
               .select("Country", "customers", "churned", "churn_rate_pct"))
 
 
+# Borders and labels of the reported groups.
 LIFETIME_BOUNDS = (7, 30, 60, 90, 180, 365)
 LIFETIME_LABELS = ("0-7 days", "8-30 days", "31-60 days", "61-90 days", "91-180 days",
                    "181-365 days", "365+ days")
@@ -117,6 +120,7 @@ def lifetime_distribution(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
              .orderBy("_o").select("lifetime_bucket", "total_customers", "pct_of_churned"))
 
 
+# Borders and labels of the reported groups.
 TYPE_BOUNDS = (1, 3, 5)
 TYPE_LABELS = ("One-time", "Low-repeat (2-3)", "Medium-repeat (4-5)", "High-repeat (6+)")
 
@@ -150,6 +154,7 @@ def churn_by_acquisition_season(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
                                   pct("churned", "customers").alias("churn_rate_pct"))
 
 
+# Borders and labels of the reported groups.
 SECOND_BOUNDS = (7, 14, 30, 60)
 SECOND_LABELS = ("0-7 days", "8-14 days", "15-30 days", "31-60 days", "60+ days")
 

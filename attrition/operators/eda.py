@@ -45,6 +45,7 @@ def churn_flag_last_purchase(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
                     pct("churned_customers", "total_customers").alias("churn_rate_pct"))
 
 
+# Borders and labels of the reported groups.
 ORDER_BUCKET_BOUNDS = (1, 3, 5, 10)
 ORDER_BUCKET_LABELS = ("1 order", "2-3 orders", "4-5 orders", "6-10 orders", "10+ orders")
 
@@ -66,6 +67,7 @@ def churn_by_order_bucket(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
                       pct("churned", "customers").alias("churn_rate_pct")))
 
 
+# Borders and labels of the reported groups.
 WINDOW_BOUNDS = (30, 60, 90)
 WINDOW_LABELS = ("Last 30 days", "31-60 days before", "61-90 days before", "90+ days before")
 
@@ -230,6 +232,7 @@ def time_to_churn(tx: DataFrame, cal: ChurnCalendar) -> DataFrame:
                     pct("_w30", "churned_customers").alias("pct_within_30_days"))
 
 
+# Borders and labels of the reported groups.
 CUT_BOUNDS = (7, 30, 60, 90, 180, 365)
 CUT_LABELS = ("0-7d", "8-30d", "31-60d", "61-90d", "91-180d", "181-365d", "365d+")
 
