@@ -14,7 +14,7 @@ shards * log2(partitions) draws, the same row however often it is run.
    a task, so a shard may be larger than any machine;
 4. permute again: a cell's rows are sorted by another keyed hash.  A row's slot
    is the number of rows in the shard's earlier cells plus its rank; the rows
-   per cell are counted before, over the key columns only.
+   per cell are counted before, over the key columns only, and stay a table.
 
 Every slot is hit exactly once, shard sizes differ by one row at most, and no
 key of the data decides where a row goes, so there are no hot keys.  Both
@@ -25,7 +25,7 @@ table or a written frame, not the direct outcome of another exchange; a task
 that finds another number of rows than were counted stops the job.
 
 Defined cases: equal rows are moved one by one; null keys hash like any value;
-an empty table gives an empty result; all columns of the input are kept, but
+a text of any length moves whole; an empty table gives an empty result; all columns of the input are kept, but
 columns named like an output column (``shard``, ``slot``) are replaced.
 """
 
@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 _INDEX_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
 
@@ -140,18 +142,14 @@ def uniform_shards(rows: DataFrame, shards: int, keys: tuple[str, ...] = ("doc_i
         return (_permuted(frame, keys, seed, whole_row).withColumn("shard", shard_of("_llm_at"))
                 .withColumn("_llm_cell", cell).drop("_llm_at"))
 
-    # rows per cell, from the key columns alone: one long per rows_per_cell rows to the driver
-    filled = np.zeros((shards, cells), np.int64)
-    for r in placed(rows.select(*keys), False).groupBy("shard", "_llm_cell").count().collect():
-        filled[r["shard"], r["_llm_cell"]] = r["count"]
-    first = (np.cumsum(filled, axis=1) - filled).ravel()
-
-    @F.pandas_udf("long")
-    def slot_of(shard: pd.Series, cell: pd.Series, rank: pd.Series) -> pd.Series:
-        return pd.Series(first[shard.to_numpy() * cells + cell.to_numpy()] + rank.to_numpy() - 1)
+    # rows in the shard's earlier cells, from the key columns alone: a small table beside the rows, joined on the
+    # partitioning that the second permutation needs anyway; a shard's cells are one row each per ``rows_per_cell`` rows
+    filled = written(placed(rows.select(*keys), False).groupBy("shard", "_llm_cell").count(), "cells")
+    earlier = Window.partitionBy("shard").orderBy("_llm_cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = filled.select("shard", "_llm_cell", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_llm_first"))
 
     moved = placed(rows, True)
     again = Window.partitionBy("shard", "_llm_cell").orderBy(
         F.xxhash64(F.lit(seed + 3), *keys), F.xxhash64(F.lit(seed + 4), *[F.col(f"`{c}`") for c in rows.columns]))
-    return (moved.withColumn("_llm_rank", F.row_number().over(again))
-            .withColumn("slot", slot_of("shard", "_llm_cell", "_llm_rank")).drop("_llm_cell", "_llm_rank"))
+    ranked = moved.withColumn("_llm_rank", F.row_number().over(again)).join(first.hint("merge"), ["shard", "_llm_cell"], "left")
+    return ranked.select(*[F.col(f"`{c}`") for c in rows.columns], "shard", (F.col("_llm_first") + F.col("_llm_rank") - 1).alias("slot"))
