@@ -45,7 +45,8 @@ from .common import written
 class VaPlan:
     k: int = 5
     cells: int = 32            # cells of a component, 256 at most: a cell is a byte of the file
-    block: int = 1024          # distinct vectors (or query vectors) of a block, about
+    block: int = 8192          # distinct vectors of a block, about: a block meets the queries of a query block in one task
+    query_block: int = 32768   # distinct query vectors of a block, about: the file is read once for each
     wave: int = 32             # exact vectors read for a query before the stop rule is tried; each wave is 8 times the last
 
 
@@ -119,7 +120,7 @@ def _meet(queries: DataFrame, file: DataFrame, query_blocks: int, blocks: int, f
 def top_k(table: DataFrame, queries: DataFrame, plan: VaPlan = VaPlan(), vec_id: str = "vec_id", vector: str = "embedding",
           scale: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its k best other rows of ``table``."""
-    k, c = plan.k, F.col
+    k, c, spark = plan.k, F.col, table.sparkSession
     if not 1 <= plan.cells <= 256:
         raise ValueError("a cell number is one byte: 1 to 256 cells")
     entries = written(distinct_vectors(integer_vectors(table, vec_id, vector, scale), k + 1)
@@ -127,7 +128,7 @@ def top_k(table: DataFrame, queries: DataFrame, plan: VaPlan = VaPlan(), vec_id:
     asked = written(integer_vectors(queries, vec_id, vector, scale).withColumn("key", F.xxhash64("q")).withColumn("asker", F.monotonically_increasing_id()), "asked")
     wanted = written(asked.select("key", "q").dropDuplicates(["key", "q"])
                      .withColumn("query", F.monotonically_increasing_id()).withColumn("dim", F.size("q")), "queries")
-    blocks, query_blocks = (max(1, -(-t.count() // plan.block)) for t in (entries, wanted))
+    blocks, query_blocks = (max(1, -(-t.count() // n)) for t, n in ((entries, plan.block), (wanted, plan.query_block)))
     edges = borders(entries, plan)
     spread = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks)).cast("int")
     entries = entries.withColumn("block", spread)
@@ -173,21 +174,32 @@ def top_k(table: DataFrame, queries: DataFrame, plan: VaPlan = VaPlan(), vec_id:
     left = written(_meet(certain, file, query_blocks, blocks, scan_upper, "query bigint, entry bigint, bound double"), "left")
 
     exact = entries.select("entry", "ids", c("q").alias("v"))
+    # A wave takes the next candidates of each query in the order of their bounds: a limited rank, so that a task sends that many
+    # rows of a query and no query's candidates are sorted whole.  ``last`` is where the query's last wave ended.
     order = Window.partitionBy("query").orderBy(F.desc("bound"), "entry")
-    rest = written(left.withColumn("at", F.row_number().over(order)), "rest")
-    scored, until = None, plan.wave
-    while scored is None or not rest.isEmpty():
-        now = rest.filter(c("at") <= until).join(exact, "entry").join(wanted.select("query", "q"), "query")
-        wave = written(now.select("query", "ids", "q", "v", (c("q") == c("v")).alias("same"))
+    scored, state, until = None, None, plan.wave
+    while True:
+        rest = left
+        if state is not None:
+            behind = (c("bound") < c("last.bound")) | ((c("bound") == c("last.bound")) & (c("entry") > -c("last.back")))
+            rest = left.join(state, "query").filter(behind & (c("kth").isNull() | (c("bound") >= c("kth")))).select(*left.columns)
+        now = written(rest.withColumn("at", F.row_number().over(order)).filter(c("at") <= until).drop("at"), "wave")
+        if now.isEmpty():
+            break
+        pairs = now.join(exact, "entry").join(wanted.select("query", "q"), "query")
+        wave = written(pairs.select("query", "ids", "q", "v", (c("q") == c("v")).alias("same"))
                        .mapInArrow(_products, "query bigint, score bigint, ids array<bigint>, same boolean"), "scored")
         scored = wave if scored is None else scored.unionByName(wave)
         # of the k + 1 best entries one may be the query's own vector
-        last = Window.partitionBy("query").orderBy(F.desc("score"))
-        kth = scored.withColumn("r", F.row_number().over(last)).filter(c("r") == k + 1).select("query", c("score").alias("kth"))
-        rest = written(rest.filter(c("at") > until).join(kth, "query", "left")
-                       .filter(c("kth").isNull() | (c("bound") >= c("kth"))).drop("kth"), "rest")
+        best = Window.partitionBy("query").orderBy(F.desc("score"))
+        kth = scored.withColumn("r", F.row_number().over(best)).filter(c("r") == k + 1).select("query", c("score").alias("kth"))
+        # a query that got fewer than the wave's rows has no more
+        ends = now.groupBy("query").agg(F.min(F.struct("bound", (-c("entry")).alias("back"))).alias("last"), F.count(F.lit(1)).alias("n"))
+        state = written(ends.filter(c("n") >= until).drop("n").join(kth, "query", "left"), "state")
         until *= 8
 
+    if scored is None:
+        scored = spark.createDataFrame([], "query bigint, score bigint, ids array<bigint>, same boolean")
     asking = asked.join(wanted.select("key", "q", "query"), ["key", "q"]).select("query", "asker", c("id").alias("query_id"))
     # of an entry with the query's own vector, its own row is one occurrence of its id
     own = F.array_position("ids", c("query_id")).cast("int")
