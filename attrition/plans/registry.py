@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attrition.calendar import EVENTS_CALENDAR, TESTDATA_CALENDAR as CAL
 from attrition.operators import activity, behavior, churn, cohorts, cost, eda, features, labels, metrics, quality, segments
 from attrition.operators.clean import clean_transactions, cleaning_waterfall
+from attrition.plans.model_store import store
 from attrition.sources import io
 from attrition.sources.retail import events_purchases, retail_raw
 
@@ -32,6 +33,11 @@ def _on_clean(fn, **kw) -> QueryFn:
     return lambda spark, sf_dir: fn(clean_tx(spark, sf_dir), CAL, **kw)
 
 
+def _on_stored(fn, **kw) -> QueryFn:
+    """For operators that go through the lines many times: they read the session's stored clean lines."""
+    return lambda spark, sf_dir: fn(store(spark, sf_dir).clean(), CAL, **kw)
+
+
 QUERIES: dict[str, QueryFn] = {}
 
 # Observation dates of the multi-snapshot label query.
@@ -79,13 +85,14 @@ def _register_all() -> None:
     # FE-* feature groups and matrix
     for g in features.GROUP_FUNCS:
         q[f"features_{g}"] = _on_clean(features.GROUP_FUNCS[g])
-    q["feature_matrix"] = _on_clean(features.feature_matrix)
-    q["feature_summary"] = _on_clean(features.feature_summary)
+    q["feature_matrix"] = _on_stored(features.feature_matrix)
+    q["feature_summary"] = _on_stored(features.feature_summary)
     # LB-* labels, leakage checks, model-ready table and split
-    for name in ("future_active_customers", "eligible_customers", "churn_labels", "label_distribution",
-                 "model_ready", "split_report"):
+    for name in ("future_active_customers", "eligible_customers", "churn_labels", "label_distribution"):
         q[name] = _on_clean(getattr(labels, name))
-    q["stratified_split"] = _on_clean(labels.model_ready_split)
+    for name in ("model_ready", "split_report"):
+        q[name] = _on_stored(getattr(labels, name))
+    q["stratified_split"] = _on_stored(labels.model_ready_split)
     q["is_churned_at"] = lambda spark, sf_dir: labels.is_churned_at(clean_tx(spark, sf_dir), SNAPSHOTS)
     q["churn_by_snapshot"] = lambda spark, sf_dir: labels.churn_by_snapshot(clean_tx(spark, sf_dir), DAILY_SNAPSHOTS)
     q["leakage_checks"] = _leakage_checks

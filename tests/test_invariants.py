@@ -224,3 +224,31 @@ def test_approximate_profiles_are_close_to_exact(raw):
         assert a[c]["count"] == e[c]["count"] and a[c]["min"] == e[c]["min"] and a[c]["max"] == e[c]["max"]
         spread = e[c]["p99"] - e[c]["p1"]
         assert abs(a[c]["p50"] - e[c]["p50"]) <= 0.05 * spread
+
+
+def _stored_lines(make_tx, spark, path):
+    """Two customers, orders over two days, a country change, a repeated product and a null one, read from ``path``."""
+    rows = [("1", "a", 2, "2001-01-03 10:00:00", 3.5, 7, "X"), ("1", "a", 1, "2001-01-03 10:00:00", 3.5, 7, "X"),
+            ("1", None, 1, "2001-01-03 10:00:05", 1.25, 7, "NATION_0"), ("2", "b", 4, "2001-05-20 09:00:00", 2.0, 7, "NATION_0"),
+            ("3", "c", 1, "2001-02-02 00:00:00", 9.0, 8, None), ("4", "c", 1, "2001-07-02 00:00:00", 9.0, 8, "X")]
+    make_tx(rows).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_feature_matrix_goes_through_the_lines_twice_at_most(make_tx, spark, cal, tmp_path):
+    tx = _stored_lines(make_tx, spark, str(tmp_path / "lines"))
+    fm = features.feature_matrix(tx, cal)
+    plan = fm._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n")
+    assert plan.count("invoice_ts") and plan.count("stock_code") <= 2, plan
+
+
+def test_feature_matrix_over_stored_shapes_equals_the_groups(make_tx, spark, cal, tmp_path):
+    tx = _stored_lines(make_tx, spark, str(tmp_path / "lines"))
+    rows = {r["customer_id"]: r.asDict() for r in features.feature_matrix(tx, cal).collect()}
+    assert sorted(rows) == [7, 8]
+    for name, group in features.GROUP_FUNCS.items():
+        for r in group(tx, cal).na.fill(0).collect():
+            assert {k: rows[r["customer_id"]][k] for k in r.asDict()} == r.asDict(), name
+    seven = rows[7]
+    assert (seven["total_orders"], seven["total_line_items"], seven["avg_items_per_order"], seven["is_uk"]) == (2, 4, 1.0, 0)
+    assert (seven["total_revenue"], seven["max_order_value"], seven["unique_products"]) == (19.75, 11.75, 3)
