@@ -144,3 +144,9 @@ def test_gradient_tells_an_optimum_from_other_points(spark, held):
     assert not models.optimality_check(moved, train).first()["at_optimum"]
     assert models.probability_check(model, held.part("test")).first()[1:] == (True, True)
     assert models.probability_check(model, held.part("test").limit(0)).first()[:] == (0, True, True)
+
+
+def test_forest_keeps_the_rows_nodes(held):
+    forest = held.model("random_forest").stages[-1]
+    assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() >= 512
+    assert (forest.getNumTrees, forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (200, 15, 5)
