@@ -49,6 +49,19 @@ def test_snapshots_by_interval_equal_the_flags(spark, make_tx):
     assert labels.is_churned_range(tx, []).collect() == [] and labels.is_churned_range(tx.limit(0), days).collect() == []
 
 
+def test_daily_snapshots_make_each_row_once(spark, make_tx):
+    """No purchase day is expanded to the dates it is active for: rows of a date and a customer are neither joined nor aggregated."""
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=k) for k in range(150)]
+    at = ("2000-11-02 00:00:00", "2000-11-02 09:30:00", "2001-01-01 00:00:00", "2001-03-05 23:59:59", "2001-03-05 23:59:59", "2001-08-01 00:00:01")
+    tx = make_tx([(str(k), "A", 1, t, 2.0, cust, "X") for cust in (1, 2, 3) for k, t in enumerate(at[cust - 1::2])])
+    tx = tx.unionByName(tx.limit(2).withColumn("invoice_ts", F.lit(None).cast("timestamp_ntz")))
+    found = labels.is_churned_range(tx, days)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, labels.is_churned_at(tx, days).collect())) != []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert not [x for x in plan.splitlines() if ("Aggregate" in x or "Exchange hashpartitioning" in x) and "obs_date" in x], plan
+
+
 def test_snapshots_equal_the_flags_on_the_table(spark, cal):
     from attrition.operators.clean import clean_transactions
     from attrition.sources.retail import retail_raw
