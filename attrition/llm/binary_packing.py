@@ -59,10 +59,12 @@ def slices(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def binary_pieces(docs: DataFrame, tokenizer_path: str, units: str, context: int = 2048, end_id: int = 1,
-                  text: str = "text", keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 1 << 22) -> DataFrame:
+                  text: str = "text", keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 1 << 22,
+                  memo_units: int | None = None) -> DataFrame:
     """One row per piece: ``keep``, ``start``, ``length``, ``doc_tokens``, ``ids`` (unsigned 32-bit,
     little-endian), ``sequence_id`` and ``offset`` (0: a sequence is one piece).
 
+    A worker remembers the ids of ``memo_units`` distinct units at most (null: ``encoding.MEMO_UNITS``).
     ``length`` names the bucket.  A sequence id is the number of the partition
     and of the piece in it, which a recomputed task repeats.
     """
@@ -72,7 +74,7 @@ def binary_pieces(docs: DataFrame, tokenizer_path: str, units: str, context: int
     source = docs.select(*keep, F.col(text).alias("_llm_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, units).encode
+        encode = encoder(tokenizer_path, units, memo_units).encode
         for whole in batches:
             for batch in pieces_by_bytes(whole, "_llm_text", batch_bytes):
                 ids, n = with_end(*encode(as_bytes(batch.column("_llm_text"))), end_id)

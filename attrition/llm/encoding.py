@@ -56,7 +56,7 @@ class _Memo(dict):
 class UnitEncoder:
     """Encode batches of UTF-8 texts to one flat id array and text borders."""
 
-    def __init__(self, tokenizer_path: str, units: str):
+    def __init__(self, tokenizer_path: str, units: str, memo_units: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
@@ -64,6 +64,7 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.units = units
+        self.memo_units = memo_units
         self._reset()
 
     def _reset(self) -> None:
@@ -142,7 +143,7 @@ class UnitEncoder:
 
         A unit's number is only valid until the next call: a full memo starts over.
         """
-        if self.memo.size > MEMO_UNITS or self.memo.bytes + self.ids.itemsize * self.n_ids > MEMO_BYTES:
+        if self.memo.size > (self.memo_units or MEMO_UNITS) or self.memo.bytes + self.ids.itemsize * self.n_ids > MEMO_BYTES:
             self._reset()
         get = self.memo.__getitem__
         found = [list(map(get, self._cut(t))) for t in texts]
@@ -165,10 +166,10 @@ class UnitEncoder:
         return self._ids_of(flat), totals[borders] - totals[borders - counts]
 
 
-def encoder(tokenizer_path: str, units: str) -> UnitEncoder:
+def encoder(tokenizer_path: str, units: str, memo_units: int | None = None) -> UnitEncoder:
     """The worker's encoder of this file; a reused worker keeps its memo."""
-    key = f"{units}:{tokenizer_path}"
+    key = f"{units}:{memo_units}:{tokenizer_path}"
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = UnitEncoder(tokenizer_path, units)
+        _ENCODERS[key] = UnitEncoder(tokenizer_path, units, memo_units)
     return _ENCODERS[key]

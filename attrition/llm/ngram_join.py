@@ -306,7 +306,7 @@ def verified(rows: DataFrame, plan: JoinPlan) -> DataFrame:
             bits = _bits(np.repeat(np.arange(n), size), np.frombuffer(b"".join(t.column("set").to_pylist()), np.uint64), n)
             links, root = np.zeros(n, np.int64), np.arange(n)
             for i, j in _new_pairs(t, plan):
-                step = max(1, (1 << 22) // bits.shape[1])
+                step = max(1, (1 << 19) // bits.shape[1])  # 4 MB of bit rows on each side
                 for k in range(0, len(i), step):
                     a, b = i[k:k + step], j[k:k + step]
                     both = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64)

@@ -78,7 +78,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @neutral
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document that is left, with checksums of their ids."""
-    pieces = binary_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), units="words")
+    # the workers hold what the earlier stages took as well, so the batches and the memo of units are smaller here
+    pieces = binary_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), units="words", batch_bytes=1 << 20, memo_units=300_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -428,3 +428,17 @@ def test_archives_round_trip_with_revisits_and_edge_cases(spark, tmp_path):
 
 def test_json_is_only_read_from_whole_parts():
     assert not ss.signed_token(b"e30", b"e30") and json.loads(ss.unbase64(b"e30")) == {}
+
+
+def test_a_small_memo_of_units_is_kept_and_gives_the_same_ids():
+    import public_tokenizers
+
+    from attrition.llm.encoding import UnitEncoder
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few, many = UnitEncoder(path, "words", memo_units=20), UnitEncoder(path, "words")
+    for k in range(30):
+        texts = [f"word{k} Other{k}. again, {k * 7919} plain text".encode(), b""]
+        a, b = few.encode(texts), many.encode(texts)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+        assert few.memo.size <= 20 + 20
+    assert many.memo.size > 40
