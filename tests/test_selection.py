@@ -163,3 +163,45 @@ def test_forest_keeps_the_rows_nodes(held):
     forest = held.model("random_forest").stages[-1]
     assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() >= 512
     assert (forest.getNumTrees, forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (200, 15, 5)
+
+
+def _training_rows(spark, n=400):
+    """Rows of all features: some repeat another one, nearly or to a factor, one is constant."""
+    x = lambda k: F.pmod(F.xxhash64("customer_id", F.lit(k)), F.lit(1000)) / 100.0
+    rows = spark.range(1, n + 1).select(F.col("id").alias("customer_id"))
+    base = {0: F.lit(3.0), 2: x(1) + x(2) / 10_000, 3: x(1) * 7, 4: x(1) - x(2) / 1000, 5: x(2)}
+    rows = rows.select("customer_id", *[base.get(i, x(i)).alias(c) for i, c in enumerate(FEATURES)])
+    return rows.withColumn("is_churned", (F.col(FEATURES[1]) + x(99) > 11).cast("int"))
+
+
+def _stages(spark, group, run):
+    """What ``run`` returns, the jobs it took and the tasks of their stages."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    jobs = tracker.getJobIdsForGroup(group)
+    stages = {s for j in jobs for s in tracker.getJobInfo(j).stageIds}
+    return out, len(jobs), [i.numTasks for i in map(tracker.getStageInfo, stages) if i]
+
+
+def test_logistic_reaches_the_optimum_in_few_passes(spark):
+    train = _training_rows(spark).localCheckpoint()
+    model, jobs, _ = _stages(spark, "logistic", lambda: models.train_logistic(train))
+    assert jobs < 100
+    worst = models.objective_gradient(model, train).select(F.max(F.abs("gradient"))).first()[0]
+    assert worst < 1e-7
+    coefficients = model.stages[-1].coefficients.toArray()
+    assert len(coefficients) == len(FEATURES) and abs(coefficients[0]) < 1e-9
+    assert models.probability_check(model, train).first()[:] == (400, True, True)
+
+
+def test_logistic_of_one_class_and_of_constant_features(spark):
+    one = _training_rows(spark, 20).withColumn("is_churned", F.lit(1))
+    assert {r["predicted"] for r in models.score(models.train_logistic(one), one, "x").collect()} == {1}
+    flat = spark.range(12).select(F.col("id").alias("customer_id"), *[F.lit(2.0).alias(c) for c in FEATURES], (F.col("id") % 3 == 0).cast("int").alias("is_churned"))
+    model = models.train_logistic(flat)
+    assert set(model.stages[-1].coefficients.toArray()) == {0.0} and math.isclose(model.stages[-1].intercept, 0.0, abs_tol=1e-6)
