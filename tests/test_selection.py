@@ -191,7 +191,7 @@ def _stages(spark, group, run):
 def test_logistic_reaches_the_optimum_in_few_passes(spark):
     train = _training_rows(spark).localCheckpoint()
     model, jobs, _ = _stages(spark, "logistic", lambda: models.train_logistic(train))
-    assert jobs < 100
+    assert jobs < 100 and model.stages[-1].summary.totalIterations <= 1
     worst = models.objective_gradient(model, train).select(F.max(F.abs("gradient"))).first()[0]
     assert worst < 1e-7
     coefficients = model.stages[-1].coefficients.toArray()
@@ -205,3 +205,13 @@ def test_logistic_of_one_class_and_of_constant_features(spark):
     flat = spark.range(12).select(F.col("id").alias("customer_id"), *[F.lit(2.0).alias(c) for c in FEATURES], (F.col("id") % 3 == 0).cast("int").alias("is_churned"))
     model = models.train_logistic(flat)
     assert set(model.stages[-1].coefficients.toArray()) == {0.0} and math.isclose(model.stages[-1].intercept, 0.0, abs_tol=1e-6)
+
+
+def test_training_passes_have_tasks_by_rows_not_by_files(spark, monkeypatch):
+    train = _training_rows(spark).repartition(64).localCheckpoint()
+    model, _, tasks = _stages(spark, "boosted", lambda: models.train_boosted_trees(train, max_iter=2))
+    assert model.stages[-1].getNumTrees == 2
+    assert sum(tasks) < 500 and sum(n >= 64 for n in tasks) <= 2
+    monkeypatch.setattr(models, "ROWS_A_TASK", 40)
+    assert models._in_few_tasks(train, 400).rdd.getNumPartitions() == 10
+    assert models._in_few_tasks(train, 0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
