@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attrition.operators import forest, models
 from attrition.operators.features import FEATURES
+from attrition.sources import io
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +77,18 @@ def test_every_tree_of_every_part_has_one_vote(spark, train, tmp_path, monkeypat
 def test_small_forest_is_one_model(train):
     model = models.train_random_forest(train.limit(60))
     assert isinstance(model.stages[-1], RandomForestClassificationModel) and model.stages[-1].getNumTrees == 200
+
+
+def test_fallback_loads_a_forest_in_parts(spark, train, monkeypatch):
+    """A forest of many nodes is saved, found after the preferred model is gone and scored as before, its trees never loaded together."""
+    monkeypatch.setattr(forest, "NODES_A_SCORING", 30)
+    assembler = models._assembler(FEATURES)
+    rf = RandomForestClassifier(featuresCol="features_vec", labelCol="is_churned", numTrees=4, maxDepth=4, minInstancesPerNode=5, seed=1)
+    found = PipelineModel([assembler, forest.fit_in_parts(rf, assembler.transform(train), [1, 1, 1, 1])])
+    folder = models.save_models({"boosted_trees": found, "random_forest": found}, io.scratch_path(spark, "models"))
+    assert models.resolve_model(spark, folder)[0] == "boosted_trees" and io.delete_path(spark, f"{folder}/boosted_trees")
+    name, loaded = models.resolve_model(spark, folder)
+    assert name == "random_forest" and loaded.stages[-1].folder.startswith(folder)
+    assert len(list(loaded.stages[-1]._rounds())) > 1
+    score = lambda m: sorted(map(tuple, models.score(m, train, "x").collect()))
+    assert score(loaded) == score(found) != []
