@@ -37,6 +37,7 @@ def test_many_nodes_are_never_on_the_driver_at_one_time(spark, train, tmp_path,
     found = model.stages[-1]
     assert isinstance(found, forest.ForestInParts) and found.getNumTrees == 200
     assert [p["trees"] for p in found.parts] == [25] * 8
+    assert all(sum(p["nodes"] for p in found.parts[k:k + 4]) <= 31_000 for k in (0, 4))
     rounds = list(found._rounds())
     assert len(rounds) > 1 and sum(rounds, []) == list(range(8))
     assert all(len(r) == 1 or sum(found.parts[i]["nodes"] for i in r) <= 3_000 for r in rounds)
@@ -92,3 +93,15 @@ def test_fallback_loads_a_forest_in_parts(spark, train, monkeypatch):
     assert len(list(loaded.stages[-1]._rounds())) > 1
     score = lambda m: sorted(map(tuple, models.score(m, train, "x").collect()))
     assert score(loaded) == score(found) != []
+
+
+def test_later_parts_are_dealt_by_the_nodes_of_the_first(train, monkeypatch):
+    """Each part reads all rows several times, so small trees make few parts."""
+    assembler = models._assembler(FEATURES)
+    rf = RandomForestClassifier(featuresCol="features_vec", labelCol="is_churned", numTrees=24, maxDepth=2, minInstancesPerNode=5, seed=1)
+    found = forest.fit_in_parts(rf, assembler.transform(train), [1] * 24)
+    assert [p["trees"] for p in found.parts] == [1] * 4 + [5] * 4 and found.getNumTrees == 24
+    assert len({tuple(p["importances"]) for p in found.parts}) == 8
+    monkeypatch.setattr(forest, "NODES_AT_ONCE", 4)
+    rf = rf.copy({rf.numTrees: 6})
+    assert [p["trees"] for p in forest.fit_in_parts(rf, assembler.transform(train), [1] * 6).parts] == [1] * 6
